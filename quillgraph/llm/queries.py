@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op5_bpe_codec
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op5_bpe_codec": op5_bpe_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
