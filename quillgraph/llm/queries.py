@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .quality_rules import OP6_SQL, op6_quality_rules
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_quality_rules": op6_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": OP6_SQL,
+}
