@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
 from .quality_rules import OP6_SQL, op6_quality_rules
+from .sharding import op8_sharding
 from .token_counts import op2_token_counts
+from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_quality_rules": op6_quality_rules,
+    "op8_sharding": op8_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": OP6_SQL,
+    "op10_warc": OP10_SQL,
 }
