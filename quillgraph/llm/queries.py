@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .quality_crf import op7_quality_crf
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
 from .token_counts import op2_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_quality_rules": op6_quality_rules,
+    "op7_quality_crf": op7_quality_crf,
     "op8_sharding": op8_sharding,
     "op10_warc": op10_warc,
 }
