@@ -6,11 +6,13 @@ from .bpe_codec import op5_bpe_codec
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .token_counts import op2_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_crf": op7_quality_crf,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
     "op10_warc": OP10_SQL,
 }
