@@ -7,6 +7,7 @@ from .quality_crf import op7_quality_crf
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
 from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .suffix_dedup import OP9_SQL, op9_suffix_dedup
 from .token_counts import op2_token_counts
 from .warc import OP10_SQL, op10_warc
 
@@ -17,11 +18,13 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_crf": op7_quality_crf,
     "op8_sharding": op8_sharding,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
+    "op9_suffix_dedup": OP9_SQL,
     "op10_warc": OP10_SQL,
 }

@@ -8,7 +8,6 @@ are verified: by 128-bit hashes of whole units, and of single windows where unit
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
