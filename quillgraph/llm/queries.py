@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .near_dedup import op1_near_dedup
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP6_SQL, op6_quality_rules
 from .sharding import op8_sharding
@@ -12,6 +13,7 @@ from .token_counts import op2_token_counts
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_bpe_codec": op5_bpe_codec,
