@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_path
 
 
 def star(edges: DataFrame) -> DataFrame:
@@ -17,17 +17,22 @@ def star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = least.select("u", F.col("m").alias("v"))
-    return small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").union(own).distinct()
+    small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+    return small.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges`` written to the shared folder, with their number and a sum of their hashes, taken while writing."""
+    spark, path, seen = edges.sparkSession, shared_path(edges.sparkSession, "links"), Observation()
+    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    return spark.read.schema("u long, v long").parquet(path), (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``label`` (the smallest node of its component) for every node of ``edges`` (``u``, ``v``) but the labels themselves."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    now, state = counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before, now = tuple(state), written(star(now), "links")
+    while state != before and state[0]:
+        before = state
+        now, state = counted(star(now))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))

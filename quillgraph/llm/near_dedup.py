@@ -173,53 +173,84 @@ def pivots(live: DataFrame, per_bucket: int) -> DataFrame:
     return few.union(live.where(F.col("n") <= 2 * per_bucket).select("bucket", F.col("node").alias("pivot")))
 
 
-def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node``, ``label``: the components of verified links between ``nodes`` (node, bands, registers); ``docs``: d, text."""
-    spark = nodes.sparkSession
+def relabelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``pairs`` (``a``, ``b``) with ``p`` and ``q``, the labels of both; those of one label are left out."""
+    if labels is None:
+        return pairs.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
+    for c, name in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(labels.select(F.col("node").alias(c), F.col("label").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    return pairs.where("p <> q")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after the components of ``links`` (between labels ``p`` and ``q``) have grown together."""
+    found = components(links.select(F.col("p").alias("u"), F.col("q").alias("v")))
+    if labels is None:
+        return found
+    moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return written(moved.select("node", F.coalesce("to", "label").alias("label")).union(found), "labels")
+
+
+class Shingles:
+    """Shingle sets of the nodes that some candidate needs, each made once."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.made = docs, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+        if self.made is not None:
+            wanted = wanted.join(self.made.select(F.col("node").alias("d")), "d", "left_anti")
+        more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles")
+        self.made = more if self.made is None else self.made.union(more)
+        return self.made
+
+    def judge(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` with ``same``: whether their similarity reaches the threshold."""
+        similar, every = F.pandas_udf(similarity, "double"), self.of(pairs)
+        for c in "ab":
+            pairs = pairs.join(every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("counts").alias(f"n{c}")), c)
+        return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged")
+
+
+def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """``node``, ``label``: the components of verified links between ``nodes`` (node, bands, registers); ``docs``: d, text.
+
+    None if there are no links.
+    """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").cast("int").alias("n")).where("a < b")
+    several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
     live = written(rows.join(several.select("bucket", "n"), "bucket"), "buckets")
-    registers = nodes.select("node", "registers")
-    labels = spark.createDataFrame([], "node long, label long")
-    links = spark.createDataFrame([], "u long, v long")
-    tried = spark.createDataFrame([], "a long, b long")
-    agree, similar = F.pandas_udf(agreement, "double"), F.pandas_udf(similarity, "double")
-    shingles = None
-    per_bucket = 1
+    registers, agree = nodes.select("node", "registers"), F.pandas_udf(agreement, "double")
+    shingles, labels, tried, per_bucket = Shingles(docs), None, None, 1
     while True:
-        chosen = pivots(live, per_bucket)
-        with_label = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-        pairs = live.select("bucket", "node").join(chosen, "bucket").where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if per_bucket > 1:
-            pairs = with_label(with_label(pairs, "a"), "b").where("label_a <> label_b").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        close = pairs.join(registers.select(F.col("node").alias("a"), F.col("registers").alias("x")), "a").join(
-            registers.select(F.col("node").alias("b"), F.col("registers").alias("y")), "b"
-        )
-        close = written(close.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates")
-        # most candidates of a group lead to the same node: one for each node is verified first
-        while close.limit(1).count():
-            one = close.groupBy("a").agg(F.min("b").alias("b"))
-            wanted = close.select(F.explode(F.array("a", "b")).alias("d")).distinct()
-            if shingles is None:
-                shingles = written(shingle_table(docs.join(wanted, "d", "left_semi")).dropDuplicates(["node"]), "shingles")
-            else:
-                have = shingles.select(F.col("node").alias("d"))
-                missing = wanted.join(have, "d", "left_anti")
-                if missing.limit(1).count():
-                    shingles = shingles.union(written(shingle_table(docs.join(missing, "d", "left_semi")).dropDuplicates(["node"]), "shingles"))
-            side = lambda c: shingles.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("counts").alias(f"n{c}"))
-            judged = one.join(side("a"), "a").join(side("b"), "b").select("a", "b", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same"))
-            judged = written(judged, "judged")
-            tried = tried.union(judged.select("a", "b"))
-            links = links.union(judged.where("same").select(F.col("a").alias("u"), F.col("b").alias("v")))
-            labels = components(links)
-            close = with_label(with_label(close, "a"), "b").where("label_a <> label_b").select("a", "b").join(judged, ["a", "b"], "left_anti")
-            close = written(close, "candidates")
-        # buckets that are neither of one component nor fully compared
+        pairs = live.select("bucket", "node").join(pivots(live, per_bucket), "bucket").where("node <> pivot")
+        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        if labels is not None:
+            pairs = relabelled(pairs, labels).select("a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        for c, name in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(registers.select(F.col("node").alias(c), F.col("registers").alias(name)), c)
+        close = written(pairs.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates")
+        # most candidates of a group lead to one node: one for each node is verified first, then what that left apart
+        for first in (True, False) if per_bucket == 1 else (False,):
+            some = close.groupBy("a").agg(F.min("b").alias("b")).select("a", "b") if first else close
+            some = relabelled(some.distinct(), labels)
+            if not first and tried is not None:
+                some = some.join(tried, ["a", "b"], "left_anti")
+            some = written(some, "verify")
+            if some.limit(1).count():
+                judged = shingles.judge(some)
+                tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
+                labels = merged(labels, judged.where("same"))
+        # on with the buckets that are neither of one component nor fully compared
         left = live.where(F.col("n") > 2 * per_bucket)
-        left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = left.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("bucket")
-        live = written(live.where(F.col("n") > 2 * per_bucket).join(open_, "bucket", "left_semi"), "buckets")
+        if labels is not None:
+            named = left.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
+            apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+            left = left.join(apart.select("bucket"), "bucket", "left_semi")
+        live = written(left, "buckets")
         if not live.limit(1).count():
             return labels
         per_bucket *= 8
@@ -237,18 +268,20 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), whole.alias("text"))
     keyed = rows.where("d IS NOT NULL").select("d", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     sketch = written(sketches(keyed), "sketches")
-    same = sketch.groupBy("t1", "t2").agg(F.min("d").alias("node"))
-    of = written(sketch.select("d", "t1", "t2").distinct().join(same, ["t1", "t2"]).select("d", "node").distinct(), "nodes")
-    nodes = sketch.join(of.where("d = node").select("d").distinct(), "d", "left_semi").select(F.col("d").alias("node"), "bands", "registers")
-    nodes = written(nodes.where(F.size("bands") > 0).dropDuplicates(["node"]), "distinct-sketches")
-    labels = links_between(nodes, rows.where("d IS NOT NULL"))
+    # one node for equal texts: that of the smallest id
+    same = sketch.groupBy("t1", "t2").agg(F.min(F.struct("d", "bands", "registers")).alias("s"))
+    same = written(same.select("t1", "t2", F.col("s.d").alias("node"), "s.bands", "s.registers"), "distinct-sketches")
+    labels = links_between(same.where(F.size("bands") > 0).select("node", "bands", "registers"), rows.where("d IS NOT NULL"))
+    of = sketch.select("d", "t1", "t2").join(same.select("t1", "t2", "node"), ["t1", "t2"]).groupBy("d").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    of = written(of, "nodes")
     # ids with several texts tie their nodes together
-    twice = of.groupBy("d").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q")
-    if twice.limit(1).count():
-        ties = of.join(twice, "d").select(F.col("node").alias("u"), F.col("p").alias("v")).where("u <> v")
-        labels = components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(ties))
-    out = of.groupBy("d").agg(F.min("node").alias("node")).join(labels, "node", "left")
-    out = out.select(F.col("d").alias("doc_id"), F.coalesce("label", "node").alias("class_id"))
+    ties = of.where("node < other").select(F.col("node").alias("q"), F.col("other").alias("p"))
+    if ties.limit(1).count():
+        labels = merged(labels, relabelled(ties.select(F.col("p").alias("a"), F.col("q").alias("b")), labels))
+    if labels is None:
+        out = of.select(F.col("d").alias("doc_id"), F.col("node").alias("class_id"))
+    else:
+        out = of.join(labels, "node", "left").select(F.col("d").alias("doc_id"), F.coalesce("label", "node").alias("class_id"))
     return out.union(rows.where("d IS NULL").select(F.col("d"), F.lit(None).cast("long")))
 
 
