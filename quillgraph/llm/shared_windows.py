@@ -12,6 +12,9 @@ import numpy as np
 from .word_hashes import mix, window_hashes
 
 
+SLICE = 1 << 15
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -32,7 +35,9 @@ def units(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, np.zeros(0, np.uint64)
-    anchor = sliding_min(window_hashes(hashes, gram), window - gram + 1)
+    anchor = np.empty(n, np.uint64)
+    for a in range(0, n, SLICE):  # a slice's arrays stay in the processor's cache
+        anchor[a : a + SLICE] = sliding_min(window_hashes(hashes[a : a + SLICE + window - 1], gram), window - gram + 1)
     whole = np.ones(n + 1, bool)
     for b in bounds[1:-1]:
         whole[max(0, b - window + 1) : min(b, n)] = False

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import null_to_empty, table
-from .shared_windows import content_hashes, covered, units
+from .shared_windows import covered, units
 from .substring_dedup import LAST
 from .word_hashes import mix, window_hashes, word_hashes
 
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
+OTHER_BASE = np.uint64(0xD1342543DE82EF95)
+BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
 SENT = "range int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
 FOUND = "block int, doc array<int>, l array<int>, r array<int>"
@@ -82,7 +84,7 @@ class Block:
 
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Units (windows l to r in ``data``, anchor, document), and the place hashes they were found by."""
-        hashes = mix(self.data.astype(np.uint64) + np.uint64(1))
+        hashes = _BYTE_HASH[self.data]
         # the line end after each text belongs to none: windows over it are dropped
         bounds = np.append(self.begins, len(self.data))
         l, r, anchor = units(hashes, bounds, self.window, GRAM)  # noqa: E741
@@ -92,6 +94,13 @@ class Block:
         return l[good], r[good], anchor[good], doc[good], hashes
 
 
+def snippets(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of ``size`` bytes from ``begin``, one after the other, and where each begins and ends in that."""
+    stop = np.cumsum(size)
+    inner = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - size, size)
+    return data[np.repeat(begin, size) + inner], stop - size, stop
+
+
 def split_anchor(anchor: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash range of an anchor, and 32 more bits of it: enough to tell candidates; bytes are compared in the end."""
     part = (anchor % np.uint64(ranges)).astype(np.int32)
@@ -165,7 +174,8 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             part, rest = split_anchor(anchor, ranges)
         else:
             l, r, doc, part, rest = l[shared], r[shared], doc[shared], part[shared], rest[shared]  # noqa: E741
-        u1, u2 = (content_hashes(hashes, l, r, window, s) for s in (1, 2))
+        text, begin, end = snippets(block.data, l, r - l + window)
+        u1, u2 = word_hashes(text, begin, end), word_hashes(text, begin, end, base=OTHER_BASE)
         d = block.d[doc]
         order = np.lexsort((d, u2, u1))
         fresh = np.ones(len(order), bool)
@@ -176,10 +186,10 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
         first[order] = d[order] == lowest
         out = []
         local = np.flatnonzero(~first)
-        begin = block.begins[doc]
+        offset = l - block.begins[doc]
         if len(local):  # a smaller document of this very block holds them
             out.append(
-                (int(rows["block"].iat[0]) % ranges, rows["block"].iat[0], None, doc[local], (l - begin)[local], (r - l + 1)[local], None, None)
+                (int(rows["block"].iat[0]) % ranges, rows["block"].iat[0], None, doc[local], offset[local], (r - l + 1)[local], None, None)
             )
         sent = np.flatnonzero(first)
         order, cut = by_range(part[sent], ranges)
@@ -187,10 +197,8 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
         for i in range(ranges):
             m = sent[cut[i] : cut[i + 1]]
             if len(m):
-                size = r[m] - l[m] + window
-                inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                text = block.data[np.repeat(l[m], size) + inner].tobytes()
-                out.append((i, rows["block"].iat[0], rest[m], doc[m], (l - begin)[m], (r - l + 1)[m], d[m], zlib.compress(text, 1)))
+                some = snippets(text, begin[m], end[m] - begin[m])[0].tobytes()
+                out.append((i, rows["block"].iat[0], rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zlib.compress(some, 1)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
     def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:

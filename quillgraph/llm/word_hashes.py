@@ -38,7 +38,7 @@ def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int = 1 << 18, base: np.uint64 = BASE) -> np.ndarray:
     """A 64-bit hash of each byte range; the ranges are sorted and disjoint.  About ``block`` bytes at a time."""
     out = np.empty(len(begin), np.uint64)
     i = 0
@@ -48,7 +48,7 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, block: int
         starts = np.cumsum(sizes) - sizes
         inner = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
         values = data[np.repeat(begin[i:j], sizes) + inner].astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(values * powers(int(sizes.max()))[inner], starts)
+        sums = np.add.reduceat(values * powers(int(sizes.max()), base)[inner], starts)
         out[i:j] = mix(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
     return out
