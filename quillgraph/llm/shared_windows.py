@@ -43,18 +43,16 @@ def units(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
         whole[max(0, b - window + 1) : min(b, n)] = False
     whole[n] = False
     whole = whole[:n]
-    at = np.arange(n)
     starts = whole.copy()
     starts[1:] &= (anchor[1:] != anchor[:-1]) | ~whole[:-1]
     # texts that follow each other without a gap of invalid windows (window 1) begin anew too
     first = bounds[:-1][bounds[:-1] < n]
     starts[first] = whole[first]
-    begin = at[starts]
+    begin = np.flatnonzero(starts)
     if not len(begin):
         return none, none, np.zeros(0, np.uint64)
-    stop = np.append(begin[1:], n)
-    valid_after = np.concatenate([[0], np.cumsum(whole)])
-    size = valid_after[stop] - valid_after[begin]
+    ends = bounds[np.searchsorted(bounds, begin, side="right")] - window + 1
+    size = np.minimum(np.append(begin[1:], n), ends) - begin
     # long units, of texts that repeat themselves, are cut
     pieces = -(-size // window)
     which = np.repeat(np.arange(len(begin)), pieces)
