@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op5_bpe_codec
+from .decontamination import op4_decontamination
 from .near_dedup import op1_near_dedup
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP6_SQL, op6_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_crf": op7_quality_crf,
