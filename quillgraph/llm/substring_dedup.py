@@ -1,7 +1,6 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index (operator 3).
 
-The index holds, in sorted immutable runs, the anchor of every window of the history (see ``shared_windows``) with the
-smallest and largest document that holds it.  A new batch's anchors are merge-joined with each run; the batch becomes a
+The index holds, in sorted immutable runs, the anchors of all windows of the history (see ``shared_windows``).  A new batch's anchors are merge-joined with each run; the batch becomes a
 run itself, and runs are compacted into one when there are too many.  Where an anchor is shared, the windows themselves
 are verified: by 128-bit hashes of whole units, and of single windows where units differ.
 """
@@ -25,37 +24,39 @@ LAST = (1 << 63) - 1
 
 
 class FingerprintIndex:
-    """Runs of ``anchor``, ``lo``, ``hi`` (smallest and largest document), each sorted by anchor and never changed."""
+    """Runs of ``anchor``: the distinct anchors of some batches, sorted, written once and never changed.
 
-    def __init__(self, spark: SparkSession, max_runs: int = 2):
+    ``max_runs``: with more of them, they are compacted into one before the next batch is looked up.
+    """
+
+    def __init__(self, spark: SparkSession, max_runs: int = 1):
         self.spark, self.max_runs, self.runs = spark, max_runs, []
 
-    def write(self, digest: DataFrame) -> str:
+    def write(self, anchors: DataFrame) -> str:
         path = shared_path(self.spark, "fingerprints")
-        digest.sortWithinPartitions("anchor").write.option("compression", "zstd").parquet(path)
+        anchors.sortWithinPartitions("anchor").write.option("compression", "zstd").parquet(path)
         return path
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("anchor long, lo long, hi long").parquet(path)
+        return self.spark.read.schema("anchor long, many boolean").parquet(path)
 
     def add(self, anchors: DataFrame) -> DataFrame:
         """Take in a batch (``anchor``, ``d``); returns the anchors it shares with the history or within itself."""
-        path = self.write(anchors.groupBy("anchor").agg(F.min("d").alias("lo"), F.max("d").alias("hi")))
+        if len(self.runs) > self.max_runs:
+            self.compact()
+        several = F.min("d") < F.max("d")
+        path = self.write(anchors.groupBy("anchor").agg(several.alias("many")))
         batch = self.read(path)
-        found = [batch.where("lo < hi").select("anchor")]
+        found = [batch.where("many").select("anchor")]
         for run in self.runs:
-            found.append(batch.hint("merge").join(self.read(run).select("anchor"), "anchor", "left_semi").select("anchor"))
-        shared = written(reduce(DataFrame.union, found).distinct(), "shared-anchors")
+            found.append(batch.select("anchor").hint("merge").join(self.read(run).select("anchor"), "anchor", "left_semi"))
         self.runs.append(path)
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return shared
+        return written(reduce(DataFrame.union, found).distinct(), "shared-anchors")
 
     def compact(self) -> None:
         """Merge all runs into one and delete them."""
         old = self.runs
-        merged = reduce(DataFrame.union, [self.read(p) for p in old]).groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        self.runs = [self.write(merged)]
+        self.runs = [self.write(reduce(DataFrame.union, [self.read(p) for p in old]).groupBy("anchor").agg(F.max("many").alias("many")))]
         for path in old:
             delete_path(self.spark, path)
 
@@ -110,7 +111,7 @@ def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame
     return joined.mapInPandas(make, "d long, t long, w1 long, w2 long, l int")
 
 
-def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 2) -> DataFrame:
+def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 1) -> DataFrame:
     """``d``, ``t``, ``l``, ``r``: the windows l to r of the document also start in one with a smaller ``d``.
 
     ``docs`` as ``keyed`` makes it.  It is taken in as ``batches`` batches by rising id, as they would arrive.
@@ -139,7 +140,7 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
     return whole.union(single)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by one space).
 
     Words of windows of ``window`` words that also start in a document with a smaller id are removed; all windows are
