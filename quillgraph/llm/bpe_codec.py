@@ -204,3 +204,8 @@ def bpe_digests(docs: DataFrame, text: str = "text", tokenizer_path: str | None
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``lang``, ``source``, ``n_tokens`` and ``ids`` of every document; its text is what the ids stand for."""
+    return bpe_encode(docs, output="ids").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -290,7 +290,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id, which is the class's id."""
-    classes = near_duplicate_classes(docs)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class: the one with the smallest id, which is the class's id.  Rows without id all stay."""
+    kept = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
+    stay = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return stay.union(docs.where("doc_id IS NULL"))

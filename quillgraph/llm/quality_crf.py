@@ -225,21 +225,21 @@ def train_quality_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2000
     return fit_field([r.text for r in rows], np.array([r.quality for r in rows], np.int64))
 
 
-def score_quality(docs: DataFrame, field: ChainField, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: better) and ``predicted`` (1 if the score reaches ``threshold``).
+def score_quality(docs: DataFrame, field: ChainField, threshold: float = 0.3, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with a ``score`` (0 to 1, higher: better) and ``predicted`` (1 if the score reaches ``threshold``).
 
     Whole texts of any length are scored, in one pass without a shuffle.  A null text is scored as an empty one, which
     has no line and so the evidence 0.5.
     """
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             parts = [field.scores(some) for some in slices(batch.tolist())]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    out = docs.withColumn("score", score(null_to_empty()))
-    return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    out = docs.withColumn(score, scored(null_to_empty()))
+    return out.withColumn(predicted, F.when(F.col(score) >= threshold, 1).otherwise(0))
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,4 +251,4 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
     field = train_quality_field(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, field).where("predicted = 1").select(*docs.columns)
+    return score_quality(docs, field, score="_score", predicted="_predicted").where("_predicted = 1").select(*docs.columns)

@@ -276,17 +276,39 @@ def repeats_in_range(
     return np.concatenate(units_), np.concatenate(low), np.concatenate(high)
 
 
+def whole_characters(data: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """``lost`` without the characters (in UTF-8) of which some byte stays."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts):
+        return lost
+    gone = np.minimum.reduceat(lost, starts)
+    return np.repeat(gone, np.diff(np.append(starts, len(data))))
+
+
 def remove_repeated_strings(
-    docs: DataFrame, window: int = 50, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, hot_blocks: int = 256
+    docs: DataFrame,
+    window: int = 50,
+    block_bytes: int = BLOCK_BYTES,
+    range_bytes: int = RANGE_BYTES,
+    hot_blocks: int = 256,
+    characters: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``text``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes).
+    """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes), one row for each of its rows.
 
     Bytes of strings of ``window`` bytes that also start in a document with a smaller id are removed; all strings are
-    judged on the input and none crosses documents.  A null text is empty.  A null id counts as larger than any other;
-    rows with equal ids never remove each other's bytes, and each gets a result of its own.
+    judged on the input and none crosses documents.  ``characters``: a character stays whole if any of its bytes does,
+    so that ``kept`` is UTF-8.  A null text is empty.  A null id counts as larger than any other; rows with equal ids
+    never remove each other's bytes.  Columns of ``docs`` with the names of new ones are replaced.
     """
-    whole = null_to_empty()
-    rows = docs.select("doc_id", whole.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(whole).alias("t"))
+    whole, new = null_to_empty(), ("n_bytes", "n_removed", "n_spans", "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        whole.alias("text"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
+        F.xxhash64(whole).alias("t"),
+        F.to_json(F.struct(*others)).alias("others") if others else F.lit("{}").alias("others"),
+    )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, ranges = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "t"), F.lit(blocks)).cast("int"))
@@ -297,18 +319,31 @@ def remove_repeated_strings(
         doc, l, r = (np.concatenate([np.zeros(0, np.int64), *found[c]]).astype(np.int64) for c in ("doc", "l", "r"))  # noqa: E741
         begin = block.begins[doc]
         lost = covered(len(block.data), begin + l, begin + r, window)
+        if characters:
+            lost = whole_characters(block.data, lost)
         edge = np.flatnonzero(lost & ~np.concatenate([[False], lost[:-1]]))
         ends = block.begins + block.sizes
-        gone = np.concatenate([[0], np.cumsum(lost)])
-        out = block.rows[["doc_id", "text"]].copy()
+        gone = np.concatenate([[0], np.cumsum(lost, dtype=np.int32)])
+        out = block.rows[["doc_id", "text", "others"]].copy()
         out["n_bytes"] = block.sizes
-        out["n_removed"] = gone[ends] - gone[block.begins]
+        out["n_removed"] = (gone[ends] - gone[block.begins]).astype(np.int64)
         out["n_spans"] = np.searchsorted(edge, ends) - np.searchsorted(edge, block.begins)
         out["kept"] = [block.data[b:e][~lost[b:e]].tobytes() for b, e in zip(block.begins, ends, strict=True)]
         return out.astype({"doc_id": "Int64"})
 
-    schema = "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary"
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(cut, schema)
+    schema = "doc_id long, text string, others string, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(cut, schema)
+    if others:
+        out = out.withColumn("others", F.from_json("others", docs.select(*others).schema)).select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others), *new)
+    return out.select(*[c for c in docs.columns if c not in new], *new)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated strings of 50 bytes, cut at whole characters; ``n_chars`` is counted anew."""
+    left = remove_repeated_strings(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
