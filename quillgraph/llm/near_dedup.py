@@ -113,9 +113,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [x.encode() for x in batch["text"]]
-            for i, j in text_slices(texts):
-                _, _, _, hashes, bounds = words_of(texts[i:j])
+            texts = batch["text"].tolist()
+            for i, j, some in text_slices(texts):
+                _, _, _, hashes, bounds = words_of(some)
                 kept = prob_min_hash(*weighted_shingles(hashes, bounds), j - i)
                 keys = band_keys(kept).view(np.int64)
                 bytes_ = (mix(kept) & np.uint64(255)).astype(np.uint8)
@@ -146,9 +146,9 @@ def shingle_table(docs: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [x.encode() for x in batch["text"]]
-            for i, j in text_slices(texts):
-                _, _, _, hashes, bounds = words_of(texts[i:j])
+            texts = batch["text"].tolist()
+            for i, j, some in text_slices(texts):
+                _, _, _, hashes, bounds = words_of(some)
                 text, shingle, count = weighted_shingles(hashes, bounds)
                 upto = np.searchsorted(text, np.arange(j - i + 1))
                 order = [np.argsort(shingle[a:b].view(np.int64)) for a, b in zip(upto, upto[1:], strict=False)]

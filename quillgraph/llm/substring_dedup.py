@@ -72,9 +72,9 @@ def window_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [x.encode() for x in batch["text"]]
-            for i, j in text_slices(texts):
-                _, _, _, hashes, bounds = words_of(texts[i:j])
+            texts = batch["text"].tolist()
+            for i, j, some in text_slices(texts):
+                _, _, _, hashes, bounds = words_of(some)
                 l, r, anchor = units(hashes, bounds, window, gram)  # noqa: E741
                 if not len(l):
                     continue
@@ -153,11 +153,11 @@ def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: in
 
     def cut(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches_:
-            texts = [x.encode() for x in batch["text"]]
-            for i, j in text_slices(texts):
+            texts = batch["text"].tolist()
+            for i, j, some in text_slices(texts):
                 out = []
                 for k in range(i, j):
-                    data, begin, end, hashes, _ = words_of([texts[k]])
+                    data, begin, end, hashes, _ = words_of([some[k - i]])
                     lost = np.zeros(len(begin), bool)
                     if (l := batch["l"].iat[k]) is not None:
                         lost = covered(len(begin), np.asarray(l, np.int64), np.asarray(batch["r"].iat[k], np.int64), window)

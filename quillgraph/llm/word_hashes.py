@@ -78,15 +78,15 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
 
-def text_slices(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of texts of about ``size`` bytes, one text at least."""
+def text_slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs [i, j) of texts of about ``size`` characters, one text at least, and their bytes."""
     i = 0
     while i < len(texts):
         j, total = i + 1, len(texts[i])
         while j < len(texts) and total + len(texts[j]) <= size:
             total += len(texts[j])
             j += 1
-        yield i, j
+        yield i, j, [x.encode() for x in texts[i:j]]
         i = j
 
 
