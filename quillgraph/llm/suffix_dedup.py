@@ -3,7 +3,7 @@
 Suffixes are sorted no deeper than the length of a repeat, and only where repeats are possible: at windows whose anchor
 (see ``shared_windows``) occurs in several documents.
 
-1. Documents are dealt out to blocks by their id.  Each block lists the anchors of its windows, as sorted integers per
+1. Documents are dealt out to blocks, equal texts to the same one.  Each block lists the anchors of its windows, as sorted integers per
    hash range.
 2. Each hash range finds the anchors held by several documents and tells the blocks that have them.
 3. Each block sends the bytes around its shared anchors, one copy of equal bytes, to the anchor's range.  Windows of
@@ -15,14 +15,13 @@ Suffixes are sorted no deeper than the length of a repeat, and only where repeat
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, table
+from .common import null_to_empty, table, written
 from .shared_windows import covered, units
 from .substring_dedup import LAST
 from .word_hashes import mix, window_hashes, word_hashes
@@ -31,7 +30,9 @@ GRAM = 20
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 BLOCK_BYTES = 2 << 20
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
+#: Copies of a text that share a block at most.
+BLOCK_COPIES = 1000
 SENT = "range int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
 FOUND = "block int, doc array<int>, l array<int>, r array<int>"
 
@@ -43,56 +44,67 @@ def refine_buckets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, depth:
     round then splits each bucket of several places by the buckets of the places ``step`` bytes later.  Buckets are
     sorted ``reach`` deep, so this makes them ``reach + step`` deep; the next round looks up the new ones.
     """
-    left = np.zeros(len(data), np.int64)  # bytes up to the end of the place's stretch
     sizes = end - begin
-    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.zeros(len(data), np.int32)  # bytes up to the end of the place's stretch
+    stops = np.cumsum(sizes)
+    inner = np.arange(int(stops[-1]), dtype=np.int64) - np.repeat(stops - sizes, sizes)
     left[np.repeat(begin, sizes) + inner] = np.repeat(sizes, sizes) - inner
     reach = min(q, depth)
     places = np.flatnonzero(left >= reach)
     gram = np.zeros(len(places), np.uint64)
     for k in range(reach):
         gram = (gram << np.uint64(8)) | data[places + k]
-    bucket = np.full(len(data), -1, np.int64)
+    bucket = np.full(len(data), -1, np.int32)
     bucket[places] = np.unique(gram, return_inverse=True)[1]
     while reach < depth:
         step = min(reach, depth - reach)
         places = np.flatnonzero(left >= reach + step)
         now = bucket[places]
-        several = np.bincount(now, minlength=1)[now] > 1
-        high = int(now.max(initial=0)) + 1
-        fresh = high + np.arange(len(places))
-        key = now[several] * (int(bucket.max(initial=0)) + 2) + bucket[places[several] + step] + 1
+        several = np.flatnonzero(np.bincount(now, minlength=1)[now] > 1)
+        key = now[several].astype(np.int64) << 32 | bucket[places[several] + step]
+        fresh = np.arange(len(places), dtype=np.int32) + len(places)
         fresh[several] = np.unique(key, return_inverse=True)[1]
-        fresh[~several] = len(places) + np.arange(int((~several).sum()))
-        bucket = np.full(len(data), -1, np.int64)
+        bucket = np.full(len(data), -1, np.int32)
         bucket[places] = fresh
         reach += step
     return bucket
 
 
 class Block:
-    """The documents of one block as bytes, in an order that every step finds again."""
+    """The documents of one block as bytes, in an order that every step finds again.
+
+    ``whole``: documents whose text a smaller document has as well.  They lose everything, and what they hold is looked
+    up through that document, so no step needs their bytes.
+    """
 
     def __init__(self, rows: pd.DataFrame, window: int):
-        self.rows = rows.sort_values(["d", "t"], kind="stable").reset_index(drop=True)
+        self.rows = rows.sort_values(["t", "d", "text"], kind="stable").reset_index(drop=True)
+        self.window = window
+        self.d = self.rows["d"].to_numpy(np.int64)
+        first = self.rows.groupby("text", sort=False)["d"].transform("min").to_numpy(np.int64)
+        self.whole = self.rows["copied"].to_numpy(bool) | (self.d > first)
         texts = [x.encode() for x in self.rows["text"]]
-        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.d = self.rows["d"].to_numpy(np.int64)
-        self.window = window
 
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Units (windows l to r in ``data``, anchor, document), and the place hashes they were found by."""
         hashes = _BYTE_HASH[self.data]
         # the line end after each text belongs to none: windows over it are dropped
-        bounds = np.append(self.begins, len(self.data))
-        l, r, anchor = units(hashes, bounds, self.window, GRAM)  # noqa: E741
+        l, r, anchor = units(hashes, np.append(self.begins, len(self.data)), self.window, GRAM)  # noqa: E741
         doc = np.searchsorted(self.begins, l, side="right") - 1
         r = np.minimum(r, self.begins[doc] + self.sizes[doc] - self.window)
-        good = l <= r
+        good = (l <= r) & ~self.whole[doc]
         return l[good], r[good], anchor[good], doc[good], hashes
 
+    def lost(self, doc: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
+        """The bytes of the windows l to r of the documents, and those of the documents that lose everything."""
+        gone = np.flatnonzero(self.whole & (self.sizes >= self.window))
+        begin = np.concatenate([self.begins[doc] + l, self.begins[gone]])
+        end = np.concatenate([self.begins[doc] + r, self.begins[gone] + self.sizes[gone] - self.window])
+        return covered(len(self.data), begin, end, self.window)
+
 
 def snippets(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of ``size`` bytes from ``begin``, one after the other, and where each begins and ends in that."""
@@ -198,7 +210,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             m = sent[cut[i] : cut[i + 1]]
             if len(m):
                 some = snippets(text, begin[m], end[m] - begin[m])[0].tobytes()
-                out.append((i, rows["block"].iat[0], rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zlib.compress(some, 1)))
+                out.append((i, rows["block"].iat[0], rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zstandard.compress(some, 1)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
 
     def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +220,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
         if len(rows):
             block = np.repeat(rows["block"].to_numpy(), rows["doc"].map(len))
             anchor, doc, l, n, d = (np.concatenate(list(rows[c])) for c in ("anchor", "doc", "l", "n", "d"))  # noqa: E741
-            data = np.frombuffer(b"".join(zlib.decompress(x) for x in rows["data"]), np.uint8)
+            data = np.frombuffer(b"".join(zstandard.decompress(x) for x in rows["data"]), np.uint8)
             size = n.astype(np.int64) + window - 1
             end = np.cumsum(size)
             hit, low, high = repeats_in_range(data, end - size, end, anchor, d, n, window)
@@ -250,11 +262,12 @@ def repeats_in_range(
     mixed = np.flatnonzero(np.bincount(which)[which] > 1)
     if len(mixed):
         rep = order[starts[mixed]]
-        bucket = refine_buckets(data, begin[rep], end[rep], window)
+        some, first, last = snippets(data, begin[rep], end[rep] - begin[rep])
+        bucket = refine_buckets(some, first, last, window)
         count = n[rep].astype(np.int64)
         inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         owner = np.repeat(np.arange(len(rep)), count)
-        b = bucket[begin[rep][owner] + inner]
+        b = bucket[first[owner] + inner]
         smallest = np.full(int(b.max()) + 1, LAST, np.int64)
         np.minimum.at(smallest, b, d[rep][owner])
         lost = smallest[b] < d[rep][owner]
@@ -292,6 +305,7 @@ def remove_repeated_strings(
     range_bytes: int = RANGE_BYTES,
     hot_blocks: int = 256,
     characters: bool = False,
+    copies: int = BLOCK_COPIES,
 ) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes), one row for each of its rows.
 
@@ -311,14 +325,25 @@ def remove_repeated_strings(
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, ranges = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("d", "t"), F.lit(blocks)).cast("int"))
+    # equal texts meet in a block; of a text with very many copies, as many blocks as it takes
+    many = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("d").alias("lo")).where(F.col("copies") > copies), "many-copies")
+    rows = rows.join(many, "t", "left")
+    salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("d"), F.ceil(F.col("copies") / copies))).otherwise(0)
+    rows = rows.select(
+        "doc_id",
+        "text",
+        "others",
+        "d",
+        "t",
+        F.coalesce(F.col("d") > F.col("lo"), F.lit(False)).alias("copied"),
+        F.pmod(F.xxhash64("t", salt), F.lit(blocks)).cast("int").alias("block"),
+    )
     found = repeated_strings(rows, blocks, ranges, window, hot_blocks)
 
     def cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         block = Block(rows, window)
         doc, l, r = (np.concatenate([np.zeros(0, np.int64), *found[c]]).astype(np.int64) for c in ("doc", "l", "r"))  # noqa: E741
-        begin = block.begins[doc]
-        lost = covered(len(block.data), begin + l, begin + r, window)
+        lost = block.lost(doc, l, r)
         if characters:
             lost = whole_characters(block.data, lost)
         edge = np.flatnonzero(lost & ~np.concatenate([[False], lost[:-1]]))
