@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import delete_path, null_to_empty, shared_path, table, written
 from .shared_windows import content_hashes, covered, units
-from .word_hashes import mix, text_slices, window_hashes, words_of
+from .word_hashes import BASE, mix, text_slices, window_hashes, words_of
 
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 LAST = (1 << 63) - 1
@@ -41,11 +41,10 @@ class FingerprintIndex:
         return self.spark.read.schema("anchor long, many boolean").parquet(path)
 
     def add(self, anchors: DataFrame) -> DataFrame:
-        """Take in a batch (``anchor``, ``d``); returns the anchors it shares with the history or within itself."""
+        """Take in a batch (``anchor``, once for each document); returns the anchors it shares with the history or within itself."""
         if len(self.runs) > self.max_runs:
             self.compact()
-        several = F.min("d") < F.max("d")
-        path = self.write(anchors.groupBy("anchor").agg(several.alias("many")))
+        path = self.write(anchors.groupBy("anchor").agg((F.count("*") > 1).alias("many")))
         batch = self.read(path)
         found = [batch.where("many").select("anchor")]
         for run in self.runs:
@@ -68,7 +67,10 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def window_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``d``, ``t`` and ``units``: for each unit its anchor, 128-bit content hash, first and last window."""
+    """A row for each unit: ``d``, ``t``, its anchor, 128-bit content hash, first and last window.
+
+    ``first``: no unit before it in the document has its anchor.
+    """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,6 +82,8 @@ def window_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     continue
                 u = [content_hashes(hashes, l, r, window, s).view(np.int64) for s in SEEDS]
                 owner = np.searchsorted(bounds, l, side="right") - 1
+                first = np.zeros(len(l), bool)
+                first[np.unique(anchor + owner.astype(np.uint64) * BASE, return_index=True)[1]] = True
                 yield pd.DataFrame(
                     {
                         "d": batch["d"].to_numpy()[i:j][owner],
@@ -89,10 +93,11 @@ def window_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
                         "u2": u[1],
                         "l": (l - bounds[owner]).astype(np.int32),
                         "r": (r - bounds[owner]).astype(np.int32),
+                        "first": first,
                     }
                 )
 
-    return docs.select("text", "d", "t").mapInPandas(make, "d long, t long, anchor long, u1 long, u2 long, l int, r int")
+    return docs.select("text", "d", "t").mapInPandas(make, "d long, t long, anchor long, u1 long, u2 long, l int, r int, first boolean")
 
 
 def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
@@ -111,7 +116,7 @@ def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame
     return joined.mapInPandas(make, "d long, t long, w1 long, w2 long, l int")
 
 
-def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 1) -> DataFrame:
+def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 8, max_runs: int = 1) -> DataFrame:
     """``d``, ``t``, ``l``, ``r``: the windows l to r of the document also start in one with a smaller ``d``.
 
     ``docs`` as ``keyed`` makes it.  It is taken in as ``batches`` batches by rising id, as they would arrive.
@@ -125,9 +130,9 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
     for low, high in zip(edges, edges[1:], strict=False):
         batch = every if low is None else every.where(F.col("d") > low)
         batch = batch if high is None else batch.where(F.col("d") <= high)
-        shared.append(index.add(batch.select("anchor", "d")))
+        shared.append(index.add(batch.where("first").select("anchor")))
     anchors = reduce(DataFrame.union, shared).distinct()
-    some = written(every.join(anchors, "anchor", "left_semi"), "shared-units")
+    some = written(every.drop("first").join(anchors, "anchor", "left_semi"), "shared-units")
     first = some.groupBy("u1", "u2").agg(F.min("d").alias("lo"))
     several = some.groupBy("anchor").agg(F.min("u1").alias("a"), F.max("u1").alias("b")).where("a <> b").select("anchor")
     matched = some.join(first, ["u1", "u2"])
@@ -140,7 +145,7 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
     return whole.union(single)
 
 
-def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 10, max_runs: int = 1) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 8, max_runs: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by one space).
 
     Words of windows of ``window`` words that also start in a document with a smaller id are removed; all windows are
