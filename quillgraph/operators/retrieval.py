@@ -153,3 +153,15 @@ def discovery(notes: DataFrame, degree: DataFrame, k: int = 8) -> DataFrame:
         out = few if out is None else out.union(few)
     first = out.groupBy("note_id").agg(F.min(F.struct("pos", "kind", "score")).alias("f")).select("note_id", "f.*")
     return first.orderBy("pos").limit(max(k, 8)).withColumn("pos", F.row_number().over(Window.orderBy("pos")))
+
+
+def resolve_endpoints(notes: DataFrame, queries: list[str]) -> DataFrame:
+    """``query``, ``note_id``, ``resolved_by``: a note of that id, else the first (by id) whose title holds the query, in any case.
+
+    The queries are a short list from the caller; they are tested together in one scan.
+    """
+    asked = F.explode(F.array(*map(F.lit, queries))).alias("query")
+    how = F.when(F.col("note_id") == F.col("query"), 0).when(F.lower("title").contains(F.lower("query")), 1)
+    hits = notes.select("note_id", "title", asked).withColumn("how", how).where("how IS NOT NULL")
+    best = hits.groupBy("query").agg(F.min(F.struct("how", "note_id")).alias("b"))
+    return best.select("query", "b.note_id", F.when(F.col("b.how") == 0, "exact").otherwise("substring").alias("resolved_by"))
