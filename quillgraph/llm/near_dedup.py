@@ -5,9 +5,10 @@ times, the faster the larger its weight, each to a random register; a register k
 A shingle stops as soon as its next arrival is later than all registers of the text.  Two texts agree in a register
 with their probability Jaccard similarity.  Registers are hashed in bands; texts that share a band are candidates.
 
-Equal texts are one node.  Within a band's bucket, nodes are compared with pivots: one at first, then more for buckets
-whose nodes haven't all come together, in the end all nodes.  Candidates are weeded out by their registers and the rest
-verified by the exact similarity.
+Equal texts are one node.  Within a band's bucket, nodes are compared with a pivot first, then, in buckets whose nodes
+haven't all come together, with some more and in the end with all: pairs of different components only, and not those
+that the shingles which no other node has rule out.  Candidates are weeded out by their registers and the rest verified
+by the exact similarity.
 """
 
 from __future__ import annotations
@@ -163,14 +164,39 @@ def shingle_table(docs: DataFrame) -> DataFrame:
     return docs.select("d", "text").mapInPandas(make, "node long, shingles array<long>, counts array<int>")
 
 
-def pivots(live: DataFrame, per_bucket: int) -> DataFrame:
-    """Up to ``per_bucket`` nodes of each bucket, all of them where the bucket has twice as many at most."""
+def pivots(live: DataFrame, per_bucket: int | None) -> DataFrame:
+    """Up to ``per_bucket`` nodes of each bucket, all of them where it has twice as many at most (or for None)."""
+    every = live.select("bucket", F.col("node").alias("pivot"))
+    if per_bucket is None:
+        return every
     if per_bucket == 1:
         few = live.where("n > 2").groupBy("bucket").agg(F.min("node").alias("pivot"))
     else:
         slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(per_bucket))
         few = live.where(F.col("n") > 2 * per_bucket).groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot")
-    return few.union(live.where(F.col("n") <= 2 * per_bucket).select("bucket", F.col("node").alias("pivot")))
+    return few.union(live.where(F.col("n") <= 2 * per_bucket).select("bucket", "node"))
+
+
+def own_weight(shingles: DataFrame) -> DataFrame:
+    """``node``, ``size`` (shingles), ``weight`` (their counts' sum) and ``own``: the weight of shingles that no other node has."""
+    rows = shingles.select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("node", "x.shingles", "x.counts")
+    single = rows.groupBy("shingles").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("counts").alias("c")).where("n = 1")
+    own = single.groupBy("node").agg(F.sum("c").alias("own"))
+    whole = shingles.select("node", F.size("shingles").alias("size"), F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("weight"))
+    return whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
+def within_reach(a: str, b: str):
+    """Whether two nodes may reach the threshold, whatever they share: what only one of them has bounds their similarity.
+
+    At most the share of weight that isn't a node's own; where all counts are one, at most m / (size + size - m), m being
+    the smaller number of shingles that aren't own.
+    """
+    col = lambda c, side: F.col(f"{side}_{c}")
+    most = F.least(*[col("size", s) - col("own", s) for s in (a, b)])
+    plain = (col("size", a) == col("weight", a)) & (col("size", b) == col("weight", b))
+    by_share = F.greatest(*[col("own", s) / col("weight", s) for s in (a, b)]) <= 1 - THRESHOLD + 1e-9
+    return by_share & (~plain | (most >= THRESHOLD * (col("size", a) + col("size", b) - most) - 1e-9))
 
 
 def relabelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -197,8 +223,9 @@ class Shingles:
     def __init__(self, docs: DataFrame):
         self.docs, self.made = docs, None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The sets of all nodes so far and of those in ``wanted`` (``d``)."""
+        wanted = wanted.distinct()
         if self.made is not None:
             wanted = wanted.join(self.made.select(F.col("node").alias("d")), "d", "left_anti")
         more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles")
@@ -207,7 +234,7 @@ class Shingles:
 
     def judge(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` with ``same``: whether their similarity reaches the threshold."""
-        similar, every = F.pandas_udf(similarity, "double"), self.of(pairs)
+        similar, every = F.pandas_udf(similarity, "double"), self.of(pairs.select(F.explode(F.array("a", "b")).alias("d")))
         for c in "ab":
             pairs = pairs.join(every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("counts").alias(f"n{c}")), c)
         return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged")
@@ -222,12 +249,23 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
     live = written(rows.join(several.select("bucket", "n"), "bucket"), "buckets")
     registers, agree = nodes.select("node", "registers"), F.pandas_udf(agreement, "double")
-    shingles, labels, tried, per_bucket = Shingles(docs), None, None, 1
-    while True:
-        pairs = live.select("bucket", "node").join(pivots(live, per_bucket), "bucket").where("node <> pivot")
+    shingles, labels, tried = Shingles(docs), None, None
+    for per_bucket in (1, 8, None):
+        chosen = pivots(live, per_bucket)
+        if per_bucket == 1:
+            pairs = live.select("bucket", "node").join(chosen, "bucket").where("node <> pivot")
+        else:
+            # only pairs of different components that what they have for themselves doesn't rule out
+            nodes_left = live.select(F.col("node").alias("d")).distinct()
+            sets = shingles.of(nodes_left).join(nodes_left.select(F.col("d").alias("node")), "node", "left_semi").dropDuplicates(["node"])
+            known = own_weight(sets)
+            known = known.withColumn("label", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            known = written(known, "own-weight")
+            side = lambda df, c: df.join(known.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "weight", "own", "label")]), c)
+            apart = (F.col("node") != F.col("pivot")) & (F.col("node_label") != F.col("pivot_label")) & within_reach("node", "pivot")
+            left, right = side(live.select("bucket", "node"), "node"), side(chosen, "pivot").withColumnRenamed("bucket", "_bucket")
+            pairs = left.join(right, (F.col("bucket") == F.col("_bucket")) & apart)
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if labels is not None:
-            pairs = relabelled(pairs, labels).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         for c, name in (("a", "x"), ("b", "y")):
@@ -244,6 +282,8 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
                 judged = shingles.judge(some)
                 tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
                 labels = merged(labels, judged.where("same"))
+        if per_bucket is None:
+            break
         # on with the buckets that are neither of one component nor fully compared
         left = live.where(F.col("n") > 2 * per_bucket)
         if labels is not None:
@@ -252,8 +292,8 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
             left = left.join(apart.select("bucket"), "bucket", "left_semi")
         live = written(left, "buckets")
         if not live.limit(1).count():
-            return labels
-        per_bucket *= 8
+            break
+    return labels
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
