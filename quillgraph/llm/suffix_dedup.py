@@ -29,8 +29,8 @@ from .word_hashes import mix, window_hashes, word_hashes
 GRAM = 20
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)
-BLOCK_BYTES = 2 << 20
-RANGE_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+RANGE_BYTES = 32 << 20
 #: Copies of a text that share a block at most.
 BLOCK_COPIES = 1000
 SENT = "range int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
