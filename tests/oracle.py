@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,7 @@ def plain(value):
         value = value.tolist()
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     return round(value, 6) if isinstance(value, float) else value
 
