@@ -180,9 +180,9 @@ def pivots(live: DataFrame, per_bucket: int | None) -> DataFrame:
 def own_weight(shingles: DataFrame) -> DataFrame:
     """``node``, ``size`` (shingles), ``weight`` (their counts' sum) and ``own``: the weight of shingles that no other node has."""
     rows = shingles.select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("node", "x.shingles", "x.counts")
-    single = rows.groupBy("shingles").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("counts").alias("c")).where("n = 1")
+    single = rows.groupBy("shingles", fewer=4).agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("counts").alias("c")).where("n = 1")
     own = single.groupBy("node").agg(F.sum("c").alias("own"))
-    whole = shingles.select("node", F.size("shingles").alias("size"), F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("weight"))
+    whole = shingles.select("node", F.size("shingles", fewer=4).alias("size"), F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("weight"))
     return whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
 
@@ -214,7 +214,7 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return found
     moved = labels.join(found.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
-    return written(moved.select("node", F.coalesce("to", "label").alias("label")).union(found), "labels")
+    return written(moved.select("node", F.coalesce("to", "label").alias("label")).union(found), "labels", fewer=16)
 
 
 class Shingles:
@@ -228,7 +228,7 @@ class Shingles:
         wanted = wanted.distinct()
         if self.made is not None:
             wanted = wanted.join(self.made.select(F.col("node").alias("d")), "d", "left_anti")
-        more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles")
+        more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles", fewer=4)
         self.made = more if self.made is None else self.made.union(more)
         return self.made
 
@@ -236,8 +236,8 @@ class Shingles:
         """``pairs`` with ``same``: whether their similarity reaches the threshold."""
         similar, every = F.pandas_udf(similarity, "double"), self.of(pairs.select(F.explode(F.array("a", "b")).alias("d")))
         for c in "ab":
-            pairs = pairs.join(every.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"), F.col("counts").alias(f"n{c}")), c)
-        return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged")
+            pairs = pairs.join(every.select(F.col("node").alias(c), F.col("shingles", fewer=4).alias(f"s{c}"), F.col("counts").alias(f"n{c}")), c)
+        return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged", fewer=16)
 
 
 def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -247,7 +247,7 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
-    live = written(rows.join(several.select("bucket", "n"), "bucket"), "buckets")
+    live = written(rows.join(several.select("bucket", "n"), "bucket"), "buckets", fewer=4)
     registers, agree = nodes.select("node", "registers"), F.pandas_udf(agreement, "double")
     shingles, labels, tried = Shingles(docs), None, None
     for per_bucket in (1, 8, None):
@@ -260,7 +260,7 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
             sets = shingles.of(nodes_left).join(nodes_left.select(F.col("d").alias("node")), "node", "left_semi").dropDuplicates(["node"])
             known = own_weight(sets)
             known = known.withColumn("label", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            known = written(known, "own-weight")
+            known = written(known, "own-weight", fewer=8)
             side = lambda df, c: df.join(known.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "weight", "own", "label")]), c)
             apart = (F.col("node") != F.col("pivot")) & (F.col("node_label") != F.col("pivot_label")) & within_reach("node", "pivot")
             left, right = side(live.select("bucket", "node"), "node"), side(chosen, "pivot").withColumnRenamed("bucket", "_bucket")
@@ -270,14 +270,14 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         for c, name in (("a", "x"), ("b", "y")):
             pairs = pairs.join(registers.select(F.col("node").alias(c), F.col("registers").alias(name)), c)
-        close = written(pairs.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates")
+        close = written(pairs.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates", fewer=16)
         # most candidates of a group lead to one node: one for each node is verified first, then what that left apart
         for first in (True, False) if per_bucket == 1 else (False,):
             some = close.groupBy("a").agg(F.min("b").alias("b")).select("a", "b") if first else close
             some = relabelled(some.distinct(), labels)
             if not first and tried is not None:
                 some = some.join(tried, ["a", "b"], "left_anti")
-            some = written(some, "verify")
+            some = written(some, "verify", fewer=16)
             if some.limit(1).count():
                 judged = shingles.judge(some)
                 tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
@@ -290,7 +290,7 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
             named = left.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
             apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
             left = left.join(apart.select("bucket"), "bucket", "left_semi")
-        live = written(left, "buckets")
+        live = written(left, "buckets", fewer=4)
         if not live.limit(1).count():
             break
     return labels
@@ -310,10 +310,10 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     sketch = written(sketches(keyed), "sketches")
     # one node for equal texts: that of the smallest id
     same = sketch.groupBy("t1", "t2").agg(F.min(F.struct("d", "bands", "registers")).alias("s"))
-    same = written(same.select("t1", "t2", F.col("s.d").alias("node"), "s.bands", "s.registers"), "distinct-sketches")
+    same = written(same.select("t1", "t2", F.col("s.d").alias("node"), "s.bands", "s.registers"), "distinct-sketches", fewer=4)
     labels = links_between(same.where(F.size("bands") > 0).select("node", "bands", "registers"), rows.where("d IS NOT NULL"))
     of = sketch.select("d", "t1", "t2").join(same.select("t1", "t2", "node"), ["t1", "t2"]).groupBy("d").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-    of = written(of, "nodes")
+    of = written(of, "nodes", fewer=4)
     # ids with several texts tie their nodes together
     ties = of.where("node < other").select(F.col("node").alias("q"), F.col("other").alias("p"))
     if ties.limit(1).count():

@@ -50,7 +50,7 @@ class FingerprintIndex:
         for run in self.runs:
             found.append(batch.select("anchor").hint("merge").join(self.read(run).select("anchor"), "anchor", "left_semi"))
         self.runs.append(path)
-        return written(reduce(DataFrame.union, found).distinct(), "shared-anchors")
+        return written(reduce(DataFrame.union, found).distinct(), "shared-anchors", fewer=4)
 
     def compact(self) -> None:
         """Merge all runs into one and delete them."""
@@ -132,7 +132,7 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
         batch = batch if high is None else batch.where(F.col("d") <= high)
         shared.append(index.add(batch.where("first").select("anchor")))
     anchors = reduce(DataFrame.union, shared).distinct()
-    some = written(every.drop("first").join(anchors, "anchor", "left_semi"), "shared-units")
+    some = written(every.drop("first").join(anchors, "anchor", "left_semi"), "shared-units", fewer=2)
     first = some.groupBy("u1", "u2").agg(F.min("d").alias("lo"))
     several = some.groupBy("anchor").agg(F.min("u1").alias("a"), F.max("u1").alias("b")).where("a <> b").select("anchor")
     matched = some.join(first, ["u1", "u2"])

@@ -326,7 +326,7 @@ def remove_repeated_strings(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, ranges = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
     # equal texts meet in a block; of a text with very many copies, as many blocks as it takes
-    many = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("d").alias("lo")).where(F.col("copies") > copies), "many-copies")
+    many = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("d").alias("lo")).where(F.col("copies") > copies), "many-copies", fewer=16)
     rows = rows.join(many, "t", "left")
     salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("d"), F.ceil(F.col("copies") / copies))).otherwise(0)
     rows = rows.select(
