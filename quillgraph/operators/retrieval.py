@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -93,20 +96,33 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 2000) -> Da
     return sent.groupBy("p", "q").applyInPandas(multiply, "a long, b long, sim double")
 
 
+def query_words(query: str) -> list[str]:
+    """The distinct normalized words of a query."""
+    found = (re.sub("[^a-z0-9]+", "_", w).strip("_") for w in query.lower().split())
+    return [w for w in dict.fromkeys(found) if w]
+
+
+def shared_words(text: Column, words: list[str]) -> Column:
+    """How many of ``words`` are normalized words of a text; one pattern each, without taking the text apart."""
+    edge, inner = r"[^a-z0-9\s]*", r"[^a-z0-9\s]+"
+    lower = F.lower(text)
+    hits = [lower.rlike(rf"(?:^|\s){edge}{inner.join(w.split('_'))}{edge}(?:\s|$)").cast("int") for w in words]
+    return reduce(add, hits, F.lit(0))
+
+
 def keyword_topk(notes: DataFrame, query: str, k: int = 8) -> DataFrame:
     """``note_id``, ``score`` of the best notes by shared words, scaled to the best.
 
     ``notes``: note_id, title, tags (array), path, body, note_type.  A word shared with the title counts 0.4, with the
     tags 0.3, with the path 0.2, with the body 0.05 (0.3 in all at most).  Ties by id.
     """
-    q = tokens(F.lit(query))
-    shared = lambda c: F.size(F.array_intersect(c, q))
+    words = query_words(query)
     path = F.regexp_replace("path", r"[/.]+", " ")
     raw = (
-        0.4 * shared(tokens(F.col("title")))
-        + 0.3 * shared(F.col("tags"))
-        + 0.2 * shared(tokens(path))
-        + F.least(0.05 * shared(tokens(F.col("body"))), F.lit(0.3))
+        0.4 * shared_words(F.col("title"), words)
+        + 0.3 * F.size(F.array_intersect("tags", F.array(*map(F.lit, words)).cast("array<string>")))
+        + 0.2 * shared_words(path, words)
+        + F.least(0.05 * shared_words(F.col("body"), words), F.lit(0.3))
     )
     scored = notes.where("note_type <> 'index'").select("note_id", raw.alias("raw")).where("raw > 0")
     best = scored.orderBy(F.desc(F.round("raw", 9)), "note_id").limit(k)
