@@ -185,7 +185,11 @@ def bpe_decode(df: DataFrame, ids: str = "ids", tokenizer_path: str | None = Non
 
 
 def bpe_digests(docs: DataFrame, text: str = "text", tokenizer_path: str | None = None) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: the same codec, without moving ids out of the tasks."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: the same codec, without moving ids out of the tasks.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
     source = tokenizer_source(docs.sparkSession, tokenizer_path)
 
     @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
