@@ -108,3 +108,12 @@ def excerpt(text: Column, size: int = 1200) -> Column:
     whole = strip(text)
     cut = F.concat(F.regexp_replace(F.substring(whole, 1, size), r"\s+$", ""), F.lit("\n..."))
     return F.when(F.length(whole) <= size, whole).otherwise(cut)
+
+
+def build_front(fields: dict[str, Column], lists: dict[str, Column] | None = None) -> Column:
+    """A frontmatter block: a line for each field, then lists as indented items; null ones are left out."""
+    lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields.items()]
+    for k, v in (lists or {}).items():
+        items = F.array_join(F.transform(v, lambda x: F.concat(F.lit("\n    - "), x)), "")
+        lines.append(F.when(F.size(v) > 0, F.concat(F.lit(f"{k}:"), items)))
+    return F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n---\n"))

@@ -119,3 +119,17 @@ def registry_diff(new: DataFrame, current: DataFrame, key: str = "workspace") ->
     """``workspace``, ``change``: added (only in ``new``) or removed (only in ``current``)."""
     added = new.select(key).join(current.select(key), key, "left_anti").withColumn("change", F.lit("added"))
     return added.union(current.select(key).join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def schedule(jobs: DataFrame) -> DataFrame:
+    """``jobs`` (job_id, workspace, ts, seconds) with ``started`` and ``ended``: one after the other within a workspace.
+
+    A job starts when it is asked for or when the one before it ends.  Unrolled, its end is the largest, over the jobs up
+    to it, of that job's time plus all work from there on: a running sum and a running maximum.
+    """
+    order = Window.partitionBy("workspace").orderBy("ts", "job_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    work = jobs.withColumn("_sum", F.sum(F.col("seconds") * 1_000_000).over(order)).withColumn("_free", at - F.col("_sum") + F.col("seconds") * 1_000_000)
+    ended = F.col("_sum") + F.max("_free").over(order)
+    done = work.withColumn("ended", ended).withColumn("started", F.col("ended") - F.col("seconds") * 1_000_000)
+    return done.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("started", "ended")}).drop("_sum", "_free")

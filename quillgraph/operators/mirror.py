@@ -257,3 +257,59 @@ def file_notes(table: DataFrame, files: DataFrame, language: str, workspace: str
     body = F.concat(head, *[F.coalesce(F.col(t), F.lit("")) for t in ("Exports", "Imports", "Calls", "Called by")])
     folder = F.when(F.col("path").contains("/"), F.concat(dir_name(F.col("path")), F.lit("/"))).otherwise("")
     return out.select(F.concat(folder, mirror_stem(F.col("path"), language), F.lit(".md")).alias("note_path"), body.alias("note"))
+
+
+def base_classes(table: DataFrame) -> DataFrame:
+    """``path``, ``name``, ``base``, ``base_path``: bases of Python classes that another file exports (the first by path)."""
+    bases = F.split(F.regexp_extract("detail", r"^class\s+\w+\s*\(([^)]*)\)", 1), r"\s*,\s*")
+    rows = table.where("role = 'class'").select("path", "name", F.explode(F.transform(bases, lambda b: F.regexp_replace(F.trim(b), r"^.*\.", ""))).alias("base"))
+    owner = table.where("exported AND role = 'class'").select(F.col("path").alias("base_path"), F.col("name").alias("base"))
+    found = rows.where("base <> ''").join(owner, "base").where("path <> base_path")
+    return found.groupBy("path", "name", "base").agg(F.min("base_path").alias("base_path"))
+
+
+def public_api(table: DataFrame) -> DataFrame:
+    """Exported Python symbols (path, name) that some package file (``__init__.py``) imports by name or by ``*``."""
+    exports = table.where("exported AND role <> 'import'").select("path", "name", F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("module"))
+    taken = table.where((F.col("role") == "import") & F.col("path").endswith("__init__.py")).select(F.col("name").alias("taken"), F.regexp_extract("detail", r"([^.]*)$", 1).alias("module"))
+    by_name = exports.join(taken.where("taken <> '*'").select("module", F.col("taken").alias("name")).distinct(), ["module", "name"], "left_semi")
+    by_star = exports.join(taken.where("taken = '*'").select("module").distinct(), "module", "left_semi")
+    return by_name.select("path", "name").union(by_star.select("path", "name")).distinct()
+
+
+def symbol_notes(table: DataFrame, language: str, workspace: str) -> DataFrame:
+    """``note_path``, ``note``: a note for each exported symbol, with what it calls and what calls it."""
+    calls = call_graph(table)
+    folder = lambda p: F.concat(F.when(p.contains("/"), F.concat(dir_name(p), F.lit("/"))).otherwise(""), mirror_stem(p, language))
+    link = lambda p, n: F.concat(F.lit(f"- [[code/{workspace}/"), folder(p), F.lit("/"), n, F.lit("]]"))
+    lines = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "\n")
+    out = calls.groupBy("path", F.col("caller").alias("name")).agg(lines(link(F.col("callee_path"), F.col("name"))).alias("calls"))
+    into = calls.groupBy(F.col("callee_path").alias("path"), "name").agg(lines(link(F.col("path"), F.col("caller"))).alias("called"))
+    rows = table.where("exported AND role <> 'import'").dropDuplicates(["path", "name"]).join(out, ["path", "name"], "left").join(into, ["path", "name"], "left")
+    head = F.concat(F.lit(f"---\ntype: codeSymbol\ntier: 1\nworkspace: {workspace}\nparentFile: "), folder(F.col("path")), F.lit("\nsymbolKind: "), "role", F.lit("\n---\n# "), "name", F.lit("\n\n`"), F.substring("detail", 1, 10_000), F.lit("`\n"))
+    part = lambda t, c: F.coalesce(F.concat(F.lit(f"\n## {t}\n"), F.col(c), F.lit("\n")), F.lit(""))
+    return rows.select(F.concat(folder(F.col("path")), F.lit("/"), "name", F.lit(".md")).alias("note_path"), F.concat(head, part("Calls Into", "calls"), part("Called By", "called")).alias("note"))
+
+
+def module_notes(files: DataFrame, language: str, workspace: str) -> DataFrame:
+    """``note_path``, ``note``: a note for each folder, with its files and the folders right below it."""
+    below = files_by_folder(files)
+    own = below.where(F.col("dir") == dir_name(F.col("path"))).groupBy("dir").agg(F.array_sort(F.collect_set(mirror_stem(F.col("path"), language))).alias("files"))
+    dirs = below.select("dir").distinct()
+    kids = dirs.where(F.col("dir").contains("/")).groupBy(dir_name(F.col("dir")).alias("up")).agg(F.array_sort(F.collect_set(base_name(F.col("dir")))).alias("kids"))
+    rows = dirs.join(own, "dir", "left").join(kids.withColumnRenamed("up", "dir"), "dir", "left")
+    listed = lambda t, c, tail: F.coalesce(F.concat(F.lit(f"\n## {t}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit(f"- [[code/{workspace}/"), "dir", F.lit("/"), x, F.lit(tail + "]]"))), "\n"), F.lit("\n")), F.lit(""))
+    head = F.concat(F.lit(f"---\ntype: codeModule\ntier: 3\nworkspace: {workspace}\npath: "), "dir", F.lit("\n---\n# "), "dir", F.lit("\n"))
+    return rows.select(F.concat("dir", F.lit("/_module.md")).alias("note_path"), F.concat(head, listed("Files", F.col("files"), ""), listed("Folders", F.col("kids"), "/_module")).alias("note"))
+
+
+def keep_summary(new: Column, old: Column) -> Column:
+    """A new note with the summary of the old one: everything from its first summary heading."""
+    summary = F.regexp_extract(F.coalesce(old, F.lit("")), r"(?s)(\n## Summary.*)$", 1)
+    return F.concat(F.regexp_replace(new, r"\s+$", ""), F.lit("\n"), summary)
+
+
+def to_mirror(sources: DataFrame, mirrors: DataFrame, force: bool = False) -> DataFrame:
+    """Sources (path, mtime) without a mirror (path, mtime) at least as new; all with ``force``."""
+    fresh = mirrors.select("path", F.col("mtime").alias("mirrored"))
+    return sources.join(fresh, "path", "left").where(F.lit(force) | F.col("mirrored").isNull() | (F.col("mirrored") < F.col("mtime"))).select(*sources.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.functions.routing import BROAD_TERMS, DISCOVER_PHRASES, FILLER, query_mode
-from quillgraph.operators import clusters, events, graph, incremental, links, mirror, render, retrieval, summaries
+from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, render, retrieval, summaries
 
 from . import fixtures as X
 from .fixtures import LABEL_RANK_SQL, NOTES_SQL, PUSHES_SQL, STAR_EDGES_SQL, STAR_NOTES_SQL, table
@@ -631,6 +631,22 @@ def job_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.distinct_jobs(requests).select("request_id", "job_id")
 
 
+@register(
+    f"""
+WITH {PUSHES_SQL}, j AS (
+  SELECT event_id AS job_id, workspace, epoch_us(ts) AS asked, (event_id % 900) * 10000000 AS work FROM pushes
+), s AS (
+  SELECT *, sum(work) OVER w AS total FROM j WINDOW w AS (PARTITION BY workspace ORDER BY asked, job_id)
+), e AS (
+  SELECT job_id, workspace, work, total + max(asked - total + work) OVER (PARTITION BY workspace ORDER BY asked, job_id) AS ended FROM s
+)
+SELECT job_id, workspace, make_timestamp((ended - work)::BIGINT) AS started, make_timestamp(ended::BIGINT) AS ended FROM e"""
+)
+def job_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = X.pushes(spark, sf_dir).select(F.col("event_id").alias("job_id"), "workspace", "ts", (F.col("event_id") % 900 * 10).alias("seconds"))
+    return events.schedule(jobs).select("job_id", "workspace", "started", "ended")
+
+
 @register("SELECT event_id, user_id, round(value, 3) AS score FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def activity_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.ring(table(spark, sf_dir, "events").select("event_id", "user_id", "value", "ts"), 50, ["ts", "event_id"])
@@ -745,9 +761,29 @@ def module_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.files_by_folder(paths).groupBy("dir").agg(F.count("*").alias("n_files"))
 
 
+@register("SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'n: ' || n_chars || chr(10) ELSE '' END || 'tags:' || chr(10) || '    - ' || lang || chr(10) || '    - ' || source || chr(10) || '---' || chr(10) AS front FROM documents")
+def frontmatter_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"lang": F.col("lang"), "n": F.when(F.col("doc_id") % 2 == 0, F.col("n_chars"))}
+    return table(spark, sf_dir, "documents").select("doc_id", T.build_front(fields, {"tags": F.array("lang", "source")}).alias("front"))
+
+
+@register("SELECT doc_id::VARCHAR AS path, doc_id % 5 AS mtime FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 > doc_id % 4")
+def stale_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id")
+    sources = d.select("path", (F.col("doc_id") % 5).alias("mtime"))
+    return mirror.to_mirror(sources, d.where("doc_id % 3 <> 0").select("path", (F.col("doc_id") % 4).alias("mtime")))
+
+
 # ---- answers
 
 
+@register()
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds for a text query over embedded chunks of all notes."""
+    n = X.notes(spark, sf_dir).withColumn("note_id", F.col("note_id").cast("string"))
+    return embedding.hybrid_seeds(n, embedding.chunk_table(n), "the thing and of it en").withColumn("score", rounded("score"))
+
+
 @register()
 def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered answer for the notes nearest to vector 0."""

@@ -245,3 +245,28 @@ def test_keyword_ties_and_scale(spark):
     notes = spark.createDataFrame(rows, "note_id string, title string, tags array<string>, path string, body string, note_type string")
     got = [(r.note_id, round(r.score, 6)) for r in retrieval.keyword_topk(notes, "Alpha beta", 5).collect()]
     assert sorted(got) == [("a", 1.0), ("b", 1.0)]
+
+
+def test_symbol_and_module_notes(spark):
+    rows = [("p/a.py", PY.replace("class K:", "class K(u.Base):")), ("p/util.py", "class Base:\n    pass\n\n\ndef helper(x):\n    return x\n"), ("p/__init__.py", "from .util import helper\nfrom .a import *\n"), ("p/q/z.py", "")]
+    src = spark.createDataFrame(rows, "path string, source string")
+    table = mirror.symbols(src, "py").cache()
+    assert [tuple(r) for r in mirror.base_classes(table).collect()] == [("p/a.py", "K", "Base", "p/util.py")]
+    assert {tuple(r) for r in mirror.public_api(table).collect()} == {("p/util.py", "helper"), ("p/a.py", "run")}
+    notes = {r.note_path: r.note for r in mirror.symbol_notes(table, "py", "w").collect()}
+    assert set(notes) == {"p/a/run.md", "p/util/Base.md", "p/util/helper.md"}
+    assert "## Calls Into\n- [[code/w/p/util/helper]]" in notes["p/a/run.md"] and "## Called By\n- [[code/w/p/a/run]]" in notes["p/util/helper.md"]
+    folders = {r.note_path: r.note for r in mirror.module_notes(src, "py", "w").collect()}
+    assert set(folders) == {"p/_module.md", "p/q/_module.md"} and "[[code/w/p/q/_module]]" in folders["p/_module.md"] and "[[code/w/p/p-init]]" in folders["p/_module.md"]
+    kept = spark.range(1).select(mirror.keep_summary(F.lit("new\n"), F.lit("old\n## Summary\ntext")).alias("r")).first().r
+    assert kept == "new\n\n## Summary\ntext"
+
+
+def test_embedding_provider(spark):
+    from quillgraph.operators import embedding
+
+    notes = spark.createDataFrame([("w", "a", "a", "alpha beta", "", ["x"], "concept"), ("w", "b", "b", "gamma", "delta " * 400, [], "concept"), ("w", "i", "i", "alpha", "", [], "index")], "workspace string, note_id string, path string, title string, body string, tags array<string>, note_type string")
+    chunks = embedding.chunk_table(notes, size=500, overlap=100)
+    assert {r.chunk_id for r in chunks.where("note_id = 'b'").collect()} >= {"b", "b#chunk1"}
+    got = embedding.hybrid_seeds(notes, chunks, "alpha x", 3).collect()
+    assert got[0].note_id == "a" and "i" not in {r.note_id for r in got}
