@@ -22,9 +22,19 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete what the operators have written to the shared folder so far.  Results not yet stored elsewhere are lost."""
+    while _MADE:
+        delete_path(spark, _MADE.pop())
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
