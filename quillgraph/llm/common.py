@@ -47,13 +47,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str = "table", fewer: int = 1) -> DataFrame:
     """``df`` written once to the shared folder as zstd Parquet and read back: cuts lineage, survives lost executors.
 
-    ``fewer``: write a fraction of the shuffle partitions' number of files, for tables much smaller than the input
-    (every file costs several calls to the file system).
+    ``fewer``: deal the rows out to a fraction of the shuffle partitions' number of files, for tables much smaller than
+    the input (every file costs several calls to the file system).  This is a shuffle, not ``coalesce``: a task that
+    computes many partitions one after the other keeps the sort buffers of their joins until it ends.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     if fewer > 1:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
+        df = df.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

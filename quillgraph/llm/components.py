@@ -24,7 +24,7 @@ def star(edges: DataFrame) -> DataFrame:
 def counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """``edges`` written to the shared folder, with their number and a sum of their hashes, taken while writing."""
     spark, path, seen = edges.sparkSession, shared_path(edges.sparkSession, "links"), Observation()
-    few = edges.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    few = edges.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     few.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
     return spark.read.schema("u long, v long").parquet(path), (seen.get["n"], seen.get["h"])
 
