@@ -30,6 +30,8 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 #: Five standard deviations of the registers' estimate at the threshold.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+#: Ids of texts that are sent to every executor to pick the texts (16 MB); more of them are joined by a shuffle.
+SENT_IDS = 1_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,6 +230,9 @@ class Shingles:
         wanted = wanted.distinct()
         if self.made is not None:
             wanted = wanted.join(self.made.select(F.col("node").alias("d")), "d", "left_anti")
+        wanted = written(wanted, "wanted", fewer=16)
+        if wanted.count() <= SENT_IDS:
+            wanted = F.broadcast(wanted)
         more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles", fewer=4)
         self.made = more if self.made is None else self.made.union(more)
         return self.made
