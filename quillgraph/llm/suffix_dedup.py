@@ -31,6 +31,8 @@ _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
+#: Bytes whose suffixes are sorted at a time.
+SORT_BYTES = 2 << 20
 #: Copies of a text that share a block at most.
 BLOCK_COPIES = 1000
 SENT = "range int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
@@ -241,6 +243,33 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
     return sent.groupBy("range").applyInPandas(find_repeats, FOUND)
 
 
+def repeats_by_anchor(
+    data: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, d: np.ndarray, n: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (unit, and place in it) that a smaller document holds; the units are sorted by anchor.
+
+    Equal windows have equal anchors, so a few anchors at a time (``SORT_BYTES``, one anchor at least) are sorted.
+    """
+    stop = np.concatenate([[0], np.cumsum(end - begin)])
+    units_, places, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(stop, stop[i] + SORT_BYTES, side="right")) - 1)
+        j = int(np.searchsorted(anchor, anchor[j - 1], side="right"))
+        some, first, last = snippets(data, begin[i:j], end[i:j] - begin[i:j])
+        bucket = refine_buckets(some, first, last, window)
+        count = n[i:j]
+        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        owner = np.repeat(np.arange(i, j), count)
+        b = bucket[first[owner - i] + inner]
+        smallest = np.full(int(b.max()) + 1, LAST, np.int64)
+        np.minimum.at(smallest, b, d[owner])
+        lost = smallest[b] < d[owner]
+        units_.append(owner[lost])
+        places.append(inner[lost])
+        i = j
+    return np.concatenate(units_), np.concatenate(places)
+
+
 def repeats_in_range(
     data: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor: np.ndarray, d: np.ndarray, n: np.ndarray, window: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,17 +291,8 @@ def repeats_in_range(
     mixed = np.flatnonzero(np.bincount(which)[which] > 1)
     if len(mixed):
         rep = order[starts[mixed]]
-        some, first, last = snippets(data, begin[rep], end[rep] - begin[rep])
-        bucket = refine_buckets(some, first, last, window)
-        count = n[rep].astype(np.int64)
-        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        owner = np.repeat(np.arange(len(rep)), count)
-        b = bucket[first[owner] + inner]
-        smallest = np.full(int(b.max()) + 1, LAST, np.int64)
-        np.minimum.at(smallest, b, d[rep][owner])
-        lost = smallest[b] < d[rep][owner]
+        owner, inner = repeats_by_anchor(data, begin[rep], end[rep], a[starts[mixed]], d[rep], n[rep].astype(np.int64), window)
         # every unit of that content in that document has lost them
-        owner, inner = owner[lost], inner[lost]
         same = order[d[order] == lowest[group]]
         group_of = np.empty(len(order), np.int64)
         group_of[order] = group
