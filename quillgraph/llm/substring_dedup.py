@@ -112,7 +112,8 @@ def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame
                 at = np.concatenate([np.arange(x["l"], x["r"] + 1) for x in ranges])
                 yield pd.DataFrame({"d": d, "t": t, "w1": full[0][at], "w2": full[1][at], "l": at.astype(np.int32)})
 
-    joined = docs.join(lists, ["d", "t"]).select("d", "t", "text", "ranges")
+    # with all columns of ``docs``, so that this and the last join share one exchange of the texts
+    joined = docs.join(lists, ["d", "t"]).select(*docs.columns, "ranges")
     return joined.mapInPandas(make, "d long, t long, w1 long, w2 long, l int")
 
 
