@@ -242,6 +242,19 @@ def test_decontamination(spark, documents, docs, empty):
     assert decontamination.with_hits(docs, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_decontamination_folds_case_and_punctuation(spark):
+    item = "Straße über la ción, qu'il a dit: x1 of the and (dé) no más que un solo paso."
+    loud = " - ".join(item.upper().split()).replace("PASO", "PASO!!")
+    rows = [(1, "one two " + loud + " three"), (2, item), (3, "nothing of it"), (4, "?! a ... b"), (5, None), (6, "w " * 700_000 + loud)]
+    bench = spark.createDataFrame([(1, item), (2, "?! a"), (3, "... ?!"), (4, "?!")], "item_id long, text string")
+    out = decontamination.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = {(r.doc_id, h.item_id): (h.start, h.words, h.similarity) for r in out.collect() for h in r.hits}
+    n = len(item.split())
+    assert got.pop((1, 1)) == (2, 2 * n - 1, 1.0) and got.pop((2, 1)) == (0, n, 1.0) and got.pop((6, 1)) == (700_000, 2 * n - 1, 1.0)
+    assert got.pop((4, 4)) == (0, 1, 1.0), "an item of punctuation is compared as it is"
+    assert {k for k in got if k[1] != 2} == set() and got[4, 2] == (1, 1, 1.0)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     hashes = [rng.integers(0, 1 << 63, 20).astype(np.uint64) for _ in range(30)]
