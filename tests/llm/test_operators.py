@@ -255,6 +255,21 @@ def test_decontamination_folds_case_and_punctuation(spark):
     assert {k for k in got if k[1] != 2} == set() and got[4, 2] == (1, 1, 1.0)
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(n, " ".join(words[:n])) for n in range(30, 42)] + [(50, " ".join(words[4:])), (51, " ".join(words[2:20] + ["odd"] + words[21:])), (52, "w0 w1"), (53, "v1 v2 v3")]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "v1 v2 v3 v4"), (3, " ".join(words[:38]))], "item_id long, text string")
+    out = decontamination.with_hits(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = {(r.doc_id, h.item_id): (h.start, h.words, h.similarity) for r in out.collect() for h in r.hits}
+    for n, text in rows:
+        for k, item in ((1, words), (3, words[:38])):
+            if len(text.split()) < len(item):
+                a, b = brute.shingles(text), brute.shingles(" ".join(item))
+                similar = sum((a & b).values()) / sum((a | b).values())
+                assert got.get((n, k)) == ((0, len(text.split()), similar) if similar >= 0.8 else None), (n, k)
+    assert got[37, 1] == (0, 37, 33 / 36) and (33, 1) in got and (32, 1) not in got and (53, 2) not in got
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     hashes = [rng.integers(0, 1 << 63, 20).astype(np.uint64) for _ in range(30)]
