@@ -794,7 +794,10 @@ def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def retrieve_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds for a vector query with their tag boost, and what their graph neighbourhood adds."""
+    """The eight seeds of a vector query with their tag boost, among documents 0 to 99 only; not the whole targeted retrieval.
+
+    Vectors stand for documents by ``vec_id % 100``.  Keyword fallback, graph neighbourhood and paths between seeds are missing.
+    """
     query = F.array(F.lit("en"), F.lit("src1"))
     vector = F.array(*[F.lit(float(x)) for x in first_vector(spark, sf_dir)])
     hits = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("note_id"), V.cosine(V.doubles(F.col("embedding")), vector).alias("score"))

@@ -59,7 +59,7 @@ class KnowledgeSession:
         return counts
 
     def retrieve(self, query: str, k: int = 8) -> list[dict]:
-        """The best notes by keywords."""
+        """The best notes by keywords; without vectors, routing, graph neighbourhood and paths between seeds."""
         top = retrieval.keyword_topk(self.notes, query, k).join(self.notes.select("note_id", "title", "path"), "note_id")
         return [r.asDict() for r in top.orderBy(F.desc("score"), "note_id").collect()]
 
