@@ -40,13 +40,25 @@ def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; numpy's takes up to 10**9 of a kind, above that a binomial of the same mean is split to fit."""
+    """Hypergeometric; numpy's takes up to 10**9 of a kind, above that the law is inverted around its mode.
+
+    Chances relative to the mode's are products of their ratios.  What lies outside ten standard deviations and 60 more
+    is less likely than the random number's last bit.
+    """
     if n == 0 or good == 0:
         return 0
     if max(good, bad) < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    k = int(rng.binomial(n, good / (good + bad)))
-    return min(max(k, n - bad), good)
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 60 + int(10 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5)
+    low, high = max(0, n - bad, mode - reach), min(good, n, mode + reach)
+    k = np.arange(low, high)
+    # chance of k + 1 over that of k
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), len(sums) - 1)
 
 
 def uniform(key: Column, buckets: int) -> Column:

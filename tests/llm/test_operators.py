@@ -371,6 +371,17 @@ def test_matrix_is_uniform():
     assert np.abs(total / 3000 - rows[:, None] / 3).max() < 0.1
 
 
+def test_draw_from_large_populations():
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((10**9, 10**9, 10**9), (2 * 10**9, 6 * 10**9, 7 * 10**9), (3 * 10**9, 40, 2 * 10**9), (50, 2 * 10**9, 10**8)):
+        got = np.array([sharding.draw(rng, good, bad, n) for _ in range(400)], float)
+        total = good + bad
+        want = n * (good / total) * (bad / total) * ((total - n) / (total - 1))
+        assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
+        assert abs(got.mean() - n * (good / total)) < 5 * (want / 400) ** 0.5 and 0.7 < got.var() / want < 1.4, (good, bad, n)
+    assert sharding.draw(rng, 2 * 10**9, 5, 2 * 10**9 + 5) == 2 * 10**9 and sharding.draw(rng, 2 * 10**9, 0, 7) == 7
+
+
 # 10
 
 
