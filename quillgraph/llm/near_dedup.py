@@ -5,10 +5,11 @@ times, the faster the larger its weight, each to a random register; a register k
 A shingle stops as soon as its next arrival is later than all registers of the text.  Two texts agree in a register
 with their probability Jaccard similarity.  Registers are hashed in bands; texts that share a band are candidates.
 
-Equal texts are one node.  Within a band's bucket, nodes are compared with a pivot first, then, in buckets whose nodes
-haven't all come together, with some more and in the end with all: pairs of different components only, and not those
-that the shingles which no other node has rule out.  Candidates are weeded out by their registers and the rest verified
-by the exact similarity.
+Equal texts are one node.  Within a band's bucket, nodes are compared with its most central one first, then, in buckets
+whose nodes haven't all come together, with some more.  What is still apart is compared, in the end, with every node
+that it may be similar to: pairs of different components that share rare shingles, and pairs whose common shingles alone
+may be enough.  So a large group of near copies needs no comparison of all pairs, and no link is lost.  Candidates are
+weeded out by their registers and the rest verified by the exact similarity.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ REGISTERS = BANDS * ROWS
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Ids of texts that are sent to every executor to pick the texts (16 MB); more of them are joined by a shuffle.
 SENT_IDS = 1_000_000
+#: Shingles that at most this share of the nodes of a node's largest bucket have are rare for it.
+RARE = 1 / 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,39 +169,60 @@ def shingle_table(docs: DataFrame) -> DataFrame:
     return docs.select("d", "text").mapInPandas(make, "node long, shingles array<long>, counts array<int>")
 
 
-def pivots(live: DataFrame, per_bucket: int | None) -> DataFrame:
-    """Up to ``per_bucket`` nodes of each bucket, all of them where it has twice as many at most (or for None)."""
-    every = live.select("bucket", F.col("node").alias("pivot"))
-    if per_bucket is None:
-        return every
-    if per_bucket == 1:
-        few = live.where("n > 2").groupBy("bucket").agg(F.min("node").alias("pivot"))
-    else:
-        slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(per_bucket))
-        few = live.where(F.col("n") > 2 * per_bucket).groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot")
+def central_pivots(live: DataFrame, per_bucket: int) -> DataFrame:
+    """Up to ``per_bucket`` nodes of each bucket, all of them where it has twice as many at most.
+
+    Those that meet the most others, over all their buckets, come first: in a group of near copies, that is the one
+    nearest to what they all come from, and the same one in most of the group's buckets.
+    """
+    met = live.groupBy("node").agg(F.sum("n").alias("met"))
+    large = live.where(F.col("n") > 2 * per_bucket).join(met, "node")
+    slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(per_bucket))
+    few = large.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(-F.col("met"), "node")).alias("best")).select("bucket", F.col("best.node").alias("pivot"))
     return few.union(live.where(F.col("n") <= 2 * per_bucket).select("bucket", "node"))
 
 
-def own_weight(shingles: DataFrame) -> DataFrame:
-    """``node``, ``size`` (shingles), ``weight`` (their counts' sum) and ``own``: the weight of shingles that no other node has."""
-    rows = shingles.select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("node", "x.shingles", "x.counts")
-    single = rows.groupBy("shingles").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("counts").alias("c")).where("n = 1")
-    own = single.groupBy("node").agg(F.sum("c").alias("own"))
-    whole = shingles.select("node", F.size("shingles").alias("size"), F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("weight"))
-    return whole.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+def level(n):
+    """The smallest l with n <= 2 ** l."""
+    return F.ceil(F.log2(n)).cast("int")
+
+
+def frequencies(shingles: DataFrame) -> DataFrame:
+    """``node``, ``shingle``, ``count`` and ``nodes``, the number of nodes that have the shingle."""
+    rows = shingles.select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("node", F.col("x.shingles").alias("shingle"), F.col("x.counts").alias("count"))
+    return rows.join(rows.groupBy("shingle").agg(F.count("*").alias("nodes")), "shingle")
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """``node``, ``size`` (its shingles), ``weight`` (their counts' sum), ``alone`` and ``own`` (number and weight of those
+    that no other node has) and ``levels``: number and weight of its shingles by the level of their frequency."""
+    few = rows.groupBy("node", level("nodes").alias("l")).agg(F.count("*").alias("n"), F.sum("count").alias("w"))
+    single = lambda c: F.coalesce(F.sum(F.when(F.col("l") == 0, F.col(c))), F.lit(0))
+    return few.groupBy("node").agg(
+        F.sum("n").alias("size"), F.sum("w").alias("weight"), single("n").alias("alone"), single("w").alias("own"), F.collect_list(F.struct("l", "n", "w")).alias("levels")
+    )
+
+
+def alike_enough(x, cx, y, cy):
+    """Whether two nodes of weights ``x`` and ``y`` may reach the threshold if the weight they share is ``cx`` and ``cy`` at most.
+
+    Probability Jaccard is at most 1 / (1 + a + b), a and b being the weight that a node has for itself, relative to what
+    it shares.  For each shared shingle d with shares r and s of the shared weights, its term is at most 1 / (max(1 / r,
+    1 / s) + a / r + b / s), which is concave and homogeneous in (r, s), so that the sum is at most its value for (1, 1).
+    """
+    return (cx > 0) & (cy > 0) & (x * cy + y * cx <= (1 + 1 / THRESHOLD + 1e-9) * cx * cy)
 
 
 def within_reach(a: str, b: str):
-    """Whether two nodes may reach the threshold, whatever they share: what only one of them has bounds their similarity.
+    """Whether two nodes may reach the threshold, whatever they share of what isn't their own.
 
-    At most the share of weight that isn't a node's own; where all counts are one, at most m / (size + size - m), m being
-    the smaller number of shingles that aren't own.
+    They share as many shingles at most as the one with fewer that aren't its own; each of the others has a count of one
+    at least.
     """
     col = lambda c, side: F.col(f"{side}_{c}")
-    most = F.least(*[col("size", s) - col("own", s) for s in (a, b)])
-    plain = (col("size", a) == col("weight", a)) & (col("size", b) == col("weight", b))
-    by_share = F.greatest(*[col("own", s) / col("weight", s) for s in (a, b)]) <= 1 - THRESHOLD + 1e-9
-    return by_share & (~plain | (most >= THRESHOLD * (col("size", a) + col("size", b) - most) - 1e-9))
+    n = F.least(*[col("size", s) - col("alone", s) for s in (a, b)])
+    x, y = [col("weight", s) - col("own", s) - (col("size", s) - col("alone", s) - n) for s in (a, b)]
+    return alike_enough(col("weight", a), x, col("weight", b), y)
 
 
 def relabelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -245,10 +269,80 @@ class Shingles:
         return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged", fewer=16)
 
 
+def common(side: str, least, what: str):
+    """Number (n) or weight (w) of a node's shingles whose level is over ``least``."""
+    return F.aggregate(f"{side}_levels", F.lit(0).cast("long"), lambda a, x: a + F.when(x["l"] > least, x[what]).otherwise(0))
+
+
+def with_profile(df: DataFrame, known: DataFrame, node: str) -> DataFrame:
+    return df.join(known.select(F.col("node").alias(node), *[F.col(x).alias(f"{node}_{x}") for x in known.columns if x != "node"]), node)
+
+
+def rare_level(live: DataFrame) -> DataFrame:
+    """``node``, ``l``: the level up to which a shingle is rare for the node."""
+    return live.groupBy("node").agg((level(F.max("n") * RARE + 1) - 1).alias("l"))
+
+
+def rare_pairs(rows: DataFrame, live: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of different labels that share rare shingles, and may share enough.
+
+    A shingle is rare for a node if not more nodes have it than ``RARE`` of those in its largest bucket.  A pair's shared
+    shingles are the rare ones that both send out and, at most, all others that the one with fewer of them has.
+    """
+    sent = rows.where("nodes > 1").join(rare_level(live), "node").where(level("nodes") <= F.col("l"))
+    sent = sent.select("shingle", "node", "l", "count").join(known.select("node", "label"), "node")
+    one, other = [sent.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "l", "count")]) for side in "ab"]
+    met = one.join(other, "shingle").where("a_node > b_node AND a_label <> b_label")
+    level_ = F.min(F.least("a_l", "b_l")).alias("l")
+    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("n"), F.sum("a_count").alias("x"), F.sum("b_count").alias("y"), level_)
+    pairs = with_profile(with_profile(pairs, known, "a"), known, "b").where(within_reach("a", "b"))
+    fewer = F.least(common("a", F.col("l"), "n"), common("b", F.col("l"), "n"))
+    x, y = [F.col(shared) + common(side, F.col("l"), "w") - common(side, F.col("l"), "n") + fewer for side, shared in (("a", "x"), ("b", "y"))]
+    return pairs.where(alike_enough(F.col("a_weight"), x, F.col("b_weight"), y)).select("a", "b")
+
+
+def central_pairs(live: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of different labels in one bucket whose common shingles may be enough, without any rare one.
+
+    Common in a bucket is what is rare for none of its nodes.  Let y have no more common shingles than x, n of them, and
+    let rest be the share of its weight that isn't common, relative to what is.  What x has in common beyond n shingles
+    isn't shared either: its size, the weight less 1.25 times what its common shingles weigh over one each, is within y's
+    reach, n * (1.25 - rest).  x stands in one range of sizes, y asks for those it reaches.  Of nodes that mostly repeat
+    shingles sizes say little: they stand by their rest; of a pair, one has 0.125 at most and the other asks for what
+    its own rest leaves of 0.25.
+    """
+    least = live.join(rare_level(live), "node").groupBy("bucket").agg(F.min("l").alias("l"))
+    rows = with_profile(live.join(least, "bucket"), known, "node")
+    kept = [F.col(f"node_{c}").alias(c) for c in ("label", "size", "weight", "alone", "own")]
+    rows = rows.select("bucket", "node", *kept, common("node", F.col("l"), "n").alias("n"), common("node", F.col("l"), "w").alias("w")).where("w > 0")
+    most = 1 / THRESHOLD
+    rows = rows.withColumn("rest", F.try_divide("weight", "w") - 1).where(F.col("rest") <= most - 1 + 1e-9)
+    rows = rows.withColumn("s", F.col("weight") - most * (F.col("w") - F.col("n"))).withColumn("odd", F.col("s") <= 0.5 * F.col("weight"))
+    size_range = lambda x: F.floor(F.log(x) / F.log(F.lit(1.05))).cast("int")
+    rest_range = lambda x: F.floor(x * 100).cast("int")
+
+    def side(df: DataFrame, name: str, key) -> DataFrame:
+        return df.select("bucket", key.alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "bucket"])
+
+    fewer = F.least("x_n", "y_n")
+    shared = [F.col(f"{name}_w") - F.col(f"{name}_n") + fewer for name in "xy"]
+    apart = (F.col("x_label") != F.col("y_label")) & within_reach("x", "y") & alike_enough(F.col("x_weight"), shared[0], F.col("y_weight"), shared[1])
+    plain = rows.where("NOT odd")
+    asked = F.explode(F.sequence(size_range(0.5 * F.col("n")) - 1, size_range(F.col("n") * (most - F.col("rest")) + 1e-6)))
+    by_size = side(plain, "x", size_range(F.col("s"))).join(side(plain, "y", asked), ["bucket", "key"]).where(apart & (F.col("x_n") >= F.col("y_n")))
+    mixed = rows.join(rows.where("odd").select("bucket").distinct(), "bucket", "left_semi")
+    asked = F.explode(F.sequence(F.lit(0), rest_range(F.least(most - 1 - F.col("rest"), F.lit((most - 1) / 2)) + 1e-6)))
+    small = mixed.where(F.col("rest") <= (most - 1) / 2 + 1e-9)
+    by_rest = side(small, "x", rest_range(F.col("rest"))).join(side(mixed, "y", asked), ["bucket", "key"]).where((F.col("x_odd") | F.col("y_odd")) & apart)
+    pairs = by_size.select("x_node", "y_node").union(by_rest.select("x_node", "y_node"))
+    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
 def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """``node``, ``label``: the components of verified links between ``nodes`` (node, bands, registers); ``docs``: d, text.
 
-    None if there are no links.
+    None if there are no links.  Three rounds: each bucket's nodes with its most central one; those still apart with
+    eight; what is left with every node that shares enough rare shingles or may share enough common ones.
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
@@ -256,29 +350,33 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
     registers, agree = nodes.select("node", "registers"), F.pandas_udf(agreement, "double")
     shingles, labels, tried = Shingles(docs), None, None
     for per_bucket in (1, 8, None):
-        chosen = pivots(live, per_bucket)
         if per_bucket == 1:
-            pairs = live.select("bucket", "node").join(chosen, "bucket").where("node <> pivot")
+            pairs = live.select("bucket", "node").join(central_pivots(live, 1), "bucket").where("node <> pivot")
+            pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
         else:
             # only pairs of different components that what they have for themselves doesn't rule out
-            nodes_left = live.select(F.col("node").alias("d")).distinct()
-            sets = shingles.of(nodes_left).join(nodes_left.select(F.col("d").alias("node")), "node", "left_semi").dropDuplicates(["node"])
-            known = own_weight(sets)
+            left = live.select("node").distinct()
+            sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
+            every = frequencies(sets)
+            known = profiles(every)
             known = known.withColumn("label", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            known = written(known, "own-weight", fewer=8)
-            side = lambda df, c: df.join(known.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "weight", "own", "label")]), c)
-            apart = (F.col("node") != F.col("pivot")) & (F.col("node_label") != F.col("pivot_label")) & within_reach("node", "pivot")
-            left, right = side(live.select("bucket", "node"), "node"), side(chosen, "pivot").withColumnRenamed("bucket", "_bucket")
-            pairs = left.join(right, (F.col("bucket") == F.col("_bucket")) & apart)
-        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+            known = written(known, "profiles", fewer=8)
+            if per_bucket is None:
+                pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct()
+            else:
+                few = known.drop("levels")
+                left, right = with_profile(live.select("bucket", "node"), few, "node"), with_profile(central_pivots(live, per_bucket), few, "pivot")
+                pairs = left.join(right, "bucket").where((F.col("node") != F.col("pivot")) & (F.col("node_label") != F.col("pivot_label")) & within_reach("node", "pivot"))
+                pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         for c, name in (("a", "x"), ("b", "y")):
             pairs = pairs.join(registers.select(F.col("node").alias(c), F.col("registers").alias(name)), c)
-        close = written(pairs.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates", fewer=16)
-        # most candidates of a group lead to one node: one for each node is verified first, then what that left apart
-        for first in (True, False) if per_bucket == 1 else (False,):
-            some = close.groupBy("a").agg(F.min("b").alias("b")).select("a", "b") if first else close
+        close = pairs.withColumn("agree", agree("x", "y")).drop("x", "y").where(F.col("agree") >= THRESHOLD - SLACK)
+        close = written(close, "candidates", fewer=16)
+        # a node's likeliest pivot is verified first, then the others with which it is still apart
+        for first in (True, False) if per_bucket else (False,):
+            some = close.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.*") if first else close.select("a", "b")
             some = relabelled(some.distinct(), labels)
             if not first and tried is not None:
                 some = some.join(tried, ["a", "b"], "left_anti")
@@ -335,7 +433,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id, which is the class's id.  Rows without id all stay."""
-    kept = near_duplicate_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    stay = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.where("doc_id IS NULL"))
+    """One document of each class: the one with the smallest id, which is the class's id.  Rows without id all stay.
+
+    Of rows that repeat a kept id, the one with the least text stays (null first).
+    """
+    every = written(near_duplicate_classes(docs).where("doc_id IS NOT NULL"), "classes")
+    gone = every.where("doc_id <> class_id").select("doc_id")
+    if gone.count() <= SENT_IDS:
+        gone = F.broadcast(gone)
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids", fewer=16)
+    if not again.limit(1).count():
+        return stay
+    whole = stay.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row"))
+    return stay.join(again, "doc_id", "left_anti").select(docs.columns).union(whole.select("row.*"))

@@ -92,19 +92,71 @@ def test_prob_min_hash_estimates():
     assert abs(near_dedup.probability_jaccard(key(x), key(y)) - brute.probability_jaccard(x, y)) < 1e-9
 
 
-def test_reach_bound_never_rules_out_a_link(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 12, rng.integers(5, 14)))) for i in range(40)]
+def random_texts(rng):
+    """Texts that repeat shingles and share some, with tails of their own."""
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 3, rng.integers(5, 30)))) for i in range(40)]
     rows += [(100 + i, t + f" z{i}") for i, (_, t) in enumerate(rows)]
+    return rows + [(200 + i, " ".join(["w"] * (40 + i) + [f"o{i}"])) for i in range(6)]
+
+
+def test_reach_bounds_never_rule_out_a_link(spark):
+    rows = random_texts(np.random.default_rng(1))
     d = spark.createDataFrame(rows, "d long, text string")
-    known = near_dedup.own_weight(near_dedup.shingle_table(d)).cache()
-    side = lambda c: known.select(F.col("node").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("size", "weight", "own")])
-    kept = {(r.a, r.b) for r in side("a").crossJoin(side("b")).where(near_dedup.within_reach("a", "b")).select("a", "b").collect()}
-    sets = {i: brute.shingles(t) for i, t in rows}
+    every = near_dedup.frequencies(near_dedup.shingle_table(d)).cache()
+    known = near_dedup.profiles(every).withColumn("label", F.col("node")).cache()
+    side = lambda c: known.select(*[F.col(x).alias(f"{c}_{x}") for x in known.columns])
+    kept = {(r.a_node, r.b_node) for r in side("a").crossJoin(side("b")).where(near_dedup.within_reach("a", "b")).select("a_node", "b_node").collect()}
+    live = known.select(F.lit(1).cast("long").alias("bucket"), "node", F.lit(len(rows)).alias("n"))
+    found = near_dedup.rare_pairs(every, live, known).union(near_dedup.central_pairs(live, known))
+    found = {(r.a, r.b) for r in found.collect()}
+    sets, links = {i: brute.shingles(t) for i, t in rows}, 0
     for i in sets:
         for j in sets:
-            if i < j and brute.probability_jaccard(sets[i], sets[j]) >= 0.8:
-                assert (i, j) in kept
+            if i > j and brute.probability_jaccard(sets[i], sets[j]) >= 0.8:
+                links += 1
+                assert (i, j) in kept and (i, j) in found, (i, j)
+    assert links > 15
+
+
+def test_pairs_grow_in_proportion_to_a_group(spark, monkeypatch):
+    """Copies with one to four words of 150 replaced; the base is not among them.  All links over the threshold are found."""
+    seen = Counter()
+    plain = near_dedup.written
+
+    def counting(df, name="table", fewer=1):
+        out = plain(df, name, fewer)
+        seen[name] += out.count() if name in ("candidates", "verify") else 0
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counting)
+    pairs = {}
+    for n in (400, 800):
+        rng = np.random.default_rng(7)
+        base, rows = [f"w{i}" for i in range(150)], []
+        for i in range(n):
+            words = list(base)
+            for k in rng.choice(150, rng.integers(1, 5), replace=False):
+                words[k] = f"n{rng.integers(400)}"
+            rows.append((i, " ".join(words)))
+        seen.clear()
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame).collect()}
+        sets, label = {i: set(brute.shingles(t)) for i, t in rows}, {i: i for i, _ in rows}
+        links = [(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+        while (moved := [(i, j) for i, j in links if label[i] != label[j]]):
+            for i, j in moved:
+                label[i] = label[j] = min(label[i], label[j])
+        assert got == label and len(links) > 10 * n
+        pairs[n] = seen["candidates"]
+    assert pairs[800] < 3 * pairs[400] and pairs[800] < 60 * 800, pairs
+
+
+def test_near_dedup_stage_of_repeated_ids(spark, documents):
+    rows = [(1, "b text", {1: "x"}), (1, "a text", {2: "y"}), (2, None, None), (2, "", None), (3, "a text", {3: "z"}), (None, "a text", None), (None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, extra map<int,string>")
+    got = near_dedup.near_dedup_stage(spark, frame, SF)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id or -1, r.text or "-", r.extra) for r in got.collect()) == [(-1, "-", None), (-1, "a text", None), (1, "a text", {2: "y"}), (2, "-", None)]
 
 
 def test_components(spark):
