@@ -9,7 +9,8 @@ Suffixes are sorted no deeper than the length of a repeat, and only where repeat
 3. Each block sends the bytes around its shared anchors, one copy of equal bytes, to the anchor's range.  Windows of
    anchors that very many blocks hold go separately, by their own hash, so no range gets a common phrase's contexts.
 4. Each range sorts the windows it got: initial buckets of q-grams are refined by the buckets of later offsets, and the
-   refined buckets serve the next, deeper round.  Windows in one bucket at full depth are equal byte for byte.
+   refined buckets serve the next, deeper round.  Windows in one bucket at full depth are equal byte for byte.  The
+   windows of common phrases are sorted in two steps: a part of the blocks at a time, then what is smallest in each part.
 5. Blocks get back the windows that a smaller document holds, and cut them out.
 """
 
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import null_to_empty, table, written
 from .shared_windows import covered, units
@@ -35,8 +38,12 @@ RANGE_BYTES = 16 << 20
 SORT_BYTES = 2 << 20
 #: Copies of a text that share a block at most.
 BLOCK_COPIES = 1000
-SENT = "range int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
-FOUND = "block int, doc array<int>, l array<int>, r array<int>"
+#: Blocks whose windows of common phrases are sorted together in the first step.
+PART_BLOCKS = 256
+SENT = "range int, part int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
+LISTED = "range int, block int, one array<int>, many array<int>"
+#: What the steps need of a document.
+CORE = ["d", "t", "text", "copied", "block"]
 
 
 def refine_buckets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, depth: int, q: int = 8) -> np.ndarray:
@@ -79,8 +86,9 @@ class Block:
     up through that document, so no step needs their bytes.
     """
 
-    def __init__(self, rows: pd.DataFrame, window: int):
-        self.rows = rows.sort_values(["t", "d", "text"], kind="stable").reset_index(drop=True)
+    def __init__(self, rows: pa.Table, window: int):
+        core = rows.select(CORE).to_pandas().fillna({"text": ""}).sort_values(["t", "d", "text"], kind="stable")
+        self.order, self.rows, self.number = core.index.to_numpy(), core.reset_index(drop=True), int(core["block"].iat[0])
         self.window = window
         self.d = self.rows["d"].to_numpy(np.int64)
         first = self.rows.groupby("text", sort=False)["d"].transform("min").to_numpy(np.int64)
@@ -121,39 +129,44 @@ def split_anchor(anchor: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarra
     return part, ((anchor // np.uint64(ranges)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def by_range(part: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def by_range(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The ranges that occur, and the places of each."""
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(ranges + 1))
+    found, begin = np.unique(part[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begin[1:]), strict=False))
+
+
+def frame(rows: list[tuple], schema: str) -> pa.Table:
+    """Rows as an Arrow table of a schema of ints, longs, their arrays and binary."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(named)
+    sized = {"array<int>": np.int32, "array<long>": np.int64}
+    exact = lambda x, kind: [v if v is None or kind not in sized else np.asarray(v, sized[kind]) for v in x]
+    return pa.table({name: pa.array(exact(x, kind), kinds[kind]) for (name, kind), x in zip(named, columns, strict=True)})
 
 
 def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50, hot_blocks: int = 256) -> DataFrame:
-    """Per block (``FOUND``): documents (by their place in the block) and windows l to r that a smaller document holds.
+    """``block``, ``doc`` (documents by their place in the block), ``l``, ``r``: windows l to r that a smaller document holds.
 
-    ``rows``: doc_id, text, d, t, block.  An anchor that more than ``hot_blocks`` blocks hold is looked up window by window.
+    ``rows``: the columns of ``CORE`` and any others.  An anchor that more than ``hot_blocks`` blocks hold is looked up window by window.
     """
 
-    def list_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+    def list_anchors(rows: pa.Table) -> pa.Table:
         block = Block(rows, window)
         _, _, anchor, doc, _ = block.units()
-        order = np.lexsort((block.d[doc], anchor))
-        a, d = anchor[order], block.d[doc][order]
-        first = np.ones(len(a), bool)
-        first[1:] = a[1:] != a[:-1]
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(a)) - 1
-        part, rest = split_anchor(a[starts], ranges)
-        many = d[starts] != d[ends]
-        order, cut = by_range(part, ranges)
-        rest, many = rest[order], many[order]
-        some = [i for i in range(ranges) if cut[i] < cut[i + 1]]
-        return pd.DataFrame(
-            {
-                "range": np.array(some, np.int32),
-                "block": np.full(len(some), rows["block"].iat[0], np.int32),
-                "one": [rest[cut[i] : cut[i + 1]][~many[cut[i] : cut[i + 1]]] for i in some],
-                "many": [rest[cut[i] : cut[i + 1]][many[cut[i] : cut[i + 1]]] for i in some],
-            }
-        )
+        out = []
+        if len(anchor):
+            order = np.lexsort((block.d[doc], anchor))
+            a, d = anchor[order], block.d[doc][order]
+            first = np.ones(len(a), bool)
+            first[1:] = a[1:] != a[:-1]
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], len(a)) - 1
+            part, rest = split_anchor(a[starts], ranges)
+            many = d[starts] != d[ends]
+            out = [(i, block.number, rest[at][~many[at]], rest[at][many[at]]) for i, at in by_range(part)]
+        return frame(out, LISTED)
 
     def find_shared(rows: pd.DataFrame) -> pd.DataFrame:
         lists = [np.unique(np.concatenate([a, b])) for a, b in zip(rows["one"], rows["many"], strict=True)]
@@ -165,10 +178,10 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             {"range": rows["range"], "block": rows["block"], "shared": mine, "hot": [x[np.isin(x, hot, assume_unique=True)] for x in mine]}
         )
 
-    def send(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+    def send(rows: pa.Table, told: pa.Table) -> pa.Table:
         if not len(rows) or not len(told):
-            return pd.DataFrame({c.split()[0]: [] for c in SENT.split(", ")})
-        block = Block(rows, window)
+            return frame([], SENT)
+        block, told = Block(rows, window), told.to_pandas()
         l, r, anchor, doc, hashes = block.units()  # noqa: E741
         part, rest = split_anchor(anchor, ranges)
 
@@ -178,6 +191,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             return np.isin(mine, np.concatenate(keys))
 
         shared, hot = listed("shared"), listed("hot")
+        common = np.zeros(int(shared.sum()), bool)
         if hot.any():  # these go window by window, each by a hash of its own
             n = (r - l + 1)[hot]
             at = np.repeat(l[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -186,6 +200,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             l, r = np.concatenate([l[keep], at]), np.concatenate([r[keep], at])  # noqa: E741
             anchor, doc = np.concatenate([anchor[keep], own]), np.concatenate([doc[keep], np.repeat(doc[hot], n)])
             part, rest = split_anchor(anchor, ranges)
+            common = np.arange(len(l)) >= int(keep.sum())
         else:
             l, r, doc, part, rest = l[shared], r[shared], doc[shared], part[shared], rest[shared]  # noqa: E741
         text, begin, end = snippets(block.data, l, r - l + window)
@@ -202,22 +217,19 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
         local = np.flatnonzero(~first)
         offset = l - block.begins[doc]
         if len(local):  # a smaller document of this very block holds them
-            out.append(
-                (int(rows["block"].iat[0]) % ranges, rows["block"].iat[0], None, doc[local], offset[local], (r - l + 1)[local], None, None)
-            )
-        sent = np.flatnonzero(first)
-        order, cut = by_range(part[sent], ranges)
-        sent = sent[order]
-        for i in range(ranges):
-            m = sent[cut[i] : cut[i + 1]]
-            if len(m):
-                some = snippets(text, begin[m], end[m] - begin[m])[0].tobytes()
-                out.append((i, rows["block"].iat[0], rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zstandard.compress(some, 1)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SENT.split(", ")])
+            out.append((block.number % ranges, -1, block.number, None, doc[local], offset[local], (r - l + 1)[local], None, None))
+        for some, number in ((first & ~common, -1), (first & common, block.number // PART_BLOCKS)):
+            at = np.flatnonzero(some)
+            for i, m in by_range(part[at]):
+                m = at[m]
+                shown = snippets(text, begin[m], end[m] - begin[m])[0].tobytes()
+                out.append((i, number, block.number, rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zstandard.compress(shown, 1)))
+        return frame(out, SENT)
 
     def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:
+        """Windows found (with the range -1), and rows of ``SENT`` for the next step: the windows of common phrases that are smallest in their part."""
         known = rows[rows["data"].isnull()]
-        out = [(b, doc, l, l + n - 1) for b, doc, l, n in zip(known["block"], known["doc"], known["l"], known["n"], strict=True)]  # noqa: E741
+        out = [(-1, -1, b, None, doc, l, n, None, None) for b, doc, l, n in zip(known["block"], known["doc"], known["l"], known["n"], strict=True)]  # noqa: E741
         rows = rows[rows["data"].notnull()]
         if len(rows):
             block = np.repeat(rows["block"].to_numpy(), rows["doc"].map(len))
@@ -226,21 +238,26 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             size = n.astype(np.int64) + window - 1
             end = np.cumsum(size)
             hit, low, high = repeats_in_range(data, end - size, end, anchor, d, n, window)
-            order = np.argsort(block[hit], kind="stable")
-            hit, low, high = hit[order], low[order], high[order]
-            for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(block[hit])) + 1):
-                if len(some):
-                    k = hit[some]
-                    out.append((block[k[0]], doc[k], l[k] + low[some], l[k] + high[some]))
-        return pd.DataFrame(
-            [(b, *(np.asarray(x, np.int32) for x in (doc, l, r))) for b, doc, l, r in out],  # noqa: E741
-            columns=[c.split()[0] for c in FOUND.split(", ")],
-        )
-
-    listed = rows.groupBy("block").applyInPandas(list_anchors, "range int, block int, one array<int>, many array<int>")
+            for b, some in by_range(block[hit]):
+                k = hit[some]
+                out.append((-1, -1, b, None, doc[k], l[k] + low[some], high[some] - low[some] + 1, None, None))
+            if rows["part"].iat[0] >= 0:
+                left = np.setdiff1d(np.arange(len(n)), hit)
+                for b, m in by_range(block[left]):
+                    m = left[m]
+                    shown = snippets(data, (end - size)[m], size[m])[0].tobytes()
+                    out.append((rows["range"].iat[0], -1, b, anchor[m], doc[m], l[m], n[m], d[m], zstandard.compress(shown, 1)))
+        typed = [(a, b, c, *(None if x is None else np.asarray(x, np.int32) for x in some), d, data) for a, b, c, *some, d, data in out]
+        return pd.DataFrame(typed, columns=[c.split()[0] for c in SENT.split(", ")])
+
+    listed = rows.groupBy("block").applyInArrow(list_anchors, LISTED)
     shared = listed.groupBy("range").applyInPandas(find_shared, "range int, block int, shared array<int>, hot array<int>")
-    sent = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send, SENT)
-    return sent.groupBy("range").applyInPandas(find_repeats, FOUND)
+    sent = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, SENT)
+    found = sent.groupBy("range", "part").applyInPandas(find_repeats, SENT)
+    if blocks > hot_blocks:  # else no phrase is that common
+        found = written(found, "repeats")
+        found = found.where("range < 0").union(found.where("range >= 0").groupBy("range").applyInPandas(find_repeats, SENT))
+    return found.select("block", "doc", "l", F.zip_with("l", "n", lambda x, y: x + y - 1).alias("r"))
 
 
 def repeats_by_anchor(
@@ -331,64 +348,74 @@ def remove_repeated_strings(
 
     Bytes of strings of ``window`` bytes that also start in a document with a smaller id are removed; all strings are
     judged on the input and none crosses documents.  ``characters``: a character stays whole if any of its bytes does,
-    so that ``kept`` is UTF-8.  A null text is empty.  A null id counts as larger than any other; rows with equal ids
+    so that ``kept`` is UTF-8.  A null text counts as empty and stays null.  A null id counts as larger than any other; rows with equal ids
     never remove each other's bytes.  Columns of ``docs`` with the names of new ones are replaced.
     """
     whole, new = null_to_empty(), ("n_bytes", "n_removed", "n_spans", "kept")
-    others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
+    others = [c for c in docs.columns if c not in ("text", *new)]
+    # the columns of ``docs`` go along under names that can't clash
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        whole.alias("text"),
+        *[F.col(c).alias(f"in{i}") for i, c in enumerate(others)],
+        F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"),
         F.xxhash64(whole).alias("t"),
-        F.to_json(F.struct(*others)).alias("others") if others else F.lit("{}").alias("others"),
+        F.xxhash64(F.lit(1), whole).alias("t2"),
+        F.octet_length(whole).alias("size"),
     )
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum("size")).first()[0] or 0
     blocks, ranges = max(1, -(-total // block_bytes)), max(1, -(-total // range_bytes))
     # equal texts meet in a block; of a text with very many copies, as many blocks as it takes
-    many = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("d").alias("lo")).where(F.col("copies") > copies), "many-copies", fewer=16)
-    rows = rows.join(many, "t", "left")
+    many = rows.groupBy("t", "t2", "size").agg(F.count("*").alias("copies"), F.min("d").alias("lo")).where(F.col("copies") > copies)
+    rows = rows.join(written(many, "many-copies", fewer=16), ["t", "t2", "size"], "left")
     salt = F.when(F.col("copies").isNotNull(), F.pmod(F.xxhash64("d"), F.ceil(F.col("copies") / copies))).otherwise(0)
     rows = rows.select(
-        "doc_id",
+        *[f"in{i}" for i in range(len(others))],
         "text",
-        "others",
         "d",
         "t",
         F.coalesce(F.col("d") > F.col("lo"), F.lit(False)).alias("copied"),
         F.pmod(F.xxhash64("t", salt), F.lit(blocks)).cast("int").alias("block"),
     )
     found = repeated_strings(rows, blocks, ranges, window, hot_blocks)
+    names = {f"in{i}": c for i, c in enumerate(others)} | {"text": "text"}
 
-    def cut(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(rows, window)
-        doc, l, r = (np.concatenate([np.zeros(0, np.int64), *found[c]]).astype(np.int64) for c in ("doc", "l", "r"))  # noqa: E741
+        doc, l, r = (np.concatenate([np.zeros(0, np.int64), *found[c].to_pandas()]).astype(np.int64) for c in ("doc", "l", "r"))  # noqa: E741
         lost = block.lost(doc, l, r)
         if characters:
             lost = whole_characters(block.data, lost)
         edge = np.flatnonzero(lost & ~np.concatenate([[False], lost[:-1]]))
         ends = block.begins + block.sizes
         gone = np.concatenate([[0], np.cumsum(lost, dtype=np.int32)])
-        out = block.rows[["doc_id", "text", "others"]].copy()
-        out["n_bytes"] = block.sizes
-        out["n_removed"] = (gone[ends] - gone[block.begins]).astype(np.int64)
-        out["n_spans"] = np.searchsorted(edge, ends) - np.searchsorted(edge, block.begins)
-        out["kept"] = [block.data[b:e][~lost[b:e]].tobytes() for b, e in zip(block.begins, ends, strict=True)]
-        return out.astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, text string, others string, n_bytes long, n_removed long, n_spans long, kept binary"
-    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(cut, schema)
-    if others:
-        out = out.withColumn("others", F.from_json("others", docs.select(*others).schema)).select("doc_id", "text", *(F.col("others")[c].alias(c) for c in others), *new)
-    return out.select(*[c for c in docs.columns if c not in new], *new)
+        out = rows.select(list(names)).take(block.order)
+        added = {
+            "n_bytes": block.sizes,
+            "n_removed": (gone[ends] - gone[block.begins]).astype(np.int64),
+            "n_spans": (np.searchsorted(edge, ends) - np.searchsorted(edge, block.begins)).astype(np.int64),
+        }
+        for name, values in added.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        kept = [block.data[b:e][~lost[b:e]].tobytes() for b, e in zip(block.begins, ends, strict=True)]
+        return out.append_column("kept", pa.array(kept, pa.binary()))
+
+    schema = StructType([StructField(name, rows.schema[name].dataType) for name in names])
+    schema = schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, schema)
+    back = {c: name for name, c in names.items()}
+    return out.select(*[F.col(back[c]).alias(c) for c in docs.columns if c not in new], *new)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated strings of 50 bytes, cut at whole characters; ``n_chars`` is counted anew."""
-    left = remove_repeated_strings(docs, characters=True).withColumn("text", F.col("kept").cast("string"))
+    """The documents without repeated strings of 50 bytes, cut at whole characters; ``n_chars`` is counted anew.
+
+    Other columns stay as they are, also those that have the names of the operator's own.
+    """
+    named = [f"in_{i}" if c not in ("doc_id", "text") else c for i, c in enumerate(docs.columns)]
+    left = remove_repeated_strings(docs.toDF(*named), characters=True).withColumn("text", F.col("kept").cast("string")).select(*named).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

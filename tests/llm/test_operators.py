@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from datetime import date, datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -256,6 +258,35 @@ def test_repeated_bytes_edges(spark, documents, empty):
     assert all(r.n_removed == r.n_bytes for r in got if r.doc_id is None)
 
 
+def test_repeated_bytes_without_units(spark):
+    short = [(i, x) for i, x in enumerate(["abc", "", None, "abc", "x" * 49])]
+    out = suffix_dedup.remove_repeated_strings(spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in out} == {i: (x, 0) for i, x in short}
+    copies = [(i, "a text of which there are copies only, " * 2) for i in range(5)]
+    for options in ({}, {"copies": 1, "block_bytes": 100, "range_bytes": 100}):
+        out = suffix_dedup.remove_repeated_strings(spark.createDataFrame(copies, "doc_id long, text string"), **options).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in out) == [(i, 78 if i else 0) for i in range(5)]
+
+
+def test_common_phrases_meet_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BLOCKS", 2)
+    rng = np.random.default_rng(9)
+    phrase = "a phrase of some sixty bytes which every one of the documents has"
+    rows = [(int(i), " ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) + phrase + " ".join(f"v{x}" for x in rng.integers(0, 10_000, 40))) for i in rng.permutation(60)]
+    out = suffix_dedup.remove_repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1500, range_bytes=3000, hot_blocks=3)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()} == brute.repeated_bytes(rows)
+
+
+def test_suffix_stage_carries_any_column(spark, documents):
+    schema = "doc_id long, text string, n_chars int, kept timestamp, t map<int,string>, block decimal(30,3), d struct<x:array<double>>, range binary, copied date, many long"
+    rows = [(i, t, 0, datetime(2020, 1, 2, 3, 4, 5, 678901 + i), {i: "v"}, Decimal("1.500"), ([1.5, None],), b"x", date(2020, 1, 1), None if i % 2 else 2**60 + i) for i, t in documents]
+    frame = spark.createDataFrame(rows, schema)
+    out = suffix_dedup.suffix_dedup_stage(spark, frame, SF)
+    assert out.columns == frame.columns
+    for r, want in zip(sorted(out.collect()), sorted(frame.collect()), strict=True):
+        assert r.doc_id == want.doc_id and r[3:] == want[3:] and r.n_chars == (None if r.text is None else len(r.text))
+
+
 def test_suffix_stage_keeps_characters(spark, documents, docs):
     out = {r.doc_id: r for r in suffix_dedup.suffix_dedup_stage(spark, docs, SF).collect()}
     assert set(out[0].asDict()) == set(docs.columns) and len(out) == len(documents)
