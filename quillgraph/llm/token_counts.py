@@ -7,9 +7,10 @@ tokens fewer the encoding had there.  There are finitely many such states; a tra
 number of tokens.  Word ends lead back to the start state, whatever the state was.
 
 States are compiled when first met (as in lazily determinised automata) into two dense tables, so stepping is array
-indexing over many chunks at once.  A chunk's *state map* sends an entry state to (exit state, tokens emitted); maps of
-neighbouring chunks are composed by a parallel prefix scan.  All chunks forget their entry state at their first word
-end, so a map is stored as: the symbols up to there, and what follows from the start state.
+indexing over many chunks at once.  A chunk's *state map* sends an entry state to (exit state, tokens emitted).  Of a map
+only one entry is worked out at first, the one that the symbols since the last word end (``LOOK`` at most) lead to.  Maps
+of neighbouring chunks are composed by a parallel prefix scan, where the exit of one is the entry worked out for the
+next.  Where it isn't, as may happen in words longer than ``LOOK``, the right entry is worked out and scanned again.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .tokenizer_files import tokenizer_source
 from .word_symbols import Vocabulary, load_vocabulary, pieces, symbols
 
 START = 0
+#: Symbols before a chunk from which its entry state is first guessed.
+LOOK = 64
 
 
 class CountingTransducer:
@@ -150,39 +153,38 @@ class CountingTransducer:
         nth = np.arange(len(piece)) - np.repeat(np.cumsum(per) - per, per)
         begin = begins[:-1][piece] + nth * chunk
         end = np.minimum(begin + chunk, begins[1:][piece])
-        # the first word end of each chunk splits its map
         ends = np.flatnonzero(stream >= 256)
-        nearest = np.searchsorted(ends, begin)
-        split = np.minimum(np.append(ends, len(stream))[nearest] + 1, end)
-        forgets = np.append(ends, len(stream))[nearest] < end
-        exits, tails = self.run(stream, split, end, np.zeros(len(piece), np.int32))
-        entry = self.scan(stream, begin, split, forgets, exits, nth == 0)
-        _, heads = self.run(stream, begin, split, entry)
-        return np.bincount(piece, heads + tails, len(sizes)).astype(np.int64)
-
-    def scan(self, stream: np.ndarray, begin: np.ndarray, split: np.ndarray, forgets: np.ndarray, exits: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Entry state of every chunk.
-
-        The maps are scanned by doubling.  A chunk with a word end has a constant map; composing a chunk without one
-        with what stands left of it widens the stretch that its map covers, until a constant map or the piece's start
-        is met.  The stretches so found are then applied, all words at once, nearest chunks first.
+        last = np.append(-1, ends)[np.searchsorted(ends, begin)] + 1  # after the last word end before the chunk
+        look = np.maximum(np.maximum(last, begins[:-1][piece]), begin - LOOK)
+        entry, _ = self.run(stream, look, begin, np.zeros(len(piece), np.int32))
+        exits, tokens = self.run(stream, begin, end, entry)
+        while True:
+            total, sound = self.scan(entry, exits, tokens, nth == 0)
+            if sound.all():
+                break
+            wrong = np.flatnonzero((nth > 0) & (entry != np.roll(exits, 1)))
+            entry[wrong] = exits[wrong - 1]
+            exits[wrong], tokens[wrong] = self.run(stream, begin[wrong], end[wrong], entry[wrong])
+        done = np.flatnonzero(per)  # pieces with a chunk; their last ones hold the sums
+        out = np.zeros(len(sizes), np.int64)
+        out[done] = total[np.cumsum(per)[done] - 1]
+        return out
+
+    @staticmethod
+    def scan(entry: np.ndarray, exits: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens from the piece's start to the end of every chunk, and whether all maps on the way fit together.
+
+        Every chunk's map is composed with that of the stretch to its left, all at once; the stretches double each time.
         """
-        n = len(begin)
-        nearest = np.where(forgets | first, np.arange(n), -1)  # the constant map or start that a chunk's entry rests on
+        entry, tokens, begun, sound = entry.copy(), tokens.copy(), first.copy(), np.ones(len(entry), bool)
         reach = 1
-        while (nearest < 0).any():
-            nearest[reach:] = np.where(nearest[reach:] < 0, nearest[:-reach], nearest[reach:])
+        while not begun.all():
+            right = np.flatnonzero(~begun)
+            left = right - reach
+            fits = sound[right] & sound[left] & (exits[left] == entry[right])
+            entry[right], tokens[right], begun[right], sound[right] = entry[left], tokens[right] + tokens[left], begun[left], fits
             reach *= 2
-        value, entry = exits.copy(), np.zeros(n, np.int32)
-        waiting = np.flatnonzero(~forgets)
-        distance = waiting - nearest[waiting]
-        for d in range(int(distance.max()) + 1 if len(waiting) else 0):
-            now = waiting[distance == d]
-            entry[now] = np.where(first[now], START, value[now - 1])
-            value[now], _ = self.run(stream, begin[now], split[now], entry[now])
-        inner = np.flatnonzero(~first & forgets)
-        entry[inner] = value[inner - 1]
-        return entry
+        return tokens, sound
 
 
 _MACHINES: dict[str, tuple[Vocabulary, CountingTransducer]] = {}

@@ -205,6 +205,38 @@ def test_transducer_chunks_and_reset(tokenizer):
     assert [small.count(stream, begins).tolist() for _ in range(2)] == [whole.tolist()] * 2
 
 
+def test_state_maps_compose():
+    """Maps that fit together add up from the start of their piece; a chunk entered otherwise than left spoils what follows."""
+    first = np.array([True, False, False, False, False, True, False])
+    exits, tokens = np.array([3, 1, 4, 1, 5, 9, 2]), np.arange(1, 8)
+    total, sound = token_counts.CountingTransducer.scan(np.array([0, 3, 1, 4, 1, 0, 9]), exits, tokens, first)
+    assert total.tolist() == [1, 3, 6, 10, 15, 6, 13] and sound.all()
+    _, sound = token_counts.CountingTransducer.scan(np.array([0, 3, 7, 4, 1, 0, 9]), exits, tokens, first)
+    assert sound.tolist() == [True, True, False, False, False, True, True]
+
+
+def test_long_words_of_any_kind(tokenizer, monkeypatch):
+    rng = np.random.default_rng(8)
+    source = open(tokenizer_files.default_path(), encoding="utf-8").read()
+    texts = ["".join(rng.choice(list("abcdeinorst"), 3000)), "é" * 700 + "x", "".join(rng.choice(list("ab"), 2000)) + " c", "x" * 255 + "\n" + "y" * 257, ""]
+    want = [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for look in (0, 3, 64):
+        monkeypatch.setattr(token_counts, "LOOK", look)
+        assert token_counts.count_texts(texts, source).tolist() == want
+
+
+def test_token_count_rows(spark, documents, docs, tokenizer, tmp_path):
+    rows = docs.union(docs).union(spark.createDataFrame([(None, "one two", None, None, None)], docs.schema))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = token_counts.op2_token_counts(spark, str(tmp_path)).collect()
+    text = dict(documents) | {None: "one two"}
+    assert len(got) == 2 * len(documents) + 1
+    for r in got:
+        n = len(tokenizer.encode(text[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text[r.doc_id] or "").encode()), n, n > 2048)
+    assert any(r.over_limit for r in got)
+
+
 def test_bpe_round_trip(spark, documents, docs, empty, tokenizer):
     both = bpe_codec.bpe_decode(bpe_codec.bpe_encode(docs))
     digests = {r.doc_id: r for r in bpe_codec.bpe_digests(docs).collect()}
