@@ -5,10 +5,9 @@ times, the faster the larger its weight, each to a random register; a register k
 A shingle stops as soon as its next arrival is later than all registers of the text.  Two texts agree in a register
 with their probability Jaccard similarity.  Registers are hashed in bands; texts that share a band are candidates.
 
-Equal texts are one node.  Within a band's bucket, nodes are compared with its most central one first, then, in buckets
-whose nodes haven't all come together, with some more.  What is still apart is compared, in the end, with every node
-that it may be similar to: pairs of different components that share rare shingles, and pairs whose common shingles alone
-may be enough.  So a large group of near copies needs no comparison of all pairs, and no link is lost.  Candidates are
+Equal texts are one node.  Within a band's bucket, nodes are compared with its most central one first.  What is still
+apart is compared with every node that it may be similar to: pairs of different components that share rare shingles, and
+pairs whose common shingles alone may be enough.  So a large group of near copies needs no comparison of all pairs, and no link is lost.  Candidates are
 weeded out by their registers and the rest verified by the exact similarity.
 """
 
@@ -169,17 +168,13 @@ def shingle_table(docs: DataFrame) -> DataFrame:
     return docs.select("d", "text").mapInPandas(make, "node long, shingles array<long>, counts array<int>")
 
 
-def central_pivots(live: DataFrame, per_bucket: int) -> DataFrame:
-    """Up to ``per_bucket`` nodes of each bucket, all of them where it has twice as many at most.
+def central_pivots(live: DataFrame) -> DataFrame:
+    """``bucket`` and its ``pivot``: the node that meets the most others, over all its buckets.
 
-    Those that meet the most others, over all their buckets, come first: in a group of near copies, that is the one
-    nearest to what they all come from, and the same one in most of the group's buckets.
+    In a group of near copies that is the one nearest to what they all come from, and the same in most of its buckets.
     """
     met = live.groupBy("node").agg(F.sum("n").alias("met"))
-    large = live.where(F.col("n") > 2 * per_bucket).join(met, "node")
-    slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(per_bucket))
-    few = large.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(-F.col("met"), "node")).alias("best")).select("bucket", F.col("best.node").alias("pivot"))
-    return few.union(live.where(F.col("n") <= 2 * per_bucket).select("bucket", "node"))
+    return live.join(met, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "node")).alias("best")).select("bucket", F.col("best.node").alias("pivot"))
 
 
 def level(n):
@@ -338,64 +333,46 @@ def central_pairs(live: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
 
 
-def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``node``, ``label``: the components of verified links between ``nodes`` (node, bands, registers); ``docs``: d, text.
 
-    None if there are no links.  Three rounds: each bucket's nodes with its most central one; those still apart with
-    eight; what is left with every node that shares enough rare shingles or may share enough common ones.
+    Nodes without links may be missing.  Each bucket's nodes are compared with its pivot first.  What is then left apart is
+    compared with every node that shares enough rare shingles or may share enough common ones.
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
     live = written(rows.join(several.select("bucket", "n"), "bucket"), "buckets", fewer=4)
     registers, agree = nodes.select("node", "registers"), F.pandas_udf(agreement, "double")
-    shingles, labels, tried = Shingles(docs), None, None
-    for per_bucket in (1, 8, None):
-        if per_bucket == 1:
-            pairs = live.select("bucket", "node").join(central_pivots(live, 1), "bucket").where("node <> pivot")
-            pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
-        else:
-            # only pairs of different components that what they have for themselves doesn't rule out
-            left = live.select("node").distinct()
-            sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
-            every = frequencies(sets)
-            known = profiles(every)
-            known = known.withColumn("label", F.col("node")) if labels is None else known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            known = written(known, "profiles", fewer=8)
-            if per_bucket is None:
-                pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct()
-            else:
-                few = known.drop("levels")
-                left, right = with_profile(live.select("bucket", "node"), few, "node"), with_profile(central_pivots(live, per_bucket), few, "pivot")
-                pairs = left.join(right, "bucket").where((F.col("node") != F.col("pivot")) & (F.col("node_label") != F.col("pivot_label")) & within_reach("node", "pivot"))
-                pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+
+    def near(pairs: DataFrame) -> DataFrame:
         for c, name in (("a", "x"), ("b", "y")):
             pairs = pairs.join(registers.select(F.col("node").alias(c), F.col("registers").alias(name)), c)
-        close = pairs.withColumn("agree", agree("x", "y")).drop("x", "y").where(F.col("agree") >= THRESHOLD - SLACK)
-        close = written(close, "candidates", fewer=16)
-        # a node's likeliest pivot is verified first, then the others with which it is still apart
-        for first in (True, False) if per_bucket else (False,):
-            some = close.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.*") if first else close.select("a", "b")
-            some = relabelled(some.distinct(), labels)
-            if not first and tried is not None:
-                some = some.join(tried, ["a", "b"], "left_anti")
-            some = written(some, "verify", fewer=16)
-            if some.limit(1).count():
-                judged = shingles.judge(some)
-                tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
-                labels = merged(labels, judged.where("same"))
-        if per_bucket is None:
-            break
-        # on with the buckets that are neither of one component nor fully compared
-        left = live.where(F.col("n") > 2 * per_bucket)
-        if labels is not None:
-            named = left.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
-            apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-            left = left.join(apart.select("bucket"), "bucket", "left_semi")
-        live = written(left, "buckets", fewer=4)
-        if not live.limit(1).count():
-            break
+        return written(pairs.withColumn("agree", agree("x", "y")).drop("x", "y").where(F.col("agree") >= THRESHOLD - SLACK), "candidates", fewer=16)
+
+    shingles, labels, tried = Shingles(docs), None, None
+    pairs = live.join(central_pivots(live), "bucket").where("node <> pivot")
+    close = near(pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct())
+    # a node's likeliest pivot is verified first, then the others with which it is still apart
+    likeliest = close.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.*")
+    for some in (likeliest, close.select("a", "b")):
+        some = relabelled(some.distinct(), labels)
+        if tried is not None:
+            some = some.join(tried, ["a", "b"], "left_anti")
+        judged = shingles.judge(written(some, "verify", fewer=16))
+        tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
+        labels = merged(labels, judged.where("same"))
+    # on with the buckets that are neither of one component nor fully compared
+    left = live.where("n > 2")
+    named = left.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
+    apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    live = written(left.join(apart.select("bucket"), "bucket", "left_semi"), "buckets", fewer=4)
+    if live.limit(1).count():
+        left = live.select("node").distinct()
+        sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
+        every = frequencies(sets)
+        known = written(profiles(every).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "profiles", fewer=8)
+        pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct().join(tried, ["a", "b"], "left_anti")
+        labels = merged(labels, shingles.judge(written(relabelled(near(pairs), labels), "verify", fewer=16)).where("same"))
     return labels
 
 
@@ -421,10 +398,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     ties = of.where("node < other").select(F.col("node").alias("q"), F.col("other").alias("p"))
     if ties.limit(1).count():
         labels = merged(labels, relabelled(ties.select(F.col("p").alias("a"), F.col("q").alias("b")), labels))
-    if labels is None:
-        out = of.select(F.col("d").alias("doc_id"), F.col("node").alias("class_id"))
-    else:
-        out = of.join(labels, "node", "left").select(F.col("d").alias("doc_id"), F.coalesce("label", "node").alias("class_id"))
+    out = of.join(labels, "node", "left").select(F.col("d").alias("doc_id"), F.coalesce("label", "node").alias("class_id"))
     return out.union(rows.where("d IS NULL").select(F.col("d"), F.lit(None).cast("long")))
 
 
