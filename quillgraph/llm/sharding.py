@@ -8,6 +8,9 @@ shard permutes what it got.  Only the matrix (partitions x shards integers) is m
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal, localcontext
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import null_to_empty, table, written
 
 IN_PARTITION = (1 << 33) - 1
+PI = Decimal("3.14159265358979323846264338327950288419716939937511")
 
 
 def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -39,26 +43,37 @@ def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray
     return out
 
 
+def log_factorial(n: int) -> Decimal:
+    """log(n!) to 25 digits behind the point: Stirling's series, from 64 up."""
+    if n < 64:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = sum(Decimal(a) / (b * x**k) for a, b, k in ((1, 12, 1), (-1, 360, 3), (1, 1260, 5), (-1, 1680, 7), (1, 1188, 9), (-691, 360360, 11), (1, 156, 13)))
+    return (x + Decimal("0.5")) * x.ln() - x + Decimal("0.5") * (2 * PI).ln() + series
+
+
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; numpy's takes up to 10**9 of a kind, above that the law is inverted around its mode.
+    """A hypergeometric number of any size: how many of ``n`` rows drawn from ``good`` and ``bad`` ones are good.
 
-    Chances relative to the mode's are products of their ratios.  What lies outside ten standard deviations and 60 more
-    is less likely than the random number's last bit.
+    numpy draws it for populations under 10**9 of each kind.  Beyond, points are drawn evenly from the table-mountain
+    that covers the region of the ratio of uniforms (Stadlober's constants) and kept where they lie in it; chances are
+    worked out in decimals, as the doubles of large logarithms would be too coarse.
     """
     if n == 0 or good == 0:
         return 0
     if max(good, bad) < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mode = (n + 1) * (good + 1) // (total + 2)
-    reach = 60 + int(10 * (n * (good / total) * (bad / total) * ((total - n) / (total - 1))) ** 0.5)
-    low, high = max(0, n - bad, mode - reach), min(good, n, mode + reach)
-    k = np.arange(low, high)
-    # chance of k + 1 over that of k
-    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
-    logs = np.concatenate([[0.0], np.cumsum(steps)])
-    sums = np.cumsum(np.exp(logs - logs.max()))
-    return low + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), len(sums) - 1)
+    with localcontext(prec=50):
+        total = good + bad
+        chance = lambda k: -sum(log_factorial(x) for x in (k, good - k, n - k, bad - n + k))
+        mode = chance((n + 1) * (good + 1) // (total + 2))
+        mean = n * good / total
+        width = 2 * math.sqrt(2 / math.e) * math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+            if max(0, n - bad) <= k <= min(good, n) and 2 * Decimal(u).ln() <= chance(k) - mode:
+                return k
 
 
 def uniform(key: Column, buckets: int) -> Column:
@@ -70,12 +85,13 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 8, block: int
     """``df`` with ``shard`` (0 to ``shards - 1``; sizes at most one apart) and ``slot`` (0, 1, ... within the shard).
 
     Every assignment of rows to shards and slots is equally likely over seeds; the seed and the input's partitions decide it.
-    Rows may repeat and any column may be null: a row is known by its place in its partition, which is written down
+    Columns of ``df`` with these names are replaced.  Rows may repeat and any column may be null: a row is known by its place in its partition, which is written down
     (the rows go to the shared folder once) before anything is drawn, so lost executors can't change the outcome.
     Slots are worked out in blocks of about ``block`` rows, so no task holds a whole shard.  An empty input gives no rows.
     """
     spark = df.sparkSession
-    placed = df.withColumn("_p", F.spark_partition_id()).withColumn("_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    # the rows go along as one column, so no name of theirs can clash
+    placed = df.select(F.struct("*").alias("row")).withColumn("_p", F.spark_partition_id()).withColumn("_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     placed = placed.sortWithinPartitions("_key").withColumn("_rank", F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION)))
     placed = written(placed.drop("_key"), "shards")
     sizes = placed.groupBy("_p").count().orderBy("_p").toPandas()
@@ -91,7 +107,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 8, block: int
     return (
         sent.join(offsets, ["shard", "_block"])
         .withColumn("slot", F.col("_offset") + F.row_number().over(within) - 1)
-        .drop("_p", "_rank", "_key", "_block", "_offset")
+        .select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
     )
 
 
