@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import zlib
 from collections import Counter
 from datetime import date, datetime
@@ -388,14 +389,47 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     hashes = [rng.integers(0, 1 << 63, 20).astype(np.uint64) for _ in range(30)]
-    index = decontamination.SizeIndex(20, list(range(30)), hashes)
-    probes = index.prints[:10].copy()
+    hashes += [hashes[0], hashes[1]]
+    index = decontamination.SizeIndex(20, list(range(32)), hashes)
+    probes = np.concatenate([index.prints[:10], index.prints[:3]])
     for k in range(10):
-        for bit in rng.choice(64, decontamination.RADIUS, replace=False):
-            probes[k] ^= np.uint64(1) << np.uint64(bit)
+        for bit in rng.choice(128, decontamination.RADIUS, replace=False):
+            probes[k, bit // 32] ^= np.uint32(1) << np.uint32(bit % 32)
     window, item, distance = index.candidates(probes)
-    want = {(i, j) for i in range(10) for j in range(30) if int(probes[i] ^ index.prints[j]).bit_count() <= decontamination.RADIUS}
-    assert set(zip(window.tolist(), item.tolist(), strict=True)) == want and {(k, k) for k in range(10)} <= want
+    apart = lambda i, j: sum(int(x ^ y).bit_count() for x, y in zip(probes[i], index.prints[j], strict=True))
+    want = {(i, j): apart(i, j) for i in range(13) for j in range(32) if apart(i, j) <= decontamination.RADIUS}
+    assert dict(zip(zip(window.tolist(), item.tolist(), strict=True), distance.tolist(), strict=True)) == want
+    assert {(k, k) for k in range(13) if k < 10} | {(0, 30), (10, 30)} <= set(want)
+
+
+def test_blocks_select_and_the_radius_holds():
+    """Few unrelated items share a near block; at a similarity of 0.8 and a little more next to no pair is beyond the radius."""
+    rng = np.random.default_rng(11)
+    random_ = decontamination.fingerprints(rng.integers(0, 1 << 63, 4000).astype(np.uint64), 40)[::41]
+    near = [(np.bitwise_count(x ^ y) <= decontamination.RADIUS // decontamination.BLOCKS).any() for i, x in enumerate(random_) for y in random_[:i]]
+    assert np.mean(near) < 0.03
+    for width in (9, 36, 90):
+        apart = []
+        for _ in range(1500):
+            own = rng.integers(0, 1 << 63, width).astype(np.uint64)
+            other = own.copy()
+            k = width // 9  # similarity (width - k) / (width + k) = 0.8
+            other[rng.choice(width, k, replace=False)] = rng.integers(0, 1 << 63, k).astype(np.uint64)
+            a, b = decontamination.fingerprints(own, width)[0], decontamination.fingerprints(other, width)[0]
+            apart.append(int(np.bitwise_count(a ^ b).sum()))
+        assert np.mean(np.array(apart) <= decontamination.RADIUS) > 0.995, width
+
+
+def test_decontamination_of_repeated_rows_and_clashing_names(spark, documents):
+    item = " ".join(documents[1][1].split()[10:50])
+    rows = [(1, documents[1][1], 1, {1: "a"}), (1, documents[1][1], 1, {1: "a"}), (None, documents[1][1], 2, None), (None, None, 3, None), (5, "x", 4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _hits int, row map<int,string>")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    got = decontamination.with_hits(frame, bench)
+    assert got.columns == [*frame.columns, "hits"]
+    assert sorted((r["_hits"], len(r.hits) > 0) for r in got.collect()) == [(1, True), (1, True), (2, True), (3, False), (4, False)]
+    stage = decontamination.decontamination_stage(spark, frame, SF)
+    assert stage.columns == frame.columns and stage.count() == 5
 
 
 # 6
@@ -488,13 +522,56 @@ def test_matrix_is_uniform():
 
 def test_draw_from_large_populations():
     rng = np.random.default_rng(5)
-    for good, bad, n in ((10**9, 10**9, 10**9), (2 * 10**9, 6 * 10**9, 7 * 10**9), (3 * 10**9, 40, 2 * 10**9), (50, 2 * 10**9, 10**8)):
-        got = np.array([sharding.draw(rng, good, bad, n) for _ in range(400)], float)
+    cases = [(10**9, 10**9, 10**9), (2 * 10**9, 6 * 10**9, 7 * 10**9), (3 * 10**9, 40, 2 * 10**9), (50, 2 * 10**9, 10**8), (6 * 10**11, 9 * 10**12, 2 * 10**9), (10**13, 10**13, 3)]
+    for good, bad, n in cases:
+        got = np.array([sharding.draw(rng, good, bad, n) for _ in range(1200)], float)
         total = good + bad
         want = n * (good / total) * (bad / total) * ((total - n) / (total - 1))
         assert got.min() >= max(0, n - bad) and got.max() <= min(good, n)
-        assert abs(got.mean() - n * (good / total)) < 5 * (want / 400) ** 0.5 and 0.7 < got.var() / want < 1.4, (good, bad, n)
+        assert abs(got.mean() - n * (good / total)) < 5 * (want / 1200) ** 0.5 and 0.8 < got.var() / want < 1.25, (good, bad, n)
     assert sharding.draw(rng, 2 * 10**9, 5, 2 * 10**9 + 5) == 2 * 10**9 and sharding.draw(rng, 2 * 10**9, 0, 7) == 7
+    assert abs(float(sharding.log_factorial(100)) - sum(np.log(np.arange(1, 101)))) < 1e-9
+
+
+def test_large_draws_follow_the_law(monkeypatch):
+    """The sampler for large populations, on small ones, against the exact chances."""
+    from math import comb
+
+    class NoSmall:
+        def __init__(self, rng):
+            self.random = rng.random
+
+        def hypergeometric(self, good, bad, n):
+            raise AssertionError
+
+    source = inspect.getsource(sharding.draw).replace("1_000_000_000", "0")
+    space = dict(vars(sharding))
+    exec(source, space)  # noqa: S102
+    rng = NoSmall(np.random.default_rng(6))
+    for good, bad, n in ((7, 9, 6), (30, 5, 20), (3, 200, 50)):
+        got = Counter(space["draw"](rng, good, bad, n) for _ in range(6000))
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            p = comb(good, k) * comb(bad, n - k) / comb(good + bad, n)
+            assert abs(got[k] - 6000 * p) < 5 * (6000 * p * (1 - p)) ** 0.5 + 1, (good, bad, n, k)
+
+
+def test_shard_rows(spark, documents, docs, tmp_path):
+    rows = docs.union(docs).union(spark.createDataFrame([(None, None, None, None, None)] * 2, docs.schema))
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_sharding(spark, str(tmp_path)).collect()
+    text = {i: (t or "").encode() for i, t in documents} | {None: b""}
+    assert Counter(r.doc_id for r in got) == Counter({i: 2 for i in text})
+    for r in got:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]), "rows", None)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_shards_keep_clashing_columns(spark):
+    frame = spark.createDataFrame([(i, i, str(i), None, i) for i in range(50)], "_p long, _key long, _rank string, _block int, row long").repartition(4)
+    got = sharding.shuffle_to_shards(frame, 3)
+    assert got.columns == [*frame.columns, "shard", "slot"] and sorted(tuple(r)[:5] for r in got.collect()) == sorted(tuple(r) for r in frame.collect())
 
 
 # 10
