@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Words of the digest contracts: runs of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of ids or digests that are broadcast at most (16 to 100 MB); more are joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, table, written
+from .common import SENT_ROWS, null_to_empty, table, written
 from .components import components
 from .word_hashes import mix, text_slices, window_hashes, words_of
 
@@ -30,8 +30,6 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 #: Five standard deviations of the registers' estimate at the threshold.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Ids of texts that are sent to every executor to pick the texts (16 MB); more of them are joined by a shuffle.
-SENT_IDS = 1_000_000
 #: Shingles that at most this share of the nodes of a node's largest bucket have are rare for it.
 RARE = 1 / 2
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -250,7 +248,7 @@ class Shingles:
         if self.made is not None:
             wanted = wanted.join(self.made.select(F.col("node").alias("d")), "d", "left_anti")
         wanted = written(wanted, "wanted", fewer=16)
-        if wanted.count() <= SENT_IDS:
+        if wanted.count() <= SENT_ROWS:
             wanted = F.broadcast(wanted)
         more = written(shingle_table(self.docs.join(wanted, "d", "left_semi")), "shingles", fewer=4)
         self.made = more if self.made is None else self.made.union(more)
@@ -413,7 +411,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     every = written(near_duplicate_classes(docs).where("doc_id IS NOT NULL"), "classes")
     gone = every.where("doc_id <> class_id").select("doc_id")
-    if gone.count() <= SENT_IDS:
+    if gone.count() <= SENT_ROWS:
         gone = F.broadcast(gone)
     stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids", fewer=16)

@@ -1,25 +1,29 @@
 """WARC archives with revisit records for repeated payloads (operator 10).
 
-Only headers (page id and payload digest) are shuffled to find the first page of every payload.  Archives are written by
-Spark's text writer, whose line separator is the blank line pair that ends a WARC record, and compressed by file; they
-are read back file by file, following each record's Content-Length.
+Only headers (page id, url, payload digest and size) are shuffled to find the first page of every payload, and revisit
+records are made of them alone.  Responses are the pages left when the revisits' page ids and digests are taken out:
+these are broadcast up to a checked number; beyond it, that one join moves the payloads.  Archives are written by Spark's
+text writer, whose line separator is the blank line pair that ends a WARC record, compressed by file and bounded by
+bytes; they are read back as streams, following each record's Content-Length.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, shared_path, table
+from .common import SENT_ROWS, null_to_empty, shared_path, table, written
 
 VERSION = "WARC/1.1"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of blocks that are read before their rows are passed on.
+BATCH_BYTES = 16 << 20
 READ_SCHEMA = (
     "record_id string, page_id long, record_type string, target_uri string, refers_to_record string, refers_to long, "
     "payload_digest string, payload_bytes long, payload string"
@@ -48,39 +52,10 @@ def record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """One WARC record (a string without its closing blank lines) per row of ``pages`` (page_id, url, html).
-
-    The smallest page_id with a payload of at least ``least_bytes`` bytes is the response; rows with the same payload
-    and another page_id are revisits of it.  Rows that repeat the smallest page_id are responses too, as are payloads
-    whose page_ids are all null.  A null html is an empty payload; line ends in a url become spaces; a null url is empty.
-    """
-    body = null_to_empty("html")
-    full = pages.select(
-        "page_id",
-        F.regexp_replace(null_to_empty("url"), "[\r\n]+", " ").alias("url"),
-        body.alias("body"),
-        F.sha2(body.cast("binary"), 256).alias("payload_digest"),
-        F.octet_length(body).cast("long").alias("payload_bytes"),
-    )
-    originals = resolve_revisits(full.drop("body", "url"), least_bytes)
-    joined = full.join(originals, "payload_digest", "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), "body"))
-    refers = F.when(
-        revisit,
-        F.concat(
-            F.lit("\r\nWARC-Refers-To: "),
-            record_id(F.col("original"), F.col("payload_digest")),
-            F.lit("\r\nX-Refers-To-Page-Id: "),
-            F.col("original").cast("string"),
-            F.lit(f"\r\nWARC-Profile: {PROFILE}"),
-        ),
-    ).otherwise("")
-    head = F.concat(
-        F.lit(f"{VERSION}\r\nWARC-Type: "),
-        F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: "),
+def warc_record(kind: str, date: str, refers: Column, block: Column) -> Column:
+    """A record of the columns ``page_id``, ``url`` and ``payload_digest``, without its closing blank lines."""
+    return F.concat(
+        F.lit(f"{VERSION}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: "),
         record_id(F.col("page_id"), F.col("payload_digest")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "),
         F.col("url"),
@@ -90,31 +65,101 @@ def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-
         F.col("payload_digest"),
         refers,
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
-        F.octet_length("block").cast("string"),
+        F.octet_length(block).cast("string"),
         F.lit("\r\n\r\n"),
-        F.col("block"),
+        block,
+    ).alias("value")
+
+
+def page_headers(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url`` (without line ends), ``body``, ``payload_digest`` and ``payload_bytes``."""
+    body = null_to_empty("html")
+    return pages.select(
+        "page_id",
+        F.regexp_replace(null_to_empty("url"), "[\r\n]+", " ").alias("url"),
+        body.alias("body"),
+        F.sha2(body.cast("binary"), 256).alias("payload_digest"),
+        F.octet_length(body).cast("long").alias("payload_bytes"),
     )
-    return joined.withColumn("block", block).select(head.alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = 10_000, **options) -> None:
-    """Write ``pages`` as gzipped WARC files of ``records_per_file`` records at most, below ``path``."""
-    records = warc_records(pages, **options)
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> tuple[DataFrame, int]:
+    """WARC records (strings without their closing blank lines), one for each row of ``pages`` (page_id, url, html), and
+    the mean size of a payload.
+
+    The smallest page_id with a payload of at least ``least_bytes`` bytes is the response; rows with the same payload
+    and another page_id (or none) are revisits of it.  Rows that repeat the smallest page_id are responses too, as are
+    payloads whose page_ids are all null.  A null html is an empty payload; line ends in a url become spaces; a null url
+    is empty; other columns are ignored.
+    """
+    full = page_headers(pages)
+    headers = written(full.drop("body"), "warc-headers")
+    joined = headers.join(resolve_revisits(headers, least_bytes), "payload_digest")
+    revisits = written(joined.where("NOT page_id <=> original"), "warc-revisits", fewer=4)
+    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
+    gone = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))
+    if gone.count() <= SENT_ROWS:
+        gone = F.broadcast(gone)
+    else:
+        gone = gone.distinct()
+    responses = full.join(gone, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left_anti")
+    refers = F.concat(
+        F.lit("\r\nWARC-Refers-To: "),
+        record_id(F.col("original"), F.col("payload_digest")),
+        F.lit("\r\nX-Refers-To-Page-Id: "),
+        F.col("original").cast("string"),
+        F.lit(f"\r\nWARC-Profile: {PROFILE}"),
+    )
+    records = responses.select(warc_record("response", date, F.lit(""), F.concat(F.lit(HTTP), "body")))
+    return records.union(revisits.select(warc_record("revisit", date, refers, F.lit(HTTP)))), int(mean)
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
+def write_archives(pages: DataFrame, path: str, file_bytes: int = 128 << 20, records_per_file: int = 10_000, **options) -> None:
+    """Write ``pages`` as gzipped WARC files below ``path``, of ``records_per_file`` records at most, and fewer where
+    records of the mean size would fill more than ``file_bytes``.
+
+    A file is one gzip member and has no warcinfo record: Spark's writer, which can lose an executor, knows no file ends.
+    """
+    records, mean = warc_records(pages, **options)
+    most = max(1, min(records_per_file, file_bytes // (mean + 500)))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def unzipped(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a gzip file of any number of members, about ``size`` at a time."""
+    while content:
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof and (content or member.unconsumed_tail):
+            yield member.decompress(content, size)
+            content = member.unconsumed_tail
+        content = member.unused_data
+
+
+def parse_archive(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive that comes in parts."""
+    data, parts = bytearray(), iter(parts)
+
+    def more() -> bool:
+        part = next(parts, None)
+        data.extend(part or b"")
+        return part is not None
+
+    while data or more():
+        while (stop := data.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if stop < 0 and not data.strip():
+            return
+        first, *lines = bytes(data[: max(stop, 0)]).decode().split("\r\n")
         if first != VERSION:
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at {bytes(data[:80])!r}")
         headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines)}
-        size = int(headers["content-length"])
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
+        end = stop + 4 + int(headers["content-length"])
+        while len(data) < end + 4 and more():
+            pass
+        if len(data) < end:
+            raise ValueError("the archive ends within a record")
+        yield headers, bytes(data[stop + 4 : end])
+        del data[: end + 4]
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -123,28 +168,35 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     A response's digest and size are those of the payload read, not of its headers.
     """
 
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        payload = block[block.index(b"\r\n\r\n") + 4 :] if h["warc-type"] == "response" else None
+        return (
+            h["warc-record-id"],
+            int(h["x-page-id"]) if h["x-page-id"] else None,
+            h["warc-type"],
+            h["warc-target-uri"],
+            h.get("warc-refers-to"),
+            int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None,
+            h["warc-payload-digest"].removeprefix("sha256:") if payload is None else hashlib.sha256(payload).hexdigest(),
+            None if payload is None else len(payload),
+            payload.decode() if payload is not None and payloads else None,
+        )
+
+    def frames(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in READ_SCHEMA.split(", ")], dtype=object)
+        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
         for batch in batches:
             for content in batch["content"]:
-                rows = []
-                for h, block in parse_archive(gzip.decompress(content)):
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if h["warc-type"] == "response" else None
-                    rows.append(
-                        (
-                            h["warc-record-id"],
-                            int(h["x-page-id"]) if h["x-page-id"] else None,
-                            h["warc-type"],
-                            h["warc-target-uri"],
-                            h.get("warc-refers-to"),
-                            int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None,
-                            h["warc-payload-digest"].removeprefix("sha256:") if payload is None else hashlib.sha256(payload).hexdigest(),
-                            None if payload is None else len(payload),
-                            payload.decode() if payload is not None and payloads else None,
-                        )
-                    )
-                out = pd.DataFrame(rows, columns=names, dtype=object)
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+                rows, size = [], 0
+                for h, block in parse_archive(unzipped(content)):
+                    rows.append(row(h, block))
+                    size += len(block)
+                    if size > BATCH_BYTES:
+                        yield frames(rows)
+                        rows, size = [], 0
+                yield frames(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInPandas(parse, READ_SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import inspect
 import zlib
@@ -577,12 +578,38 @@ def test_shards_keep_clashing_columns(spark):
 # 10
 
 
-def test_warc(spark, tmp_path):
+def test_archives_come_in_parts():
+    records = [f"{warc.VERSION}\r\nContent-Length: {n}\r\nA: b\r\n\r\n{'x' * n}\r\n\r\n".encode() for n in (0, 5, 300)]
+    members = gzip.compress(records[0] + records[1]) + gzip.compress(records[2])
+    for size in (1, 7, 1 << 20):
+        assert [(h["content-length"], len(b)) for h, b in warc.parse_archive(warc.unzipped(members, size))] == [("0", 0), ("5", 5), ("300", 300)]
+    assert list(warc.parse_archive(warc.unzipped(b""))) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_archive([records[2][:200]]))
+
+
+def test_payloads_are_not_shuffled(spark):
+    """Few revisits: what holds a payload goes from the scan to the writer."""
+    records, _ = warc.warc_records(spark.read.parquet(f"{SF}/pages.parquet"))
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "body" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_warc_joins_many_revisits(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", "p" * 100 + str(i % 3)) for i in range(20)] + [(None, "u", "p" * 100 + "0")] * 2, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "SENT_ROWS", 0)
+    records, _ = warc.warc_records(pages)
+    kinds = Counter(r.value.split("\r\n")[1] for r in records.collect())
+    assert kinds == {"WARC-Type: response": 3, "WARC-Type: revisit": 19}
+
+
+def test_warc(spark, tmp_path, monkeypatch):
     big, trick = "p" * 100, "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n" * 4
     rows = [(3, "u\r\nX: y", big), (1, None, big), (2, "u", "small"), (9, "u", "small"), (4, "u", None), (5, "u", trick), (6, "u", trick), (1, "u", big), (7, "é", "é" * 50), (8, "u", "é" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = f"file://{tmp_path}/warc"
     warc.write_archives(pages, path, records_per_file=3)
+    monkeypatch.setattr(warc, "BATCH_BYTES", 300)
     got = warc.with_originals(warc.read_archives(spark, path)).collect()
     assert len(got) == len(rows)
     kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got)
