@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a pair occurrence index (operator 5).
 
-All distinct words of a batch that the worker hasn't met before are laid out as one linked list of symbols.  An index
-maps each adjacent pair that has a merge to all its positions.  Active ranks are applied in ascending order: every
+A task takes its partition in slices of whole texts.  All distinct words of a slice that the worker hasn't met before are
+laid out as one linked list of symbols.  An index maps each adjacent pair that has a merge to all its positions there.  Active ranks are applied in ascending order: every
 still valid occurrence of the pair is merged, left to right, and the pairs that the merge makes with its neighbours
 join the lists of their own ranks.  A merge's parts always have smaller ranks than what they make, so no rank becomes
 active after it was passed.
@@ -75,7 +75,7 @@ def encode_words(words: list[np.ndarray], merge: dict[tuple[int, int], int]) ->
 class WordCodec:
     """Encodes and decodes for one Python worker; remembers words it has met, up to ``max_words`` of them."""
 
-    def __init__(self, vocab: Vocabulary, max_words: int = 400_000):
+    def __init__(self, vocab: Vocabulary, max_words: int = 150_000):
         self.vocab, self.max_words = vocab, max_words
         self.names = [t.encode() for t in vocab.tokens]
         self.forget()
@@ -167,7 +167,8 @@ def bpe_encode(docs: DataFrame, text: str = "text", tokenizer_path: str | None =
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([ids.astype(np.int32) for some in slices(batch.tolist()) for ids, _ in codec(source.value).encode(some)], dtype=object)
+            for some in slices(batch.tolist()):
+                yield pd.Series([ids.astype(np.int32) for ids, _ in codec(source.value).encode(some)], dtype=object)
 
     return docs.withColumn(output, encode(null_to_empty(text)))
 
@@ -195,12 +196,9 @@ def bpe_digests(docs: DataFrame, text: str = "text", tokenizer_path: str | None
     @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                for some in slices(batch.tolist())
-                for ids, decoded in codec(source.value).encode(some)
-            ]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            for some in slices(batch.tolist()):
+                rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("_bpe", digest(null_to_empty(text))).select("*", "_bpe.*").drop("_bpe")
 
@@ -211,5 +209,21 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``lang``, ``source``, ``n_tokens`` and ``ids`` of every document; its text is what the ids stand for."""
-    return bpe_encode(docs, output="ids").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """All columns of every document, with ``ids``, ``n_tokens`` and the digest of the text they decode to (``decoded_sha256``).
+
+    Columns of these names are replaced.
+    """
+    source, new = tokenizer_source(spark, None), ("ids", "n_tokens", "decoded_sha256")
+
+    @F.pandas_udf("struct<ids: array<int>, n_tokens: long, decoded_sha256: string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for some in slices(batch.tolist()):
+                rows = [(ids.astype(np.int32), len(ids), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
+                yield pd.DataFrame(rows, columns=list(new))
+
+    # the columns go along under names that can't clash
+    own = {c: f"in{i}" for i, c in enumerate(docs.columns) if c not in new}
+    named = docs.select(*[F.col(c).alias(x) for c, x in own.items()])
+    out = named.withColumn("bpe", both(null_to_empty(own["text"])))
+    return out.select(*[F.col(x).alias(c) for c, x in own.items()], "bpe.*")

@@ -38,9 +38,12 @@ def test_stages(spark, tokenizer_file):
     bad = {i for i, _ in brute.contaminated([(r.doc_id, r.text) for r in cut.collect()], items)}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in cut.collect()} - bad
 
-    ids = {r.doc_id: r.ids for r in stage["bpe"](spark, clean, SF).collect()}
-    for r in clean.collect():
-        assert ids[r.doc_id] == tokenizer_file.encode(r.text, add_special_tokens=False).ids
+    coded = stage["bpe"](spark, clean, SF).collect()
+    ids = {r.doc_id: r.ids for r in coded}
+    for r in coded:
+        want = tokenizer_file.encode(r.text, add_special_tokens=False).ids
+        assert r.ids == want and r.n_tokens == len(want) and r.decoded_sha256 == brute.sha(tokenizer_file.decode(want, skip_special_tokens=False))
+    assert {(r.doc_id, r.text, r.lang, r.source) for r in coded} == {(r.doc_id, r.text, r.lang, r.source) for r in clean.collect()}
     rows = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r.doc_id for r in rows) == Counter(ids.keys())
 
