@@ -1,7 +1,8 @@
 """Quality rules from repetition inside a document and line frequency across documents (operator 6).
 
 Everything is DataFrame functions.  The text is scanned once; what remains of a document is its counts and one hash
-and word count for each line, kept in a table in the shared folder, on which the frequency of lines is worked out.
+and word count for each line, kept in a table in the shared folder, on which the frequency of lines is worked out.  The
+texts themselves are only needed again to cut the frequent lines out of them.
 """
 
 from __future__ import annotations
@@ -74,16 +75,19 @@ def quality_rules(
     max_docs: int = 100,
     min_left: float = 0.3,
 ) -> DataFrame:
-    """One row per document: the counts, ``n_left`` (words outside frequent lines), ``base_failed`` and ``kept``.
-
-    A line is frequent on a host if more than ``max_docs`` distinct texts of that host hold it, white space and case
-    aside; exact copies of a text count once.  A document is depleted, and not kept, if less than ``min_left`` of its
-    words lie outside frequent lines.  ``base_failed`` documents (under 50 words, or more than half of the words in
-    repeated windows) aren't kept either.  A null text is empty, a null host a host of its own; rows with equal ids
-    are separate documents if their texts differ.  Other columns of ``docs`` are ignored.
+    """One row per document: the counts, ``n_left`` (words outside frequent lines), ``base_failed``, ``kept`` and ``frequent``.
+
+    A line is frequent on a host if more than ``max_docs`` documents of that host hold it, white space and case aside;
+    copies of a text count like any documents.  Frequent lines are removed (``without_frequent_lines`` gives the text;
+    ``frequent`` are the hashes of those that the document holds).  A document is depleted, and not kept, if less than
+    ``min_left`` of its words are left.  ``base_failed`` documents (under 50 words, or more than half of the words in
+    repeated windows) aren't kept either.  A null text is empty, a null host a host of its own; rows that repeat an id
+    count as one document of a line, and each gets a row; those without an id count as documents if their texts differ.
+    Other columns of ``docs`` are ignored.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(host), F.lit("\0")).alias("host"))
     scanned = document_counts(slim).select(
+        F.monotonically_increasing_id().alias("row"),
         "doc_id",
         "host",
         F.xxhash64("_text").alias("copy"),
@@ -98,20 +102,19 @@ def quality_rules(
         ).alias("lines"),
     )
     scanned = written(scanned, "quality-lines")
-    seen = scanned.select("host", "copy", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct()
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("copy")).alias("copy")).alias("document")
+    seen = scanned.select("host", document, F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct()
     frequent = seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h")
     lost = (
-        scanned.select("doc_id", "copy", "host", F.explode("lines").alias("line"))
-        .select("doc_id", "copy", "host", F.col("line.h").alias("h"), F.col("line.words").alias("words"))
-        .groupBy("doc_id", "copy", "host", "h")
+        scanned.select("row", "host", F.explode("lines").alias("line"))
+        .select("row", "host", F.col("line.h").alias("h"), F.col("line.words").alias("words"))
+        .groupBy("row", "host", "h")
         .agg(F.sum("words").alias("words"))
         .join(frequent, ["host", "h"])
-        .groupBy("doc_id", "copy", "host")
-        .agg(F.sum("words").alias("lost"))
+        .groupBy("row")
+        .agg(F.sum("words").alias("lost"), F.collect_list("h").alias("frequent"))
     )
-    lost = lost.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "copy", "host")], "lost")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "copy", "host")]
-    out = scanned.join(lost, same[0] & same[1] & same[2], "left").select(
+    out = scanned.join(lost, "row", "left").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -119,13 +122,31 @@ def quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         (F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))).alias("n_left"),
+        F.coalesce("frequent", F.array().cast("array<bigint>")).alias("frequent"),
+        "copy",
+        "host",
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left * F.col("n_words")))
 
 
+def without_frequent_lines(docs: DataFrame, verdicts: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The kept documents of ``docs``, their frequent lines cut out of the text; other columns stay.
+
+    ``verdicts``: what ``quality_rules`` says of the same documents.  Lines are told by their hashes, blank ones stay.  A
+    kept null text can't be (it has no words).
+    """
+    names = ("doc_id", "copy", "host", "kept", "frequent")
+    said = verdicts.where("kept").select(*[F.col(c).alias(f"_q_{c}") for c in names]).dropDuplicates(["_q_doc_id", "_q_copy", "_q_host"])
+    key = {"doc_id": F.col(doc_id), "copy": F.xxhash64(null_to_empty(text)), "host": F.coalesce(F.col(host), F.lit("\0"))}
+    same = [x.eqNullSafe(F.col(f"_q_{c}")) for c, x in key.items()]
+    joined = docs.join(said, same[0] & same[1] & same[2])
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_q_frequent", F.xxhash64(normal_line(x))))
+    return joined.withColumn(text, F.array_join(left, "\n")).select(*docs.columns)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("frequent", "copy", "host")
 
 
 OP6_SQL = r"""
@@ -148,7 +169,7 @@ WITH base AS (
          len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT doc_id, t, host, unnest(lines) AS l FROM split)
 ), frequent AS (
-  SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT t) > 100
+  SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT doc_id) > 100
 ), lost AS (
   SELECT doc_id, sum(n) AS n FROM norm JOIN frequent USING (host, line) GROUP BY doc_id
 ), counts AS (

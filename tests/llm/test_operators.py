@@ -444,10 +444,25 @@ def test_quality_rules_edges(spark, documents, docs, empty):
     one_host = quality_rules.quality_rules(docs.withColumn("source", F.lit(None).cast("string")), max_docs=1, min_left=0.6).collect()
     left = {r.doc_id: r for r in one_host}
     assert left[2].n_left == 120 and left[2].kept and left[9].n_left == 120
-    assert left[0].n_left == 120, "exact copies count once"
+    assert left[0].n_left == left[7].n_left == 0 and not left[7].kept, "copies are documents like any"
+    cleaned = {r.doc_id: r.text for r in quality_rules.without_frequent_lines(docs.withColumn("source", F.lit(None).cast("string")), spark.createDataFrame(one_host)).collect()}
+    assert set(cleaned) == {i for i, r in left.items() if r.kept} and all(len(t.split()) == left[i].n_left for i, t in cleaned.items())
+    assert cleaned[2] == dict(documents)[2].split("\n")[0] and cleaned[17] == dict(documents)[17]
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_quality_rules_of_repeated_rows(spark, documents):
+    text = documents[1][1] + "\nA line  of theirs\nlast"
+    rows = [(1, text, "h", 1)] * 3 + [(None, text, "h", 1)] * 2 + [(2, text.upper(), "h", 1), (3, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
+    got = quality_rules.quality_rules(frame, max_docs=2).collect()
+    assert len(got) == 7 and all(r.n_left == (0 if r.n_words else r.n_words) for r in got), "ids 1 and 2 and the text without an id hold the lines"
+    got = quality_rules.quality_rules(frame, max_docs=3)
+    assert all(r.n_left == r.n_words for r in got.collect()) and got.where("kept").count() == 6
+    kept = quality_rules.without_frequent_lines(frame, got)
+    assert kept.columns == frame.columns and sorted(r.text for r in kept.collect()) == sorted(t for _, t, _, _ in rows if t)
+
+
 def test_quality_rules_are_native(spark):
     plan = quality_rules.op6_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
