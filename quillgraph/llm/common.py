@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir``, or one made for a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -46,6 +48,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_glob(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [x.getPath().toString() for x in found or []]
+
+
 def written(df: DataFrame, name: str = "table", fewer: int = 1) -> DataFrame:
     """``df`` written once to the shared folder as zstd Parquet and read back: cuts lineage, survives lost executors.
 

@@ -1,12 +1,16 @@
 """Incremental removal of repeated word windows with a log-structured fingerprint index (operator 3).
 
-The index holds, in sorted immutable runs, the anchors of all windows of the history (see ``shared_windows``).  A new batch's anchors are merge-joined with each run; the batch becomes a
-run itself, and runs are compacted into one when there are too many.  Where an anchor is shared, the windows themselves
-are verified: by 128-bit hashes of whole units, and of single windows where units differ.
+The index holds, in sorted immutable runs, the anchors of all windows of the history (see ``shared_windows``); runs are
+tables bucketed and sorted by anchor.  A new batch's anchors become a run, which is merge-joined with the runs before it,
+bucket by bucket and without a shuffle; when there are too many runs, they are merged into one in the same way.  Where an
+anchor is shared, the windows themselves are verified: by 128-bit hashes of whole units, and of single windows where units
+differ.  A manifest names the runs and the units' hashes, so that a later session can go on with the next batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,49 +19,90 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, null_to_empty, shared_path, table, written
+from .common import delete_path, null_to_empty, path_glob, shared_path, table, written
 from .shared_windows import content_hashes, covered, units
 from .word_hashes import BASE, mix, text_slices, window_hashes, words_of
 
 SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 LAST = (1 << 63) - 1
+UNITS = "d long, t long, anchor long, u1 long, u2 long, l int, r int, first boolean"
 
 
 class FingerprintIndex:
-    """Runs of ``anchor``: the distinct anchors of some batches, sorted, written once and never changed.
+    """Runs of ``anchor`` (and ``many``, whether several documents of a batch have it), written once and never changed.
 
-    ``max_runs``: with more of them, they are compacted into one before the next batch is looked up.
+    ``path``: a folder that all executors share; an index that is there already is opened.  ``max_runs``: with more of
+    them, they are compacted into one before the next batch is looked up.  ``buckets``: of the runs (by default as many
+    as shuffle partitions), fixed when the index is made.
     """
 
-    def __init__(self, spark: SparkSession, max_runs: int = 1):
-        self.spark, self.max_runs, self.runs = spark, max_runs, []
+    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 1, buckets: int | None = None):
+        self.spark, self.path, self.max_runs = spark, (path or shared_path(spark, "fingerprints")).rstrip("/"), max_runs
+        self.names: dict[str, str] = {}
+        found = sorted(path_glob(spark, f"{self.path}/manifest-*/_SUCCESS"))
+        state = json.loads(spark.read.text(found[-1].rpartition("/")[0]).first()[0]) if found else {}
+        self.version, self.runs, self.batches = state.get("version", 0), state.get("runs", []), state.get("batches", [])
+        self.buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def write(self, anchors: DataFrame) -> str:
-        path = shared_path(self.spark, "fingerprints")
-        anchors.sortWithinPartitions("anchor").write.option("compression", "zstd").parquet(path)
-        return path
-
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("anchor long, many boolean").parquet(path)
+    def save(self) -> None:
+        """Write the next manifest; a folder counts once it is complete."""
+        self.version += 1
+        state = {"version": self.version, "buckets": self.buckets, "runs": self.runs, "batches": self.batches}
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:09d}")
 
-    def add(self, anchors: DataFrame) -> DataFrame:
-        """Take in a batch (``anchor``, once for each document); returns the anchors it shares with the history or within itself."""
+    def write(self, anchors: DataFrame) -> str:
+        run = f"run_{uuid.uuid4().hex}"
+        self.names[run] = f"fingerprint_{run}"
+        writer = anchors.write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").option("compression", "zstd")
+        writer.option("path", f"{self.path}/{run}").saveAsTable(self.names[run])
+        return run
+
+    def read(self, run: str) -> DataFrame:
+        if run not in self.names:
+            self.names[run] = f"fingerprint_{run}"
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.names[run]} (anchor BIGINT, many BOOLEAN) USING parquet "
+                f"CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'"
+            )
+        return self.spark.table(self.names[run])
+
+    def lookup(self, run: str, other: str) -> DataFrame:
+        """Anchors that both runs have."""
+        return self.read(run).select("anchor").hint("merge").join(self.read(other).select("anchor"), "anchor", "left_semi")
+
+    def add(self, units: DataFrame) -> DataFrame:
+        """Take in a batch (``window_units`` of its documents); returns the anchors it shares with the history or within itself."""
         if len(self.runs) > self.max_runs:
             self.compact()
-        path = self.write(anchors.groupBy("anchor").agg((F.count("*") > 1).alias("many")))
-        batch = self.read(path)
-        found = [batch.where("many").select("anchor")]
-        for run in self.runs:
-            found.append(batch.select("anchor").hint("merge").join(self.read(run).select("anchor"), "anchor", "left_semi"))
-        self.runs.append(path)
+        batch = f"units_{uuid.uuid4().hex}"
+        units.write.option("compression", "zstd").parquet(f"{self.path}/{batch}")
+        held = self.units([batch]).where("first").groupBy("anchor").agg((F.count("*") > 1).alias("many"))
+        run = self.write(held)
+        found = [self.read(run).where("many").select("anchor"), *[self.lookup(run, other) for other in self.runs]]
+        self.runs, self.batches = [*self.runs, run], [*self.batches, batch]
+        self.save()
         return written(reduce(DataFrame.union, found).distinct(), "shared-anchors", fewer=4)
 
+    def units(self, batches: list[str] | None = None) -> DataFrame:
+        """Units of all batches, or of some."""
+        return self.spark.read.schema(UNITS).parquet(*[f"{self.path}/{b}" for b in (batches or self.batches)])
+
     def compact(self) -> None:
-        """Merge all runs into one and delete them."""
-        old = self.runs
-        self.runs = [self.write(reduce(DataFrame.union, [self.read(p) for p in old]).groupBy("anchor").agg(F.max("many").alias("many")))]
-        for path in old:
-            delete_path(self.spark, path)
+        """Merge all runs into one, bucket by bucket, and delete them."""
+        old, merged = self.runs, self.read(self.runs[0])
+        for run in old[1:]:
+            more = self.read(run).withColumnRenamed("many", "more").hint("merge")
+            merged = merged.join(more, "anchor", "full").select("anchor", (F.coalesce("many", F.lit(False)) | F.coalesce("more", F.lit(False))).alias("many"))
+        self.runs = [self.write(merged)]
+        self.save()
+        for run in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(run)}")
+            delete_path(self.spark, f"{self.path}/{run}")
+
+    def close(self) -> None:
+        """Forget the tables' names; the files stay."""
+        while self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.popitem()[1]}")
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -97,7 +142,7 @@ def window_units(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     }
                 )
 
-    return docs.select("text", "d", "t").mapInPandas(make, "d long, t long, anchor long, u1 long, u2 long, l int, r int, first boolean")
+    return docs.select("text", "d", "t").mapInPandas(make, UNITS)
 
 
 def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
@@ -117,25 +162,16 @@ def single_windows(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame
     return joined.mapInPandas(make, "d long, t long, w1 long, w2 long, l int")
 
 
-def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 8, max_runs: int = 1) -> DataFrame:
+def verified(units: DataFrame, anchors: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """``d``, ``t``, ``l``, ``r``: the windows l to r of the document also start in one with a smaller ``d``.
 
-    ``docs`` as ``keyed`` makes it.  It is taken in as ``batches`` batches by rising id, as they would arrive.
+    ``units`` of all documents concerned, the ``anchors`` in question, and ``docs`` (as ``keyed`` makes them) for the
+    windows of units that share an anchor but not all of their words.
     """
-    spark = docs.sparkSession
-    every = written(window_units(docs, window, gram), "window-units")
-    index = FingerprintIndex(spark, max_runs)
-    cuts = sorted(set(docs.where(F.col("d") < LAST).approxQuantile("d", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    edges = [None, *map(int, cuts), None]
-    shared = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = every if low is None else every.where(F.col("d") > low)
-        batch = batch if high is None else batch.where(F.col("d") <= high)
-        shared.append(index.add(batch.where("first").select("anchor")))
-    anchors = reduce(DataFrame.union, shared).distinct()
-    some = written(every.drop("first").join(anchors, "anchor", "left_semi"), "shared-units")
+    some = written(units.drop("first").join(anchors, "anchor", "left_semi"), "shared-units")
     first = some.groupBy("u1", "u2").agg(F.min("d").alias("lo"))
-    several = some.groupBy("anchor").agg(F.min("u1").alias("a"), F.max("u1").alias("b")).where("a <> b").select("anchor")
+    # written, so that the join below reads both sides from exchanges that Spark may split where an anchor is very common
+    several = written(some.groupBy("anchor").agg(F.min("u1").alias("a"), F.max("u1").alias("b")).where("a <> b").select("anchor"), "open-anchors", fewer=16)
     matched = some.join(first, ["u1", "u2"])
     whole = matched.where("d > lo").select("d", "t", "l", "r")
     # the first holder of each distinct unit stands for it where an anchor has several
@@ -146,15 +182,46 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
     return whole.union(single)
 
 
+def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 8, max_runs: int = 1) -> DataFrame:
+    """As ``verified``, for ``docs`` (as ``keyed`` makes it) taken in as ``batches`` batches by rising id, as they would arrive."""
+    index = FingerprintIndex(docs.sparkSession, max_runs=max_runs)
+    cuts = sorted(set(docs.where(F.col("d") < LAST).approxQuantile("d", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    edges = [None, *map(int, cuts), None]
+    shared = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        batch = docs if low is None else docs.where(F.col("d") > low)
+        batch = batch if high is None else batch.where(F.col("d") <= high)
+        shared.append(index.add(window_units(batch, window, gram)))
+    index.close()
+    return verified(index.units(), reduce(DataFrame.union, shared).distinct(), docs, window)
+
+
 def remove_repeats(docs: DataFrame, batches: int = 3, window: int = 50, gram: int = 8, max_runs: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (remaining words joined by one space).
 
     Words of windows of ``window`` words that also start in a document with a smaller id are removed; all windows are
     judged on the input.  Null texts have no words; texts under ``window`` words lose none.  A null id counts as larger
-    than any other; rows with equal ids never remove each other's words, and each gets a result of its own.
+    than any other; rows with equal ids never remove each other's words, and each gets a result of its own.  Other
+    columns are ignored.
     """
     rows = keyed(docs)
-    spans = repeated_windows(rows, batches, window, gram, max_runs)
+    return cut_windows(rows, repeated_windows(rows, batches, window, gram, max_runs), window)
+
+
+def remove_repeats_of_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
+    """As ``remove_repeats``, for the documents of a new batch, against the ``history`` that the index holds and each other.
+
+    The batch is taken in; what earlier batches gave stays as it was.  ``history``: the documents taken in before; of
+    their texts, only those are read that share an anchor but not a whole unit with the batch.
+    """
+    rows, before = keyed(batch), keyed(history)
+    anchors = index.add(window_units(rows, window, gram))
+    spans = verified(index.units(), anchors, before.union(rows), window)
+    return cut_windows(rows, spans, window)
+
+
+def cut_windows(rows: DataFrame, spans: DataFrame, window: int) -> DataFrame:
+    """``rows`` (as ``keyed`` makes them) without the words of their ``spans``."""
     lists = spans.groupBy("d", "t").agg(F.collect_list("l").alias("l"), F.collect_list("r").alias("r"))
 
     def cut(batches_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

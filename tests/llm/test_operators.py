@@ -273,6 +273,41 @@ def test_repeated_words_edges(spark, documents, empty):
     assert [r.n_removed for r in got if r.doc_id is None] == [120]
 
 
+def test_index_is_kept_for_later_batches(spark, documents, tmp_path):
+    """Add, close, open in a new index object, add again: as all at once, for documents that come by rising id."""
+    schema, path = "doc_id long, text string", f"file://{tmp_path}/index"
+    rows = sorted((i, t) for i, t in documents)
+    parts = [rows[:8], rows[8:9], rows[9:15], rows[15:]]
+    got, before = [], spark.createDataFrame([], schema)
+    for part in parts:
+        index = substring_dedup.FingerprintIndex(spark, path, max_runs=2, buckets=3)
+        batch = spark.createDataFrame(part, schema)
+        got += substring_dedup.remove_repeats_of_batch(index, batch, before).collect()
+        index.close()
+        before = before.union(batch)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute.repeated_words(documents)
+    again = substring_dedup.FingerprintIndex(spark, path, buckets=99)
+    assert again.buckets == 3 and len(again.runs) <= 3 and len(again.batches) == 4
+    again.close()
+
+
+def test_runs_merge_without_a_shuffle(spark, docs):
+    index = substring_dedup.FingerprintIndex(spark, max_runs=5, buckets=3)
+    units = substring_dedup.keyed(docs)
+    for low, high in ((0, 8), (8, 13), (13, 99)):
+        index.add(substring_dedup.window_units(units.where(F.col("d").between(low, high - 1)), 50, 8))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = index.lookup(index.runs[2], index.runs[0])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    every = {a for run in index.runs for (a,) in index.read(run).select("anchor").collect()}
+    index.compact()
+    assert len(index.runs) == 1 and sorted(r.anchor for r in index.read(index.runs[0]).collect()) == sorted(every)
+    index.close()
+
+
 # 9
 
 
