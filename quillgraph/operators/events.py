@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +70,14 @@ def pending_paths(events: DataFrame) -> DataFrame:
     return rows.groupBy("workspace", "path").agg(F.max_by("kind", "seq").alias("kind"))
 
 
+def places(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``place``: 1, 2, ... within the workspace, by time."""
+    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("workspace").orderBy("ts", "job_id")))
+
+
 def coalesced(jobs: DataFrame, limit: int = 50) -> DataFrame:
     """``workspace``, ``batch``, ``n_jobs``: the first ``limit`` jobs of a workspace alone, all later ones as one."""
-    pos = F.row_number().over(Window.partitionBy("workspace").orderBy("ts", "job_id"))
-    return jobs.withColumn("batch", F.least(pos, F.lit(limit + 1))).groupBy("workspace", "batch").agg(F.count("*").alias("n_jobs"))
+    return places(jobs).withColumn("batch", F.least("place", F.lit(limit + 1))).groupBy("workspace", "batch").agg(F.count("*").alias("n_jobs"))
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -86,15 +91,30 @@ def ring(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
 
 
 def distinct_jobs(requests: DataFrame) -> DataFrame:
-    """Job requests that start a job; one of a (workspace, type) whose job is pending or running returns that job's id.
+    """Requests with ``job_id``: one that finds the job of its (workspace, type) still running is absorbed by it, others start one.
 
-    ``requests``: request_id, workspace, type, ts, done_ts (when its job would end).  A job runs from its request on; a
-    request is absorbed if it comes before the end of the job that the latest starting request began.
+    ``requests``: request_id, workspace, type, ts, done_ts (when its job would end, if it starts one).  A running total of
+    ``done_ts`` shows where a queue is idle whatever ran before; between two such points requests are followed in order,
+    as what an absorbed request would have taken doesn't count.
     """
     order = Window.partitionBy("workspace", "type").orderBy("ts", "request_id")
-    busy = F.max("done_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(busy.isNull() | (F.col("ts") >= busy), F.col("request_id"))
-    return requests.withColumn("job_id", F.last(fresh, ignorenulls=True).over(order))
+    latest = F.max("done_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    idle = F.when(latest.isNull() | (F.col("ts") >= latest), F.col("request_id"))
+    rows = requests.withColumn("_stretch", F.last(idle, ignorenulls=True).over(order))
+    times = rows.select("workspace", "type", "_stretch", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.unix_micros(F.col("done_ts").cast("timestamp")).alias("done"))
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "request_id"])
+        jobs, job, end = [], None, None
+        for request, at, done in zip(rows["request_id"], rows["at"], rows["done"], strict=True):
+            if job is None or at >= end:
+                job, end = request, done
+            jobs.append(job)
+        return pd.DataFrame({"request_id": rows["request_id"], "job_id": jobs})
+
+    kind = dict(requests.dtypes)["request_id"]
+    jobs = times.groupBy("workspace", "type", "_stretch").applyInPandas(follow, f"request_id {kind}, job_id {kind}")
+    return requests.join(jobs, "request_id").select(*requests.columns, "job_id")
 
 
 def workspace_summary(workspaces: DataFrame, decided: DataFrame) -> DataFrame:

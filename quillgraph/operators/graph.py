@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +96,13 @@ def degrees(edges: DataFrame, notes: DataFrame, visits: bool = True) -> DataFram
 
 
 def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` with its lineage cut: a reliable checkpoint in the shared folder, or a cache where a session has none."""
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.cache()
+    """``df`` with its lineage cut: a reliable checkpoint in the shared folder, or a temporary one of a local session."""
+    if not spark.sparkContext.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="quillgraph-"))
+    return df.checkpoint()
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: list[str] | None = None, max_depth: int = 8) -> DataFrame:
@@ -110,7 +113,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: list[str] | None
     one join per hop with the frontier, which keeps the visited set of a pair in one state table.
     """
     spark = edges.sparkSession
-    near = adjacency(edges, labels)
+    near = cut(adjacency(edges, labels), spark)
     none = F.lit(None).cast("string")
     state = pairs.select("pair_id", F.col("start").alias("node_id"), none.alias("from_node_id"), none.alias("edge_label"), none.alias("edge_direction"), F.lit(0).alias("pos"))
     ends = pairs.select("pair_id", "end")

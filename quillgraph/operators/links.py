@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import stem
@@ -33,7 +33,7 @@ def resolve_links(links: DataFrame, notes: DataFrame, link_prefix: str = "") ->
     A target is looked up as a note id, with .md, as a path suffix and last by its stem in any case.  All four are
     lookups of one key each; targets are resolved once however often they occur.
     """
-    target = F.regexp_replace("target", f"^{link_prefix}", "") if link_prefix else F.col("target")
+    target = F.when(F.col("target").startswith(link_prefix), F.substring("target", len(link_prefix) + 1, 1 << 20)).otherwise(F.col("target")) if link_prefix else F.col("target")
     targets = links.select("workspace", "target").distinct()
     tries = targets.select(
         "workspace",
@@ -51,8 +51,3 @@ def resolve_links(links: DataFrame, notes: DataFrame, link_prefix: str = "") ->
     found = tries.join(ids.union(suffix_index(notes).select("workspace", "key", "note_id")), ["workspace", "key"])
     best = found.groupBy("workspace", "target").agg(F.min_by(F.struct("note_id", "how"), "pos").alias("b"))
     return links.join(best, ["workspace", "target"], "left").select(*links.columns, "b.note_id", "b.how")
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import stem, strip, tokens
 from quillgraph.functions.vectors import cosine, doubles, tag_boost
 
 #: Bytes of query vectors that may be sent to every executor.
@@ -103,10 +102,14 @@ def query_words(query: str) -> list[str]:
 
 
 def shared_words(text: Column, words: list[str]) -> Column:
-    """How many of ``words`` are normalized words of a text; one pattern each, without taking the text apart."""
+    """How many of ``words`` are normalized words of a text; one pattern each, without taking the text apart.
+
+    A pattern is only tried where the text holds the word's longest part, which is the cheaper test.
+    """
     edge, inner = r"[^a-z0-9\s]*", r"[^a-z0-9\s]+"
     lower = F.lower(text)
-    hits = [lower.rlike(rf"(?:^|\s){edge}{inner.join(w.split('_'))}{edge}(?:\s|$)").cast("int") for w in words]
+    found = lambda w: lower.contains(max(w.split("_"), key=len)) & lower.rlike(rf"(?:^|\s){edge}{inner.join(w.split('_'))}{edge}(?:\s|$)")
+    hits = [F.coalesce(found(w).cast("int"), F.lit(0)) for w in words]
     return reduce(add, hits, F.lit(0))
 
 
@@ -141,8 +144,14 @@ def boosted_seeds(hits: DataFrame, notes: DataFrame, query_tokens: Column) -> Da
     return kept.withColumn("score", tag_boost(F.col("score"), F.col("tags"), query_tokens))
 
 
-def name_tokens(title: Column, path: Column) -> Column:
-    return tokens(F.concat_ws(" ", strip(title), stem(path)))
+def module_score(path: Column) -> Column:
+    """The top folder 1, below it .04 less a level from 0.9 on."""
+    depth = F.size(F.split(path, "/")) - 1
+    return F.when(depth == 0, F.lit(1.0)).otherwise(0.9 - 0.04 * F.least(depth, F.lit(5)))
+
+
+def hub_score(degree: Column) -> Column:
+    return 0.55 + F.least(degree, F.lit(20)) / 40
 
 
 def discovery(notes: DataFrame, degree: DataFrame, k: int = 8) -> DataFrame:
@@ -155,8 +164,7 @@ def discovery(notes: DataFrame, degree: DataFrame, k: int = 8) -> DataFrame:
     rows = notes.where("note_type <> 'index'").join(degree, "note_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     files = rows.where((F.col("tier") == "2") & F.array_contains("tags", "entrypoint"))
     half = max(2, k // 2)
-    module = F.when(depth == 0, F.lit(1.0)).otherwise(0.9 - 0.04 * F.least(depth, F.lit(5)))
-    hub = 0.55 + F.least("degree", F.lit(20)) / 40
+    module, hub = module_score(F.col("path")), hub_score(F.col("degree"))
     lists = [
         ("entrypoint", files.select("note_id", "path", F.lit(1.0).alias("score")), [depth, F.col("path")], half),
         ("module", rows.where("tier = '3'").select("note_id", "path", module.alias("score")), [F.desc(F.round("score", 9)), depth, F.col("path")], k),

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def child_hashes(children: DataFrame) -> DataFrame:
-    """``parent``, ``n_children``, ``child_hash``: sha256 of the children's ``link`` and ``summary`` lines, by link.
+    """``parent``, ``n_children``, ``child_hash``: changes if any child's ``link`` or ``summary`` does, whatever the order.
 
-    A parent is a file or a folder, so its children fit into a group.
+    A sum of the children's hashes, so that it combines before it shuffles and a parent may have any number of children.
     """
-    lines = F.array_sort(F.collect_list(F.struct("link", "summary")))
-    joined = F.array_join(F.transform(lines, lambda x: F.concat_ws("\n", x["link"], x["summary"])), "\n")
-    return children.groupBy("parent").agg(F.count("*").alias("n_children"), F.sha2(joined, 256).alias("child_hash"))
+    digest = F.md5(F.concat_ws("\n", "link", "summary"))
+    number = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
+    return children.groupBy("parent").agg(F.count("*").alias("n_children"), F.sum(number).cast("string").alias("child_hash"))
 
 
 def needs_summary(notes: DataFrame, stored: DataFrame, settings: list[str]) -> DataFrame:
@@ -25,8 +25,15 @@ def needs_summary(notes: DataFrame, stored: DataFrame, settings: list[str]) -> D
     return both.select("note_id", stale.alias("stale"))
 
 
-def child_context(children: DataFrame, budget: int) -> DataFrame:
-    """``parent``, ``link``, ``part``: children's texts in order of link, cut where the parent's budget of characters ends."""
-    before = Window.partitionBy("parent").orderBy("link").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    return children.withColumn("_spent", spent).where(F.col("_spent") < budget).select("parent", "link", F.expr(f"substring(text, 1, {budget} - _spent)").alias("part"))
+def child_context(children: DataFrame, budget: int, parts: int = 64) -> DataFrame:
+    """``parent``, ``link``, ``part``: children's texts in order of link, cut where the parent's budget of characters ends.
+
+    What lies beyond the budget of a part of a parent's children lies beyond that of all, so the parts leave out most
+    first; the order of all is then worked out on links and lengths, and texts are joined to the few that are kept.
+    """
+    slim = children.select("parent", "link", F.length("text").alias("n"))
+    spent = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("link").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slim = slim.withColumn("_part", F.pmod(F.xxhash64("link"), F.lit(parts)))
+    near = slim.withColumn("_spent", spent("parent", "_part")).where(F.col("_spent") < budget)
+    kept = near.withColumn("_spent", spent("parent")).where(F.col("_spent") < budget).select("parent", "link", "_spent")
+    return children.join(kept, ["parent", "link"]).select("parent", "link", F.expr(f"substring(text, 1, {budget} - _spent)").alias("part"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -198,7 +198,7 @@ def fronted(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     close = F.when(F.col("doc_id") % 5 == 0, "").otherwise("---\n")
     head = F.concat(F.lit("---\ntype: Tool\ntier: "), (F.col("doc_id") % 4).cast("string"), F.lit("\nparentFile:  a/b"), n, F.lit(".md \ntags:\n  - X "), "lang", F.lit("\n  - two\n"), close)
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(head, F.lit("\n Body"), n).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(head, F.lit("\n"), "text").alias("text"))
 
 
 @register(
@@ -385,9 +385,9 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_paths(X.star_edges(spark, sf_dir), pairs)
 
 
-@register(path_sql("""SELECT 1 AS pair_id, 'c:1' AS "start", 'c:77' AS "end" UNION ALL SELECT 2, 'n:1', 'r:0'""", "WHERE label IN ('CALLS', 'BELONGS_TO')", STEPS_SQL))
+@register(path_sql("""SELECT 1 AS pair_id, 'c:1' AS "start", 'c:77' AS "end" UNION ALL SELECT 2, 'n:1', 'n:3' UNION ALL SELECT 3, 'n:1', 'c:1'""", "WHERE label IN ('CALLS', 'BELONGS_TO')", STEPS_SQL))
 def path_with_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pairs_of(spark, [(1, "c:1", "c:77"), (2, "n:1", "r:0")])
+    pairs = pairs_of(spark, [(1, "c:1", "c:77"), (2, "n:1", "n:3"), (3, "n:1", "c:1")])
     return graph.shortest_paths(X.star_edges(spark, sf_dir), pairs, ["CALLS", "BELONGS_TO"])
 
 
@@ -463,9 +463,7 @@ def expand_calls_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {STAR_NOTES_SQL} SELECT note_id, round(CASE WHEN d = 0 THEN 1 ELSE 0.9 - 0.04 * least(d, 5) END, 6) AS score FROM (SELECT *, len(string_split(path, '/')) - 1 AS d FROM star WHERE tier = '3')"
 )
 def discovery_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    depth = F.size(F.split("path", "/")) - 1
-    score = F.when(depth == 0, F.lit(1.0)).otherwise(0.9 - 0.04 * F.least(depth, F.lit(5)))
-    return X.star_notes(spark, sf_dir).where("tier = '3'").select("note_id", rounded(score).alias("score"))
+    return X.star_notes(spark, sf_dir).where("tier = '3'").select("note_id", rounded(retrieval.module_score(F.col("path"))).alias("score"))
 
 
 INSIDE_ALL = DEGREE_SQL.replace(", degree AS", ", inside AS (SELECT note_id FROM star), degree AS")
@@ -475,7 +473,7 @@ INSIDE_ALL = DEGREE_SQL.replace(", degree AS", ", inside AS (SELECT note_id FROM
 def discovery_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.star_notes(spark, sf_dir)
     hubs = graph.degrees(X.star_edges(spark, sf_dir), n).join(n.where("tier IN ('2', '3')").select("note_id"), "note_id")
-    return hubs.select("note_id", "degree", rounded(0.55 + F.least("degree", F.lit(20)) / 40).alias("score"))
+    return hubs.select("note_id", "degree", rounded(retrieval.hub_score(F.col("degree"))).alias("score"))
 
 
 @register(
@@ -614,16 +612,21 @@ def job_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {PUSHES_SQL} SELECT event_id AS job_id, workspace, row_number() OVER (PARTITION BY workspace ORDER BY ts, event_id)::INT AS place FROM pushes")
 def job_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("workspace").orderBy("ts", "event_id")
-    return X.pushes(spark, sf_dir).select(F.col("event_id").alias("job_id"), "workspace", F.row_number().over(order).alias("place"))
+    return events.places(X.pushes(spark, sf_dir).select(F.col("event_id").alias("job_id"), "workspace", "ts")).drop("ts")
 
 
 @register(
     f"""
-WITH {PUSHES_SQL}, r AS (
-  SELECT event_id AS request_id, workspace, ref, ts, max(ts + INTERVAL 2 HOUR) OVER (PARTITION BY workspace, ref ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM pushes
+WITH RECURSIVE {PUSHES_SQL}, r AS (
+  SELECT event_id AS request_id, workspace, ref, ts, row_number() OVER (PARTITION BY workspace, ref ORDER BY ts, event_id) AS n FROM pushes
+), after AS (  -- the first request that finds the job of a request ended
+  SELECT a.workspace, a.ref, a.n, min(b.n) AS then FROM r a JOIN r b ON b.workspace = a.workspace AND b.ref = a.ref AND b.n > a.n AND b.ts >= a.ts + INTERVAL 2 HOUR GROUP BY ALL
+), started AS (
+  SELECT workspace, ref, n FROM r WHERE n = 1 UNION ALL SELECT a.workspace, a.ref, a.then FROM started s JOIN after a USING (workspace, ref, n)
+), jobs AS (
+  SELECT r.workspace, r.ref, r.n, r.request_id AS job_id, lead(r.n) OVER (PARTITION BY r.workspace, r.ref ORDER BY r.n) AS upto FROM started JOIN r USING (workspace, ref, n)
 )
-SELECT request_id, last_value(CASE WHEN busy IS NULL OR ts >= busy THEN request_id END IGNORE NULLS) OVER (PARTITION BY workspace, ref ORDER BY ts, request_id) AS job_id FROM r"""
+SELECT r.request_id, j.job_id FROM r JOIN jobs j ON j.workspace = r.workspace AND j.ref = r.ref AND r.n >= j.n AND (j.upto IS NULL OR r.n < j.upto)"""
 )
 def job_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.pushes(spark, sf_dir)
@@ -691,10 +694,10 @@ def registry_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     """
 SELECT DISTINCT 'o' || a.o_custkey AS caller, 's' || l_suppkey AS callee FROM orders a JOIN lineitem ON a.o_orderkey = l_orderkey
-WHERE l_linenumber = 1 AND a.o_custkey % 50 <> l_suppkey % 50"""
+WHERE a.o_custkey % 50 <> l_suppkey % 50"""
 )
 def call_graph_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     sites = o.join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(
         (F.col("o_custkey") % 50).cast("string").alias("path"), F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("name")
     )
@@ -711,7 +714,7 @@ def interval_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", mirror.enclosing(spans, F.col("l_quantity").cast("int")).alias("fn"))
 
 
-@register("SELECT 'n' || c_nationkey AS parent, count(*) AS n_children, sha256(string_agg(c_name || chr(10) || c_mktsegment, chr(10) ORDER BY c_name)) AS child_hash FROM customer GROUP BY c_nationkey")
+@register("SELECT 'n' || c_nationkey AS parent, count(*) AS n_children, sum(('0x' || md5(c_name || chr(10) || c_mktsegment)[1:15])::BIGINT)::VARCHAR AS child_hash FROM customer GROUP BY c_nationkey")
 def children_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.col("c_name").alias("link"), F.col("c_mktsegment").alias("summary"))
     return summaries.child_hashes(c)
@@ -746,8 +749,7 @@ def entrypoint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("page_id") % 4
     path = F.when(m == 0, "scripts/x.py").when(m == 1, "a/Main.py").otherwise("a/b.py")
     head = F.when(m == 0, "if __name__ == '__main__':\n").when(m == 1, "#!/bin/env python\n").when(m == 2, "p = ArgumentParser()\nuvicorn.run (x)\n").otherwise("")
-    plain = F.regexp_replace("html", "[^<>/ ]", "x")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(mirror.entrypoint_marks("py", path, F.concat(head, plain))).alias("marks"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(mirror.entrypoint_marks("py", path, F.concat(head, "html"))).alias("marks"))
 
 
 @register(

@@ -39,9 +39,9 @@ def key(prefix: str, column: str):
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urgent orders' first lines: which customer ordered from which supplier."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    """Which customer ordered from which supplier."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
 
 
@@ -92,7 +92,6 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAR_EDGES_SQL = """
 called AS (
   SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-  WHERE l_linenumber = 1 AND o_orderpriority LIKE '1%'
 ), contained AS (
   SELECT 'n:' || n_nationkey AS a, 'r:' || n_regionkey AS b, 'BELONGS_TO' AS up, 'CONTAINS' AS down FROM nation
   UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'DEFINED_IN', 'CONTAINS_SYMBOL' FROM customer

@@ -21,8 +21,9 @@ class KnowledgeSession:
         self.manifest: DataFrame | None = None
         self.ratings: list[dict] = []
 
-    def scan(self) -> DataFrame:
-        return parse_notes(files.read_markdown(self.spark, self.root, self.workspace))
+    def scan(self, paths: DataFrame | None = None) -> DataFrame:
+        """Parsed notes of all files, or of some (rel_path)."""
+        return parse_notes(files.read_markdown(self.spark, self.root, self.workspace, paths))
 
     def build(self) -> KnowledgeSession:
         """Read everything anew."""
@@ -49,7 +50,7 @@ class KnowledgeSession:
         """Take in changed files only; counts of notes added, updated and removed."""
         now = cut(files.snapshot(self.spark, self.root), self.spark)
         delta = cut(incremental.manifest_diff(now, self.manifest), self.spark)
-        fresh = self.scan().join(delta.where("change <> 'deleted'").select(F.col("rel_path").alias("note_id")), "note_id", "left_semi").select(*self.notes.columns)
+        fresh = cut(self.scan(delta.where("change <> 'deleted'").select("rel_path")), self.spark).select(*self.notes.columns)
         gone = delta.where("change = 'deleted'").select(F.col("rel_path").alias("note_id"))
         counts = {r.change: r.n for r in incremental.delta_counts(self.notes, fresh, gone).collect()}
         self.manifest = now

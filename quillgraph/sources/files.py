@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
 from functools import reduce
 from operator import or_
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +23,77 @@ LANGUAGES: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def relative(path: Column, root: str) -> Column:
-    """A file's path below ``root`` (both may carry a scheme)."""
-    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    return F.substring(plain(path), F.length(plain(F.lit(root.rstrip("/")))) + 2, F.lit(1 << 20))
+FILES = "rel_path string, mtime timestamp, size long"
+#: Folders from which on the tasks list the rest of a tree.
+DEALT_OUT = 64
+
+
+def file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """File system and plain path of a root: a local path, a file: path as it is, or a URI that Arrow can open."""
+    if (m := re.match("^file:/*(/.*)$", root)) or root.startswith("/"):
+        return pafs.LocalFileSystem(), (m[1] if m else root).rstrip("/") or "/"
+    fs, path = pafs.FileSystem.from_uri(root)
+    return fs, path.rstrip("/")
+
+
+def listed(fs: pafs.FileSystem, folder: str, pattern: str, pruned: tuple[str, ...]) -> tuple[list[str], list[pafs.FileInfo]]:
+    """Folders to go on with and matching files right in a folder."""
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    folders = [x.path for x in found if x.type == pafs.FileType.Directory and x.base_name not in pruned]
+    return folders, [x for x in found if x.type == pafs.FileType.File and fnmatchcase(x.base_name, pattern)]
+
+
+def file_list(spark: SparkSession, root: str, pattern: str, pruned: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
+    """``rel_path``, ``mtime``, ``size`` of every file of a pattern below ``root``; ``pruned`` folders aren't entered.
+
+    Spark's own file sources skip names that begin with an underscore and encode others, so trees of notes and sources
+    are listed by Arrow's file systems, which the executors must reach too: the upper folders here, the trees below the
+    first ``DEALT_OUT`` in tasks.
+    """
+    fs, top = file_system(root)
+    folders, files = [top], []
+    while folders and len(folders) < DEALT_OUT:
+        level, folders = folders, []
+        for folder in level:
+            more, here = listed(fs, folder, pattern, pruned)
+            folders += more
+            files += here
+    row = lambda x: (x.path[len(top) :].lstrip("/"), x.mtime, x.size)
+    out = spark.createDataFrame([row(x) for x in files], FILES)
+    if not folders:
+        return out
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = file_system(root)
+        for batch in batches:
+            for start in batch["folder"]:
+                open_ = [start]
+                while open_:
+                    more, here = listed(fs, open_.pop(), pattern, pruned)
+                    open_ += more
+                    yield pd.DataFrame([row(x) for x in here], columns=["rel_path", "mtime", "size"]).astype({"mtime": "datetime64[us, UTC]", "size": "int64"})
+
+    below = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(min(len(folders), 1024))
+    return out.union(below.mapInPandas(walk, FILES))
+
+
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """``rel_path``, ``content`` of the files ``paths`` (rel_path) below ``root``; files that are gone by then are left out.
+
+    Bytes that aren't UTF-8 are replaced.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = file_system(root)
+        for batch in batches:
+            for path in batch["rel_path"]:
+                try:
+                    with fs.open_input_stream(f"{top}/{path}") as stream:
+                        yield pd.DataFrame({"rel_path": [path], "content": [stream.read().decode("utf-8", "replace")]})
+                except FileNotFoundError:
+                    continue
+
+    return paths.select("rel_path").mapInPandas(read, "rel_path string, content string")
 
 
 def omitted(path: Column, patterns: list[str]) -> Column:
@@ -32,26 +104,29 @@ def omitted(path: Column, patterns: list[str]) -> Column:
     return reduce(or_, tests)
 
 
-def read_markdown(spark: SparkSession, root: str, workspace: str = "") -> DataFrame:
-    """``workspace``, ``note_id`` (path below root), ``text``: every .md file outside ignored folders."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
-    files = files.select(relative(F.col("_metadata.file_path"), root).alias("note_id"), F.col("value").alias("text"))
-    kept = ~F.exists(F.split("note_id", "/"), lambda s: s.isin(*IGNORED_DIRS))
-    return files.where(kept).select(F.lit(workspace).alias("workspace"), "note_id", "text")
+def read_markdown(spark: SparkSession, root: str, workspace: str = "", paths: DataFrame | None = None) -> DataFrame:
+    """``workspace``, ``note_id`` (path below root), ``text``: every .md file outside ignored folders, or some (rel_path)."""
+    files = read_files(dealt(file_list(spark, root, "*.md")) if paths is None else paths, root)
+    return files.select(F.lit(workspace).alias("workspace"), F.col("rel_path").alias("note_id"), F.col("content").alias("text"))
 
 
 def read_sources(spark: SparkSession, root: str, language: str, omit: list[str] | None = None) -> DataFrame:
     """``path``, ``source`` of every source file of a language."""
     pattern, default = LANGUAGES[language]
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
-    files = files.select(relative(F.col("_metadata.file_path"), root).alias("path"), F.col("value").alias("source"))
-    return files.where(~omitted(F.col("path"), default if omit is None else omit))
+    left_out = default if omit is None else omit
+    pruned = tuple(x for x in left_out if not x.startswith("*."))
+    files = file_list(spark, root, pattern, pruned).where(~omitted(F.col("rel_path"), left_out))
+    return read_files(dealt(files), root).select(F.col("rel_path").alias("path"), F.col("content").alias("source"))
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """Files dealt out evenly, whatever folder they were found in."""
+    return files.select("rel_path").repartition(files.sparkSession.sparkContext.defaultParallelism * 2)
 
 
 def snapshot(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """``rel_path``, ``mtime``, ``size`` without reading contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select(relative(F.col("path"), root).alias("rel_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return file_list(spark, root, pattern)
 
 
 def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,60 @@ def test_c_and_typescript_symbols(spark):
     assert [tuple(r) for r in mirror.import_edges(mirror.symbols(src, "ts"), src, "ts").collect()] == [("x/y.ts", "x/x/index.ts")]
 
 
+def test_any_name_is_read(spark, tmp_path):
+    """Names with an underscore, a space, a letter beyond ASCII; ignored folders; many folders; changes of such files."""
+    names = ["_module.md", "a b.md", "é.md", "x/_module.md", "x/100%25.md", *[f"d{i}/{i % 7}/n.md" for i in range(90)]]
+    for name in [*names, "node_modules/p/n.md", "d1/.venv/n.md"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# Title\nof {name}")
+    s = KnowledgeSession(spark, f"file://{tmp_path}").build()
+    assert {r.note_id: r.body for r in s.notes.collect()} == {n: f"# Title\nof {n}" for n in names}
+    assert {r.rel_path for r in s.manifest.collect()} == set(names) and s.update() == {}
+    for name in ("a b.md", "_module.md", "d7/0/n.md"):
+        (tmp_path / name).write_text(f"# Other\n{name} longer than before, by far")
+    (tmp_path / "é.md").unlink()
+    read = []
+    plain = files.read_files
+    files.read_files = lambda paths, root: read.append(paths.count()) or plain(paths, root)
+    try:
+        assert s.update() == {"updated": 3, "removed": 1}
+    finally:
+        files.read_files = plain
+    assert read == [3], "only changed files are read"
+    assert {r.title for r in s.notes.where("note_id IN ('a b.md', '_module.md')").collect()} == {"Other"}
+
+
+def test_package_files_are_sources(spark, tmp_path):
+    for name in ("p/__init__.py", "p/__main__.py", "p/a b.py", "p/.hidden/x.py", "venv/x.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1")
+    assert {r.path for r in files.read_sources(spark, str(tmp_path), "py").collect()} == {"p/__init__.py", "p/__main__.py", "p/a b.py"}
+
+
+def test_only_the_running_job_absorbs(spark):
+    rows = [(1, 0, 10), (2, 9, 19), (3, 12, 22), (4, 13, 90), (5, 22, 30), (6, 100, 101)]
+    ts = lambda x: datetime(2024, 1, 1) + timedelta(seconds=x)
+    frame = spark.createDataFrame([(i, "w", "t", ts(a), ts(b)) for i, a, b in rows], "request_id long, workspace string, type string, ts timestamp_ntz, done_ts timestamp_ntz")
+    assert {r.request_id: r.job_id for r in events.distinct_jobs(frame).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_child_context_is_cut_at_the_budget(spark):
+    rows = [("p", i, "x" * (i % 5) + str(i)) for i in range(300)] + [("q", 1, "abc"), ("q", 2, None), ("q", 3, "")]
+    got = {(r.parent, r.link): r.part for r in summaries.child_context(spark.createDataFrame(rows, "parent string, link long, text string"), 50, 4).collect()}
+    spent, want = {}, {}
+    for parent, link, text in rows:
+        if spent.get(parent, 0) < 50:
+            want[parent, link] = None if text is None else text[: 50 - spent.get(parent, 0)]
+        spent[parent] = spent.get(parent, 0) + len(text or "")
+    assert got == want
+
+
+def test_link_prefix_is_no_pattern(spark):
+    notes = spark.createDataFrame([("w", "a.md", "concept"), ("w", "b/c.md", "concept")], "workspace string, note_id string, note_type string")
+    found = links.resolve_links(spark.createDataFrame([("w", "k.(a"), ("w", "kx(b/c")], "workspace string, target string"), notes, "k.(").collect()
+    assert {r.target: r.note_id for r in found} == {"k.(a": "a.md", "kx(b/c": "b/c.md"}
+
+
 def test_source_scan_omits(spark, tmp_path):
     for name in ("a.py", "venv/b.py", ".git/c.py", "d.pyi", "s/e.py"):
         p = tmp_path / name
