@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, table
+from .common import give_back, null_to_empty, table
 from .tokenizer_files import tokenizer_source
 from .word_symbols import Vocabulary, load_vocabulary, pieces, symbols
 
@@ -147,12 +147,19 @@ def codec(source: str) -> WordCodec:
     return _CODECS[source]
 
 
+def rest(source: str) -> None:
+    """After a task: words are forgotten, the vocabulary stays."""
+    codec(source).forget()
+    give_back()
+
+
 def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters (one text at least), to bound the memory of a batch."""
     some, size = [], 0
     for text in texts:
         if some and size + len(text) > chars:
             yield some
+            give_back()
             some, size = [], 0
         some.append(text)
         size += len(text)
@@ -169,6 +176,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", tokenizer_path: str | None =
         for batch in batches:
             for some in slices(batch.tolist()):
                 yield pd.Series([ids.astype(np.int32) for ids, _ in codec(source.value).encode(some)], dtype=object)
+        rest(source.value)
 
     return docs.withColumn(output, encode(null_to_empty(text)))
 
@@ -199,6 +207,7 @@ def bpe_digests(docs: DataFrame, text: str = "text", tokenizer_path: str | None
             for some in slices(batch.tolist()):
                 rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        rest(source.value)
 
     return docs.withColumn("_bpe", digest(null_to_empty(text))).select("*", "_bpe.*").drop("_bpe")
 
@@ -221,6 +230,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for some in slices(batch.tolist()):
                 rows = [(ids.astype(np.int32), len(ids), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
                 yield pd.DataFrame(rows, columns=list(new))
+        rest(source.value)
 
     # the columns go along under names that can't clash
     own = {c: f"in{i}" for i, c in enumerate(docs.columns) if c not in new}

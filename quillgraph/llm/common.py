@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system.  Python workers live on from task to task, beside others of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 _MADE: list[str] = []
 
 

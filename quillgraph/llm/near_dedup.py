@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SENT_ROWS, null_to_empty, table, written
+from .common import SENT_ROWS, give_back, null_to_empty, table, written
 from .components import components
 from .word_hashes import mix, text_slices, window_hashes, words_of
 
@@ -127,6 +127,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out["bands"] = [k if w else [] for k, w in zip(keys, words.tolist(), strict=True)]
                 out["registers"] = [x.tobytes() for x in bytes_]
                 yield out
+        give_back()
 
     return docs.mapInPandas(make, "d long, t1 long, t2 long, bands array<long>, registers binary")
 
@@ -162,6 +163,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
                         "counts": [count[a:b][o].astype(np.int32) for a, b, o in zip(upto, upto[1:], order, strict=False)],
                     }
                 )
+        give_back()
 
     return docs.select("d", "text").mapInPandas(make, "node long, shingles array<long>, counts array<int>")
 

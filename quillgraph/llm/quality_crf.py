@@ -249,6 +249,7 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
+    """The documents that the classifier accepts, with their columns, whatever these are called."""
     field = train_quality_field(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, field, score="_score", predicted="_predicted").where("_predicted = 1").select(*docs.columns)
+    named = docs.toDF(*[c if c == "text" else f"in_{c}" for c in docs.columns])
+    return score_quality(named, field).where("predicted = 1").drop("score", "predicted").toDF(*docs.columns)

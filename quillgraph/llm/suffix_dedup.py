@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import null_to_empty, table, written
+from .common import give_back, null_to_empty, table, written
 from .shared_windows import covered, units
 from .substring_dedup import LAST
 from .word_hashes import mix, window_hashes, word_hashes
@@ -166,6 +166,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             part, rest = split_anchor(a[starts], ranges)
             many = d[starts] != d[ends]
             out = [(i, block.number, rest[at][~many[at]], rest[at][many[at]]) for i, at in by_range(part)]
+        give_back()
         return frame(out, LISTED)
 
     def find_shared(rows: pd.DataFrame) -> pd.DataFrame:
@@ -224,6 +225,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
                 m = at[m]
                 shown = snippets(text, begin[m], end[m] - begin[m])[0].tobytes()
                 out.append((i, number, block.number, rest[m], doc[m], offset[m], (r - l + 1)[m], d[m], zstandard.compress(shown, 1)))
+        give_back()
         return frame(out, SENT)
 
     def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:
@@ -247,6 +249,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
                     m = left[m]
                     shown = snippets(data, (end - size)[m], size[m])[0].tobytes()
                     out.append((rows["range"].iat[0], -1, b, anchor[m], doc[m], l[m], n[m], d[m], zstandard.compress(shown, 1)))
+        give_back()
         typed = [(a, b, c, *(None if x is None else np.asarray(x, np.int32) for x in some), d, data) for a, b, c, *some, d, data in out]
         return pd.DataFrame(typed, columns=[c.split()[0] for c in SENT.split(", ")])
 
@@ -396,6 +399,7 @@ def remove_repeated_strings(
         }
         for name, values in added.items():
             out = out.append_column(name, pa.array(values, pa.int64()))
+        give_back()
         kept = [block.data[b:e][~lost[b:e]].tobytes() for b, e in zip(block.begins, ends, strict=True)]
         return out.append_column("kept", pa.array(kept, pa.binary()))
 

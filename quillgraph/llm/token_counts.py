@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, table
+from .common import give_back, null_to_empty, table
 from .tokenizer_files import tokenizer_source
 from .word_symbols import Vocabulary, load_vocabulary, pieces, symbols
 
@@ -228,6 +228,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer_path: str | None
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(count_texts(batch.tolist(), source.value))
+        give_back()
 
     return docs.withColumn(output, count(null_to_empty(text)))
 

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import give_back
+
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -87,6 +89,7 @@ def text_slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, in
             total += len(texts[j])
             j += 1
         yield i, j, [x.encode() for x in texts[i:j]]
+        give_back()
         i = j
 
 

@@ -56,3 +56,17 @@ def test_stages_on_awkward_documents(spark, documents, docs, empty):
     nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, docs.schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.union(nulls), SF).count() <= len(documents) + 2, name
+
+
+def test_stages_keep_any_columns(spark, documents, docs):
+    """Repeated ids and rows, ties, and extra columns with the names the stages use themselves."""
+    frame = docs.union(docs.where("doc_id < 3")).selectExpr(
+        "*", "doc_id AS score", "text AS predicted", "map(1, text) AS hits", "timestamp_micros(doc_id) AS kept", "doc_id AS node", "doc_id AS label", "'x' AS block", "doc_id AS ids", "n_chars AS n_tokens"
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.schema.names == frame.schema.names, name
+        before = {(r.doc_id, r.kept, r.label, r.n_tokens, str(r.hits)) for r in frame.collect()}
+        assert {(r.doc_id, r.kept, r.label, r.n_tokens, str(r.hits)) for r in out.collect()} <= before, name
+    last = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
+    assert last.count() == frame.count() and {"score", "hits", "node", "ids", "n_tokens", "decoded_sha256"} <= set(last.columns)
