@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions.vectors import cosine
 
-from .retrieval import best_per_note, boosted_seeds
+from .retrieval import boosted_seeds
 
 Provider = Callable[[list[str]], np.ndarray]
 
@@ -54,9 +54,14 @@ def chunk_table(notes: DataFrame, provider: str = "hash", size: int = 1536, over
     return rows.select("workspace", "note_id", "c.chunk_index", many.alias("chunk_id"), embed(F.col("c.text"), provider).alias("embedding"))
 
 
+def nearest_chunks(chunks: DataFrame, vector: Column, k: int = 8) -> DataFrame:
+    """``note_id``, ``chunk_id``, ``score`` of the ``k`` chunks nearest to a query's vector."""
+    scored = chunks.select("note_id", "chunk_id", cosine(F.col("embedding"), vector).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k)
+
+
 def hybrid_seeds(notes: DataFrame, chunks: DataFrame, query: str, k: int = 8, provider: str = "hash") -> DataFrame:
     """The notes of the ``k`` chunks nearest to a query, boosted by the tags that the query names, best first."""
     vector = F.array(*[F.lit(float(x)) for x in PROVIDERS[provider]([query])[0]])
-    hits = chunks.select("note_id", "chunk_id", cosine(F.col("embedding"), vector).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(k)
-    seeds = boosted_seeds(best_per_note(hits), notes, T.tokens(F.lit(query)))
+    seeds = boosted_seeds(nearest_chunks(chunks, vector, k), notes, T.tokens(F.lit(query)))
     return seeds.select("note_id", "path", "title", "score").orderBy(F.desc(F.round("score", 9)), "note_id")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.vectors import triple_factor
+
 # How much of a score passes over an edge, and how an edge reads.
 EDGE_WEIGHTS = {"CALLS": 0.80, "CONTAINS_SYMBOL": 0.85, "DEFINED_IN": 0.70, "CONTAINS": 0.70, "IMPORTS": 0.60, "LINKS_TO": 0.50, "BELONGS_TO": 0.40}
 EDGE_PHRASES = {
@@ -147,16 +150,50 @@ def walk_back(visited: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
     return out.select("pair_id", "pos", "node_id", "edge_label", F.coalesce("edge_direction", F.lit("")).alias("edge_direction"), "from_node_id")
 
 
-def expand(edges: DataFrame, notes: DataFrame, seeds: DataFrame, query_tokens: Column, depth: int = 1, down_threshold: float = 0.60) -> DataFrame:
+def triple_text(label: Column, direction: Column, title: Column, neighbour: Column) -> Column:
+    """An edge as a phrase, from its source to its target: "a calls b"."""
+    phrase = F.coalesce(by_label(label, EDGE_PHRASES), F.lower(label))
+    out = direction == "outgoing"
+    return F.concat_ws(" ", F.when(out, title).otherwise(neighbour), phrase, F.when(out, neighbour).otherwise(title))
+
+
+def path_notes(steps: DataFrame) -> DataFrame:
+    """Notes of shortest paths (``shortest_paths``), each once, from the first pair that meets it.
+
+    ``note_id``, ``pair_id``, ``pos``, ``score``: 1 at a path's ends, half as much in its middle, at least 0.5.
+    """
+    length = steps.groupBy("pair_id").agg(F.max("pos").alias("length"))
+    near = F.least("pos", F.col("length") - F.col("pos")) / F.greatest("length", F.lit(1))
+    scored = steps.join(length, "pair_id").select("node_id", "pair_id", "pos", F.greatest(F.lit(0.5), 1 - near * 0.5).alias("score"))
+    return scored.groupBy("node_id").agg(F.min(F.struct("pair_id", "pos", "score")).alias("f")).select(F.col("node_id").alias("note_id"), "f.*")
+
+
+def seed_pairs(seeds: DataFrame, most: int = 3) -> DataFrame:
+    """``pair_id`` (10 * first + second), ``start``, ``end`` of the first ``most`` seeds (note_id, pos), 9 at most."""
+    few = seeds.where(F.col("pos") <= most)
+    a, b = few.select(F.col("note_id").alias("start"), F.col("pos").alias("i")), few.select(F.col("note_id").alias("end"), F.col("pos").alias("j"))
+    return a.join(F.broadcast(b), F.col("i") < F.col("j")).select((10 * F.col("i") + F.col("j")).cast("int").alias("pair_id"), "start", "end")
+
+
+def expand(
+    edges: DataFrame,
+    notes: DataFrame,
+    seeds: DataFrame,
+    query_tokens: Column,
+    depth: int = 1,
+    down_threshold: float = 0.60,
+    similarity: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Neighbours of seeds with scores that pass over the edges.
 
-    ``seeds``: note_id, score, pos.  ``notes``: note_id, tier, tags, name_tokens.  Each neighbour is claimed once, by the
+    ``seeds``: note_id, score, pos.  ``notes``: note_id, tier, tags, name_tokens, title.  ``similarity``: of an edge's
+    phrase (``triple_text``) to the query; it scales the score by 0.6 to 1.4, without it nothing does.  Each neighbour is claimed once, by the
     first seed, then the first edge label, that reaches it.  Containment is followed downwards only from seeds of score
     ``down_threshold`` or more; imports only to notes whose name shares a token with the query.  Beyond the first hop
     only calls from symbols are followed.
     """
     near = adjacency(edges)
-    info = notes.select("note_id", "tier", "tags", "name_tokens")
+    info = notes.select("note_id", "tier", "tags", "name_tokens", *(["title"] if similarity else []))
     frontier = seeds.select("note_id", "score", "pos")
     seen = seeds.select("note_id")
     out = None
@@ -172,6 +209,11 @@ def expand(edges: DataFrame, notes: DataFrame, seeds: DataFrame, query_tokens: C
         claimed = reach.where(~down & ~sideways).withColumn("_n", F.row_number().over(first)).where("_n = 1")
         matches = F.size(F.filter("tags", lambda t: F.array_contains(query_tokens, t)))
         score = F.col("from_score") * by_label(F.col("label"), EDGE_WEIGHTS) * (1 + F.least(matches * 0.1, F.lit(0.3)))
+        if similarity:
+            named = notes.select(F.col("note_id").alias("linked_from"), F.col("title").alias("from_title"))
+            claimed = claimed.join(named, "linked_from", "left")
+            phrase = triple_text(F.col("label"), F.col("direction"), F.coalesce("from_title", "linked_from"), F.col("title"))
+            score = score * triple_factor(similarity(phrase))
         claimed = claimed.select("note_id", score.alias("score"), "linked_from", "label", "direction", F.lit(hop).alias("depth"), "tier", "pos")
         out = claimed if out is None else out.union(claimed)
         seen = seen.union(claimed.select("note_id"))

@@ -7,26 +7,61 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import excerpt
 
+from .graph import EDGE_PHRASES, by_label
+
 NOTHING = "<!-- nothing found -->"
 
 #: Sections in order: title, explanation, condition on tier and type.
 SECTIONS = [
     ("Module Context", "What each folder does.", "tier = '3'"),
     ("File Context", "Exports, imports and role of each file.", "tier = '2'"),
-    ("Symbol Details", "Signatures and behaviour.", "tier = '1'"),
+    ("Symbol Details", "Signatures and behaviour.", "tier = '1' AND NOT called"),
+    ("Call Relationships", "Symbols reached from other symbols of the answer.", "tier = '1' AND called"),
+    ("Path Traces", "How the best of them connect.", "FALSE"),
     ("Concepts & Patterns", "Heuristics and practices.", "tier = '' AND note_type = 'concept'"),
     ("Additional Context", "", "tier = '' AND note_type NOT IN ('concept', 'tool')"),
     ("Tools", "", "note_type = 'tool'"),
 ]
 
 
-def context(notes: DataFrame) -> DataFrame:
-    """One row ``markdown``: the notes of an answer (path, note_type, tier, score, depth, content) by section and score."""
+TRACES = [i for i, (title, _, _) in enumerate(SECTIONS) if title == "Path Traces"][0]
+
+
+def traces(steps: DataFrame, notes: DataFrame) -> DataFrame:
+    """``pair_id``, ``text``: each path of an answer in one line, its notes by their paths."""
+    named = steps.join(notes.select(F.col("note_id").alias("node_id"), "path"), "node_id", "left").withColumn("path", F.coalesce("path", "node_id"))
+    arrow = F.when(F.col("edge_direction") == "outgoing", "\u2192").otherwise("\u2190")
+    phrase = F.concat(arrow, F.lit("["), F.coalesce(by_label(F.col("edge_label"), EDGE_PHRASES), F.lower("edge_label")), F.lit("]"), arrow, F.lit(" "))
+    part = F.concat(F.when(F.col("pos") > 0, phrase).otherwise(""), "path")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("part"), "path"))), lambda x: F.struct(x["part"], x["path"]))
+    lines = named.groupBy("pair_id").agg(line.alias("l"))
+    head = F.concat(F.lit("**"), F.get("l", F.lit(0))["path"], F.lit(" \u2192 "), F.element_at("l", -1)["path"], F.lit("**\n"))
+    return lines.select("pair_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["part"]), " "), F.lit("\n")).alias("text"))
+
+
+def context(notes: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """One row ``markdown``: the notes of an answer (path, note_type, tier, score, depth, content) by section and score.
+
+    With ``note_id`` and ``linked_from``, symbols reached from other symbols stand apart.  ``steps`` (of
+    ``shortest_paths``) are shown as traces.
+    """
+    called = F.lit(False)
+    if "linked_from" in notes.columns:
+        symbols = notes.where("tier = '1'").select(F.col("note_id").alias("linked_from"), F.lit(True).alias("_called")).distinct()
+        notes, called = notes.join(F.broadcast(symbols), "linked_from", "left"), F.coalesce("_called", F.lit(False))
+    notes = notes.withColumn("called", called)
     number = F.coalesce(*[F.when(F.expr(cond), F.lit(i)) for i, (_, _, cond) in enumerate(SECTIONS)])
     mark = F.when(F.col("depth") == 0, "* | ").otherwise("")
-    text = F.concat(F.lit("### "), "path", F.lit(" ("), mark, F.lit("score: "), F.format_number("score", 3), F.lit(")\n"), F.coalesce("content", F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit("### "), "path", F.lit(" ("), mark, F.lit("score: "), F.format_number("score", 3), F.lit(")\n"))
+    via = F.lit("")
+    if {"via", "linked_from"} <= set(notes.columns):
+        via = F.coalesce(F.concat(F.lit("_via: "), "linked_from", F.lit(" \u2014["), by_label(F.col("via"), EDGE_PHRASES), F.lit("]\u2192 here_\n")), F.lit(""))
+    text = F.concat(head, via, F.coalesce("content", F.lit("")), F.lit("\n"))
     rows = notes.select(number.alias("section"), F.struct((-F.col("score")).alias("s"), "path", text.alias("text")).alias("n"))
     sections = rows.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["text"]), "\n").alias("body"))
+    if steps is not None:
+        shown = traces(steps, notes).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "text"))), lambda x: x["text"]), "\n").alias("body"))
+        sections = sections.union(shown.where("body <> ''").select(F.lit(TRACES), "body"))
     titles = [F.lit(f"## {t}\n" + (f"_{why}_\n" if why else "") + "\n") for t, why, _ in SECTIONS]
     whole = sections.select(F.struct("section", F.concat(F.element_at(F.array(*titles), F.col("section") + 1), "body").alias("text")).alias("s"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n")

@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph, incremental, links, render, retrieval
+from quillgraph.functions import text as T
+from quillgraph.functions.routing import query_mode
+from quillgraph.functions.vectors import cosine
+from quillgraph.operators import embedding, graph, incremental, links, render, retrieval
 from quillgraph.operators.graph import cut
 from quillgraph.operators.notes import parse_notes
+from quillgraph.operators.targeted import targeted
 from quillgraph.sources import files
 
+#: What a stored session holds.
+TABLES = ("notes", "chunks", "edges", "manifest")
+
 
 class KnowledgeSession:
-    """Tables ``notes`` and ``edges`` of one workspace and the questions asked of them.  Answers are bounded top-k rows."""
+    """Tables ``notes``, ``chunks`` and ``edges`` of one workspace and the questions asked of them.  Answers are bounded top-k rows."""
 
-    def __init__(self, spark: SparkSession, root: str, workspace: str = "", link_prefix: str = ""):
-        self.spark, self.root, self.workspace, self.link_prefix = spark, root, workspace, link_prefix
+    def __init__(self, spark: SparkSession, root: str, workspace: str = "", link_prefix: str = "", provider: str = "hash"):
+        self.spark, self.root, self.workspace, self.link_prefix, self.provider = spark, root, workspace, link_prefix, provider
         self.notes: DataFrame | None = None
+        self.chunks: DataFrame | None = None
         self.edges: DataFrame | None = None
         self.manifest: DataFrame | None = None
         self.ratings: list[dict] = []
@@ -29,9 +37,31 @@ class KnowledgeSession:
         """Read everything anew."""
         self.manifest = cut(files.snapshot(self.spark, self.root), self.spark)
         self.notes = cut(self.scan(), self.spark)
+        self.chunks = cut(embedding.chunk_table(self.notes, self.provider), self.spark)
         self.edges = cut(self.derive_edges(), self.spark)
         return self
 
+    def save(self, path: str) -> None:
+        """Store notes, chunk vectors, edges and manifest below ``path`` as a new version; it counts once it is complete."""
+        version = f"{path.rstrip('/')}/v{len(files.versions(self.spark, path)):09d}"
+        for name in TABLES:
+            files.write_table(getattr(self, name), f"{version}/{name}")
+        self.spark.createDataFrame([(self.workspace, self.provider)], "workspace string, provider string").coalesce(1).write.parquet(f"{version}/complete")
+
+    def open(self, path: str) -> dict[str, int]:
+        """Start from the newest stored version and take in what has changed since; from nothing where there is none.
+
+        Counts of notes added, updated and removed.  Vectors of another provider or workspace aren't used.
+        """
+        found = files.versions(self.spark, path)
+        state = self.spark.read.parquet(f"{found[-1]}/complete").first() if found else None
+        if state is None or (state.workspace, state.provider) != (self.workspace, self.provider):
+            self.build()
+            return {"added": self.notes.count()}
+        for name in TABLES:
+            setattr(self, name, self.spark.read.parquet(f"{found[-1]}/{name}"))
+        return self.update()
+
     def derive_edges(self) -> DataFrame:
         parents = self.notes
         for c in ("parent_file", "parent_module"):
@@ -55,14 +85,40 @@ class KnowledgeSession:
         counts = {r.change: r.n for r in incremental.delta_counts(self.notes, fresh, gone).collect()}
         self.manifest = now
         if counts:
-            self.notes = cut(incremental.apply_delta(self.notes, fresh, gone), self.spark)
+            before = self.notes
+            self.notes = cut(incremental.apply_delta(before, fresh, gone), self.spark)
+            # vectors of notes that went or changed are made anew, the others stay
+            same = self.notes.select("note_id", "hash").join(before.select("note_id", "hash"), ["note_id", "hash"], "left_semi").select("note_id")
+            kept = self.chunks.join(same, "note_id", "left_semi").select(*self.chunks.columns)
+            more = embedding.chunk_table(self.notes.join(same, "note_id", "left_anti"), self.provider)
+            self.chunks = cut(kept.unionByName(more), self.spark)
             self.edges = cut(self.derive_edges(), self.spark)
         return counts
 
-    def retrieve(self, query: str, k: int = 8) -> list[dict]:
-        """The best notes by keywords; without vectors, routing, graph neighbourhood and paths between seeds."""
-        top = retrieval.keyword_topk(self.notes, query, k).join(self.notes.select("note_id", "title", "path"), "note_id")
-        return [r.asDict() for r in top.orderBy(F.desc("score"), "note_id").collect()]
+    def retrieve(self, query: str, k: int = 8, mode: str | None = None, depth: int = 0, max_chars: int = 15_000) -> dict:
+        """``mode``, ``notes`` (rows of the answer, by role and place), ``traces`` (path steps) and the answer as ``markdown``.
+
+        Orientation questions, by ``mode`` or by their words, get the map of ``discover``.  Others are targeted: seeds by
+        vectors, or keywords where there are none, the paths between the first three, and with ``depth`` their
+        neighbours, scored by how near their edges' phrases are to the query.
+        """
+        mode = mode or self.spark.range(1).select(query_mode(F.lit(query)).alias("m")).first().m
+        if mode == "discover":
+            return {"mode": mode, "notes": [], "traces": [], "markdown": self.discover(query, k)}
+        vector = F.array(*[F.lit(float(x)) for x in embedding.PROVIDERS[self.provider]([query])[0]])
+        hits = embedding.nearest_chunks(self.chunks, vector, k)
+        notes = self.notes.withColumn("name_tokens", T.tokens(F.concat_ws(" ", T.strip(F.col("title")), T.stem(F.col("path")))))
+        rows, steps = targeted(notes, self.edges, hits, query, k, depth, lambda text: cosine(embedding.embed(text, self.provider), vector))
+        rows = cut(rows, self.spark)
+        shown = rows.join(self.notes.select("note_id", "path", "title", "note_type", "tier", F.col("body").alias("content")), "note_id")
+        markdown = render.context(shown, steps).select(render.within_budget(F.col("markdown"), max_chars).alias("m")).first().m
+        order = F.array_position(F.array(*map(F.lit, ("seed", "path", "neighbour"))), F.col("role"))
+        return {
+            "mode": mode,
+            "notes": [r.asDict() for r in shown.drop("content").orderBy(order, "pos").collect()],
+            "traces": [r.asDict() for r in steps.orderBy("pair_id", "pos").collect()],
+            "markdown": markdown,
+        }
 
     def discover(self, query: str = "", k: int = 8) -> str:
         degree = graph.degrees(self.edges, self.notes)
@@ -70,12 +126,13 @@ class KnowledgeSession:
         return render.discovery(rows, query).first().markdown
 
     def find_path(self, start: str, end: str, labels: list[str] | None = None, max_depth: int | None = None) -> list[dict]:
-        """Steps of a shortest path between two notes, given by id or part of the title; empty if there is none."""
+        """Steps of a shortest path between two notes, given by id or part of the title, with their scores; empty if there is none."""
         ends = {r.query: r.note_id for r in retrieval.resolve_endpoints(self.notes, [start, end]).collect()}
         if start not in ends or end not in ends:
             return []
         pairs = self.spark.createDataFrame([(1, ends[start], ends[end])], "pair_id int, start string, end string")
         steps = graph.shortest_paths(self.edges, pairs, labels, 8 if max_depth is None else max_depth)
+        steps = steps.join(graph.path_notes(steps).select(F.col("note_id").alias("node_id"), "score"), "node_id")
         return [r.asDict() for r in steps.orderBy("pos").collect()]
 
     def note(self, note_id: str) -> str | None:

@@ -141,6 +141,14 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete stored versions below a path, oldest first, through Spark's own file systems."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v*/complete/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(x.getPath().getParent().getParent().toString() for x in found or [])
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A stored table; empty if there is none (the caller then rebuilds)."""
     jvm = spark.sparkContext._jvm

@@ -65,7 +65,12 @@ def test_session_end_to_end(spark, root):
     found = s.find_path("code/a/f.md", "code/b.md")
     assert [x["node_id"] for x in found] == ["code/a/f.md", "code/a.md", "code/b.md"]
     assert s.find_path("code/a/f.md", "open.md") == []
-    assert s.retrieve("searching text", k=3)[0]["note_id"] in {"concepts/search.md", "tools/ripgrep.md"}
+    assert [round(x["score"], 6) for x in found] == [1.0, 0.75, 1.0]
+    answer = s.retrieve("searching text", k=3)
+    assert answer["mode"] == "targeted" and answer["notes"][0]["note_id"] in {"concepts/search.md", "tools/ripgrep.md"}
+    assert answer["markdown"].startswith("# Knowledge Base Context") and s.retrieve("where do i start")["mode"] == "discover"
+    wide = s.retrieve("calls g", k=2, depth=2)
+    assert {x["role"] for x in wide["notes"]} >= {"seed"} and len({x["note_id"] for x in wide["notes"]}) == len(wide["notes"])
     assert s.stats()["n_notes"] == 9 and "Finds text" in s.note("tools/ripgrep.md")
     assert s.rate("r1", 5) == {"status": "ok"} and s.rate("r1", 9)["status"] == "error"
 
@@ -205,6 +210,53 @@ def test_c_and_typescript_symbols(spark):
     assert [tuple(r) for r in mirror.import_edges(mirror.symbols(src, "ts"), src, "ts").collect()] == [("x/y.ts", "x/x/index.ts")]
 
 
+def test_a_session_starts_from_stored_tables(spark, root, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from quillgraph.operators import embedding
+
+    store = f"file://{tmp_path}/store"
+    first = KnowledgeSession(spark, root, workspace="w")
+    assert first.open(store) == {"added": 9}
+    first.save(store)
+    Path(root, "more.md").write_text("# More about searching\n")
+    embedded = []
+    plain = embedding.chunk_table
+    monkeypatch.setattr(embedding, "chunk_table", lambda notes, *a: embedded.extend(r.note_id for r in notes.collect()) or plain(notes, *a))
+    second = KnowledgeSession(spark, root, workspace="w")
+    assert second.open(store) == {"added": 1} and embedded == ["more.md"]
+    second.save(store)
+    third = KnowledgeSession(spark, root, workspace="w")
+    assert third.open(store) == {} and third.stats() == second.stats() and embedded == ["more.md"]
+    assert sorted(map(tuple, third.edges.collect())) == sorted(map(tuple, second.edges.collect()))
+    assert KnowledgeSession(spark, root, workspace="other").open(store) == {"added": 10}
+
+
+def test_targeted_retrieval(spark):
+    """Keyword fallback, paths between the first three seeds, neighbours by their edges' phrases, traces."""
+    from quillgraph.operators import targeted as module
+
+    names = ["a", "b", "c", "d", "e", "far"]
+    notes = spark.createDataFrame(
+        [(n, f"Title {n}", ["x"], f"p/{n}", f"word{n} body", "concept", "1", [f"title_{n}", n]) for n in names],
+        "note_id string, title string, tags array<string>, path string, body string, note_type string, tier string, name_tokens array<string>",
+    )
+    edges = spark.createDataFrame([("a", "CALLS", "d"), ("d", "CALLS", "b"), ("c", "LINKS_TO", "b"), ("e", "CALLS", "a"), ("far", "LINKS_TO", "e")], "src string, label string, dst string")
+    rows, steps = module.targeted(notes, edges, None, "worda wordb wordc", 3)
+    assert [(r.note_id, r.role, round(r.score, 6), r.linked_from) for r in rows.orderBy("role", "pos").collect()] == [("d", "path", 0.75, "a"), ("a", "seed", 1.0, None), ("b", "seed", 1.0, None), ("c", "seed", 1.0, None)]
+    hits = spark.createDataFrame([("a", 0.9), ("a", 0.5), ("b", 0.8)], "note_id string, score double")
+    similar = lambda text: F.when(text == "Title e calls Title a", 0.9).otherwise(0.2)
+    rows, steps = module.targeted(notes, edges, hits, "x", 8, 1, similar)
+    got = {r.note_id: (r.role, round(r.score, 6), r.via) for r in rows.collect()}
+    assert got == {"a": ("seed", 0.99, None), "b": ("seed", 0.88, None), "d": ("path", 0.75, None), "c": ("neighbour", round(0.88 * 0.5 * 1.1 * 0.7, 6), "LINKS_TO"), "e": ("neighbour", round(0.99 * 0.8 * 1.1 * 1.4, 6), "CALLS")}
+    shown = rows.join(notes.select("note_id", "path", "note_type", "tier", F.col("body").alias("content")), "note_id")
+    text = render.context(shown, steps).first().markdown
+    assert "**p/a \u2192 p/b**\np/a \u2192[calls]\u2192 p/d \u2192[calls]\u2192 p/b\n" in text
+    assert text.index("## Symbol Details") < text.index("## Call Relationships") < text.index("## Path Traces") and "_via: a \u2014[calls]\u2192 here_" in text
+    empty, none = module.targeted(notes, edges, hits.limit(0), "nothing of it", 3)
+    assert empty.count() == none.count() == 0
+
+
 def test_any_name_is_read(spark, tmp_path):
     """Names with an underscore, a space, a letter beyond ASCII; ignored folders; many folders; changes of such files."""
     names = ["_module.md", "a b.md", "é.md", "x/_module.md", "x/100%25.md", *[f"d{i}/{i % 7}/n.md" for i in range(90)]]
