@@ -14,18 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import base_name, dir_name, stem
+from quillgraph.sources.files import LANGUAGES
 
 SYMBOLS = "path string, role string, name string, detail string, exported boolean, begin int, end int"
 
-# Names that look like calls but aren't reported as such.
-NOT_CALLS = {
-    "py": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda "
-    "nonlocal not or pass raise return try while with yield print len range list dict set tuple str int float bool bytes type isinstance issubclass "
-    "hasattr getattr setattr delattr callable iter next enumerate zip map filter sorted reversed sum min max abs round open input repr hash id dir "
-    "vars locals globals super object property staticmethod classmethod dataclass field asdict Optional Any List Dict Set Tuple Union Literal Callable "
-    "Type ClassVar",
-    "c": "if for while switch return sizeof do else case goto typedef struct enum union",
-    "ts": "if for while switch return catch function typeof new await super constructor import",
+# Names that look like calls but aren't reported as such, by language.
+NOT_CALLS: dict[str, list[str]] = {
+    "py": [
+        "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except",
+        "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while",
+        "with", "yield", "print", "len", "range", "list", "dict", "set", "tuple", "str", "int", "float", "bool", "bytes", "type", "isinstance",
+        "issubclass", "hasattr", "getattr", "setattr", "delattr", "callable", "iter", "next", "enumerate", "zip", "map", "filter", "sorted",
+        "reversed", "sum", "min", "max", "abs", "round", "open", "input", "repr", "hash", "id", "dir", "vars", "locals", "globals", "super",
+        "object", "property", "staticmethod", "classmethod", "dataclass", "field", "asdict", "Optional", "Any", "List", "Dict", "Set", "Tuple",
+        "Union", "Literal", "Callable", "Type", "ClassVar",
+    ],
+    "c": [
+        "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if",
+        "inline", "int", "long", "register", "restrict", "return", "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union",
+        "unsigned", "void", "volatile", "while", "_Alignas", "_Alignof", "_Atomic", "_Bool", "_Complex", "_Generic", "_Imaginary", "_Noreturn",
+        "_Static_assert", "_Thread_local",
+    ],
+    "ts": [
+        "if", "for", "while", "switch", "return", "catch", "function", "typeof", "new", "await", "super", "constructor", "import",
+    ],
 }
 
 # File names, folders and source patterns by which entry points are known.
@@ -129,7 +141,7 @@ def _c(source: str) -> Iterator[tuple]:
     for m in re.finditer(r'(?m)^[ \t]*#[ \t]*include[ \t]*([<"])([^>"]+)', source):
         yield "import", m.group(2), m.group(2), m.group(1) == '"', m.start(), m.end()
     for m in re.finditer(r"(?m)^((?:[A-Za-z_][\w \t*]*?[ \t*]))([A-Za-z_]\w*)[ \t]*\(([^;{}()]*)\)\s*\{", source):
-        if m.group(2) not in NOT_CALLS["c"].split():
+        if m.group(2) not in NOT_CALLS["c"]:
             exported = "static" not in m.group(1).split() and not m.group(2).startswith("_")
             yield "def", m.group(2), re.sub(r"\s+", " ", m.group(0)[:-1]).strip(), exported, m.start(), _braced(source, m.start())
 
@@ -146,31 +158,43 @@ def _typescript(source: str) -> Iterator[tuple]:
         yield "def" if is_function else kind, m.group(3), m.group(0).strip()[:10_000], bool(m.group(1)), m.start(), end
         if kind == "class":
             for f in re.finditer(r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override)\s+)*([A-Za-z_$][\w$]*)\s*\([^;{}]*\)[^;{}\n]*\{", source[m.start() : end]):
-                if f.group(1) not in NOT_CALLS["ts"].split():
+                if f.group(1) not in NOT_CALLS["ts"]:
                     yield "method", f.group(1), f.group(0).strip(), False, m.start() + f.start(), _braced(source, m.start() + f.start())
 
 
 EXTRACTORS = {"py": _python, "c": _c, "ts": _typescript}
 
 
-def register_language(name: str, extractor, not_calls: str = "") -> None:
-    """Add a language: ``extractor`` yields (role, name, detail, exported, begin, end) of a source text."""
-    EXTRACTORS[name], NOT_CALLS[name] = extractor, not_calls
+def register_language(name: str, extractor, not_calls: list[str] | None = None, pattern: str = "", omit: list[str] | None = None) -> None:
+    """Add a language: ``extractor`` yields (role, name, detail, exported, begin, end) of a source text.
+
+    ``pattern`` and ``omit``: its files, for ``read_sources``.  It has no entry point marks and no specially named files.
+    """
+    EXTRACTORS[name], NOT_CALLS[name] = extractor, not_calls or []
+    MAIN_FILES.setdefault(name, [])
+    MAIN_DIRS.setdefault(name, [])
+    MAIN_PATTERNS.setdefault(name, [])
+    LANGUAGES.setdefault(name, (pattern or f"*.{name}", omit or []))
 
 
 def symbols(files: DataFrame, language: str) -> DataFrame:
     """Definitions, imports and call sites of ``files`` (path, source), a row each (``SYMBOLS``).
 
     ``role``: def, class, method, ..., import (detail: the module; exported: from this project) or call.  ``begin`` and
-    ``end`` are offsets in the text.  A null source has no rows.
+    ``end`` are offsets in the text.  A null source has no rows; a file that the extractor fails on has one of the role
+    "error", with the reason in ``detail``, and fails nothing else.
     """
-    extract, skip = EXTRACTORS[language], frozenset(NOT_CALLS[language].split())
+    extract, skip = EXTRACTORS[language], frozenset(NOT_CALLS[language])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, source in zip(batch["path"], batch["source"], strict=True):
-                rows += [(path, *r) for r in extract(source)]
+                try:
+                    rows += [(path, *r) for r in extract(source)]
+                except Exception as error:  # noqa: BLE001  one file's trouble
+                    rows.append((path, "error", "", f"{type(error).__name__}: {error}", False, 0, 0))
+                    continue
                 found = re.finditer(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", source)
                 rows += [(path, "call", m.group(1), "", False, m.start(), m.end()) for m in found if m.group(1) not in skip]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
@@ -223,7 +247,7 @@ def normal_path(path: Column) -> Column:
 
 def mirror_stem(path: Column, language: str) -> Column:
     """Name of a file's note: index and package files are called after their folder."""
-    special = {"ts": ("index", "-index"), "py": ("__init__", "-init"), "c": ("main", "-main")}[language]
+    special = {"ts": ("index", "-index"), "py": ("__init__", "-init"), "c": ("main", "-main")}.get(language, ("", ""))
     folder = base_name(dir_name(path))
     return F.when((stem(path) == special[0]) & (folder != "."), F.concat(folder, F.lit(special[1]))).otherwise(stem(path))
 

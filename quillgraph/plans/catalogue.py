@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.functions.routing import BROAD_TERMS, DISCOVER_PHRASES, FILLER, query_mode
-from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, render, retrieval, summaries
+from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, render, retrieval, summaries, targeted
 
 from . import fixtures as X
 from .fixtures import LABEL_RANK_SQL, NOTES_SQL, PUSHES_SQL, STAR_EDGES_SQL, STAR_NOTES_SQL, table
@@ -352,9 +352,9 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(X.star_edges(spark, sf_dir), ["CALLS", "BELONGS_TO"])
 
 
-def path_sql(pairs: str, labels: str, tail: str) -> str:
+def path_sql(pairs: str, labels: str, tail: str, base: str = STAR_EDGES_SQL) -> str:
     return f"""
-WITH RECURSIVE {STAR_EDGES_SQL}, ends AS ({pairs}), used AS (SELECT * FROM near {labels}),
+WITH RECURSIVE {base}, ends AS ({pairs}), used AS (SELECT * FROM near {labels}),
 reach AS (
   SELECT pair_id, "start" AS node, 0 AS pos FROM ends
   UNION SELECT r.pair_id, u.neighbour, r.pos + 1 FROM reach r JOIN used u ON u.node = r.node WHERE r.pos < 8
@@ -417,21 +417,26 @@ def endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.resolve_endpoints(X.star_notes(spark, sf_dir), ["c:5", "CUSTOMER#00000001", "asia", "zzz"])
 
 
+#: How an edge reads, as SQL.
+PHRASE_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.EDGE_PHRASES.items()) + " END"
 SEEDS = [("n:1", 0.9, 1), ("c:1", 0.5, 2), ("s:2", 0.7, 3)]
 
 
-def expand_sql(depth: int) -> str:
+def expand_sql(depth: int, triples: bool = False) -> str:
     seeds = "VALUES ('n:1', 0.9::DOUBLE, 1), ('c:1', 0.5, 2), ('s:2', 0.7, 3)"
     weight = "CASE label WHEN 'CALLS' THEN 0.80 WHEN 'CONTAINS_SYMBOL' THEN 0.85 WHEN 'DEFINED_IN' THEN 0.70 WHEN 'CONTAINS' THEN 0.70 WHEN 'IMPORTS' THEN 0.60 WHEN 'LINKS_TO' THEN 0.50 ELSE 0.40 END"
+    words = "['entrypoint', 'china', 'france', 'japan']"
+    phrase = f"CASE direction WHEN 'outgoing' THEN st.title ELSE t.title END || ' ' || {PHRASE_SQL} || ' ' || CASE direction WHEN 'outgoing' THEN t.title ELSE st.title END"
+    factor = f"greatest(0.6, least(1.4, len(list_intersect({TOKENS.format(phrase)}, {words})) / 4 + 0.5))" if triples else "1"
     hop = lambda n, source, extra: f"""
 hop{n} AS (
   SELECT note_id, score, linked_from, label, direction, {n} AS depth, pos, tier FROM (
-    SELECT e.neighbour AS note_id, f.score * {weight} * (1 + CASE WHEN tier = '2' AND length(title) <= 5 THEN 0.1 ELSE 0 END) AS score, f.note_id AS linked_from, label, direction, f.pos, tier,
+    SELECT e.neighbour AS note_id, f.score * {weight} * {factor} * (1 + CASE WHEN t.tier = '2' AND length(t.title) <= 5 THEN 0.1 ELSE 0 END) AS score, f.note_id AS linked_from, label, direction, f.pos, t.tier,
            row_number() OVER (PARTITION BY e.neighbour ORDER BY f.pos, {LABEL_RANK_SQL}, direction, f.note_id) AS n
-    FROM {source} f JOIN near e ON e.node = f.note_id JOIN star t ON t.note_id = e.neighbour
+    FROM {source} f JOIN near e ON e.node = f.note_id JOIN star t ON t.note_id = e.neighbour JOIN star st ON st.note_id = f.note_id
     WHERE e.neighbour NOT IN (SELECT note_id FROM seeds) {extra}
       AND NOT (label IN ('CONTAINS', 'CONTAINS_SYMBOL') AND direction = 'outgoing' AND f.score < 0.6)
-      AND NOT (label = 'IMPORTS' AND NOT list_has_any({TOKENS.format("title")}, ['entrypoint', 'china', 'france', 'japan']))
+      AND NOT (label = 'IMPORTS' AND NOT list_has_any({TOKENS.format("t.title")}, {words}))
   ) WHERE n = 1
 )"""
     ctes = hop(1, "seeds", "")
@@ -442,10 +447,10 @@ hop{n} AS (
     return f"WITH {STAR_EDGES_SQL}, {STAR_NOTES_SQL}, seeds(note_id, score, pos) AS ({seeds}), {ctes} SELECT note_id, round(score, 6) AS score, linked_from, label, direction, depth FROM ({tail})"
 
 
-def expansion(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
+def expansion(spark: SparkSession, sf_dir: str, depth: int, similarity=None) -> DataFrame:
     seeds = spark.createDataFrame(SEEDS, "note_id string, score double, pos int")
     query = F.array(*map(F.lit, ["entrypoint", "china", "france", "japan"]))
-    out = graph.expand(X.star_edges(spark, sf_dir), X.star_notes(spark, sf_dir), seeds, query, depth)
+    out = graph.expand(X.star_edges(spark, sf_dir), X.star_notes(spark, sf_dir), seeds, query, depth, similarity=similarity)
     return out.withColumn("score", rounded("score"))
 
 
@@ -459,6 +464,35 @@ def expand_calls_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion(spark, sf_dir, 2)
 
 
+@register(expand_sql(2, triples=True))
+def expand_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges' phrases weighed by the share of the query's words that they hold."""
+    words = F.array(*map(F.lit, ["entrypoint", "china", "france", "japan"]))
+    return expansion(spark, sf_dir, 2, lambda text: F.size(F.array_intersect(T.tokens(text), words)) / 4)
+
+
+@register(
+    """
+WITH d AS (
+  SELECT doc_id AS k, 'd' || doc_id || '.md' AS note_id, ['3', '2', '1', ''][doc_id % 4 + 1] AS tier, 'd' || (doc_id - 1) || '.md' AS up,
+         CASE WHEN doc_id % 4 <> 0 THEN '.' WHEN doc_id % 8 = 0 THEN 'm' || doc_id ELSE 'm' || (doc_id - 4) || '/s' || doc_id END AS dir FROM documents
+), owned AS (
+  SELECT note_id AS a, up AS b, CASE tier WHEN '1' THEN 'DEFINED_IN' ELSE 'BELONGS_TO' END AS there, CASE tier WHEN '1' THEN 'CONTAINS_SYMBOL' ELSE 'CONTAINS' END AS back FROM d WHERE tier IN ('1', '2')
+), l AS (
+  SELECT s.note_id AS src, t.note_id AS dst, s.tier AS st, t.tier AS tt,
+         CASE WHEN contains(s.dir, '/') THEN regexp_replace(s.dir, '/[^/]*$', '') ELSE '.' END AS s_up, CASE WHEN contains(t.dir, '/') THEN regexp_replace(t.dir, '/[^/]*$', '') ELSE '.' END AS t_up, s.dir AS sd, t.dir AS td
+  FROM d s JOIN d t ON t.k IN (s.k + 4, (s.k * 3 + 4) % (SELECT count(*) FROM d), s.k - 4) WHERE s.k <> t.k
+), typed AS (
+  SELECT src, CASE WHEN st = '1' AND tt = '1' THEN 'CALLS' WHEN st = '2' AND tt = '2' THEN 'IMPORTS' WHEN st = '3' AND tt = '3' AND td <> '.' AND t_up = sd THEN 'CONTAINS'
+    WHEN st = '3' AND tt = '3' AND sd <> '.' AND s_up = td THEN 'BELONGS_TO' ELSE 'LINKS_TO' END AS label, dst FROM l
+)
+SELECT a AS src, there AS label, b AS dst FROM owned UNION SELECT b, back, a FROM owned UNION SELECT * FROM typed
+UNION SELECT dst, CASE label WHEN 'CONTAINS' THEN 'BELONGS_TO' ELSE 'CONTAINS' END, src FROM typed WHERE label IN ('CONTAINS', 'BELONGS_TO')"""
+)
+def note_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.note_edges(*X.tiered_notes(spark, sf_dir))
+
+
 @register(
     f"WITH {STAR_NOTES_SQL} SELECT note_id, round(CASE WHEN d = 0 THEN 1 ELSE 0.9 - 0.04 * least(d, 5) END, 6) AS score FROM (SELECT *, len(string_split(path, '/')) - 1 AS d FROM star WHERE tier = '3')"
 )
@@ -781,12 +815,23 @@ def stale_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds for a text query over embedded chunks of all notes."""
+    """Seeds for a text query over embedded chunks of all notes (no SQL: the provider hashes words; the tests have a plain form)."""
     n = X.notes(spark, sf_dir).withColumn("note_id", F.col("note_id").cast("string"))
     return embedding.hybrid_seeds(n, embedding.chunk_table(n), "the thing and of it en").withColumn("score", rounded("score"))
 
 
-@register()
+@register(
+    f"""
+WITH {NOTES_SQL}, top AS (
+  SELECT vec_id AS note_id, {COSINE.format("embedding", "(SELECT embedding FROM embeddings WHERE vec_id = 0)")} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 8
+), s AS (
+  SELECT CASE note_type WHEN 'concept' THEN 1 ELSE 2 END AS section, score, path, '### ' || path || ' (* | score: ' || printf('%.3f', score) || ')' || chr(10) || coalesce(body, '') || chr(10) AS line FROM top JOIN notes USING (note_id)
+), g AS (
+  SELECT section, CASE section WHEN 1 THEN '## Concepts & Patterns' || chr(10) || '_Heuristics and practices._' || chr(10) ELSE '## Additional Context' || chr(10) END || chr(10) || string_agg(line, chr(10) ORDER BY score DESC, path) AS body
+  FROM s GROUP BY section
+)
+SELECT CASE WHEN count(*) = 0 THEN '<!-- nothing found -->' ELSE '# Knowledge Base Context' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY section) END AS markdown FROM g"""
+)
 def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rendered answer for the notes nearest to vector 0."""
     top = retrieval.vector_topk(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 8).select(F.col("vec_id").alias("note_id"), "score")
@@ -794,31 +839,68 @@ def context_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.context(n)
 
 
-@register()
-def retrieve_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight seeds of a vector query with their tag boost, among documents 0 to 99 only; not the whole targeted retrieval.
+TARGETED_BASE = f"""
+{X.VECTOR_NOTES_SQL}, hits AS (
+  SELECT 'v:' || vec_id AS note_id, {COSINE.format("embedding", "(SELECT embedding FROM embeddings WHERE vec_id = 1)")} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 8
+), boosted AS (
+  SELECT note_id, s * (1 + least(0.1 * len(list_filter(tags, lambda t: t IN ('l0', 'l3'))), 0.3)) AS score FROM hits JOIN vnotes USING (note_id) WHERE note_type <> 'index'
+), seeds AS (
+  SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, note_id)::INT AS pos FROM boosted
+)"""
 
-    Vectors stand for documents by ``vec_id % 100``.  Keyword fallback, graph neighbourhood and paths between seeds are missing.
-    """
-    query = F.array(F.lit("en"), F.lit("src1"))
-    vector = F.array(*[F.lit(float(x)) for x in first_vector(spark, sf_dir)])
-    hits = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 100).alias("note_id"), V.cosine(V.doubles(F.col("embedding")), vector).alias("score"))
-    seeds = retrieval.boosted_seeds(hits, X.notes(spark, sf_dir), query)
-    return seeds.orderBy(F.desc(F.round("score", 9)), "note_id").limit(8).select("note_id", "path", rounded("score").alias("score"))
 
+@register(
+    path_sql(
+        'SELECT (10 * a.pos + b.pos)::INT AS pair_id, a.note_id AS "start", b.note_id AS "end" FROM seeds a JOIN seeds b ON a.pos < b.pos WHERE b.pos <= 3',
+        "",
+        """, long AS (SELECT pair_id, max(pos) AS l FROM steps GROUP BY pair_id), met AS (
+  SELECT node, s.pair_id, s.pos, greatest(0.5, 1 - least(s.pos, l - s.pos) / greatest(l, 1) * 0.5) AS score, row_number() OVER (PARTITION BY node ORDER BY s.pair_id, s.pos) AS n FROM steps s JOIN long USING (pair_id)
+)
+SELECT note_id, 'seed' AS role, round(score, 6) AS score, 0 AS depth, NULL::VARCHAR AS linked_from, pos FROM seeds
+UNION ALL SELECT node, 'path', round(score, 6), 1, e."start", row_number() OVER (ORDER BY m.pair_id, m.pos)::INT FROM met m JOIN ends e USING (pair_id) WHERE n = 1 AND node NOT IN (SELECT note_id FROM seeds)""",
+        TARGETED_BASE,
+    )
+)
+def retrieve_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds nearest to vector 1 with their tags' boost, and the notes on shortest paths between the first three."""
+    notes, edges = X.vector_notes(spark, sf_dir)
+    chunks = table(spark, sf_dir, "embeddings")
+    query = chunks.where("vec_id = 1").select("embedding").first()[0]
+    hits = retrieval.vector_topk(chunks, query, 8).select(F.concat(F.lit("v:"), F.col("vec_id").cast("string")).alias("note_id"), "score")
+    rows, _ = targeted.targeted(notes, edges, hits, "l0 l3", 8)
+    return rows.drop("via").withColumn("score", rounded("score"))
 
-@register()
+
+@register(
+    f"""
+WITH mix AS ({ORACLE_SQL["discovery_mix"]}), {INSIDE_ALL.strip()}, lines AS (
+  SELECT kind, m.pos, '- [[' || m.note_id || ']] `' || s.path || '`' || CASE kind WHEN 'hub' THEN ' degree=' || coalesce(degree, 0) ELSE '' END AS line
+  FROM mix m JOIN star s USING (note_id) LEFT JOIN degree USING (note_id)
+), kinds AS (
+  SELECT list_position(['entrypoint', 'module', 'hub'], kind) AS n, string_agg(line, chr(10) ORDER BY pos) AS body FROM lines GROUP BY kind
+)
+SELECT '## Discovery Mode' || chr(10) || 'Query: "where do I start"' || chr(10) || chr(10)
+  || string_agg(['## Likely Entrypoints', '## Module Map', '## High-Connectivity Notes'][n] || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY n) AS markdown FROM kinds"""
+)
 def retrieve_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = X.star_notes(spark, sf_dir)
     degree = graph.degrees(X.star_edges(spark, sf_dir), n)
     return render.discovery(retrieval.discovery(n, degree).join(n.select("note_id", "path"), "note_id").join(degree, "note_id", "left"), "where do I start")
 
 
-@register()
+@register(
+    """
+WITH p AS (SELECT 'pkg/mod' || page_id || '.py' AS path, 'f' || page_id AS f FROM pages)
+SELECT path, unnest(['import', 'def', 'class', 'method', 'call', 'call', 'call', 'call', 'call', 'call']) AS role, unnest(['helper', f, '_K', 'm', f, 'h', 'f0', '_K', 'm', f]) AS name,
+       unnest(['.util', 'def ' || f || '(a, b):', 'class _K(Base):', 'def m(self):', '', '', '', '', '', '']) AS detail,
+       unnest([true, true, true, false, false, false, false, false, false, false]) AS exported
+FROM p"""
+)
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions, imports and calls of small sources, one made from each page."""
+    """Definitions, imports and calls at the head of sources; a small module stands before each page's whole html."""
     p = table(spark, sf_dir, "pages")
     name = F.concat(F.lit("f"), F.col("page_id").cast("string"))
-    source = F.concat(F.lit("from .util import helper as h\n\n\ndef "), name, F.lit("(a, b):\n    return h(a) + f0(b)\n\n\nclass _K(Base):\n    def m(self):\n        return "), name, F.lit("(1, 2)\n"))
-    files = p.select(F.concat(F.lit("pkg/mod"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), source.alias("source"))
-    return mirror.symbols(files, "py")
+    head = F.concat(F.lit("from .util import helper as h\n\n\ndef "), name, F.lit("(a, b):\n    return h(a) + f0(b)\n\n\nclass _K(Base):\n    def m(self):\n        return "), name, F.lit("(1, 2)\n\n\n"))
+    files = p.select(F.concat(F.lit("pkg/mod"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, "html").alias("source"), F.length(head).alias("head"))
+    found = mirror.symbols(files.select("path", "source"), "py").join(files.select("path", "head"), "path")
+    return found.where("begin < head").select("path", "role", "name", "detail", "exported")

@@ -110,6 +110,54 @@ called AS (
 LABEL_RANK_SQL = "list_position(['CALLS', 'CONTAINS_SYMBOL', 'DEFINED_IN', 'CONTAINS', 'IMPORTS', 'LINKS_TO', 'BELONGS_TO'], label)"
 
 
+def vector_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as symbols, their labels as files, and edges: each vector's label, and a link to another vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    k = F.col("vec_id").cast("string")
+    kind = F.when(F.col("vec_id") % 50 == 0, "index").otherwise("concept")
+    tag = F.concat(F.lit("l"), F.col("label").cast("string"))
+    vectors = e.select(F.concat(F.lit("v:"), k).alias("note_id"), F.concat(F.lit("Vector "), k).alias("title"), F.lit("1").alias("tier"), F.concat(F.lit("vec/"), k).alias("path"), F.array(tag).alias("tags"), kind.alias("note_type"), F.lit("").alias("body"))
+    files = e.select("label").distinct().select(key("l:", "label"), key("Label ", "label"), F.lit("2"), key("label/", "label"), F.array(tag), F.lit("concept"), F.lit(""))
+    n = e.agg(F.count("*").alias("n"))
+    other = F.concat(F.lit("v:"), ((F.col("vec_id") * 7 + 1) % F.col("n")).cast("string"))
+    owned = e.select(key("v:", "vec_id").alias("v"), key("l:", "label").alias("l"))
+    links = e.join(F.broadcast(n)).select(key("v:", "vec_id").alias("src"), F.lit("LINKS_TO").alias("label"), other.alias("dst")).where("src <> dst")
+    edges = owned.select(F.col("v").alias("src"), F.lit("DEFINED_IN").alias("label"), F.col("l").alias("dst")).union(owned.select("l", F.lit("CONTAINS_SYMBOL"), "v")).union(links)
+    return vectors.union(files), edges.distinct()
+
+
+VECTOR_NOTES_SQL = """
+vnotes AS (
+  SELECT 'v:' || vec_id AS note_id, CASE WHEN vec_id % 50 = 0 THEN 'index' ELSE 'concept' END AS note_type, ['l' || label] AS tags FROM embeddings
+), edges AS (
+  SELECT 'v:' || vec_id AS src, 'DEFINED_IN' AS label, 'l:' || label AS dst FROM embeddings
+  UNION SELECT 'l:' || label, 'CONTAINS_SYMBOL', 'v:' || vec_id FROM embeddings
+  UNION SELECT * FROM (SELECT 'v:' || vec_id AS src, 'LINKS_TO', 'v:' || (vec_id * 7 + 1) % (SELECT count(*) FROM embeddings) AS dst FROM embeddings) WHERE src <> dst
+), near AS (
+  SELECT src AS node, dst AS neighbour, label, 'outgoing' AS direction FROM edges
+  UNION ALL SELECT dst, src, label, 'incoming' FROM edges
+)"""
+
+
+def tiered_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents by fours as module, file, symbol and plain note, each in the one before it, and links between them."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"))
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"), F.lit(".md"))
+    k, m = F.col("k"), F.col("k") % 4
+    up = name(k - 1)
+    folder = F.when(k % 8 == 0, F.concat(F.lit("m"), k.cast("string"))).otherwise(F.concat(F.lit("m"), (k - 4).cast("string"), F.lit("/s"), k.cast("string")))
+    notes = d.select(
+        name(k).alias("note_id"),
+        F.element_at(F.array(*map(F.lit, ("3", "2", "1", ""))), (m + 1).cast("int")).alias("tier"),
+        F.when(m == 2, up).alias("parent_file"),
+        F.when(m == 1, up).alias("parent_module"),
+        F.when(m == 0, folder).otherwise(".").alias("source_dir"),
+    )
+    n = d.agg(F.count("*").alias("n"))
+    targets = F.explode(F.array_distinct(F.array(k + 4, (k * 3 + 4) % F.col("n"), k - 4))).alias("to")
+    return notes, d.join(F.broadcast(n)).select("k", targets).select(name(k).alias("src"), name(F.col("to")).alias("dst"))
+
+
 def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as push deliveries: users as workspaces; the type as ref; every seventh without delivery id."""
     e = table(spark, sf_dir, "events")

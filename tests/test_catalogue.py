@@ -25,6 +25,31 @@ def test_runs(name, spark):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_hybrid_retrieve_plain_form(spark):
+    """Chunks embedded and ranked one by one."""
+    import math
+
+    from quillgraph.operators.embedding import hash_provider
+
+    query, best = "the thing and of it en", []
+    q = hash_provider([query])[0]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    for d in docs:
+        whole = (d.text or "").split("\n")[0] + "\n\n" + (d.text or "")
+        starts = [0] if len(whole) <= 1536 else range(0, len(whole), 1336)
+        for i, v in enumerate(hash_provider([whole[s : s + 1536] for s in starts])):
+            size = math.sqrt((v @ v) * (q @ q))
+            chunk = str(d.doc_id) if i == 0 else f"{d.doc_id}#chunk{i}"
+            best.append((-round(float(v @ q / size) if size > 1e-10 else 0.0, 9), chunk, d))
+    want = {}
+    for s, _, d in sorted(best, key=lambda x: x[:2])[:8]:
+        if d.doc_id % 50:
+            score = -s * (1 + min(0.3, 0.1 * len({d.lang, d.source} & set(query.split()))))
+            want[str(d.doc_id)] = max(score, want.get(str(d.doc_id), -9))
+    got = {r.note_id: r.score for r in QUERIES["hybrid_retrieve"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
 def test_no_cartesian_product(spark):
     for name in ("near_dup_pairs", "link_resolution", "graph_degree", "webhook_decision"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -311,6 +311,22 @@ def test_link_prefix_is_no_pattern(spark):
     assert {r.target: r.note_id for r in found} == {"k.(a": "a.md", "kx(b/c": "b/c.md"}
 
 
+def test_an_added_language_and_a_file_that_fails(spark, tmp_path):
+    def lines(source):
+        if "bad" in source:
+            raise ValueError("cannot read this")
+        yield from (("def", x, x, True, 0, 1) for x in source.split())
+
+    mirror.register_language("zz", lines, ["skip"])
+    (tmp_path / "a.zz").write_text("one two skip(")
+    (tmp_path / "b.zz").write_text("bad")
+    src = files.read_sources(spark, str(tmp_path), "zz")
+    got = {(r.path, r.role, r.name, r.detail) for r in mirror.symbols(src, "zz").collect()}
+    assert got == {("a.zz", "def", x, x) for x in ("one", "two", "skip(")} | {("b.zz", "error", "", "ValueError: cannot read this")}
+    row = src.where("path = 'a.zz'").select(mirror.mirror_stem(F.col("path"), "zz").alias("s"), mirror.entrypoint_marks("zz", F.col("path"), F.col("source")).alias("m")).first()
+    assert (row.s, row.m) == ("a", [])
+
+
 def test_source_scan_omits(spark, tmp_path):
     for name in ("a.py", "venv/b.py", ".git/c.py", "d.pyi", "s/e.py"):
         p = tmp_path / name
