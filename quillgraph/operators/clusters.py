@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import tag_list
+
 from .graph import components, cut
 from .retrieval import similar_pairs
 
 
-def near_duplicate_clusters(vectors: DataFrame, threshold: float = 0.85, min_size: int = 2) -> tuple[DataFrame, DataFrame]:
+def candidates(notes: DataFrame, types: list[str], excluded_tags: list[str]) -> DataFrame:
+    """Notes of some types without any of the tags, which are normalized first."""
+    unwanted = tag_list(F.array(*map(F.lit, excluded_tags)).cast("array<string>"))
+    return notes.where(F.col("note_type").isin(types) & ~F.coalesce(F.arrays_overlap("tags", unwanted), F.lit(False)))
+
+
+def strongest(pairs: DataFrame, k: int) -> DataFrame:
+    """``pairs`` (a, b, sim) that are among the ``k`` most similar of either end, ties by id."""
+    both = pairs.select("a", "b", "sim", F.col("a").alias("end"), F.col("b").alias("other")).union(pairs.select("a", "b", "sim", "b", "a"))
+    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc(F.round("sim", 9)), "other"))
+    return both.withColumn("_n", place).where(F.col("_n") <= k).select("a", "b", "sim").distinct()
+
+
+def near_duplicate_clusters(vectors: DataFrame, threshold: float = 0.85, min_size: int = 2, neighbours: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Clusters and their members.
 
-    ``vectors``: vec_id, embedding, already filtered by type and tags.  A cluster is a connected component of pairs at
+    ``vectors``: vec_id, embedding, already filtered by type and tags (``candidates``).  ``neighbours``: pairs count only
+    among the so many strongest of either end.  A cluster is a connected component of pairs at
     ``threshold`` or above, called by its smallest id, with size and the largest, smallest and mean similarity of its
     pairs.  The representative has the most partners, then the smallest id; members carry their similarity to it (0 if
     they aren't partners).
     """
-    pairs = cut(similar_pairs(vectors, threshold), vectors.sparkSession)
+    pairs = similar_pairs(vectors, threshold)
+    pairs = cut(pairs if neighbours is None else strongest(pairs, neighbours), vectors.sparkSession)
     member = components(pairs).withColumnRenamed("node", "vec_id").withColumnRenamed("component", "cluster_id")
     ends = pairs.select("a", "b", "sim").join(member.withColumnRenamed("vec_id", "a"), "a")
     stats = ends.groupBy("cluster_id").agg(F.max("sim").alias("max_sim"), F.min("sim").alias("min_sim"), F.avg("sim").alias("avg_sim"))

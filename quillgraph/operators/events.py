@@ -24,6 +24,11 @@ def first_claims(events: DataFrame, order: str = "ts") -> DataFrame:
     return events.groupBy("key").agg(F.min_by(row, F.struct(order, "event_id")).alias("r")).select("r.*")
 
 
+def released(claims: DataFrame, failed: DataFrame) -> DataFrame:
+    """Claims (key, ...) without those whose publication failed, so that the next delivery may claim them again."""
+    return claims.join(failed.select("key").distinct(), "key", "left_anti").select(*claims.columns)
+
+
 def decisions(events: DataFrame, workspaces: DataFrame) -> DataFrame:
     """``event_id``, ``workspace``, ``status``, ``reason`` of push events, in the order in which a gateway would decide.
 

@@ -10,11 +10,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import base_name, dir_name, stem
-from quillgraph.sources.files import LANGUAGES
+from quillgraph.sources.files import LANGUAGES, delete_files, file_list, read_files, read_sources, write_files
 
 SYMBOLS = "path string, role string, name string, detail string, exported boolean, begin int, end int"
 
@@ -333,6 +333,50 @@ def keep_summary(new: Column, old: Column) -> Column:
     return F.concat(F.regexp_replace(new, r"\s+$", ""), F.lit("\n"), summary)
 
 
+def module_links(computed: Column, stored: Column) -> Column:
+    """Links of a module's children: those computed and those on disk, each once, in order."""
+    return F.array_sort(F.array_union(F.coalesce(computed, F.array().cast("array<string>")), F.coalesce(stored, F.array().cast("array<string>"))))
+
+
+def mirror_totals(outcomes: DataFrame) -> DataFrame:
+    """``language``, ``written``, ``skipped``, ``may_clean`` of outcomes (language, outcome: written, skipped or failed).
+
+    Stale notes may only be deleted if nothing failed in any language and something is valid.
+    """
+    each = outcomes.groupBy("language").agg(F.count_if(F.col("outcome") == "written").alias("written"), F.count_if(F.col("outcome") == "skipped").alias("skipped"))
+    whole = outcomes.agg((F.count_if(F.col("outcome") == "failed") == 0).alias("may_clean"), F.count_if(F.col("outcome") != "failed").alias("_valid"))
+    return each.join(F.broadcast(whole.select((F.col("may_clean") & (F.col("_valid") > 0)).alias("may_clean"))))
+
+
+def mirror_workspace(spark: SparkSession, root: str, out: str, languages: list[str], workspace: str, omit: dict[str, list[str]] | None = None) -> dict[str, dict | int]:
+    """Mirror a source tree: a note for each file, symbol and folder below ``out``, stale ones deleted if all went well.
+
+    Summaries of notes that are there already are kept.  Counts of notes written and left as they were, by language, and
+    of notes deleted.  An unknown language is skipped and keeps stale notes.
+    """
+    written, skipped, valid, well = {}, {}, None, True
+    for language in dict.fromkeys(languages):
+        if language not in EXTRACTORS:
+            well = False
+            continue
+        src = read_sources(spark, root, language, (omit or {}).get(language)).cache()
+        table = symbols(src, language).cache()
+        well &= not table.where("role = 'error'").limit(1).count()
+        notes = file_notes(table, src, language, workspace).union(symbol_notes(table, language, workspace)).union(module_notes(src, language, workspace))
+        notes = notes.groupBy("note_path").agg(F.min("note").alias("note"))
+        old = read_files(notes.select(F.col("note_path").alias("rel_path")), out).select(F.col("rel_path").alias("note_path"), F.col("content").alias("old"))
+        both = notes.join(old, "note_path", "left").withColumn("note", keep_summary(F.col("note"), F.col("old"))).cache()
+        changed = both.where("NOT (note <=> old)")
+        written[language] = write_files(changed.select(F.col("note_path").alias("rel_path"), F.col("note").alias("content")), out)
+        skipped[language] = both.count() - written[language]
+        valid = both.select("note_path") if valid is None else valid.union(both.select("note_path"))
+    cleaned = 0
+    if well and valid is not None and valid.limit(1).count():
+        stale = file_list(spark, out, "*.md").join(valid.select(F.col("note_path").alias("rel_path")).distinct(), "rel_path", "left_anti")
+        cleaned = delete_files(stale.select("rel_path"), out)
+    return {"written": written, "skipped": skipped, "cleaned": cleaned}
+
+
 def to_mirror(sources: DataFrame, mirrors: DataFrame, force: bool = False) -> DataFrame:
     """Sources (path, mtime) without a mirror (path, mtime) at least as new; all with ``force``."""
     fresh = mirrors.select("path", F.col("mtime").alias("mirrored"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import strip
+
 
 def child_hashes(children: DataFrame) -> DataFrame:
     """``parent``, ``n_children``, ``child_hash``: changes if any child's ``link`` or ``summary`` does, whatever the order.
@@ -16,6 +18,22 @@ def child_hashes(children: DataFrame) -> DataFrame:
     return children.groupBy("parent").agg(F.count("*").alias("n_children"), F.sum(number).cast("string").alias("child_hash"))
 
 
+def summary_records(notes: DataFrame, workspace: str) -> DataFrame:
+    """Notes of a tier with ``link``, by which parents name them: code/<workspace>/<path without .md>."""
+    return notes.where(F.col("tier").isin("1", "2", "3")).withColumn("link", F.concat(F.lit(f"code/{workspace}/"), F.regexp_replace("path", r"\.md$", "")))
+
+
+def summary_section(summary: Column, meta: dict[str, Column]) -> Column:
+    """A summary as a section of its note, with what it was made from."""
+    lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in meta.items()]
+    return F.concat(F.lit("## Summary\n\n<!-- cg:summary-meta\n"), F.concat_ws("\n", *lines), F.lit("\n-->\n\n"), strip(summary), F.lit("\n"))
+
+
+def tier_totals(outcomes: DataFrame) -> DataFrame:
+    """``tier``, ``summarized``, ``skipped``, ``failed`` of outcomes (tier, outcome)."""
+    return outcomes.groupBy("tier").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("summarized", "skipped", "failed")])
+
+
 def needs_summary(notes: DataFrame, stored: DataFrame, settings: list[str]) -> DataFrame:
     """``note_id``, ``stale``: no stored text, or any of ``settings`` (tier, model, source_hash, child_hash, ...) differs."""
     both = notes.select("note_id", *settings).join(stored.select("note_id", "summary", *[F.col(c).alias(f"_{c}") for c in settings]), "note_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.functions.routing import BROAD_TERMS, DISCOVER_PHRASES, FILLER, query_mode
-from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, render, retrieval, summaries, targeted
+from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, registry, render, retrieval, summaries, targeted
 
 from . import fixtures as X
 from .fixtures import LABEL_RANK_SQL, NOTES_SQL, PUSHES_SQL, STAR_EDGES_SQL, STAR_NOTES_SQL, table
@@ -810,6 +810,57 @@ def stale_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.to_mirror(sources, d.where("doc_id % 3 <> 0").select("path", (F.col("doc_id") % 4).alias("mtime")))
 
 
+@register("SELECT doc_id AS note_id FROM documents WHERE doc_id % 50 <> 0 AND lang <> 'en'")
+def prune_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.candidates(X.notes(spark, sf_dir), ["concept"], ["EN"]).select("note_id")
+
+
+@register(
+    f"""
+WITH {PAIRS_SQL}, ends AS (
+  SELECT a, b, sim, a AS e, b AS o FROM pairs UNION ALL SELECT a, b, sim, b, a FROM pairs
+)
+SELECT DISTINCT a, b, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY round(sim, 9) DESC, o) AS n FROM ends) WHERE n <= 2"""
+)
+def strongest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.strongest(retrieval.similar_pairs(table(spark, sf_dir, "embeddings"), 0.4), 2).select("a", "b", rounded("sim").alias("sim"))
+
+
+@register("SELECT doc_id, source AS name, length(lang) BETWEEN 2 AND 64 AND regexp_matches(lang, '^[a-z0-9][a-z0-9_-]{0,62}[a-z0-9]$') AS lang_ok, length(source) BETWEEN 2 AND 64 AND regexp_matches(source, '^[a-z0-9][a-z0-9_-]{0,62}[a-z0-9]$') AS source_ok FROM documents")
+def workspace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("source").alias("name"), registry.valid_name(F.col("lang")).alias("lang_ok"), registry.valid_name(F.col("source")).alias("source_ok"))
+
+
+@register("SELECT tier, count(*) FILTER (o = 0) AS summarized, count(*) FILTER (o = 1) AS skipped, count(*) FILTER (o = 2) AS failed FROM (SELECT (doc_id % 3 + 1)::VARCHAR AS tier, n_chars % 3 AS o FROM documents) GROUP BY tier")
+def summary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome = F.element_at(F.array(*map(F.lit, ("summarized", "skipped", "failed"))), (F.col("n_chars") % 3 + 1).cast("int"))
+    return summaries.tier_totals(table(spark, sf_dir, "documents").select((F.col("doc_id") % 3 + 1).cast("string").alias("tier"), outcome.alias("outcome")))
+
+
+@register("SELECT lang AS language, count(*) FILTER (doc_id % 2 = 0) AS written, count(*) FILTER (doc_id % 2 = 1) AS skipped, true AS may_clean FROM documents GROUP BY lang")
+def mirror_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return mirror.mirror_totals(d.select(F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, "written").otherwise("skipped").alias("outcome")))
+
+
+@register(f"WITH {PUSHES_SQL}, first AS (SELECT key, arg_min(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM keyed GROUP BY key) SELECT key, event_id FROM first WHERE event_id % 3 <> 0")
+def claims_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = events.first_claims(keyed_pushes(spark, sf_dir)).select("key", "event_id")
+    return events.released(claims, claims.where("event_id % 3 = 0"))
+
+
+@register(
+    """
+SELECT doc_id, 'code/w/src/' || source || '/doc_' || doc_id AS link, '## Summary' || chr(10) || chr(10) || '<!-- cg:summary-meta' || chr(10) || 'tier: ' || doc_id % 4 || chr(10) || 'source_hash: ' || md5(text) || chr(10) || '-->' || chr(10) || chr(10) || lang || chr(10) AS section
+FROM documents WHERE doc_id % 4 > 0"""
+)
+def summary_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = X.notes(spark, sf_dir).select(F.col("note_id").alias("doc_id"), "path", "body", F.element_at("tags", 1).alias("lang"), (F.col("note_id") % 4).cast("string").alias("tier"))
+    section = summaries.summary_section(F.concat(F.lit(" "), "lang", F.lit("\n")), {"tier": F.col("tier"), "source_hash": F.md5("body")})
+    return summaries.summary_records(n, "w").select("doc_id", "link", section.alias("section"))
+
+
 # ---- answers
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 from functools import reduce
@@ -104,6 +105,72 @@ def omitted(path: Column, patterns: list[str]) -> Column:
     return reduce(or_, tests)
 
 
+def inside(path: str) -> bool:
+    """Whether a relative path stays below its root."""
+    return bool(path) and not path.startswith("/") and ".." not in path.split("/")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write files (rel_path, content) below ``root``; the number written.
+
+    A file is written beside its place first and moved there, so nobody reads half of it; a task that runs again writes
+    the same.  Paths that leave the root are an error.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = file_system(root)
+        for batch in batches:
+            for path, content in zip(batch["rel_path"], batch["content"], strict=True):
+                if not inside(path):
+                    raise ValueError(f"{path!r} is outside the root")
+                target = f"{top}/{path}"
+                fs.create_dir(target.rpartition("/")[0], recursive=True)
+                beside = f"{target}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(beside) as stream:
+                    stream.write(content.encode())
+                fs.move(beside, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("rel_path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def delete_files(files: DataFrame, root: str) -> int:
+    """Delete files (rel_path) below ``root``, and folders that are empty then; the number deleted.
+
+    Paths that leave the root are an error; files that are gone already don't count.
+    """
+
+    def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = file_system(root)
+        for batch in batches:
+            n = 0
+            for path in batch["rel_path"]:
+                if not inside(path):
+                    raise ValueError(f"{path!r} is outside the root")
+                if fs.get_file_info(f"{top}/{path}").type == pafs.FileType.File:
+                    fs.delete_file(f"{top}/{path}")
+                    n += 1
+            yield pd.DataFrame({"n": [n]})
+
+    gone = files.select("rel_path").mapInPandas(delete, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    fs, top = file_system(root)
+    if gone:  # folders from the deepest up
+        folders = [x.path for x in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if x.type == pafs.FileType.Directory]
+        for folder in sorted(folders, key=lambda x: -x.count("/")):
+            if not fs.get_file_info(pafs.FileSelector(folder)):
+                fs.delete_dir(folder)
+    return gone
+
+
+def save_registry(registry: DataFrame, path: str) -> None:
+    """The registry as a JSON array, as ``read_registry`` takes it; the new file replaces the old at once."""
+    fs, target = file_system(path)
+    rows = ",\n".join(r[0] for r in registry.select(F.to_json(F.struct("*"))).collect())  # a line for each workspace
+    with fs.open_output_stream(f"{target}.tmp") as stream:
+        stream.write(f"[{rows}]".encode())
+    fs.move(f"{target}.tmp", target)
+
+
 def read_markdown(spark: SparkSession, root: str, workspace: str = "", paths: DataFrame | None = None) -> DataFrame:
     """``workspace``, ``note_id`` (path below root), ``text``: every .md file outside ignored folders, or some (rel_path)."""
     files = read_files(dealt(file_list(spark, root, "*.md")) if paths is None else paths, root)

@@ -311,6 +311,60 @@ def test_link_prefix_is_no_pattern(spark):
     assert {r.target: r.note_id for r in found} == {"k.(a": "a.md", "kx(b/c": "b/c.md"}
 
 
+def test_mirror_workspace(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    for name, text in {"p/__init__.py": "from .a import run\n", "p/a.py": "from .util import helper\n\n\ndef run():\n    return helper(1)\n", "p/util.py": "def helper(x):\n    return x\n"}.items():
+        (src / name).parent.mkdir(parents=True, exist_ok=True)
+        (src / name).write_text(text)
+    (out / "old").mkdir(parents=True)
+    (out / "old/stale.md").write_text("x")
+    (out / "old/keep.txt").write_text("x")
+    first = mirror.mirror_workspace(spark, str(src), str(out), ["py", "py"], "w")
+    assert first["cleaned"] == 1 and first["skipped"] == {"py": 0} and first["written"]["py"] >= 6 and (out / "old/keep.txt").exists()
+    made = {str(x.relative_to(out)) for x in out.rglob("*.md")}
+    assert {"p/_module.md", "p/a.md", "p/a/run.md", "p/p-init.md", "p/util/helper.md"} <= made
+    (out / "p/a.md").write_text((out / "p/a.md").read_text().rstrip() + "\n\n## Summary\nwhat it does")
+    (src / "p/util.py").unlink()
+    assert "skipped" in mirror.mirror_workspace(spark, str(src), str(out), ["py", "cobol"], "w") and (out / "p/util.md").exists(), "an unknown language keeps all"
+    again = mirror.mirror_workspace(spark, str(src), str(out), ["py"], "w")
+    assert again["cleaned"] == 2 and not (out / "p/util").exists() and "## Summary\nwhat it does" in (out / "p/a.md").read_text()
+    assert mirror.mirror_workspace(spark, str(src), str(out), ["py"], "w")["written"] == {"py": 0}
+    with pytest.raises(Exception, match="outside the root"):
+        files.delete_files(spark.createDataFrame([("../x",)], "rel_path string"), str(out))
+
+
+def test_registry(spark, tmp_path):
+    from quillgraph.operators import registry
+
+    schema = "workspace string, name string, languages array<string>, active boolean"
+    held = spark.createDataFrame([("1", "alpha", ["py"], True), ("2", "beta", ["ts"], False)], schema)
+    asked = spark.createDataFrame([("3", "alpha", ["py"], True), ("4", "a", ["py"], True), ("5", "good-one", ["c", "py", "c"], True), ("6", "good-one", ["c"], True), ("7", "other", ["", "c"], True), ("8", "none", None, True), ("9", "_x", [], True)], schema)
+    after, said = registry.register(held, asked)
+    assert {r.workspace: r.outcome for r in said.collect()} == {"3": "taken", "4": "bad_name", "5": "registered", "6": "taken", "7": "bad_languages", "8": "bad_languages", "9": "bad_name"}
+    assert {r.workspace: r.languages for r in after.collect()} == {"1": ["py"], "2": ["ts"], "5": ["c", "py"]}
+    files.save_registry(after, f"{tmp_path}/registry.json")
+    assert {r.workspace for r in files.read_registry(spark, f"{tmp_path}/registry.json", schema).collect()} == {"1", "5"}
+    notes = spark.createDataFrame([("1", "code/a.md"), ("5", "code/b.md")], "workspace string, path string")
+    left, paths = registry.unregister(after, notes, spark.createDataFrame([("5",)], "workspace string"))
+    assert {r.workspace for r in left.collect()} == {"1", "2"} and [tuple(r) for r in paths.collect()] == [("5", "code/b.md")]
+    status = spark.createDataFrame([("1", {"a": "old", "b": "kept"}), ("2", None)], "workspace string, status map<string,string>")
+    new = registry.patched(status, spark.createDataFrame([("1", {"a": "new"})], "workspace string, status map<string,string>"), {"c": "never", "b": "none"})
+    assert {r.workspace: r.status for r in new.collect()} == {"1": {"a": "new", "b": "kept", "c": "never"}, "2": {"c": "never", "b": "none"}}
+    jobs = spark.createDataFrame([("1", "running"), ("1", "pending"), ("1", "done")], "workspace string, state string")
+    assert sorted(tuple(r) for r in registry.status_view(held, jobs, notes).collect()) == [("1", 1, 1, 1, True), ("2", 0, 0, 0, False)]
+    pause = lambda *w: spark.createDataFrame([(x,) for x in w], "workspace string")
+    assert registry.not_paused(jobs, pause("1")).count() == 0 and registry.not_paused(jobs, pause("2")).count() == 3 and registry.not_paused(jobs, pause(None)).count() == 0
+
+
+def test_prune_candidates_and_strongest_pairs(spark):
+    from quillgraph.operators import clusters
+
+    notes = spark.createDataFrame([("a", "concept", ["x"]), ("b", "tool", ["x"]), ("c", "concept", ["do_not", "x"]), ("d", "concept", None)], "note_id string, note_type string, tags array<string>")
+    assert {r.note_id for r in clusters.candidates(notes, ["concept"], ["Do Not"]).collect()} == {"a", "d"}
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (2, 3, 0.7), (3, 4, 0.6)], "a long, b long, sim double")
+    assert {(r.a, r.b) for r in clusters.strongest(pairs, 1).collect()} == {(1, 2), (1, 3), (3, 4)}
+
+
 def test_an_added_language_and_a_file_that_fails(spark, tmp_path):
     def lines(source):
         if "bad" in source:
