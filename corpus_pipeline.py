@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.bpe_codec import bpe_stage
-from quillgraph.llm.common import shared_path
+from quillgraph.llm.common import clean_shared, mark_shared, shared_path
 from quillgraph.llm.decontamination import decontamination_stage
 from quillgraph.llm.near_dedup import near_dedup_stage
 from quillgraph.llm.quality_crf import quality_stage
@@ -28,10 +28,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; each stage is written to the shared folder and read again.
+
+    What a stage has read and made in between is deleted once it is written; the last but one's table stays.
+    """
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark_shared()
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
+        clean_shared(spark, mark, keep=path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,7 +75,7 @@ def encode_words(words: list[np.ndarray], merge: dict[tuple[int, int], int]) ->
 class WordCodec:
     """Encodes and decodes for one Python worker; remembers words it has met, up to ``max_words`` of them."""
 
-    def __init__(self, vocab: Vocabulary, max_words: int = 150_000):
+    def __init__(self, vocab: Vocabulary, max_words: int = 300_000):
         self.vocab, self.max_words = vocab, max_words
         self.names = [t.encode() for t in vocab.tokens]
         self.forget()
@@ -147,12 +147,6 @@ def codec(source: str) -> WordCodec:
     return _CODECS[source]
 
 
-def rest(source: str) -> None:
-    """After a task: words are forgotten, the vocabulary stays."""
-    codec(source).forget()
-    give_back()
-
-
 def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters (one text at least), to bound the memory of a batch."""
     some, size = [], 0
@@ -176,7 +170,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", tokenizer_path: str | None =
         for batch in batches:
             for some in slices(batch.tolist()):
                 yield pd.Series([ids.astype(np.int32) for ids, _ in codec(source.value).encode(some)], dtype=object)
-        rest(source.value)
+        give_back()
 
     return docs.withColumn(output, encode(null_to_empty(text)))
 
@@ -207,7 +201,7 @@ def bpe_digests(docs: DataFrame, text: str = "text", tokenizer_path: str | None
             for some in slices(batch.tolist()):
                 rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        rest(source.value)
+        give_back()
 
     return docs.withColumn("_bpe", digest(null_to_empty(text))).select("*", "_bpe.*").drop("_bpe")
 
@@ -230,7 +224,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for some in slices(batch.tolist()):
                 rows = [(ids.astype(np.int32), len(ids), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
                 yield pd.DataFrame(rows, columns=list(new))
-        rest(source.value)
+        codec(source.value).forget()  # other stages run in this worker too
+        give_back()
 
     # the columns go along under names that can't clash
     own = {c: f"in{i}" for i, c in enumerate(docs.columns) if c not in new}

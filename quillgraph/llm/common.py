@@ -46,10 +46,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _MADE[-1]
 
 
-def clean_shared(spark: SparkSession) -> None:
-    """Delete what the operators have written to the shared folder so far.  Results not yet stored elsewhere are lost."""
-    while _MADE:
-        delete_path(spark, _MADE.pop())
+def mark_shared() -> int:
+    """A place in the list of paths made, for ``clean_shared``."""
+    return len(_MADE)
+
+
+def clean_shared(spark: SparkSession, mark: int = 0, keep: str | None = None) -> None:
+    """Delete what the operators have written to the shared folder since ``mark``, but for ``keep``.
+
+    Results of that time which aren't stored elsewhere yet are lost.
+    """
+    made, _MADE[mark:] = _MADE[mark:], []
+    for path in made:
+        if path != keep:
+            delete_path(spark, path)
+    if keep in made:
+        _MADE.append(keep)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 from quillgraph.llm import quality_crf
+from quillgraph.llm.common import path_glob, shared_root
 
 from ..conftest import SF
 from . import brute
@@ -44,7 +45,10 @@ def test_stages(spark, tokenizer_file):
         want = tokenizer_file.encode(r.text, add_special_tokens=False).ids
         assert r.ids == want and r.n_tokens == len(want) and r.decoded_sha256 == brute.sha(tokenizer_file.decode(want, skip_special_tokens=False))
     assert {(r.doc_id, r.text, r.lang, r.source) for r in coded} == {(r.doc_id, r.text, r.lang, r.source) for r in clean.collect()}
+    before = set(path_glob(spark, shared_root(spark) + "/*"))
     rows = corpus_pipeline.run(spark, SF).collect()
+    left = set(path_glob(spark, shared_root(spark) + "/*")) - before
+    assert len(left) == 1 and "decontamination" in left.pop(), "tables of stages that are done are deleted"
     assert Counter(r.doc_id for r in rows) == Counter(ids.keys())
 
 
