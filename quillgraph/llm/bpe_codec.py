@@ -224,7 +224,9 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             for some in slices(batch.tolist()):
                 rows = [(ids.astype(np.int32), len(ids), hashlib.sha256(decoded).hexdigest()) for ids, decoded in codec(source.value).encode(some)]
                 yield pd.DataFrame(rows, columns=list(new))
-        codec(source.value).forget()  # other stages run in this worker too
+        # other stages run in this worker too
+        _CODECS.clear()
+        load_vocabulary.cache_clear()
         give_back()
 
     # the columns go along under names that can't clash

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SENT_ROWS, give_back, null_to_empty, table, written
 from .components import components
-from .word_hashes import mix, text_slices, window_hashes, words_of
+from .word_hashes import arrow_slices, mix, window_hashes, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -114,22 +115,21 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def sketches(docs: DataFrame) -> DataFrame:
     """``d``, the text's 128-bit hash ``t1``, ``t2``, its band keys and one byte of each register; no row for a text without words' keys."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for i, j, some in text_slices(texts):
+            for i, j, some in arrow_slices(batch, "text"):
                 _, _, _, hashes, bounds = words_of(some)
                 kept = prob_min_hash(*weighted_shingles(hashes, bounds), j - i)
                 keys = band_keys(kept).view(np.int64)
                 bytes_ = (mix(kept) & np.uint64(255)).astype(np.uint8)
                 words = np.diff(bounds) > 0
-                out = batch.iloc[i:j][["d", "t1", "t2"]].copy()
-                out["bands"] = [k if w else [] for k, w in zip(keys, words.tolist(), strict=True)]
-                out["registers"] = [x.tobytes() for x in bytes_]
-                yield out
+                names = ["d", "t1", "t2"]
+                columns = [batch.column(c).slice(i, j - i) for c in names]
+                bands = pa.array([k if w else [] for k, w in zip(keys, words.tolist(), strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, bands, pa.array([x.tobytes() for x in bytes_], pa.binary())], [*names, "bands", "registers"])
         give_back()
 
-    return docs.mapInPandas(make, "d long, t1 long, t2 long, bands array<long>, registers binary")
+    return docs.mapInArrow(make, "d long, t1 long, t2 long, bands array<long>, registers binary")
 
 
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -148,24 +148,20 @@ def similarity(a: pd.Series, m: pd.Series, b: pd.Series, n: pd.Series) -> pd.Ser
 def shingle_table(docs: DataFrame) -> DataFrame:
     """``node``, its sorted shingle hashes and their counts."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
-            for i, j, some in text_slices(texts):
+            for i, j, some in arrow_slices(batch, "text"):
                 _, _, _, hashes, bounds = words_of(some)
                 text, shingle, count = weighted_shingles(hashes, bounds)
                 upto = np.searchsorted(text, np.arange(j - i + 1))
                 order = [np.argsort(shingle[a:b].view(np.int64)) for a, b in zip(upto, upto[1:], strict=False)]
-                yield pd.DataFrame(
-                    {
-                        "node": batch["d"].to_numpy()[i:j],
-                        "shingles": [shingle[a:b].view(np.int64)[o] for a, b, o in zip(upto, upto[1:], order, strict=False)],
-                        "counts": [count[a:b][o].astype(np.int32) for a, b, o in zip(upto, upto[1:], order, strict=False)],
-                    }
-                )
+                spans = list(zip(upto, upto[1:], order, strict=False))
+                shingles = pa.array([shingle[a:b].view(np.int64)[o] for a, b, o in spans], pa.list_(pa.int64()))
+                counts = pa.array([count[a:b][o].astype(np.int32) for a, b, o in spans], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(i, j - i), shingles, counts], ["node", "shingles", "counts"])
         give_back()
 
-    return docs.select("d", "text").mapInPandas(make, "node long, shingles array<long>, counts array<int>")
+    return docs.select("d", "text").mapInArrow(make, "node long, shingles array<long>, counts array<int>")
 
 
 def central_pivots(live: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import give_back
 
@@ -93,6 +95,18 @@ def text_slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, in
         i = j
 
 
+def arrow_slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """As ``text_slices``, of a column of strings of an Arrow batch, without making Python texts of all of it."""
+    texts = batch.column(column)
+    stops = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(stops, (stops[i - 1] if i else 0) + size, side="right")))
+        yield i, j, texts.slice(i, j - i).cast(pa.binary()).to_pylist()
+        give_back()
+        i = j
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All texts' bytes joined by line ends, the words' ranges in them and hashes, and where each text's words begin."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
