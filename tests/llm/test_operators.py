@@ -548,6 +548,45 @@ def test_marginals_by_enumeration():
     assert np.allclose(good, want) and np.allclose(moved, moves)
 
 
+def test_document_score_by_enumeration():
+    """Whole texts: every labelling of a text's lines, marginals weighed by the lines' lengths, then the calibration."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    field = quality_crf.ChainField(rng.normal(size=3 * quality_crf.N_OWN), rng.normal(size=(2, 2)), 3.0, -1.2)
+    texts = ["A line of words.\n\n  \nBUY NOW!!! | $$$\nthe the the the", "one line only", "", " \n ", "x\n" * 5 + "é 日本 12"]
+    got = field.scores(texts)
+    for i, text in enumerate(texts):
+        x, size, lines = quality_crf.line_features([text])
+        assert lines[0] == sum(bool(line.strip()) for line in text.split("\n")) and size.tolist() == [len(line) for line in text.split("\n") if line.strip()]
+        weights = {}
+        for y in product((0, 1), repeat=int(lines[0])):
+            weights[y] = np.exp(sum(y[t] * (x[t] @ field.weights) for t in range(len(y))) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        z = sum(weights.values())
+        good = [sum(w for y, w in weights.items() if y[t]) / z for t in range(int(lines[0]))]
+        evidence = (size @ np.array(good)) / size.sum() if len(size) else 0.5
+        assert abs(got[i] - 1 / (1 + np.exp(-(3.0 * evidence - 1.2)))) < 1e-9
+
+
+def test_queries_of_repeated_rows_and_null_ids(spark, documents, docs, tokenizer, tmp_path):
+    """op5 and op7 give a row for each row, those that repeat the same one, those without an id too."""
+    rows = docs.union(docs).union(spark.createDataFrame([(None, "one two\nthree", None, None, None), (None, None, None, None, None)], docs.schema))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i, _ in documents] * 2 + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality_crf.op7_quality_crf(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter({i: 2 for i, _ in documents} | {None: 2})
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got) and len({(r.doc_id, r.score) for r in got}) == len(documents) + 2
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    text = dict(documents)
+    coded = bpe_codec.op5_bpe_codec(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in coded) == Counter(r.doc_id for r in got)
+    for r in coded:
+        if r.doc_id is not None:
+            ids = tokenizer.encode(text[r.doc_id] or "", add_special_tokens=False).ids
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+            assert r.decoded_sha256 == brute.sha(tokenizer.decode(ids, skip_special_tokens=False))
+
+
 # 8
 
 
