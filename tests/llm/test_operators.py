@@ -134,7 +134,7 @@ def test_pairs_grow_in_proportion_to_a_group(spark, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "written", counting)
     pairs = {}
-    for n in (400, 800):
+    for n in (300, 600):
         rng = np.random.default_rng(7)
         base, rows = [f"w{i}" for i in range(150)], []
         for i in range(n):
@@ -152,7 +152,7 @@ def test_pairs_grow_in_proportion_to_a_group(spark, monkeypatch):
                 label[i] = label[j] = min(label[i], label[j])
         assert got == label and len(links) > 10 * n
         pairs[n] = seen["candidates"]
-    assert pairs[800] < 3 * pairs[400] and pairs[800] < 60 * 800, pairs
+    assert pairs[600] < 3 * pairs[300] and pairs[600] < 60 * 600, pairs
 
 
 def test_near_dedup_stage_of_repeated_ids(spark, documents):
