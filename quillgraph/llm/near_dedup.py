@@ -343,20 +343,12 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def near(pairs: DataFrame) -> DataFrame:
         for c, name in (("a", "x"), ("b", "y")):
             pairs = pairs.join(registers.select(F.col("node").alias(c), F.col("registers").alias(name)), c)
-        return written(pairs.withColumn("agree", agree("x", "y")).drop("x", "y").where(F.col("agree") >= THRESHOLD - SLACK), "candidates", fewer=16)
+        return written(pairs.where(agree("x", "y") >= THRESHOLD - SLACK).select("a", "b"), "candidates", fewer=16)
 
-    shingles, labels, tried = Shingles(docs), None, None
+    shingles = Shingles(docs)
     pairs = live.join(central_pivots(live), "bucket").where("node <> pivot")
-    close = near(pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"), "node").distinct())
-    # a node's likeliest pivot is verified first, then the others with which it is still apart
-    likeliest = close.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.*")
-    for some in (likeliest, close.select("a", "b")):
-        some = relabelled(some.distinct(), labels)
-        if tried is not None:
-            some = some.join(tried, ["a", "b"], "left_anti")
-        judged = shingles.judge(written(some, "verify", fewer=16))
-        tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
-        labels = merged(labels, judged.where("same"))
+    judged = shingles.judge(relabelled(near(pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()), None))
+    labels = merged(None, judged.where("same"))
     # on with the buckets that are neither of one component nor fully compared
     left = live.where("n > 2")
     named = left.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
@@ -367,8 +359,8 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
         every = frequencies(sets)
         known = written(profiles(every).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "profiles", fewer=8)
-        pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct().join(tried, ["a", "b"], "left_anti")
-        labels = merged(labels, shingles.judge(written(relabelled(near(pairs), labels), "verify", fewer=16)).where("same"))
+        pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        labels = merged(labels, shingles.judge(relabelled(near(pairs), labels)).where("same"))
     return labels
 
 

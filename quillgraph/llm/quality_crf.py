@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_to_empty, table
+from .common import give_back, null_to_empty, table
 from .bpe_codec import slices
 from .word_hashes import word_hashes, word_ranges
 
@@ -222,7 +222,10 @@ def train_quality_field(docs: DataFrame, labels: DataFrame, max_docs: int = 2000
         .limit(max_docs)
         .collect()
     )
-    return fit_field([r.text for r in rows], np.array([r.quality for r in rows], np.int64))
+    field = fit_field([r.text for r in rows], np.array([r.quality for r in rows], np.int64))
+    del rows
+    give_back()
+    return field
 
 
 def score_quality(docs: DataFrame, field: ChainField, threshold: float = 0.3, score: str = "score", predicted: str = "predicted") -> DataFrame:
