@@ -33,7 +33,7 @@ GRAM = 20
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 BLOCK_BYTES = 4 << 20
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 #: Bytes whose suffixes are sorted at a time.
 SORT_BYTES = 2 << 20
 #: Copies of a text that share a block at most.
@@ -240,6 +240,7 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             size = n.astype(np.int64) + window - 1
             end = np.cumsum(size)
             hit, low, high = repeats_in_range(data, end - size, end, anchor, d, n, window)
+            give_back()
             for b, some in by_range(block[hit]):
                 k = hit[some]
                 out.append((-1, -1, b, None, doc[k], l[k] + low[some], high[some] - low[some] + 1, None, None))
@@ -286,6 +287,7 @@ def repeats_by_anchor(
         lost = smallest[b] < d[owner]
         units_.append(owner[lost])
         places.append(inner[lost])
+        give_back()
         i = j
     return np.concatenate(units_), np.concatenate(places)
 
