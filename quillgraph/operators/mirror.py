@@ -1,44 +1,23 @@
 """Source files as tables: definitions, imports, call sites, and the joins between them.
 
-Extraction is line and pattern based, one row per file, in Arrow batches; everything after it is joins.  TypeScript is
-read by patterns too, so definitions that span unusual layouts may be missed.
+Extraction (``syntax``) is a helper over one file's text, in Arrow batches; everything after it is joins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import base_name, dir_name, stem
+from quillgraph.operators.graph import cut
+from quillgraph.operators.syntax import CALLS, EXTRACTORS, MOST_BODY, NOT_CALLS, attributed, plain_calls
 from quillgraph.sources.files import LANGUAGES, delete_files, file_list, read_files, read_sources, write_files
 
-SYMBOLS = "path string, role string, name string, detail string, exported boolean, begin int, end int"
-
-# Names that look like calls but aren't reported as such, by language.
-NOT_CALLS: dict[str, list[str]] = {
-    "py": [
-        "False", "None", "True", "and", "as", "assert", "async", "await", "break", "class", "continue", "def", "del", "elif", "else", "except",
-        "finally", "for", "from", "global", "if", "import", "in", "is", "lambda", "nonlocal", "not", "or", "pass", "raise", "return", "try", "while",
-        "with", "yield", "print", "len", "range", "list", "dict", "set", "tuple", "str", "int", "float", "bool", "bytes", "type", "isinstance",
-        "issubclass", "hasattr", "getattr", "setattr", "delattr", "callable", "iter", "next", "enumerate", "zip", "map", "filter", "sorted",
-        "reversed", "sum", "min", "max", "abs", "round", "open", "input", "repr", "hash", "id", "dir", "vars", "locals", "globals", "super",
-        "object", "property", "staticmethod", "classmethod", "dataclass", "field", "asdict", "Optional", "Any", "List", "Dict", "Set", "Tuple",
-        "Union", "Literal", "Callable", "Type", "ClassVar",
-    ],
-    "c": [
-        "auto", "break", "case", "char", "const", "continue", "default", "do", "double", "else", "enum", "extern", "float", "for", "goto", "if",
-        "inline", "int", "long", "register", "restrict", "return", "short", "signed", "sizeof", "static", "struct", "switch", "typedef", "union",
-        "unsigned", "void", "volatile", "while", "_Alignas", "_Alignof", "_Atomic", "_Bool", "_Complex", "_Generic", "_Imaginary", "_Noreturn",
-        "_Static_assert", "_Thread_local",
-    ],
-    "ts": [
-        "if", "for", "while", "switch", "return", "catch", "function", "typeof", "new", "await", "super", "constructor", "import",
-    ],
-}
+SYMBOLS = "path string, role string, name string, detail string, exported boolean, begin int, end int, owner string, caller string, traits map<string,string>"
 
 # File names, folders and source patterns by which entry points are known.
 MAIN_FILES = {
@@ -91,82 +70,8 @@ def entrypoint_marks(language: str, path: Column, source: Column) -> Column:
     return F.array_compact(F.array(*marks))
 
 
-def _python(source: str) -> Iterator[tuple]:
-    lines = source.split("\n")
-    starts = [0]
-    for line in lines:
-        starts.append(starts[-1] + len(line) + 1)
-    listed = re.search(r"(?m)^__all__\s*=\s*[\[(]([^\])]*)", source)
-    public = set(re.findall(r"""["'](\w+)["']""", listed.group(1))) if listed else None
-    for n, line in enumerate(lines):
-        if m := re.match(r"([ \t]*)(?:async\s+)?(def|class)\s+(\w+)", line):
-            indent, kind, name = len(m.group(1).expandtabs(4)), m.group(2), m.group(3)
-            # a definition ends before the next line that isn't deeper; signatures may go over several lines
-            k, depth = n, 0
-            while k < len(lines):
-                depth += sum(lines[k].count(c) for c in "([{") - sum(lines[k].count(c) for c in ")]}")
-                if depth <= 0 and lines[k].split("#")[0].rstrip().endswith(":"):
-                    break
-                k += 1
-            k += 1
-            while k < len(lines) and (not lines[k].strip() or len(lines[k].expandtabs(4)) - len(lines[k].expandtabs(4).lstrip()) > indent):
-                k += 1
-            exported = indent == 0 and (name in public if public is not None else kind == "class" or not name.startswith("_"))
-            role = kind if indent == 0 else "method" if kind == "def" else "inner class"
-            yield role, name, line.strip(), exported, starts[n], starts[min(k, len(lines))] - 1
-        elif m := re.match(r"from\s+(\.*[\w.]*)\s+import\s+(.+)", line):
-            for part in m.group(2).strip("() \\").split(","):
-                if part.strip():
-                    yield "import", part.split()[0], m.group(1), m.group(1).startswith("."), starts[n], starts[n] + len(line)
-        elif m := re.match(r"import\s+(.+)", line):
-            for part in m.group(1).split(","):
-                if part.strip():
-                    yield "import", part.split()[0], part.split()[0], False, starts[n], starts[n] + len(line)
-
-
-def _braced(source: str, at: int) -> int:
-    """The end of the block that opens at or after ``at``."""
-    begin = source.find("{", at)
-    if begin < 0:
-        return len(source)
-    depth = 0
-    for m in re.finditer(r"[{}]", source[begin:]):
-        depth += 1 if m.group() == "{" else -1
-        if not depth:
-            return begin + m.end()
-    return len(source)
-
-
-def _c(source: str) -> Iterator[tuple]:
-    for m in re.finditer(r'(?m)^[ \t]*#[ \t]*include[ \t]*([<"])([^>"]+)', source):
-        yield "import", m.group(2), m.group(2), m.group(1) == '"', m.start(), m.end()
-    for m in re.finditer(r"(?m)^((?:[A-Za-z_][\w \t*]*?[ \t*]))([A-Za-z_]\w*)[ \t]*\(([^;{}()]*)\)\s*\{", source):
-        if m.group(2) not in NOT_CALLS["c"]:
-            exported = "static" not in m.group(1).split() and not m.group(2).startswith("_")
-            yield "def", m.group(2), re.sub(r"\s+", " ", m.group(0)[:-1]).strip(), exported, m.start(), _braced(source, m.start())
-
-
-def _typescript(source: str) -> Iterator[tuple]:
-    for m in re.finditer(r"""(?m)^import\s+(?:type\s+)?([^;'"]*?)\s*(?:from\s+)?["']([^"']+)["']""", source):
-        for name in re.findall(r"[A-Za-z_$][\w$]*", re.sub(r"\bas\s+\w+", "", m.group(1))) or [""]:
-            yield "import", name, m.group(2), m.group(2).startswith("."), m.start(), m.end()
-    pattern = r"(?m)^(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const|let)\s*\*?\s+([A-Za-z_$][\w$]*)([^\n]*)"
-    for m in re.finditer(pattern, source):
-        kind, rest = m.group(2), m.group(4)
-        is_function = kind == "function" or (kind in ("const", "let") and re.search(r"=>|=\s*(?:async\s+)?function", rest))
-        end = _braced(source, m.start()) if kind in ("function", "class", "interface", "enum") or (is_function and "{" in rest) else m.end()
-        yield "def" if is_function else kind, m.group(3), m.group(0).strip()[:10_000], bool(m.group(1)), m.start(), end
-        if kind == "class":
-            for f in re.finditer(r"(?m)^[ \t]+(?:(?:public|private|protected|static|async|override)\s+)*([A-Za-z_$][\w$]*)\s*\([^;{}]*\)[^;{}\n]*\{", source[m.start() : end]):
-                if f.group(1) not in NOT_CALLS["ts"]:
-                    yield "method", f.group(1), f.group(0).strip(), False, m.start() + f.start(), _braced(source, m.start() + f.start())
-
-
-EXTRACTORS = {"py": _python, "c": _c, "ts": _typescript}
-
-
 def register_language(name: str, extractor, not_calls: list[str] | None = None, pattern: str = "", omit: list[str] | None = None) -> None:
-    """Add a language: ``extractor`` yields (role, name, detail, exported, begin, end) of a source text.
+    """Add a language: ``extractor`` yields (role, name, detail, exported, begin, end) of a source text, and the owner and traits if it knows them.
 
     ``pattern`` and ``omit``: its files, for ``read_sources``.  It has no entry point marks and no specially named files.
     """
@@ -180,23 +85,25 @@ def register_language(name: str, extractor, not_calls: list[str] | None = None,
 def symbols(files: DataFrame, language: str) -> DataFrame:
     """Definitions, imports and call sites of ``files`` (path, source), a row each (``SYMBOLS``).
 
-    ``role``: def, class, method, ..., import (detail: the module; exported: from this project) or call.  ``begin`` and
-    ``end`` are offsets in the text.  A null source has no rows; a file that the extractor fails on has one of the role
-    "error", with the reason in ``detail``, and fails nothing else.
+    ``role``: def, class, method, const, ..., import (detail: the module; exported: from this project), reexport or call.
+    ``begin`` and ``end`` are offsets in the text.  ``owner``: the class of a method, or the innermost definition around a
+    call; ``caller``: the exported symbol that a call counts for.  A null source has no rows; a file that the extractor
+    fails on has one of the role "error", with the reason in ``detail``, and fails nothing else.
     """
-    extract, skip = EXTRACTORS[language], frozenset(NOT_CALLS[language])
+    extract, calls, skip = EXTRACTORS[language], CALLS.get(language, plain_calls), frozenset(NOT_CALLS[language])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, source in zip(batch["path"], batch["source"], strict=True):
                 try:
-                    rows += [(path, *r) for r in extract(source)]
+                    found = [(*r, None, {})[: 8] if len(r) < 8 else r for r in extract(source)]
+                    sites = list(attributed(found, calls(source, skip), language == "py"))
                 except Exception as error:  # noqa: BLE001  one file's trouble
-                    rows.append((path, "error", "", f"{type(error).__name__}: {error}", False, 0, 0))
+                    rows.append((path, "error", "", f"{type(error).__name__}: {error}", False, 0, 0, None, None, {}))
                     continue
-                found = re.finditer(r"(?<![\w$])([A-Za-z_$][\w$]*)\s*\(", source)
-                rows += [(path, "call", m.group(1), "", False, m.start(), m.end()) for m in found if m.group(1) not in skip]
+                rows += [(path, *r[:7], None, r[7]) for r in found]
+                rows += [(path, "call", name, "", False, begin, end, owner, caller, {}) for name, begin, end, owner, caller in sites]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
 
     return files.where("source IS NOT NULL").select("path", "source").mapInPandas(run, SYMBOLS)
@@ -213,16 +120,26 @@ def call_edges(sites: DataFrame, exports: DataFrame) -> DataFrame:
     return sites.join(target, "name").where("path <> callee_path")
 
 
+def exported_symbols(table: DataFrame) -> DataFrame:
+    """``path``, ``name`` of what files define and export; a re-exported name belongs to the file that defines it."""
+    return table.where("exported AND role NOT IN ('import', 'reexport')").select("path", "name")
+
+
 def call_graph(table: DataFrame) -> DataFrame:
-    """``path``, ``caller``, ``name``, ``callee_path`` from extracted symbols: the enclosing function of every call, and what it calls."""
-    defs = table.where(F.col("role").isin("def", "method")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "name"))).alias("spans"))
-    sites = table.where("role = 'call'").join(defs, "path").withColumn("caller", enclosing(F.col("spans"), F.col("begin"))).where("caller IS NOT NULL")
-    exports = table.where("exported AND role <> 'import'").select("path", "name")
-    return call_edges(sites.select("path", "caller", "name").distinct(), exports)
+    """``path``, ``caller``, ``name``, ``callee_path`` from extracted symbols: calls within an exported symbol, and what they call."""
+    return calls_in_repository(table).where("caller IS NOT NULL").select("path", "caller", "name", "callee_path").distinct()
 
 
-def import_edges(table: DataFrame, files: DataFrame, language: str) -> DataFrame:
-    """``src``, ``dst``: imports within the project resolved to files, by the module's path and the package's own file."""
+def calls_in_repository(table: DataFrame) -> DataFrame:
+    """Every call of a symbol that another file exports: ``path``, ``name``, ``begin``, ``owner``, ``caller``, ``callee_path``."""
+    return call_edges(table.where("role = 'call'").select("path", "name", "begin", "owner", "caller"), exported_symbols(table))
+
+
+def import_edges(table: DataFrame, files: DataFrame, language: str, keep_module: bool = False) -> DataFrame:
+    """``src``, ``dst``: imports within the project resolved to files, by the module's path and the package's own file.
+
+    ``keep_module``: with ``module``, as it stands in the import.
+    """
     rows = table.where("role = 'import' AND exported").select(F.col("path").alias("src"), F.col("detail").alias("module")).distinct()
     if language == "py":
         up = F.length(F.regexp_extract("module", r"^(\.+)", 1))
@@ -232,11 +149,14 @@ def import_edges(table: DataFrame, files: DataFrame, language: str) -> DataFrame
         target = F.concat_ws("/", F.when(base != "", base), F.when(rest != "", rest))
         tries = F.array(F.concat(target, F.lit(".py")), F.concat_ws("/", F.when(target != "", target), F.lit("__init__.py")))
     else:
-        target = normal_path(F.concat(dir_name(F.col("src")), F.lit("/"), F.col("module")))
-        tries = F.array(target, F.concat(target, F.lit(".ts")), F.concat(target, F.lit("/index.ts")))
+        # a module's own suffix is dropped: "./config.js" is config.ts
+        plain = F.regexp_replace("module", r"\.[jt]s$", "") if language == "ts" else F.col("module")
+        target = normal_path(F.concat(dir_name(F.col("src")), F.lit("/"), plain))
+        tries = F.array(F.concat(target, F.lit(".ts")), F.concat(target, F.lit("/index.ts"))) if language == "ts" else F.array(target)
     tried = rows.select("src", "module", F.posexplode(tries).alias("pos", "dst"))
     found = tried.join(files.select(F.col("path").alias("dst")).distinct(), "dst")
-    return found.groupBy("src", "module").agg(F.min_by("dst", "pos").alias("dst")).select("src", "dst").distinct()
+    edges = found.groupBy("src", "module").agg(F.min_by("dst", "pos").alias("dst"))
+    return edges if keep_module else edges.select("src", "dst").distinct()
 
 
 def normal_path(path: Column) -> Column:
@@ -259,28 +179,133 @@ def files_by_folder(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").contains("/")).select(F.explode(above).alias("dir"), "path")
 
 
-def file_notes(table: DataFrame, files: DataFrame, language: str, workspace: str) -> DataFrame:
-    """``note_path``, ``note``: a markdown note for each file: frontmatter, exports, imports, and calls in and out of it."""
-    calls = call_graph(table)
-    link = lambda p: F.concat(F.lit(f"[[code/{workspace}/"), F.regexp_replace(p, r"\.[^./]+$", ""), F.lit("]]"))
+def symbol_file(name: Column) -> Column:
+    """A symbol's name as a file name."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[<>,:.\s\[\]]", "_"), "__+", "_"), "^_|_$", "")
 
-    def section(title: str, rows: DataFrame, line: Column) -> DataFrame:
-        text = F.array_join(F.array_sort(F.collect_set(line)), "\n")
-        return rows.groupBy("path").agg(F.concat(F.lit(f"\n## {title}\n"), text, F.lit("\n")).alias(title))
 
-    parts = [
-        section("Exports", table.where("exported AND role <> 'import'"), F.concat(F.lit("- "), "role", F.lit(" `"), "name", F.lit("`"))),
-        section("Imports", table.where("role = 'import'"), F.concat(F.lit("- `"), "detail", F.lit("`"))),
-        section("Calls", calls, F.concat(F.lit("- `"), "name", F.lit("` in "), link(F.col("callee_path")))),
-        section("Called by", calls.select(F.col("callee_path").alias("path"), "name", F.col("path").alias("from")), F.concat(F.lit("- `"), "name", F.lit("` from "), link(F.col("from")))),
-    ]
-    out = files.select("path")
-    for p in parts:
-        out = out.join(p, "path", "left")
-    head = F.concat(F.lit(f"---\ntype: codeUnit\ntier: 2\nworkspace: {workspace}\nparentModule: "), dir_name(F.col("path")), F.lit("\n---\n# "), "path", F.lit("\n"))
-    body = F.concat(head, *[F.coalesce(F.col(t), F.lit("")) for t in ("Exports", "Imports", "Calls", "Called by")])
+def note_names(files: DataFrame, language: str) -> DataFrame:
+    """``path``, ``note``: where the note of each file goes, without suffix."""
     folder = F.when(F.col("path").contains("/"), F.concat(dir_name(F.col("path")), F.lit("/"))).otherwise("")
-    return out.select(F.concat(folder, mirror_stem(F.col("path"), language), F.lit(".md")).alias("note_path"), body.alias("note"))
+    return files.select("path", F.concat(folder, mirror_stem(F.col("path"), language)).alias("note"))
+
+
+def module_names(files: DataFrame, language: str) -> DataFrame:
+    """``dir``, ``note``: where the note of each folder goes if no other language has it; '.' is the top folder."""
+    dirs = files_by_folder(files).select("dir").union(files.select(F.lit(".").alias("dir"))).distinct()
+    return dirs.select("dir", F.when(F.col("dir") == ".", "root_module").otherwise(F.concat("dir", F.lit("_module"))).alias("note"))
+
+
+def owned_names(wanted: dict[str, DataFrame], stored: DataFrame) -> dict[str, DataFrame]:
+    """``wanted`` (by language: a key and ``note``) with names of their own: a name that several languages want belongs to one.
+
+    That is the language of the note which is there already (``stored``: note, language), unless it is one of these and wants
+    it no more, else the first; the others' names get their language added.  All are settled before anything is written,
+    and stay the same in later runs.
+    """
+    asked = reduce(DataFrame.union, [w.select("note", F.lit(language).alias("language"), F.lit(i).alias("i")) for i, (language, w) in enumerate(wanted.items())])
+    was = F.col("was").isNotNull() & (~F.col("was").isin(*wanted) | F.array_contains("languages", F.col("was")))
+    first = asked.groupBy("note").agg(F.min_by("language", "i").alias("owner"), F.collect_set("language").alias("languages"))
+    first = first.join(stored.select("note", F.col("language").alias("was")), "note", "left").select("note", F.when(was, F.col("was")).otherwise(F.col("owner")).alias("owner"))
+    out = {}
+    for language, w in wanted.items():
+        named = w.join(first, "note").withColumn("note", F.when(F.col("owner") == language, F.col("note")).otherwise(F.concat("note", F.lit(f"_{language}"))))
+        out[language] = named.select(*w.columns)
+    return out
+
+
+def stored_languages(notes: DataFrame, out: str) -> DataFrame:
+    """``note``, ``language`` of those of ``notes`` (note, without suffix) that are there and name one."""
+    found = read_files(notes.select(F.concat("note", F.lit(".md")).alias("rel_path")).distinct(), out)
+    language = F.regexp_extract("content", r"^---\n(?:(?!---)[^\n]*\n)*?language:[ \t]*([^\s]+)[ \t]*\n", 1)
+    return found.select(F.regexp_replace("rel_path", r"\.md$", "").alias("note"), language.alias("language")).where("language <> ''")
+
+
+def link(workspace: str, note: Column, shown: Column | None = None) -> Column:
+    return F.concat(F.lit(f"[[code/{workspace}/"), note, *([F.lit("|"), shown] if shown is not None else []), F.lit("]]"))
+
+
+def ordered_lines(line: Column, order: Column) -> Column:
+    """Lines of a group, each once at its first place, joined."""
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line"))))
+    return F.array_join(F.array_distinct(F.transform(rows, lambda x: x["line"])), "\n")
+
+
+def section(title: str, rows: DataFrame, keys: list[str], line: Column, order: Column) -> DataFrame:
+    body = rows.groupBy(*keys).agg(ordered_lines(line, order).alias(title))
+    return body.select(*keys, F.concat(F.lit(f"\n## {title}\n"), title, F.lit("\n")).alias(title))
+
+
+def with_sections(out: DataFrame, sections: list[DataFrame], keys: list[str]) -> tuple[DataFrame, list[Column]]:
+    titles = [next(c for c in s.columns if c not in keys) for s in sections]
+    for s in sections:
+        out = out.join(s, keys, "left")
+    return out, [F.coalesce(F.col(f"`{t}`"), F.lit("")) for t in titles]
+
+
+def head(lines: list[Column | str]) -> Column:
+    """Frontmatter of the lines that aren't null."""
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines]), F.lit("\n---\n"))
+
+
+def linked_calls(table: DataFrame, names: DataFrame) -> DataFrame:
+    """``calls_in_repository`` with the notes of both files: ``own_note`` and ``callee_note``."""
+    calls = calls_in_repository(table).join(names.select(F.col("path").alias("callee_path"), F.col("note").alias("callee_note")), "callee_path")
+    return calls.join(names.select("path", F.col("note").alias("own_note")), "path")
+
+
+def file_notes(
+    table: DataFrame, files: DataFrame, language: str, workspace: str, names: DataFrame | None = None, modules: DataFrame | None = None, calls: DataFrame | None = None, edges: DataFrame | None = None
+) -> DataFrame:
+    """``note_path``, ``note``: a markdown note for each file: frontmatter, exports, imports, functions, and calls in and out of it.
+
+    ``names`` (path, note) and ``modules`` (dir, note): where the notes of files and folders are.  ``calls`` (``linked_calls``)
+    and ``edges`` (``import_edges`` with modules): if they are there already.
+    """
+    names = note_names(files, language) if names is None else names
+    modules = module_names(files, language) if modules is None else modules
+    calls = linked_calls(table, names) if calls is None else calls
+    imports = table.where("role = 'import'")
+    edges = import_edges(table, files, language, keep_module=True) if edges is None else edges
+    targets = edges.join(names.select(F.col("path").alias("dst"), "note"), "dst").select(F.col("src").alias("path"), F.col("module").alias("detail"), "note")
+    inside = imports.where("exported").join(targets, ["path", "detail"], "left")
+    inside = inside.groupBy("path", "detail").agg(F.min("note").alias("note"), F.min("begin").alias("begin"), ordered_lines(F.concat(F.lit("`"), F.coalesce(F.col("traits")["binding"], "name"), F.lit("`")), F.struct("begin", "end")).alias("bound"))
+    bound = F.when(F.col("bound") == "``", "").otherwise(F.concat(F.lit(" \u2014 "), F.translate(F.col("bound"), "\n", " ")))
+    functions = table.where("role IN ('def', 'method')").select("path", "role", "name", "begin", "end", "owner", "exported", "traits")
+    per_function = calls.where("owner IS NOT NULL").groupBy("path", F.col("owner").alias("name")).agg(ordered_lines(F.concat(link(workspace, F.col("callee_note")), F.lit(" (`"), "name", F.lit("`)")), F.struct("begin", "callee_note")).alias("into"))
+    flags = F.concat_ws(", ", F.when(F.col("traits")["async"] == "true", "async"), F.when(F.col("exported"), "exported"), F.when(F.col("owner").isNotNull(), F.concat(F.lit("method of `"), "owner", F.lit("`"))))
+    functions = functions.join(per_function, ["path", "name"], "left")
+    line = F.concat(
+        F.lit("### `"), F.coalesce(F.col("traits")["signature"], "name"), F.lit("`"), F.when(flags != "", F.concat(F.lit(" *("), flags, F.lit(")*"))).otherwise(""),
+        F.coalesce(F.concat(F.lit("\n*Calls into: "), F.translate("into", "\n", " "), F.lit("*")), F.lit("")),
+    )
+    shown = table.where("exported AND role <> 'import'")
+    kind = F.when(F.col("role") == "reexport", "reexport").otherwise(F.coalesce(F.col("traits")["kind"], "role"))
+    parts = [
+        section("Exports", shown, ["path"], F.concat(F.lit("- "), kind, F.lit(" `"), F.coalesce(F.col("traits")["signature"], "name"), F.lit("`")), F.struct("begin", "name")),
+        section("Imports", inside.select("path", F.coalesce(F.concat(F.lit("- "), link(workspace, F.col("note")), bound), F.concat(F.lit("- `"), "detail", F.lit("`"), bound)).alias("line"), F.lit(0).alias("o"), "begin").union(
+            imports.where("NOT exported").select("path", F.concat(F.lit("- `"), "detail", F.lit("`")), F.lit(1), "begin")), ["path"], F.col("line"), F.struct("o", "begin")),
+        section("Functions", functions, ["path"], line, F.struct("begin", "end")),
+        section("Calls", calls, ["path"], F.concat(F.lit("- `"), "name", F.lit("` in "), link(workspace, F.col("callee_note"))), F.struct("name", "callee_note")),
+        section("Called by", calls.select(F.col("callee_path").alias("to"), "name", "own_note").withColumnRenamed("to", "path"), ["path"], F.concat(F.lit("- `"), "name", F.lit("` from "), link(workspace, F.col("own_note"))), F.struct("name", "own_note")),
+    ]
+    out, texts = with_sections(files.join(names, "path").join(modules.select("dir", F.col("note").alias("module")), F.col("dir") == dir_name(F.col("path"))), parts, ["path"])
+    entry = F.when(F.size(entrypoint_marks(language, F.col("path"), F.col("source"))) > 0, "  - entrypoint") if language in MAIN_FILES else F.lit(None).cast("string")
+    about = head(["type: codeUnit", "tier: 2", F.concat(F.lit("path: "), "path"), F.concat(F.lit(f"parentModule: code/{workspace}/"), "module"), f"language: {language}", f"workspace: {workspace}", "tags:", "  - codeUnit", entry])
+    return out.select(F.concat("note", F.lit(".md")).alias("note_path"), F.concat(about, F.lit("# "), "path", F.lit("\n"), *texts).alias("note"))
+
+
+def first_owner(wanted: DataFrame, table: DataFrame, edges: DataFrame, roles: list[str]) -> DataFrame:
+    """``wanted`` (path, name, ...: a symbol and the file that speaks of it) with ``def_path``, the file that exports it.
+
+    Of several, one that the file imports comes first, then one in the same folder, then the first by path.  Names that no file exports have
+    a null.
+    """
+    owner = exported_symbols(table.where(F.col("role").isin(roles))).select(F.col("path").alias("def_path"), "name").distinct()
+    near = edges.select("src", "dst").distinct().select(F.col("src").alias("path"), F.col("dst").alias("def_path"), F.lit(0).alias("near"))
+    found = wanted.select("path", "name").distinct().join(owner, "name").join(near, ["path", "def_path"], "left")
+    rank = F.struct(F.coalesce("near", F.when(dir_name(F.col("path")) == dir_name(F.col("def_path")), 1).otherwise(2)), "def_path")
+    return wanted.join(found.groupBy("path", "name").agg(F.min_by("def_path", rank).alias("def_path")), ["path", "name"], "left")
 
 
 def base_classes(table: DataFrame) -> DataFrame:
@@ -301,30 +326,81 @@ def public_api(table: DataFrame) -> DataFrame:
     return by_name.select("path", "name").union(by_star.select("path", "name")).distinct()
 
 
-def symbol_notes(table: DataFrame, language: str, workspace: str) -> DataFrame:
-    """``note_path``, ``note``: a note for each exported symbol, with what it calls and what calls it."""
-    calls = call_graph(table)
-    folder = lambda p: F.concat(F.when(p.contains("/"), F.concat(dir_name(p), F.lit("/"))).otherwise(""), mirror_stem(p, language))
-    link = lambda p, n: F.concat(F.lit(f"- [[code/{workspace}/"), folder(p), F.lit("/"), n, F.lit("]]"))
-    lines = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "\n")
-    out = calls.groupBy("path", F.col("caller").alias("name")).agg(lines(link(F.col("callee_path"), F.col("name"))).alias("calls"))
-    into = calls.groupBy(F.col("callee_path").alias("path"), "name").agg(lines(link(F.col("path"), F.col("caller"))).alias("called"))
-    rows = table.where("exported AND role <> 'import'").dropDuplicates(["path", "name"]).join(out, ["path", "name"], "left").join(into, ["path", "name"], "left")
-    head = F.concat(F.lit(f"---\ntype: codeSymbol\ntier: 1\nworkspace: {workspace}\nparentFile: "), folder(F.col("path")), F.lit("\nsymbolKind: "), "role", F.lit("\n---\n# "), "name", F.lit("\n\n`"), F.substring("detail", 1, 10_000), F.lit("`\n"))
-    part = lambda t, c: F.coalesce(F.concat(F.lit(f"\n## {t}\n"), F.col(c), F.lit("\n")), F.lit(""))
-    return rows.select(F.concat(folder(F.col("path")), F.lit("/"), "name", F.lit(".md")).alias("note_path"), F.concat(head, part("Calls Into", "calls"), part("Called By", "called")).alias("note"))
-
-
-def module_notes(files: DataFrame, language: str, workspace: str) -> DataFrame:
-    """``note_path``, ``note``: a note for each folder, with its files and the folders right below it."""
-    below = files_by_folder(files)
-    own = below.where(F.col("dir") == dir_name(F.col("path"))).groupBy("dir").agg(F.array_sort(F.collect_set(mirror_stem(F.col("path"), language))).alias("files"))
-    dirs = below.select("dir").distinct()
-    kids = dirs.where(F.col("dir").contains("/")).groupBy(dir_name(F.col("dir")).alias("up")).agg(F.array_sort(F.collect_set(base_name(F.col("dir")))).alias("kids"))
-    rows = dirs.join(own, "dir", "left").join(kids.withColumnRenamed("up", "dir"), "dir", "left")
-    listed = lambda t, c, tail: F.coalesce(F.concat(F.lit(f"\n## {t}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit(f"- [[code/{workspace}/"), "dir", F.lit("/"), x, F.lit(tail + "]]"))), "\n"), F.lit("\n")), F.lit(""))
-    head = F.concat(F.lit(f"---\ntype: codeModule\ntier: 3\nworkspace: {workspace}\npath: "), "dir", F.lit("\n---\n# "), "dir", F.lit("\n"))
-    return rows.select(F.concat("dir", F.lit("/_module.md")).alias("note_path"), F.concat(head, listed("Files", F.col("files"), ""), listed("Folders", F.col("kids"), "/_module")).alias("note"))
+def symbol_notes(
+    table: DataFrame,
+    language: str,
+    workspace: str,
+    files: DataFrame | None = None,
+    names: DataFrame | None = None,
+    modules: DataFrame | None = None,
+    calls: DataFrame | None = None,
+    edges: DataFrame | None = None,
+) -> DataFrame:
+    """``note_path``, ``note``: a note for each exported symbol: what is known of it, its text or signature, what it inherits, calls and names, and what calls it."""
+    files = table.select("path").distinct() if files is None else files.select("path")
+    names = note_names(files, language) if names is None else names
+    modules = module_names(files, language) if modules is None else modules
+    note_of = lambda path, name: names.select(F.col("path").alias(path), F.col("note").alias(name))
+    calls = linked_calls(table, names) if calls is None else calls
+    edges = import_edges(table, files, language) if edges is None else edges
+    rows = table.where("exported AND role <> 'import'").groupBy("path", "name").agg(F.min_by(F.struct("role", "detail", "traits"), F.struct("begin", "role")).alias("r")).select("path", "name", "r.*")
+    trait = lambda name: F.col("traits")[name]
+    to_symbol = lambda note, name: F.concat(F.lit("- "), link(workspace, F.concat(note, F.lit("/"), symbol_file(name)), name))
+    bases = rows.where("traits['bases'] IS NOT NULL").select("path", F.col("name").alias("symbol"), F.posexplode(F.transform(F.split(trait("bases"), r"\s*,\s*"), lambda b: F.regexp_replace(b, r"^.*\.", ""))).alias("o", "name"))
+    bases = first_owner(bases, table, edges, ["class"]).join(note_of("def_path", "def_note"), "def_path", "left")
+    token = F.regexp_extract_all(F.coalesce(trait("signature"), F.lit("")), F.lit(r":\s*[A-Z][A-Za-z0-9_]*|->\s*[A-Z][A-Za-z0-9_]*"), F.lit(0))
+    asked = rows.select("path", F.col("name").alias("symbol"), F.posexplode(F.array_distinct(F.transform(token, lambda t: F.regexp_replace(t, r"^\W+", "")))).alias("o", "name"))
+    types = first_owner(asked, table, edges, ["class", "type", "interface"]).where("def_path <> path").join(note_of("def_path", "def_note"), "def_path")
+    keyed = lambda df: df.select("path", F.col("symbol").alias("name"), *[c for c in df.columns if c not in ("path", "symbol", "name")], F.col("name").alias("other"))
+    out_calls = calls.where("caller IS NOT NULL").select("path", F.col("caller").alias("symbol"), "begin", "callee_note", "name")
+    in_calls = calls.select(F.col("callee_path").alias("path"), "name", "own_note", "caller", "begin")
+    body, signature = trait("body"), trait("signature")
+    code = F.when(body.isNotNull(), F.concat(F.lit(f"\n## Implementation\n```{language}\n"), body, F.lit("\n```\n"))).when(signature.isNotNull(), F.concat(F.lit(f"\n## Signature\n```{language}\n"), signature, F.lit("\n```\n"))).otherwise(F.concat(F.lit("\n`"), F.substring("detail", 1, MOST_BODY), F.lit("`\n")))
+    parts = [
+        section("Inherits", keyed(bases), ["path", "name"], F.coalesce(to_symbol(F.col("def_note"), F.col("other")), F.concat(F.lit("- `"), "other", F.lit("`"))), F.col("o")),
+        section("Calls Into", keyed(out_calls), ["path", "name"], to_symbol(F.col("callee_note"), F.col("other")), F.struct("begin", "callee_note")),
+        section("Type References", keyed(types), ["path", "name"], to_symbol(F.col("def_note"), F.col("other")), F.col("o")),
+        section("Called By", in_calls, ["path", "name"], F.coalesce(to_symbol(F.col("own_note"), F.col("caller")), F.concat(F.lit("- "), link(workspace, F.col("own_note")))), F.struct("own_note", "begin")),
+    ]
+    api = public_api(table).withColumn("public", F.lit("publicApi: true"))
+    named = rows.join(names, "path").join(modules.select("dir", F.col("note").alias("module")), F.col("dir") == dir_name(F.col("path"))).join(api, ["path", "name"], "left")
+    out, texts = with_sections(named, parts, ["path", "name"])
+    kind = F.when(F.col("role") == "reexport", "reexport").otherwise(F.coalesce(trait("kind"), "role"))
+    listed = lambda key, name: F.concat(F.lit(f"{key}: ["), trait(name), F.lit("]"))
+    about = head([
+        "type: codeSymbol", "tier: 1", F.concat(F.lit("path: "), "path"), F.concat(F.lit(f"parentFile: code/{workspace}/"), "note"), F.concat(F.lit(f"parentModule: code/{workspace}/"), "module"),
+        F.concat(F.lit("symbolKind: "), kind), f"language: {language}", F.col("public"), listed("decorators", "decorators"), F.concat(F.lit("routeMethod: "), trait("route_method")),
+        F.concat(F.lit('routePath: "'), trait("route_path"), F.lit('"')), F.concat(F.lit("abstract: "), trait("abstract")), F.concat(F.lit("dataclass: "), trait("dataclass")), listed("baseClasses", "bases"),
+        f"workspace: {workspace}", "tags:", "  - codeUnit",
+    ])
+    route = F.coalesce(F.concat(F.lit(" `"), trait("route_method"), F.lit(" "), trait("route_path"), F.lit("`")), F.lit(""))
+    title = F.concat(F.lit("# "), F.col("name"), F.lit("\n**Kind:** `"), kind, F.lit("`"), route, F.lit("\n"))
+    return out.select(F.concat("note", F.lit("/"), symbol_file(F.col("name")), F.lit(".md")).alias("note_path"), F.concat(about, title, code, *texts).alias("note"))
+
+
+def module_notes(files: DataFrame, language: str, workspace: str, names: DataFrame | None = None, modules: DataFrame | None = None, others: DataFrame | None = None) -> DataFrame:
+    """``note_path``, ``note``: a note for each folder, beside it, with the folder above, the folders right below it and its files.
+
+    ``others`` (dir, note): notes of the folders right below ``dir``, of any language, which are listed too.
+    """
+    names = note_names(files, language) if names is None else names
+    modules = module_names(files, language) if modules is None else modules
+    own = names.groupBy(dir_name(F.col("path")).alias("dir")).agg(F.array_sort(F.collect_set(link(workspace, F.col("note")))).alias("files"))
+    parent = F.when(F.col("dir") != ".", dir_name(F.col("dir")))
+    rows = modules.withColumn("up", parent)
+    above = rows.join(modules.select(F.col("dir").alias("up"), F.col("note").alias("up_note")), "up", "left")
+    kids = above.where("up IS NOT NULL").groupBy(F.col("up").alias("dir")).agg(F.array_sort(F.collect_set(link(workspace, F.col("note")))).alias("kids"))
+    rows = above.drop("up").join(own, "dir", "left").join(kids, "dir", "left")
+    held = F.lit(None).cast("array<string>")
+    if others is not None:
+        rows = rows.join(others.groupBy("dir").agg(F.collect_set(link(workspace, F.col("note"))).alias("held")), "dir", "left")
+        held = F.col("held")
+    listed = lambda t, c: F.when(F.size(c) > 0, F.concat(F.lit(f"\n## {t}\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n"))).otherwise("")
+    title = F.when(F.col("dir") == ".", "root").otherwise(base_name(F.col("dir")))
+    about = head(["type: codeModule", "tier: 3", F.concat(F.lit("path: "), "dir"), F.concat(F.lit("title: "), title), f"language: {language}", f"workspace: {workspace}", "tags:", "  - codeUnit"])
+    up = F.coalesce(F.concat(F.lit("\n## Parent\n- "), link(workspace, F.col("up_note")), F.lit("\n")), F.lit(""))
+    texts = [up, listed("Submodules", module_links(F.col("kids"), held)), listed("Files", F.coalesce("files", F.array().cast("array<string>")))]
+    return rows.select(F.concat("note", F.lit(".md")).alias("note_path"), F.concat(about, F.lit("# "), title, F.lit("\n"), *texts).alias("note"))
 
 
 def keep_summary(new: Column, old: Column) -> Column:
@@ -352,29 +428,43 @@ def mirror_workspace(spark: SparkSession, root: str, out: str, languages: list[s
     """Mirror a source tree: a note for each file, symbol and folder below ``out``, stale ones deleted if all went well.
 
     Summaries of notes that are there already are kept.  Counts of notes written and left as they were, by language, and
-    of notes deleted.  An unknown language is skipped and keeps stale notes.
+    of notes deleted.  An unknown language is skipped and keeps stale notes.  Where several languages have a note of one
+    name, it belongs to one of them (``owned_names``).
     """
-    written, skipped, valid, well = {}, {}, None, True
-    for language in dict.fromkeys(languages):
-        if language not in EXTRACTORS:
-            well = False
-            continue
-        src = read_sources(spark, root, language, (omit or {}).get(language)).cache()
-        table = symbols(src, language).cache()
-        well &= not table.where("role = 'error'").limit(1).count()
-        notes = file_notes(table, src, language, workspace).union(symbol_notes(table, language, workspace)).union(module_notes(src, language, workspace))
-        notes = notes.groupBy("note_path").agg(F.min("note").alias("note"))
-        old = read_files(notes.select(F.col("note_path").alias("rel_path")), out).select(F.col("rel_path").alias("note_path"), F.col("content").alias("old"))
-        both = notes.join(old, "note_path", "left").withColumn("note", keep_summary(F.col("note"), F.col("old"))).cache()
-        changed = both.where("NOT (note <=> old)")
-        written[language] = write_files(changed.select(F.col("note_path").alias("rel_path"), F.col("note").alias("content")), out)
-        skipped[language] = both.count() - written[language]
-        valid = both.select("note_path") if valid is None else valid.union(both.select("note_path"))
+    asked, hold = list(dict.fromkeys(languages)), lambda df: cut(df, spark)
+    known = [x for x in asked if x in EXTRACTORS]
+    src = {x: hold(read_sources(spark, root, x, (omit or {}).get(x))) for x in known}
+    tables = {x: hold(symbols(src[x], x)) for x in known}
+    well = known == asked and not any(t.where("role = 'error'").limit(1).count() for t in tables.values())
+    if not known:
+        return {"written": {}, "skipped": {}, "cleaned": 0}
+    wanted = [{x: note_names(src[x], x) for x in known}, {x: module_names(src[x], x) for x in known}]
+    named = []
+    for w in wanted:
+        stored = hold(stored_languages(reduce(DataFrame.union, [n.select("note") for n in w.values()]), out))
+        named.append({x: hold(n) for x, n in owned_names(w, stored).items()})
+    names, modules = named
+    below = reduce(DataFrame.union, modules.values()).where("dir <> '.'").select(dir_name(F.col("dir")).alias("dir"), F.col("note"), F.concat("dir", F.lit("_module")).alias("base"))
+    others = below.where("note = base").select("dir", "note")
+    every = None
+    for x in known:
+        shared = {"names": names[x], "modules": modules[x], "calls": hold(linked_calls(tables[x], names[x])), "edges": hold(import_edges(tables[x], src[x], x, keep_module=True))}
+        notes = file_notes(tables[x], src[x], x, workspace, **shared).union(symbol_notes(tables[x], x, workspace, src[x], **shared))
+        if src[x].limit(1).count():
+            notes = notes.union(module_notes(src[x], x, workspace, names[x], modules[x], others))
+        notes = hold(notes.groupBy("note_path").agg(F.min("note").alias("note"), F.lit(x).alias("language")))
+        every = notes if every is None else every.union(notes)
+    old = read_files(every.select(F.col("note_path").alias("rel_path")), out).select(F.col("rel_path").alias("note_path"), F.col("content").alias("old"))
+    both = hold(every.join(old, "note_path", "left").withColumn("note", keep_summary(F.col("note"), F.col("old"))))
+    changed = ~F.col("note").eqNullSafe(F.col("old"))
+    counts = {r.language: r for r in both.groupBy("language").agg(F.count_if(changed).alias("written"), F.count_if(~changed).alias("skipped")).collect()}  # a row a language
+    write_files(both.where(changed).select(F.col("note_path").alias("rel_path"), F.col("note").alias("content")), out)
     cleaned = 0
-    if well and valid is not None and valid.limit(1).count():
-        stale = file_list(spark, out, "*.md").join(valid.select(F.col("note_path").alias("rel_path")).distinct(), "rel_path", "left_anti")
-        cleaned = delete_files(stale.select("rel_path"), out)
-    return {"written": written, "skipped": skipped, "cleaned": cleaned}
+    if well and counts:
+        valid = both.select(F.col("note_path").alias("rel_path")).distinct()
+        cleaned = delete_files(file_list(spark, out, "*.md").join(valid, "rel_path", "left_anti").select("rel_path"), out)
+    number = lambda what: {x: counts[x][what] if x in counts else 0 for x in known}
+    return {"written": number("written"), "skipped": number("skipped"), "cleaned": cleaned}
 
 
 def to_mirror(sources: DataFrame, mirrors: DataFrame, force: bool = False) -> DataFrame:

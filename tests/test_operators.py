@@ -322,7 +322,7 @@ def test_mirror_workspace(spark, tmp_path):
     first = mirror.mirror_workspace(spark, str(src), str(out), ["py", "py"], "w")
     assert first["cleaned"] == 1 and first["skipped"] == {"py": 0} and first["written"]["py"] >= 6 and (out / "old/keep.txt").exists()
     made = {str(x.relative_to(out)) for x in out.rglob("*.md")}
-    assert {"p/_module.md", "p/a.md", "p/a/run.md", "p/p-init.md", "p/util/helper.md"} <= made
+    assert {"p_module.md", "root_module.md", "p/a.md", "p/a/run.md", "p/p-init.md", "p/util/helper.md"} <= made
     (out / "p/a.md").write_text((out / "p/a.md").read_text().rstrip() + "\n\n## Summary\nwhat it does")
     (src / "p/util.py").unlink()
     assert "skipped" in mirror.mirror_workspace(spark, str(src), str(out), ["py", "cobol"], "w") and (out / "p/util.md").exists(), "an unknown language keeps all"
@@ -432,9 +432,9 @@ def test_symbol_and_module_notes(spark):
     assert {tuple(r) for r in mirror.public_api(table).collect()} == {("p/util.py", "helper"), ("p/a.py", "run")}
     notes = {r.note_path: r.note for r in mirror.symbol_notes(table, "py", "w").collect()}
     assert set(notes) == {"p/a/run.md", "p/util/Base.md", "p/util/helper.md"}
-    assert "## Calls Into\n- [[code/w/p/util/helper]]" in notes["p/a/run.md"] and "## Called By\n- [[code/w/p/a/run]]" in notes["p/util/helper.md"]
+    assert "## Calls Into\n- [[code/w/p/util/helper|helper]]" in notes["p/a/run.md"] and "## Called By\n- [[code/w/p/a/run|run]]" in notes["p/util/helper.md"]
     folders = {r.note_path: r.note for r in mirror.module_notes(src, "py", "w").collect()}
-    assert set(folders) == {"p/_module.md", "p/q/_module.md"} and "[[code/w/p/q/_module]]" in folders["p/_module.md"] and "[[code/w/p/p-init]]" in folders["p/_module.md"]
+    assert set(folders) == {"root_module.md", "p_module.md", "p/q_module.md"} and "[[code/w/p/q_module]]" in folders["p_module.md"] and "[[code/w/p/p-init]]" in folders["p_module.md"]
     kept = spark.range(1).select(mirror.keep_summary(F.lit("new\n"), F.lit("old\n## Summary\ntext")).alias("r")).first().r
     assert kept == "new\n\n## Summary\ntext"
 
