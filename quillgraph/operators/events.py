@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def tracked_ref(ref: Column, branch: Column) -> Column:
@@ -95,31 +101,70 @@ def ring(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     return rows.orderBy(*[F.desc(c) for c in order]).limit(size)
 
 
+def in_order(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[Any, dict], tuple[Any, Any]], columns: list[str], out: str) -> DataFrame:
+    """``rows`` with one more column, ``out`` ("name type"), that follows each key's rows in order.
+
+    ``step`` takes what a key has in memory (None at first) and a row's ``columns``, and gives the memory after it and the
+    row's value.  Rows are dealt out and sorted by key, then read as one stream with one key's memory, so that a task
+    holds neither a key's rows nor its partition, however hot a key is.  A column of the new name is replaced.
+    """
+    more = StructType.fromDDL(out)
+    name, kept = more[0].name, rows.drop(more[0].name)
+    schema = StructType([*kept.schema.fields, *more.fields])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, memory = None, None
+        for batch in batches:
+            values = []
+            for row in batch.select([*keys, *columns]).to_pylist():
+                if (mine := tuple(row[k] for k in keys)) != key:
+                    key, memory = mine, None
+                memory, value = step(memory, row)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, to_arrow_type(more[0].dataType))], [*batch.schema.names, name])
+
+    return kept.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(follow, schema)
+
+
+def job_step(running: tuple | None, row: dict) -> tuple[tuple, Any]:
+    """One request of a (workspace, type): absorbed by the job still running then, or the start of its own.
+
+    A request without a time comes first, a job without an end ends when it starts.
+    """
+    at = micros(row["ts"])
+    if running is None or at >= running[1]:
+        running = (row["request_id"], max(at, micros(row["done_ts"])))
+    return running, running[0]
+
+
+def claim_step(holder: Any, row: dict) -> tuple[Any, str]:
+    """One event of a key: ``claim`` is accepted unless the key is claimed; ``release`` frees the key if it is the holder's own
+    (its ``holder`` says which event's claim is given up).  What it came to: accepted, duplicate, released or ignored."""
+    if row["kind"] == "release":
+        return (None, "released") if holder is not None and row["holder"] == holder else (holder, "ignored")
+    return (row["event_id"], "accepted") if holder is None else (holder, "duplicate")
+
+
+def micros(time: datetime | None) -> int:
+    """Microseconds of a time; a missing one is before all others."""
+    if time is None:
+        return -(1 << 62)
+    return (time.replace(tzinfo=time.tzinfo or UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+
 def distinct_jobs(requests: DataFrame) -> DataFrame:
     """Requests with ``job_id``: one that finds the job of its (workspace, type) still running is absorbed by it, others start one.
 
-    ``requests``: request_id, workspace, type, ts, done_ts (when its job would end, if it starts one).  A running total of
-    ``done_ts`` shows where a queue is idle whatever ran before; between two such points requests are followed in order,
-    as what an absorbed request would have taken doesn't count.
+    ``requests``: request_id, workspace, type, ts, done_ts (when its job would end, if it starts one), and any others.  What
+    an absorbed request would have taken doesn't count.  ``streaming.ordered.job_stream`` does the same for a stream.
     """
-    order = Window.partitionBy("workspace", "type").orderBy("ts", "request_id")
-    latest = F.max("done_ts").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    idle = F.when(latest.isNull() | (F.col("ts") >= latest), F.col("request_id"))
-    rows = requests.withColumn("_stretch", F.last(idle, ignorenulls=True).over(order))
-    times = rows.select("workspace", "type", "_stretch", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.unix_micros(F.col("done_ts").cast("timestamp")).alias("done"))
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"])
-        jobs, job, end = [], None, None
-        for request, at, done in zip(rows["request_id"], rows["at"], rows["done"], strict=True):
-            if job is None or at >= end:
-                job, end = request, done
-            jobs.append(job)
-        return pd.DataFrame({"request_id": rows["request_id"], "job_id": jobs})
-
     kind = dict(requests.dtypes)["request_id"]
-    jobs = times.groupBy("workspace", "type", "_stretch").applyInPandas(follow, f"request_id {kind}, job_id {kind}")
-    return requests.join(jobs, "request_id").select(*requests.columns, "job_id")
+    return in_order(requests, ["workspace", "type"], ["ts", "request_id"], job_step, ["request_id", "ts", "done_ts"], f"job_id {kind}")
+
+
+def claims_in_order(events: DataFrame) -> DataFrame:
+    """Events (event_id, key, kind: claim or release, holder, ts) with ``outcome``, as an inbox decides them (``claim_step``)."""
+    return in_order(events, ["key"], ["ts", "event_id"], claim_step, ["event_id", "kind", "holder"], "outcome string")
 
 
 def workspace_summary(workspaces: DataFrame, decided: DataFrame) -> DataFrame:
