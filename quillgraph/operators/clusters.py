@@ -9,6 +9,7 @@ from quillgraph.functions.text import tag_list
 
 from .graph import components, cut
 from .retrieval import similar_pairs
+from .vector_index import VectorIndex
 
 
 def candidates(notes: DataFrame, types: list[str], excluded_tags: list[str]) -> DataFrame:
@@ -24,16 +25,19 @@ def strongest(pairs: DataFrame, k: int) -> DataFrame:
     return both.withColumn("_n", place).where(F.col("_n") <= k).select("a", "b", "sim").distinct()
 
 
-def near_duplicate_clusters(vectors: DataFrame, threshold: float = 0.85, min_size: int = 2, neighbours: int | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_clusters(
+    vectors: DataFrame, threshold: float = 0.85, min_size: int = 2, neighbours: int | None = None, index: VectorIndex | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Clusters and their members.
 
     ``vectors``: vec_id, embedding, already filtered by type and tags (``candidates``).  ``neighbours``: pairs count only
-    among the so many strongest of either end.  A cluster is a connected component of pairs at
+    among the so many strongest of either end.  ``index``: a stored index of the vectors, by which pairs are found without
+    multiplying all (it may miss some); without it the search is exact.  A cluster is a connected component of pairs at
     ``threshold`` or above, called by its smallest id, with size and the largest, smallest and mean similarity of its
     pairs.  The representative has the most partners, then the smallest id; members carry their similarity to it (0 if
     they aren't partners).
     """
-    pairs = similar_pairs(vectors, threshold)
+    pairs = similar_pairs(vectors, threshold) if index is None else index.near_pairs(threshold)
     pairs = cut(pairs if neighbours is None else strongest(pairs, neighbours), vectors.sparkSession)
     member = components(pairs).withColumnRenamed("node", "vec_id").withColumnRenamed("component", "cluster_id")
     ends = pairs.select("a", "b", "sim").join(member.withColumnRenamed("vec_id", "a"), "a")

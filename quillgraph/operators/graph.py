@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -98,13 +99,24 @@ def degrees(edges: DataFrame, notes: DataFrame, visits: bool = True) -> DataFram
     return both.where("note_id IS NOT NULL").groupBy("note_id").agg(F.sum("w").alias("degree"))
 
 
-def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """``df`` with its lineage cut: a reliable checkpoint in the shared folder, or a temporary one of a local session."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one of a local session."""
     if not spark.sparkContext.getCheckpointDir():
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="quillgraph-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` with its lineage cut: a reliable checkpoint in the shared folder."""
+    shared_folder(spark)
     return df.checkpoint()
 
 

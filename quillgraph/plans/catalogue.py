@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.functions.routing import BROAD_TERMS, DISCOVER_PHRASES, FILLER, query_mode
-from quillgraph.operators import clusters, embedding, events, graph, incremental, links, mirror, registry, render, retrieval, summaries, targeted
+from quillgraph.operators import clusters, embedding, events, graph, incremental, keyword_index, links, mirror, registry, render, retrieval, summaries, targeted, vector_index
 
 from . import fixtures as X
 from .fixtures import LABEL_RANK_SQL, NOTES_SQL, PUSHES_SQL, STAR_EDGES_SQL, STAR_NOTES_SQL, table
@@ -97,6 +97,15 @@ def triple_factor_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", rounded(F.lit(0.8) * V.triple_factor(sim)).alias("score"))
 
 
+@register()
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``vector_topk_batch`` by a stored index: no SQL, the lists that are read hold most of the nearest rows, not all."""
+    chunks = table(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex.build(chunks, graph.scratch_path(spark, "vectors"))
+    queries = chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.topk_batch(queries, 8).select("query_id", "vec_id", rounded("score").alias("score"), "rank")
+
+
 PAIRS_SQL = f"""
 pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b, {COSINE.format("a.embedding", "b.embedding")} AS sim
@@ -147,6 +156,14 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_topk(X.notes(spark, sf_dir), WORDS).select("note_id", rounded("score").alias("score"))
 
 
+@register(keyword_sql(""))
+def keyword_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = X.notes(spark, sf_dir)
+    index = keyword_index.KeywordIndex(spark, graph.scratch_path(spark, "keywords"), id_type=dict(notes.dtypes)["note_id"])
+    index.add(notes)
+    return index.topk(WORDS).select("note_id", rounded("score").alias("score"))
+
+
 @register(keyword_sql("AND workspace = 'src3'"))
 def keyword_search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.keyword_topk(X.notes(spark, sf_dir).where("workspace = 'src3'"), WORDS).select("note_id", rounded("score").alias("score"))
