@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import triple_factor
+from quillgraph.operators.adjacency import StoredAdjacency, adjacency, anti, sized, stored
 
 # How much of a score passes over an edge, and how an edge reads.
 EDGE_WEIGHTS = {"CALLS": 0.80, "CONTAINS_SYMBOL": 0.85, "DEFINED_IN": 0.70, "CONTAINS": 0.70, "IMPORTS": 0.60, "LINKS_TO": 0.50, "BELONGS_TO": 0.40}
@@ -75,14 +77,6 @@ def is_child(child: Column, parent: Column) -> Column:
     return (child != ".") & (above == parent)
 
 
-def adjacency(edges: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """``node``, ``neighbour``, ``label``, ``direction``: every edge from both ends; only some labels if given."""
-    kept = edges.where(F.col("label").isin(labels)) if labels else edges
-    return kept.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"), "label", F.lit("outgoing").alias("direction")).union(
-        kept.select(F.col("dst"), F.col("src"), "label", F.lit("incoming"))
-    )
-
-
 def degrees(edges: DataFrame, notes: DataFrame, visits: bool = True) -> DataFrame:
     """``note_id``, ``degree`` of the notes given.
 
@@ -124,42 +118,42 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: list[str] | None
     """Steps of one shortest path for each of ``pairs`` (pair_id, start, end), undirected, at most ``max_depth`` hops.
 
     Columns pair_id, pos, node_id, edge_label, edge_direction, from_node_id; pos 0 is the start.  Pairs without a path
-    have no rows.  Of several parents the smallest (node, label order, direction) is taken.  All pairs advance together:
-    one join per hop with the frontier, which keeps the visited set of a pair in one state table.
+    have no rows.  Of several parents the smallest (node, label order, direction) is taken.  All pairs advance together,
+    a level a hop: the stored edges are joined with the frontier.  Edges go both ways, so that a level's neighbours lie
+    in it, in the one before or in the next: only these two are taken out.
     """
-    spark = edges.sparkSession
-    near = cut(adjacency(edges, labels), spark)
+    spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "paths")
+    near = StoredAdjacency(edges, f"{folder}/edges", labels)
     none = F.lit(None).cast("string")
-    state = pairs.select("pair_id", F.col("start").alias("node_id"), none.alias("from_node_id"), none.alias("edge_label"), none.alias("edge_direction"), F.lit(0).alias("pos"))
-    ends = pairs.select("pair_id", "end")
-    frontier, visited = state, state
+    start = pairs.select("pair_id", F.col("start").alias("node_id"), none.alias("from_node_id"), none.alias("edge_label"), F.lit("").alias("edge_direction"), F.lit(0).alias("pos"), (F.col("start") == F.col("end")).alias("is_end"))
+    levels = [stored(start, f"{folder}/level-0")]
+    ends = sized(pairs.select("pair_id", "end"), levels[0][1])
     for hop in range(1, max_depth + 1):
-        open_ = ends.join(visited.select("pair_id", F.col("node_id").alias("end")), ["pair_id", "end"], "left_anti").select("pair_id")
-        step = (
-            frontier.join(open_, "pair_id")
-            .join(near, F.col("node_id") == F.col("node"))
-            .select("pair_id", F.col("neighbour").alias("node_id"), F.struct("node", label_rank(F.col("label")).alias("r"), F.col("direction").alias("d"), "label").alias("via"))
-            .join(visited.select("pair_id", "node_id"), ["pair_id", "node_id"], "left_anti")
-            .groupBy("pair_id", "node_id")
-            .agg(F.min("via").alias("via"))
-            .select("pair_id", "node_id", F.col("via.node").alias("from_node_id"), F.col("via.label").alias("edge_label"), F.col("via.d").alias("edge_direction"), F.lit(hop).alias("pos"))
-        )
-        frontier = cut(step, spark)
-        if not frontier.limit(1).count():
+        frontier, count = levels[-1]
+        closed = reduce(DataFrame.union, [df.where("is_end").select("pair_id") for df, _ in levels])
+        live = frontier.join(sized(closed, levels[0][1]), "pair_id", "left_anti").select("pair_id", "node_id")
+        via = F.struct(F.col("node_id").alias("node"), label_rank(F.col("label")).alias("r"), F.col("direction").alias("d"), "label").alias("via")
+        step = near.hop(live, count).select("pair_id", F.col("neighbour").alias("node_id"), via)
+        step = anti(step, levels[-2:], ["pair_id", "node_id"]).groupBy("pair_id", "node_id").agg(F.min("via").alias("via")).join(ends, "pair_id")
+        step = step.select("pair_id", "node_id", F.col("via.node").alias("from_node_id"), F.col("via.label").alias("edge_label"), F.col("via.d").alias("edge_direction"), F.lit(hop).alias("pos"), (F.col("node_id") == F.col("end")).alias("is_end"))
+        level = stored(step, f"{folder}/level-{hop}")
+        if not level[1]:
             break
-        visited = visited.union(frontier)
-    return walk_back(visited, ends, max_depth)
+        levels.append(level)
+    near.close()
+    return walk_back(levels)
 
 
-def walk_back(visited: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
-    """From each pair's end to its start along the parents; positions fall by one a step, so the joins are on all three."""
-    here = visited.join(ends.withColumnRenamed("end", "node_id"), ["pair_id", "node_id"]).select(*visited.columns)
-    out = here
-    for _ in range(max_depth):
-        want = here.where("pos > 0").select("pair_id", F.col("from_node_id").alias("node_id"), (F.col("pos") - 1).alias("pos"))
-        here = visited.join(want, ["pair_id", "node_id", "pos"]).select(*visited.columns)
-        out = out.union(here)
-    return out.select("pair_id", "pos", "node_id", "edge_label", F.coalesce("edge_direction", F.lit("")).alias("edge_direction"), "from_node_id")
+def walk_back(levels: list[tuple[DataFrame, int]]) -> DataFrame:
+    """From each pair's end to its start along the parents, a level at a time from the last one that was reached."""
+    out, want = [], None
+    for level, _ in reversed(levels):
+        here = level.where("is_end")
+        if want is not None:  # a row a pair at most
+            here = here.union(level.join(sized(want, levels[0][1]), ["pair_id", "node_id"]).select(*level.columns))
+        out.append(here)
+        want = here.select("pair_id", F.col("from_node_id").alias("node_id"))
+    return reduce(DataFrame.union, out).select("pair_id", "pos", "node_id", "edge_label", "edge_direction", "from_node_id")
 
 
 def triple_text(label: Column, direction: Column, title: Column, neighbour: Column) -> Column:
@@ -204,33 +198,43 @@ def expand(
     ``down_threshold`` or more; imports only to notes whose name shares a token with the query.  Beyond the first hop
     only calls from symbols are followed.
     """
-    near = adjacency(edges)
+    spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "expansion")
+    near = StoredAdjacency(edges, f"{folder}/edges") if depth > 1 else None
     info = notes.select("note_id", "tier", "tags", "name_tokens", *(["title"] if similarity else []))
-    frontier = seeds.select("note_id", "score", "pos")
-    seen = seeds.select("note_id")
-    out = None
+    first, count = stored(seeds.select("note_id", "score", "pos"), f"{folder}/seeds")
+    frontier = first
+    if similarity:
+        titles = notes.select("note_id", F.col("title").alias("from_title"))
+        frontier = titles.join(sized(first, count), "note_id", "right").select("note_id", "score", "pos", F.coalesce("from_title", "note_id").alias("from_title"))
+    seen, out = [(first, count)], None
     for hop in range(1, depth + 1):
-        reach = frontier.join(near, F.col("note_id") == F.col("node"))
+        asked = frontier.withColumnRenamed("note_id", "linked_from").withColumnRenamed("score", "from_score")
+        if near is not None:
+            reach = near.hop(asked, count, "linked_from")
+        else:
+            reach = adjacency(edges).join(sized(asked, count), F.col("node") == F.col("linked_from")).drop("node")
         if hop > 1:
             reach = reach.where("label = 'CALLS'")
-        reach = reach.select("pos", F.col("node").alias("linked_from"), F.col("score").alias("from_score"), "label", "direction", F.col("neighbour").alias("note_id"))
-        reach = reach.join(seen, "note_id", "left_anti").join(info, "note_id")
+        reach = anti(reach.withColumnRenamed("neighbour", "note_id"), seen, ["note_id"])
+        first_ = F.struct("pos", label_rank(F.col("label")).alias("r"), "direction", "linked_from")
+        carried = ["from_score", "label", *(["from_title"] if similarity else [])]
         down = F.col("label").isin("CONTAINS", "CONTAINS_SYMBOL") & (F.col("direction") == "outgoing") & (F.col("from_score") < down_threshold)
-        sideways = (F.col("label") == "IMPORTS") & ~F.arrays_overlap("name_tokens", query_tokens)
-        first = Window.partitionBy("note_id").orderBy("pos", label_rank(F.col("label")), "direction", "linked_from")
-        claimed = reach.where(~down & ~sideways).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+        # what may claim a note depends on the note for imports only, by whether its name has a word of the query
+        best = reach.where(~down).groupBy("note_id", (F.col("label") == "IMPORTS").alias("_import")).agg(F.min(F.struct(first_.alias("f"), *carried)).alias("m"))
+        best = best.select("note_id", "_import", "m.*").join(info, "note_id").where(~(F.col("_import") & ~F.arrays_overlap("name_tokens", query_tokens)))
+        notes_ = [c for c in info.columns if c != "note_id"]
+        claimed = best.groupBy("note_id").agg(F.min_by(F.struct("f", *carried, *notes_), F.col("f")).alias("m")).select("note_id", "m.f.*", *[f"m.{c}" for c in carried + notes_])
         matches = F.size(F.filter("tags", lambda t: F.array_contains(query_tokens, t)))
         score = F.col("from_score") * by_label(F.col("label"), EDGE_WEIGHTS) * (1 + F.least(matches * 0.1, F.lit(0.3)))
         if similarity:
-            named = notes.select(F.col("note_id").alias("linked_from"), F.col("title").alias("from_title"))
-            claimed = claimed.join(named, "linked_from", "left")
-            phrase = triple_text(F.col("label"), F.col("direction"), F.coalesce("from_title", "linked_from"), F.col("title"))
-            score = score * triple_factor(similarity(phrase))
-        claimed = claimed.select("note_id", score.alias("score"), "linked_from", "label", "direction", F.lit(hop).alias("depth"), "tier", "pos")
-        out = claimed if out is None else out.union(claimed)
-        seen = seen.union(claimed.select("note_id"))
-        frontier = claimed.where("tier = '1'").select("note_id", "score", "pos")
-    return out.drop("tier", "pos")
+            score = score * triple_factor(similarity(triple_text(F.col("label"), F.col("direction"), F.col("from_title"), F.col("title"))))
+        claimed = claimed.select("note_id", score.alias("score"), "linked_from", "label", "direction", F.lit(hop).alias("depth"), "tier", "pos", *(["title"] if similarity else []))
+        if hop < depth:
+            claimed, count = stored(claimed, f"{folder}/hop-{hop}")
+            seen.append((claimed, count))
+            frontier = claimed.where("tier = '1'").select("note_id", "score", "pos", *([F.col("title").alias("from_title")] if similarity else []))
+        out = claimed if out is None else out.unionByName(claimed)
+    return out.select("note_id", "score", "linked_from", "label", "direction", "depth")
 
 
 def components(links: DataFrame) -> DataFrame:
