@@ -5,10 +5,10 @@ times, the faster the larger its weight, each to a random register; a register k
 A shingle stops as soon as its next arrival is later than all registers of the text.  Two texts agree in a register
 with their probability Jaccard similarity.  Registers are hashed in bands; texts that share a band are candidates.
 
-Equal texts are one node.  Within a band's bucket, nodes are compared with its most central one first.  What is still
-apart is compared with every node that it may be similar to: pairs of different components that share rare shingles, and
-pairs whose common shingles alone may be enough.  So a large group of near copies needs no comparison of all pairs, and no link is lost.  Candidates are
-weeded out by their registers and the rest verified by the exact similarity.
+Equal texts are one node.  Within a band's bucket, nodes are compared with its most central one first.  The buckets that
+are still in several components are then compared in blocks inside tasks, by longer sketches of one bit a register; only
+pairs of different components that may be similar leave a task, so that rows grow with links and not with pairs.
+Candidates are verified by the exact similarity.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 #: Five standard deviations of the registers' estimate at the threshold.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Shingles that at most this share of the nodes of a node's largest bucket have are rare for it.
-RARE = 1 / 2
+#: Registers of the longer sketches, of which one bit each is kept: two texts agree in a bit with probability (1 + similarity) / 2.
+BITS = 2048
+#: Four standard deviations of the similarity estimated from those bits, at the threshold.
+BIT_SLACK = 4 * ((1 - THRESHOLD**2) / BITS) ** 0.5
+#: Nodes of a bucket that are compared as one block.
+BLOCK = 4096
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,49 +177,6 @@ def central_pivots(live: DataFrame) -> DataFrame:
     return live.join(met, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "node")).alias("best")).select("bucket", F.col("best.node").alias("pivot"))
 
 
-def level(n):
-    """The smallest l with n <= 2 ** l."""
-    return F.ceil(F.log2(n)).cast("int")
-
-
-def frequencies(shingles: DataFrame) -> DataFrame:
-    """``node``, ``shingle``, ``count`` and ``nodes``, the number of nodes that have the shingle."""
-    rows = shingles.select("node", F.explode(F.arrays_zip("shingles", "counts")).alias("x")).select("node", F.col("x.shingles").alias("shingle"), F.col("x.counts").alias("count"))
-    return rows.join(rows.groupBy("shingle").agg(F.count("*").alias("nodes")), "shingle")
-
-
-def profiles(rows: DataFrame) -> DataFrame:
-    """``node``, ``size`` (its shingles), ``weight`` (their counts' sum), ``alone`` and ``own`` (number and weight of those
-    that no other node has) and ``levels``: number and weight of its shingles by the level of their frequency."""
-    few = rows.groupBy("node", level("nodes").alias("l")).agg(F.count("*").alias("n"), F.sum("count").alias("w"))
-    single = lambda c: F.coalesce(F.sum(F.when(F.col("l") == 0, F.col(c))), F.lit(0))
-    return few.groupBy("node").agg(
-        F.sum("n").alias("size"), F.sum("w").alias("weight"), single("n").alias("alone"), single("w").alias("own"), F.collect_list(F.struct("l", "n", "w")).alias("levels")
-    )
-
-
-def alike_enough(x, cx, y, cy):
-    """Whether two nodes of weights ``x`` and ``y`` may reach the threshold if the weight they share is ``cx`` and ``cy`` at most.
-
-    Probability Jaccard is at most 1 / (1 + a + b), a and b being the weight that a node has for itself, relative to what
-    it shares.  For each shared shingle d with shares r and s of the shared weights, its term is at most 1 / (max(1 / r,
-    1 / s) + a / r + b / s), which is concave and homogeneous in (r, s), so that the sum is at most its value for (1, 1).
-    """
-    return (cx > 0) & (cy > 0) & (x * cy + y * cx <= (1 + 1 / THRESHOLD + 1e-9) * cx * cy)
-
-
-def within_reach(a: str, b: str):
-    """Whether two nodes may reach the threshold, whatever they share of what isn't their own.
-
-    They share as many shingles at most as the one with fewer that aren't its own; each of the others has a count of one
-    at least.
-    """
-    col = lambda c, side: F.col(f"{side}_{c}")
-    n = F.least(*[col("size", s) - col("alone", s) for s in (a, b)])
-    x, y = [col("weight", s) - col("own", s) - (col("size", s) - col("alone", s) - n) for s in (a, b)]
-    return alike_enough(col("weight", a), x, col("weight", b), y)
-
-
 def relabelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``pairs`` (``a``, ``b``) with ``p`` and ``q``, the labels of both; those of one label are left out."""
     if labels is None:
@@ -260,80 +221,95 @@ class Shingles:
         return written(pairs.select("a", "b", "p", "q", (similar("sa", "na", "sb", "nb") >= THRESHOLD).alias("same")), "judged", fewer=16)
 
 
-def common(side: str, least, what: str):
-    """Number (n) or weight (w) of a node's shingles whose level is over ``least``."""
-    return F.aggregate(f"{side}_levels", F.lit(0).cast("long"), lambda a, x: a + F.when(x["l"] > least, x[what]).otherwise(0))
-
-
-def with_profile(df: DataFrame, known: DataFrame, node: str) -> DataFrame:
-    return df.join(known.select(F.col("node").alias(node), *[F.col(x).alias(f"{node}_{x}") for x in known.columns if x != "node"]), node)
+def bit_sketches(sets: DataFrame) -> DataFrame:
+    """``node`` and ``sketch``: the lowest bits of ``BITS`` registers, packed, of shingle sets (``shingle_table``)."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                sizes = some.column("shingles").value_lengths().to_numpy(zero_copy_only=False)
+                shingle, count = [some.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("shingles", "counts")]
+                kept = prob_min_hash(np.repeat(np.arange(len(sizes)), sizes), shingle.view(np.uint64), count, len(sizes), BITS)
+                bits = np.packbits((mix(kept) & np.uint64(1)).astype(np.uint8), axis=1)
+                yield pa.RecordBatch.from_arrays([some.column("node"), pa.array([x.tobytes() for x in bits], pa.binary())], ["node", "sketch"])
+        give_back()
 
-def rare_level(live: DataFrame) -> DataFrame:
-    """``node``, ``l``: the level up to which a shingle is rare for the node."""
-    return live.groupBy("node").agg((level(F.max("n") * RARE + 1) - 1).alias("l"))
+    return sets.select("node", "shingles", "counts").mapInArrow(make, "node long, sketch binary")
 
 
-def rare_pairs(rows: DataFrame, live: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different labels that share rare shingles, and may share enough.
+def close_pairs(bits: np.ndarray, other: np.ndarray, label: np.ndarray, other_label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different labels whose sketches say that they may be similar enough.
 
-    A shingle is rare for a node if not more nodes have it than ``RARE`` of those in its largest bucket.  A pair's shared
-    shingles are the rare ones that both send out and, at most, all others that the one with fewer of them has.
+    Of those that surely are, one for each pair of labels: it ties them.
     """
-    sent = rows.where("nodes > 1").join(rare_level(live), "node").where(level("nodes") <= F.col("l"))
-    sent = sent.select("shingle", "node", "l", "count").join(known.select("node", "label"), "node")
-    one, other = [sent.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "label", "l", "count")]) for side in "ab"]
-    met = one.join(other, "shingle").where("a_node > b_node AND a_label <> b_label")
-    level_ = F.min(F.least("a_l", "b_l")).alias("l")
-    pairs = met.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.count("*").alias("n"), F.sum("a_count").alias("x"), F.sum("b_count").alias("y"), level_)
-    pairs = with_profile(with_profile(pairs, known, "a"), known, "b").where(within_reach("a", "b"))
-    fewer = F.least(common("a", F.col("l"), "n"), common("b", F.col("l"), "n"))
-    x, y = [F.col(shared) + common(side, F.col("l"), "w") - common(side, F.col("l"), "n") + fewer for side, shared in (("a", "x"), ("b", "y"))]
-    return pairs.where(alike_enough(F.col("a_weight"), x, F.col("b_weight"), y)).select("a", "b")
-
-
-def central_pairs(live: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of different labels in one bucket whose common shingles may be enough, without any rare one.
-
-    Common in a bucket is what is rare for none of its nodes.  Let y have no more common shingles than x, n of them, and
-    let rest be the share of its weight that isn't common, relative to what is.  What x has in common beyond n shingles
-    isn't shared either: its size, the weight less 1.25 times what its common shingles weigh over one each, is within y's
-    reach, n * (1.25 - rest).  x stands in one range of sizes, y asks for those it reaches.  Of nodes that mostly repeat
-    shingles sizes say little: they stand by their rest; of a pair, one has 0.125 at most and the other asks for what
-    its own rest leaves of 0.25.
+    found_i, found_j, sure = [], [], {}
+    most = int((1 - (THRESHOLD - BIT_SLACK)) / 2 * BITS)  # differing bits
+    few = int((1 - (THRESHOLD + BIT_SLACK)) / 2 * BITS)
+    rows = max(1, (1 << 20) // max(1, other.size))
+    for at in range(0, len(bits), rows):
+        apart = np.bitwise_count(bits[at : at + rows, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero((apart <= most) & (label[at : at + rows, None] != other_label[None, :]))
+        close = apart[i, j] <= few
+        found_i.append(at + i[~close])
+        found_j.append(j[~close])
+        for x, y in zip((at + i[close]).tolist(), j[close].tolist(), strict=True):
+            sure.setdefault((min(label[x], other_label[y]), max(label[x], other_label[y])), (x, y))
+    found_i.append(np.array([x for x, _ in sure.values()], np.int64))
+    found_j.append(np.array([y for _, y in sure.values()], np.int64))
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def bucket_pairs(live: DataFrame, known: DataFrame, block: int | None = None) -> DataFrame:
+    """Pairs ``a`` > ``b`` of different labels that share a bucket and may be similar enough, by their longer sketches.
+
+    ``live``: node, bucket, n (the bucket's nodes).  ``known``: node, label, sketch.  A bucket of more than ``block`` nodes
+    is dealt out to blocks, and every pair of blocks is a group of its own.  Groups are read one after the other from
+    sorted rows: a task holds two blocks at most.
     """
-    least = live.join(rare_level(live), "node").groupBy("bucket").agg(F.min("l").alias("l"))
-    rows = with_profile(live.join(least, "bucket"), known, "node")
-    kept = [F.col(f"node_{c}").alias(c) for c in ("label", "size", "weight", "alone", "own")]
-    rows = rows.select("bucket", "node", *kept, common("node", F.col("l"), "n").alias("n"), common("node", F.col("l"), "w").alias("w")).where("w > 0")
-    most = 1 / THRESHOLD
-    rows = rows.withColumn("rest", F.try_divide("weight", "w") - 1).where(F.col("rest") <= most - 1 + 1e-9)
-    rows = rows.withColumn("s", F.col("weight") - most * (F.col("w") - F.col("n"))).withColumn("odd", F.col("s") <= 0.5 * F.col("weight"))
-    size_range = lambda x: F.floor(F.log(x) / F.log(F.lit(1.05))).cast("int")
-    rest_range = lambda x: F.floor(x * 100).cast("int")
-
-    def side(df: DataFrame, name: str, key) -> DataFrame:
-        return df.select("bucket", key.alias("key"), *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "bucket"])
-
-    fewer = F.least("x_n", "y_n")
-    shared = [F.col(f"{name}_w") - F.col(f"{name}_n") + fewer for name in "xy"]
-    apart = (F.col("x_label") != F.col("y_label")) & within_reach("x", "y") & alike_enough(F.col("x_weight"), shared[0], F.col("y_weight"), shared[1])
-    plain = rows.where("NOT odd")
-    asked = F.explode(F.sequence(size_range(0.5 * F.col("n")) - 1, size_range(F.col("n") * (most - F.col("rest")) + 1e-6)))
-    by_size = side(plain, "x", size_range(F.col("s"))).join(side(plain, "y", asked), ["bucket", "key"]).where(apart & (F.col("x_n") >= F.col("y_n")))
-    mixed = rows.join(rows.where("odd").select("bucket").distinct(), "bucket", "left_semi")
-    asked = F.explode(F.sequence(F.lit(0), rest_range(F.least(most - 1 - F.col("rest"), F.lit((most - 1) / 2)) + 1e-6)))
-    small = mixed.where(F.col("rest") <= (most - 1) / 2 + 1e-9)
-    by_rest = side(small, "x", rest_range(F.col("rest"))).join(side(mixed, "y", asked), ["bucket", "key"]).where((F.col("x_odd") | F.col("y_odd")) & apart)
-    pairs = by_size.select("x_node", "y_node").union(by_rest.select("x_node", "y_node"))
-    return pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+    block = block or BLOCK
+    rows = live.join(known, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "sketch")
+
+    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        some = pa.Table.from_batches(group).combine_chunks()
+        own, node, label = [some.column(c).to_numpy() for c in ("own", "node", "label")]
+        if len(node) < 2 or (label == label[0]).all():
+            return None
+        bits = np.frombuffer(b"".join(some.column("sketch").to_pylist()), "<u8").reshape(len(node), -1)
+        p, q = int(some.column("p")[0].as_py()), int(some.column("q")[0].as_py())
+        left, right = (np.flatnonzero(own == p), np.flatnonzero(own == q)) if p != q else (np.arange(len(node)),) * 2
+        i, j = close_pairs(bits[left], bits[right], label[left], label[right])
+        a, b = node[left[i]], node[right[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "p", "q")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if (mine := tuple(keys[begin].tolist())) != key:
+                    if group and (out := pairs(group)) is not None:
+                        yield out
+                    group, key = [], mine
+                group.append(batch.slice(begin, end - begin))
+        if group and (out := pairs(group)) is not None:
+            yield out
+        give_back()
+
+    sorted_ = sent.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return sorted_.mapInArrow(compare, "a long, b long").distinct()
 
 
 def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``node``, ``label``: the components of verified links between ``nodes`` (node, bands, registers); ``docs``: d, text.
 
-    Nodes without links may be missing.  Each bucket's nodes are compared with its pivot first.  What is then left apart is
-    compared with every node that shares enough rare shingles or may share enough common ones.
+    Nodes without links may be missing.  Each bucket's nodes are compared with its pivot first.  Buckets that are then in
+    several components are compared as a whole, in blocks.
     """
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     several = rows.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").cast("int").alias("n")).where("x < y")
@@ -357,10 +333,9 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     if live.limit(1).count():
         left = live.select("node").distinct()
         sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
-        every = frequencies(sets)
-        known = written(profiles(every).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "profiles", fewer=8)
-        pairs = rare_pairs(every, live, known).union(central_pairs(live, known)).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        labels = merged(labels, shingles.judge(relabelled(near(pairs), labels)).where("same"))
+        known = bit_sketches(sets).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = written(bucket_pairs(live, written(known, "bit-sketches", fewer=4)), "close-pairs", fewer=16)
+        labels = merged(labels, shingles.judge(relabelled(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), labels)).where("same"))
     return labels
 
 

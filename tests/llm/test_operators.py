@@ -96,63 +96,104 @@ def test_prob_min_hash_estimates():
     assert abs(near_dedup.probability_jaccard(key(x), key(y)) - brute.probability_jaccard(x, y)) < 1e-9
 
 
-def random_texts(rng):
-    """Texts that repeat shingles and share some, with tails of their own."""
-    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 3, rng.integers(5, 30)))) for i in range(40)]
-    rows += [(100 + i, t + f" z{i}") for i, (_, t) in enumerate(rows)]
-    return rows + [(200 + i, " ".join(["w"] * (40 + i) + [f"o{i}"])) for i in range(6)]
-
-
-def test_reach_bounds_never_rule_out_a_link(spark):
-    rows = random_texts(np.random.default_rng(1))
-    d = spark.createDataFrame(rows, "d long, text string")
-    every = near_dedup.frequencies(near_dedup.shingle_table(d)).cache()
-    known = near_dedup.profiles(every).withColumn("label", F.col("node")).cache()
-    side = lambda c: known.select(*[F.col(x).alias(f"{c}_{x}") for x in known.columns])
-    kept = {(r.a_node, r.b_node) for r in side("a").crossJoin(side("b")).where(near_dedup.within_reach("a", "b")).select("a_node", "b_node").collect()}
-    live = known.select(F.lit(1).cast("long").alias("bucket"), "node", F.lit(len(rows)).alias("n"))
-    found = near_dedup.rare_pairs(every, live, known).union(near_dedup.central_pairs(live, known))
-    found = {(r.a, r.b) for r in found.collect()}
-    sets, links = {i: brute.shingles(t) for i, t in rows}, 0
-    for i in sets:
-        for j in sets:
-            if i > j and brute.probability_jaccard(sets[i], sets[j]) >= 0.8:
-                links += 1
-                assert (i, j) in kept and (i, j) in found, (i, j)
-    assert links > 15
-
-
-def test_pairs_grow_in_proportion_to_a_group(spark, monkeypatch):
-    """Copies with one to four words of 150 replaced; the base is not among them.  All links over the threshold are found."""
+def test_bit_sketches_tell_links_from_others():
+    """All pairs at the threshold are kept, but for four deviations; of pairs at 0.67 next to none."""
+    rng = np.random.default_rng(2)
+    kept = {}
+    for share, name in ((0.8, "links"), (0.67, "others")):
+        own = round(400 * (1 - share) / (1 + share))  # of 400 shingles each
+        found = 0
+        for i in range(40):
+            every = word_hashes.mix(rng.integers(0, 1 << 62, 400 + own, dtype=np.int64).astype(np.uint64))
+            bits = np.packbits((word_hashes.mix(near_dedup.prob_min_hash(np.repeat([0, 1], 400), np.concatenate([every[:400], every[own:]]), np.ones(800), 2, near_dedup.BITS)) & np.uint64(1)).astype(np.uint8), axis=1).view("<u8")
+            found += len(near_dedup.close_pairs(bits[:1], bits[1:], np.array([1]), np.array([2]))[0])
+        kept[name] = found
+    assert kept == {"links": 40, "others": 0}
+
+
+def test_close_pairs_in_blocks(spark):
+    """Every pair of blocks is compared once; pairs of one label are left out; what is surely alike ties two labels once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, near_dedup.BITS // 8), dtype=np.uint8)
+    sketch = lambda i: np.packbits(np.unpackbits(base[i % 6]) ^ (rng.random(near_dedup.BITS) < (0.1 if i < 30 else 0.01)))
+    rows = [(i, i % 4 if i % 6 == 0 else i, bytearray(sketch(i).tobytes())) for i in range(60)]
+    known = spark.createDataFrame(rows, "node long, label long, sketch binary")
+    live = spark.createDataFrame([(i, i % 3, 20) for i in range(60)] + [(i, 100 + i % 6, 10) for i in range(60)], "node long, bucket long, n int")
+    got = {}
+    for block in (3, 1000):
+        got[block] = {(r.a, r.b) for r in near_dedup.bucket_pairs(live, known, block).collect()}
+    bits = {i: np.unpackbits(np.frombuffer(bytes(b), np.uint8)) for i, _, b in rows}
+    label = {i: x for i, x, _ in rows}
+    apart = {(i, j): int((bits[i] != bits[j]).sum()) for i in bits for j in bits if i > j and i % 6 == j % 6 and label[i] != label[j]}
+    most, few = [int((1 - (0.8 + x * near_dedup.BIT_SLACK)) / 2 * near_dedup.BITS) for x in (-1, 1)]
+    unsure = {p for p, n in apart.items() if few < n <= most}
+    sure = {tuple(sorted((label[i], label[j]))) for (i, j), n in apart.items() if n <= few}
+    for pairs in got.values():
+        assert unsure <= pairs and all(apart[p] <= most for p in pairs)
+        assert {tuple(sorted((label[i], label[j]))) for i, j in pairs - unsure} == sure
+    assert len(got[1000]) <= len(got[3])
+
+
+def replaced(rng, base, count, pool):
+    words = list(base)
+    for k in rng.choice(len(base), count, replace=False):
+        words[k] = f"n{rng.integers(pool)}"
+    return words
+
+
+def group(kind, n):
+    """Texts of 150 words without their base: three words replaced in each, one to four, or a variant that a quarter shares and one odd text."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(150)]
+    if kind == "three":
+        return [" ".join(replaced(rng, base, 3, 10**6)) for _ in range(n)]
+    if kind == "one to four":
+        return [" ".join(replaced(rng, base, rng.integers(1, 5), 400)) for _ in range(n)]
+    variant = replaced(rng, base, 4, 10**6)
+    return [" ".join(replaced(rng, variant if i % 4 == 0 else base, 1, 10**6)) for i in range(n - 1)] + [" ".join(replaced(rng, base, 8, 10**6))]
+
+
+@pytest.mark.parametrize("kind", ["three", "one to four", "variant"])
+def test_pairs_follow_the_links_of_a_group(spark, monkeypatch, kind):
+    """Pairs that are made and verified, beyond the links themselves, grow with a group and not with its square; classes are exact."""
     seen = Counter()
     plain = near_dedup.written
 
     def counting(df, name="table", fewer=1):
         out = plain(df, name, fewer)
-        seen[name] += out.count() if name in ("candidates", "verify") else 0
+        seen[name] += out.count() if name in ("candidates", "close-pairs", "judged") else 0
         return out
 
     monkeypatch.setattr(near_dedup, "written", counting)
-    pairs = {}
-    for n in (300, 600):
-        rng = np.random.default_rng(7)
-        base, rows = [f"w{i}" for i in range(150)], []
-        for i in range(n):
-            words = list(base)
-            for k in rng.choice(150, rng.integers(1, 5), replace=False):
-                words[k] = f"n{rng.integers(400)}"
-            rows.append((i, " ".join(words)))
+    made = {}
+    for n in (400, 800, 1600):
+        rows = list(enumerate(group(kind, n)))
         seen.clear()
-        frame = spark.createDataFrame(rows, "doc_id long, text string")
-        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(frame).collect()}
-        sets, label = {i: set(brute.shingles(t)) for i, t in rows}, {i: i for i, _ in rows}
-        links = [(i, j) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
-        while (moved := [(i, j) for i, j in links if label[i] != label[j]]):
-            for i, j in moved:
-                label[i] = label[j] = min(label[i], label[j])
-        assert got == label and len(links) > 10 * n
-        pairs[n] = seen["candidates"]
-    assert pairs[600] < 3 * pairs[300] and pairs[600] < 60 * 600, pairs
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        every = {}
+        for i, t in rows:
+            for s in brute.shingles(t):
+                every.setdefault(s, len(every))
+        sets = np.zeros((n, len(every)), np.float32)
+        for i, t in rows:
+            sets[i, [every[s] for s in brute.shingles(t)]] = 1
+        size, common = sets.sum(axis=1), sets @ sets.T
+        a, b = np.nonzero(np.triu(5 * common >= 4 * (size[:, None] + size[None, :] - common), 1))
+        label = np.arange(n)
+        while True:
+            low = label.copy()
+            np.minimum.at(low, a, label[b])
+            np.minimum.at(low, b, label[a])
+            if (low == label).all():
+                break
+            label = low
+        assert got == dict(enumerate(label.tolist()))
+        made[n] = (seen["candidates"], seen["close-pairs"], len(a))
+        # a node meets one pivot a band at most
+        assert seen["candidates"] <= near_dedup.BANDS * n and seen["judged"] <= seen["candidates"] + seen["close-pairs"]
+    for n in (400, 800):
+        beyond = [max(0, made[x][1] - made[x][2]) for x in (n, 2 * n)]
+        assert beyond[1] <= 2.5 * beyond[0] + 200, made
 
 
 def test_near_dedup_stage_of_repeated_ids(spark, documents):
