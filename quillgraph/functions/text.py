@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,6 +94,46 @@ def front_list(front: Column, key: str) -> Column:
     return F.when(block != "", items).otherwise(F.filter(F.transform(inline, strip), lambda x: x != ""))
 
 
+def front_fields(text: str) -> dict:
+    """All keys of a frontmatter: a text, a list of ``- item`` lines, or a dict of ``key: value`` lines below the key.
+
+    Lines below a key are indented by two spaces or a tab; a list wins over a dict, and neither is null.  Blank lines and
+    those that begin with # count for nothing, nor do lines at the edge without a key before a colon.
+    """
+    out: dict = {}
+    key = None
+    for line in text.splitlines():
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        if line.startswith(("  ", "\t")):
+            if key is None:
+                continue
+            held = out[key]
+            name, colon, value = bare.partition(":")
+            if bare.startswith("- "):
+                out[key] = [*(held if isinstance(held, list) else []), bare[2:].strip()]
+            elif colon and name.strip() and not isinstance(held, list):
+                out[key] = (held or {}) | {name.strip(): value.strip()}
+            continue
+        name, colon, value = line.partition(":")
+        key = None
+        if colon and name.strip():
+            out[name.strip()] = value.strip() or None
+            key = None if value.strip() else name.strip()
+    return out
+
+
+def front_variant(front: Column) -> Column:
+    """All of a frontmatter (``front_fields``) as one VARIANT, for ``variant_get`` and the like; null stays null."""
+
+    @F.pandas_udf("string")
+    def read(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else json.dumps(front_fields(t), ensure_ascii=False))
+
+    return F.parse_json(read(front))
+
+
 def chunks(text: Column, size: int = 1536, overlap: int = 200) -> Column:
     """Overlapping windows of ``size`` characters as (chunk_index, text) structs; one for a short text."""
     if size <= overlap:

@@ -36,27 +36,47 @@ def register_provider(name: str, provider: Provider) -> None:
     PROVIDERS[name] = provider
 
 
-def embed(text: Column, provider: str = "hash") -> Column:
-    """Vectors of texts, a batch at a time; a null text counts as empty."""
+def vectors_or_errors(run: Provider, texts: list[str], retries: int = 2) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or what went wrong, for each text.  A batch that fails is taken text by text, and a text that fails is tried again."""
+    said = ""
+    for _ in range(1 if len(texts) > 1 else 1 + retries):
+        try:
+            return [([float(x) for x in v], None) for v in run(texts)] if texts else []
+        except Exception as error:  # noqa: BLE001  the provider's trouble, whatever it is
+            said = f"{type(error).__name__}: {error}"
+    return [(None, said)] if len(texts) == 1 else [x for t in texts for x in vectors_or_errors(run, [t], retries)]
+
+
+def embedded(text: Column, provider: str = "hash", retries: int = 2) -> Column:
+    """``vector`` and ``error`` of texts, a batch at a time; a null text counts as empty.  A text that the provider fails on has a null vector."""
     run = PROVIDERS[provider]
 
-    @F.pandas_udf("array<double>")
-    def vectors(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(run(batch.fillna("").tolist())), dtype=object)
+    @F.pandas_udf("struct<vector: array<double>, error: string>")
+    def both(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(vectors_or_errors(run, batch.fillna("").tolist(), retries), columns=["vector", "error"], dtype=object)
+
+    return both(text)
 
-    return vectors(text)
+
+def embed(text: Column, provider: str = "hash") -> Column:
+    """Vectors of texts (``embedded``)."""
+    return embedded(text, provider)["vector"]
 
 
 def chunk_table(notes: DataFrame, provider: str = "hash", size: int = 1536, overlap: int = 200) -> DataFrame:
-    """``workspace``, ``note_id``, ``chunk_index``, ``chunk_id``, ``embedding``: title and body in overlapping chunks."""
+    """``workspace``, ``note_id``, ``chunk_index``, ``chunk_id``, ``embedding``, ``error``: title and body in overlapping chunks.
+
+    A chunk that the provider failed on has no vector and says why; a later update embeds its note again.
+    """
     rows = notes.select("workspace", "note_id", F.explode(T.chunks(F.concat("title", F.lit("\n\n"), "body"), size, overlap)).alias("c"))
     many = F.when(F.col("c.chunk_index") == 0, F.col("note_id")).otherwise(F.concat("note_id", F.lit("#chunk"), F.col("c.chunk_index").cast("string")))
-    return rows.select("workspace", "note_id", "c.chunk_index", many.alias("chunk_id"), embed(F.col("c.text"), provider).alias("embedding"))
+    made = rows.select("workspace", "note_id", "c.chunk_index", many.alias("chunk_id"), embedded(F.col("c.text"), provider).alias("e"))
+    return made.select("workspace", "note_id", "chunk_index", "chunk_id", F.col("e.vector").alias("embedding"), "e.error")
 
 
 def nearest_chunks(chunks: DataFrame, vector: Column, k: int = 8) -> DataFrame:
     """``note_id``, ``chunk_id``, ``score`` of the ``k`` chunks nearest to a query's vector."""
-    scored = chunks.select("note_id", "chunk_id", cosine(F.col("embedding"), vector).alias("score"))
+    scored = chunks.where("embedding IS NOT NULL").select("note_id", "chunk_id", cosine(F.col("embedding"), vector).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 9)), "chunk_id").limit(k)
 
 

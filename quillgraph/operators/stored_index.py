@@ -9,20 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.sources.files import stored_paths
+
 #: Rows that one file holds, about: larger parts are dealt out to several tasks.
 FILE_ROWS = 1_000_000
 #: Ids taken away that are sent to every executor at most; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
 
-def stored_paths(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths that match, through Spark's own file systems, sorted."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return sorted(x.getPath().toString() for x in found or [])
-
-
 class StoredIndex:
     """``rows`` below ``path``, by generation and ``part``.  ``key``: the column by which rows are taken away again."""
 

@@ -36,12 +36,13 @@ def targeted(
     k: int = 8,
     depth: int = 0,
     similarity: Callable[[Column], Column] | None = None,
+    most: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
     """An answer's rows (``ROWS``) and the steps of the paths between its first three seeds.
 
     ``role``: seed; path (on a shortest path between two of the first three, not a seed; ``linked_from`` its pair's
     start, ``depth`` 1); neighbour (``depth`` > 0 only: reached from the seeds over the graph, see ``graph.expand``, and
-    neither of the others).  ``notes``: note_id, title, tags, path, body, note_type, and tier and name_tokens for
+    neither of the others; the ``most`` best by score).  ``notes``: note_id, title, tags, path, body, note_type, and tier and name_tokens for
     ``depth``.  A row of each note; ``pos`` counts within the role.
     """
     seeds = graph.cut(seeds_of(notes, hits, query, k), notes.sparkSession)
@@ -57,7 +58,7 @@ def targeted(
     out = out.unionByName(found)
     if depth:
         more = graph.expand(edges, notes.join(known, "note_id", "left_semi"), seeds, T.tokens(F.lit(query)), depth, similarity=similarity)
-        more = more.join(out.select("note_id"), "note_id", "left_anti")
+        more = more.join(out.select("note_id"), "note_id", "left_anti").orderBy(F.desc(F.round("score", 9)), "note_id").limit(most)
         place = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "note_id"))
         out = out.unionByName(more.select("note_id", F.lit("neighbour").alias("role"), "score", "depth", "linked_from", F.col("label").alias("via"), place.alias("pos")))
     return out.select(*ROWS), steps

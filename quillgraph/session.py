@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -14,8 +16,10 @@ from quillgraph.operators.notes import parse_notes
 from quillgraph.operators.targeted import targeted
 from quillgraph.sources import files
 
-#: What a stored session holds.
+#: What a stored session holds, and the version of its columns' meaning.
 TABLES = ("notes", "chunks", "edges", "manifest")
+FORMAT = 2
+POINTER = "workspace string, provider string, format int, rows map<string,long>, columns map<string,string>"
 
 
 class KnowledgeSession:
@@ -28,6 +32,8 @@ class KnowledgeSession:
         self.edges: DataFrame | None = None
         self.manifest: DataFrame | None = None
         self.ratings: list[dict] = []
+        #: Why stored tables weren't used, the newest last.
+        self.notices: list[str] = []
 
     def scan(self, paths: DataFrame | None = None) -> DataFrame:
         """Parsed notes of all files, or of some (rel_path)."""
@@ -41,27 +47,65 @@ class KnowledgeSession:
         self.edges = cut(self.derive_edges(), self.spark)
         return self
 
-    def save(self, path: str) -> None:
-        """Store notes, chunk vectors, edges and manifest below ``path`` as a new version; it counts once it is complete."""
-        version = f"{path.rstrip('/')}/v{len(files.versions(self.spark, path)):09d}"
+    def save(self, path: str) -> str:
+        """Store notes, chunk vectors, edges and manifest below ``path`` as a new version; its place.
+
+        The version counts once its pointer is written, which says what the tables must hold.  Versions are never written over.
+        """
+        version, rows, columns = files.next_version(self.spark, path), {}, {}
         for name in TABLES:
-            files.write_table(getattr(self, name), f"{version}/{name}")
-        self.spark.createDataFrame([(self.workspace, self.provider)], "workspace string, provider string").coalesce(1).write.parquet(f"{version}/complete")
+            df, seen = getattr(self, name), Observation()
+            df.observe(seen, F.count("*").alias("n")).write.parquet(f"{version}/{name}")
+            rows[name], columns[name] = seen.get["n"], ",".join(df.columns)
+        self.spark.createDataFrame([(self.workspace, self.provider, FORMAT, rows, columns)], POINTER).coalesce(1).write.parquet(f"{version}/complete")
+        return version
+
+    def stored(self, version: str) -> dict[str, DataFrame] | str:
+        """The tables of a version, or what is wrong with it: foreign, of another format, damaged or incomplete."""
+        try:
+            state = self.spark.read.schema(POINTER).parquet(f"{version}/complete").first()
+            if state is None or state.format != FORMAT:
+                return "another format"
+            if (state.workspace, state.provider) != (self.workspace, self.provider):
+                return f"of workspace {state.workspace!r} and provider {state.provider!r}"
+            tables = {name: self.spark.read.parquet(f"{version}/{name}") for name in TABLES}
+            for name, df in tables.items():
+                if ",".join(df.columns) != state.columns[name]:
+                    return f"{name} has other columns"
+                if (n := df.count()) != state.rows[name]:
+                    return f"{name} has {n} of {state.rows[name]} rows"
+        except (PySparkException, Py4JJavaError) as error:  # a file that is missing, cut off or something else
+            return f"can't be read: {str(error).splitlines()[0]}"
+        return tables
 
     def open(self, path: str) -> dict[str, int]:
         """Start from the newest stored version and take in what has changed since; from nothing where there is none.
 
-        Counts of notes added, updated and removed.  Vectors of another provider or workspace aren't used.
+        Counts of notes added, updated and removed.  A version that is damaged, of another format, or of another provider
+        or workspace isn't used: ``notices`` says so and everything is built anew.
         """
         found = files.versions(self.spark, path)
-        state = self.spark.read.parquet(f"{found[-1]}/complete").first() if found else None
-        if state is None or (state.workspace, state.provider) != (self.workspace, self.provider):
+        tables = self.stored(found[-1]) if found else None
+        if not isinstance(tables, dict):
+            if tables is not None:
+                self.notices.append(f"{found[-1]}: {tables}")
             self.build()
             return {"added": self.notes.count()}
-        for name in TABLES:
-            setattr(self, name, self.spark.read.parquet(f"{found[-1]}/{name}"))
+        for name, df in tables.items():
+            setattr(self, name, df)
         return self.update()
 
+    def reindex(self, force: bool = False) -> dict[str, int]:
+        """Take in what has changed; with ``force`` read, embed and link everything anew.  Counts of notes added, updated and removed."""
+        if not force:
+            return self.update()
+        before = self.notes
+        self.build()
+        if before is None:
+            return {"added": self.notes.count()}
+        gone = before.join(self.notes.select("note_id"), "note_id", "left_anti").select("note_id")
+        return {r.change: r.n for r in incremental.delta_counts(before, self.notes, gone).collect()}
+
     def derive_edges(self) -> DataFrame:
         parents = self.notes
         for c in ("parent_file", "parent_module"):
@@ -84,11 +128,13 @@ class KnowledgeSession:
         gone = delta.where("change = 'deleted'").select(F.col("rel_path").alias("note_id"))
         counts = {r.change: r.n for r in incremental.delta_counts(self.notes, fresh, gone).collect()}
         self.manifest = now
-        if counts:
+        failed = self.chunks.where("embedding IS NULL").select("note_id").distinct()
+        if counts or failed.limit(1).count():
             before = self.notes
             self.notes = cut(incremental.apply_delta(before, fresh, gone), self.spark)
-            # vectors of notes that went or changed are made anew, the others stay
+            # vectors of notes that went or changed, or weren't to be had, are made anew, the others stay
             same = self.notes.select("note_id", "hash").join(before.select("note_id", "hash"), ["note_id", "hash"], "left_semi").select("note_id")
+            same = same.join(failed, "note_id", "left_anti")
             kept = self.chunks.join(same, "note_id", "left_semi").select(*self.chunks.columns)
             more = embedding.chunk_table(self.notes.join(same, "note_id", "left_anti"), self.provider)
             self.chunks = cut(kept.unionByName(more), self.spark)
@@ -99,14 +145,17 @@ class KnowledgeSession:
         """``mode``, ``notes`` (rows of the answer, by role and place), ``traces`` (path steps) and the answer as ``markdown``.
 
         Orientation questions, by ``mode`` or by their words, get the map of ``discover``.  Others are targeted: seeds by
-        vectors, or keywords where there are none, the paths between the first three, and with ``depth`` their
+        vectors, or keywords where there are none (or the provider fails), the paths between the first three, and with ``depth`` their
         neighbours, scored by how near their edges' phrases are to the query.
         """
         mode = mode or self.spark.range(1).select(query_mode(F.lit(query)).alias("m")).first().m
         if mode == "discover":
             return {"mode": mode, "notes": [], "traces": [], "markdown": self.discover(query, k)}
-        vector = F.array(*[F.lit(float(x)) for x in embedding.PROVIDERS[self.provider]([query])[0]])
-        hits = embedding.nearest_chunks(self.chunks, vector, k)
+        asked, failed = embedding.vectors_or_errors(embedding.PROVIDERS[self.provider], [query])[0]
+        if failed:
+            self.notices.append(f"query not embedded: {failed}")
+        vector = F.array(*[F.lit(x) for x in asked]) if asked else F.lit(None).cast("array<double>")
+        hits = embedding.nearest_chunks(self.chunks, vector, k) if asked else None
         notes = self.notes.withColumn("name_tokens", T.tokens(F.concat_ws(" ", T.strip(F.col("title")), T.stem(F.col("path")))))
         rows, steps = targeted(notes, self.edges, hits, query, k, depth, lambda text: cosine(embedding.embed(text, self.provider), vector))
         rows = cut(rows, self.spark)
@@ -127,13 +176,21 @@ class KnowledgeSession:
 
     def find_path(self, start: str, end: str, labels: list[str] | None = None, max_depth: int | None = None) -> list[dict]:
         """Steps of a shortest path between two notes, given by id or part of the title, with their scores; empty if there is none."""
-        ends = {r.query: r.note_id for r in retrieval.resolve_endpoints(self.notes, [start, end]).collect()}
-        if start not in ends or end not in ends:
-            return []
-        pairs = self.spark.createDataFrame([(1, ends[start], ends[end])], "pair_id int, start string, end string")
+        return self.path(start, end, labels, max_depth)["steps"]
+
+    def path(self, start: str, end: str, labels: list[str] | None = None, max_depth: int | None = None) -> dict:
+        """``steps`` of a shortest path between two notes, its ``length`` (null if there is none), both ends' ids and how they were resolved (``exact``, ``substring`` or null)."""
+        found = {r.query: r for r in retrieval.resolve_endpoints(self.notes, [start, end]).collect()}
+        out = {"steps": [], "length": None}
+        for name, query in (("start", start), ("end", end)):
+            out |= {f"{name}_id": found[query].note_id, f"{name}_resolved_by": found[query].resolved_by} if query in found else {f"{name}_id": None, f"{name}_resolved_by": None}
+        if start not in found or end not in found:
+            return out
+        pairs = self.spark.createDataFrame([(1, out["start_id"], out["end_id"])], "pair_id int, start string, end string")
         steps = graph.shortest_paths(self.edges, pairs, labels, 8 if max_depth is None else max_depth)
         steps = steps.join(graph.path_notes(steps).select(F.col("note_id").alias("node_id"), "score"), "node_id")
-        return [r.asDict() for r in steps.orderBy("pos").collect()]
+        rows = [r.asDict() for r in steps.orderBy("pos").collect()]  # max_depth and one at most
+        return out | {"steps": rows, "length": len(rows) - 1 if rows else None}
 
     def note(self, note_id: str) -> str | None:
         row = self.notes.where(F.col("note_id") == note_id).select("body").first()

@@ -14,6 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folders that aren't entered, languages and what they leave out.
 IGNORED_DIRS = (".obsidian", "node_modules", ".venv", "__pycache__")
 
 #: Languages: file pattern and what is left out by default (``*.x``: a suffix, else a path segment).
@@ -153,15 +154,31 @@ def delete_files(files: DataFrame, root: str) -> int:
             yield pd.DataFrame({"n": [n]})
 
     gone = files.select("rel_path").mapInPandas(delete, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    fs, top = file_system(root)
-    if gone:  # folders from the deepest up
-        folders = [x.path for x in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if x.type == pafs.FileType.Directory]
-        for folder in sorted(folders, key=lambda x: -x.count("/")):
-            if not fs.get_file_info(pafs.FileSelector(folder)):
-                fs.delete_dir(folder)
+    if gone:
+        clear_folders(files.select(F.regexp_extract("rel_path", "^(.*)/[^/]*$", 1).alias("folder")).where("folder <> ''").distinct(), root)
     return gone
 
 
+def clear_folders(folders: DataFrame, root: str) -> None:
+    """Delete those of ``folders`` (below ``root``) that are empty, and then those above them; only these are looked at."""
+
+    def clear(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, top = file_system(root)
+        for batch in batches:
+            for folder in batch["folder"]:
+                while folder:
+                    try:
+                        if fs.get_file_info(pafs.FileSelector(f"{top}/{folder}")):
+                            break
+                        fs.delete_dir(f"{top}/{folder}")
+                    except FileNotFoundError:  # another task was here
+                        pass
+                    folder = folder.rpartition("/")[0]
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    folders.mapInPandas(clear, "n long").agg(F.sum("n")).collect()
+
+
 def save_registry(registry: DataFrame, path: str) -> None:
     """The registry as a JSON array, as ``read_registry`` takes it; the new file replaces the old at once."""
     fs, target = file_system(path)
@@ -196,29 +213,47 @@ def snapshot(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame
     return file_list(spark, root, pattern)
 
 
+def name_uuid(name: Column) -> Column:
+    """The version 5 UUID of a name in the DNS namespace, as text."""
+    h = F.sha1(F.concat(F.unhex(F.lit("6ba7b8109dad11d180b400c04fd430c8")), F.encode(name, "UTF-8")))
+    variant = F.lower(F.conv((F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 8).cast("string"), 10, 16))
+    part = lambda begin, n: F.substring(h, begin, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Registered workspaces (a JSON array); malformed entries are dropped, as are inactive ones."""
+    """Registered workspaces (a JSON array); malformed entries are dropped, as are inactive ones.  A missing file has none.
+
+    A missing ``id`` is derived from the ``name``, where there are such columns.
+    """
+    if not stored_paths(spark, path):
+        return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    if {"id", "name"} <= set(rows.columns):
+        rows = rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), name_uuid(F.col("name"))))
     return rows.where(F.coalesce("active", F.lit(True)))
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A table replaced as a whole; ``df`` must not read ``path``."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def registered(registry: DataFrame, key: str, by: str = "id") -> dict | None:
+    """The entry of one workspace, by id; none if there is none."""
+    row = registry.where(F.col(by) == key).first()
+    return row.asDict(recursive=True) if row else None
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Complete stored versions below a path, oldest first, through Spark's own file systems."""
+def stored_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match, through Spark's own file systems, sorted."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/v*/complete/_SUCCESS")
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return sorted(x.getPath().getParent().getParent().toString() for x in found or [])
+    return sorted(x.getPath().toString() for x in found or [])
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table; empty if there is none (the caller then rebuilds)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete stored versions below a path, oldest first."""
+    return [p.removesuffix("/complete/_SUCCESS") for p in stored_paths(spark, f"{path.rstrip('/')}/v*/complete/_SUCCESS")]
+
+
+def next_version(spark: SparkSession, path: str) -> str:
+    """A version's place after all that are there, complete or not: none is ever written over."""
+    names = [p.rpartition("/v")[2] for p in stored_paths(spark, f"{path.rstrip('/')}/v*")]
+    return f"{path.rstrip('/')}/v{max([int(n) for n in names if n.isdigit()], default=-1) + 1:09d}"
