@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import stem
 
-#: Of several notes with a suffix the first of these types wins; types not listed come last.
+# Of several notes with a suffix the first of these types wins; types not listed come last.
 TYPE_PRIORITY = ["tool", "concept", "codeUnit", "codeSymbol", "index", "codebase"]
 
 

@@ -66,6 +66,12 @@ def status_view(registry: DataFrame, jobs: DataFrame, notes: DataFrame) -> DataF
     return out.withColumn("busy", F.col("running") > 0)
 
 
+def total_notes(notes: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """``n_workspaces``, ``n_notes``: how much a rebuild of some workspaces (workspace) has read."""
+    asked = rebuilt.select("workspace").distinct()
+    return asked.join(notes.groupBy("workspace").agg(F.count("*").alias("n")), "workspace", "left").agg(F.count("*").alias("n_workspaces"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_notes"))
+
+
 def not_paused(events: DataFrame, paused: DataFrame) -> DataFrame:
     """Events of workspaces that aren't paused; a paused workspace of null pauses all."""
     every = paused.where("workspace IS NULL").limit(1).select(F.lit(True).alias("_all"))

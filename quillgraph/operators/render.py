@@ -69,11 +69,19 @@ def context(notes: DataFrame, steps: DataFrame | None = None) -> DataFrame:
 
 
 def discovery(rows: DataFrame, query: str) -> DataFrame:
-    """One row ``markdown``: a map of entry points, modules and hubs (``discovery`` rows with path and degree)."""
+    """One row ``markdown``: a map of entry points, modules and hubs (``discovery`` rows with path and degree).
+
+    With ``content``, excerpts of the first entry points and modules follow.
+    """
     line = F.concat(F.lit("- [["), "note_id", F.lit("]] `"), "path", F.lit("`"), F.when(F.col("kind") == "hub", F.concat(F.lit(" degree="), F.coalesce("degree", F.lit(0)).cast("string"))).otherwise(""))
     order = F.array_position(F.array(*map(F.lit, ("entrypoint", "module", "hub"))), F.col("kind"))
     kinds = rows.groupBy("kind", order.alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    title = F.element_at(F.array(*map(F.lit, ("## Likely Entrypoints", "## Module Map", "## High-Connectivity Notes"))), F.col("n").cast("int"))
+    titles = ("## Likely Entrypoints", "## Module Map", "## High-Connectivity Notes", "## Entrypoint Details", "## Module Details")
+    title = F.element_at(F.array(*map(F.lit, titles)), F.col("n").cast("int"))
+    if "content" in rows.columns:
+        for n, (kind, most) in enumerate((("entrypoint", 4), ("module", 6))):
+            shown = detail(rows.where(F.col("kind") == kind), most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("body"))
+            kinds = kinds.unionByName(shown.where("body <> ''").select(F.lit(f"{kind} details").alias("kind"), F.lit(4 + n).cast("long").alias("n"), "body"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(title, F.lit("\n\n"), "body").alias("text")))), lambda x: x["text"])
     return kinds.agg(F.concat(F.lit(f'## Discovery Mode\nQuery: "{query}"\n\n'), F.array_join(parts, "\n\n")).alias("markdown"))
 
@@ -91,5 +99,5 @@ def wire(notes: DataFrame) -> DataFrame:
 
 
 def detail(notes: DataFrame, most: int = 4) -> DataFrame:
-    """Excerpts of the first notes of a list (pos, path, content)."""
-    return notes.orderBy("pos").limit(most).select("pos", F.concat(F.lit("### "), "path", F.lit("\n"), excerpt(F.col("content"))).alias("text"))
+    """Excerpts of the first notes of a list (pos, note_id, content)."""
+    return notes.orderBy("pos").limit(most).select("pos", F.concat(F.lit("### "), "note_id", F.lit("\n"), excerpt(F.col("content"))).alias("text"))

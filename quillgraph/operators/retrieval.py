@@ -138,9 +138,19 @@ def best_per_note(hits: DataFrame, note: str = "note_id") -> DataFrame:
     return hits.groupBy(note).agg(F.max("score").alias("score"))
 
 
-def boosted_seeds(hits: DataFrame, notes: DataFrame, query_tokens: Column) -> DataFrame:
-    """Notes of chunk hits (note_id, score), index notes and deleted notes left out, with tag boost, best score each."""
-    kept = best_per_note(hits).join(notes.where("note_type <> 'index'"), "note_id")
+def boosted_seeds(hits: DataFrame, notes: DataFrame, query_tokens: Column, said: DataFrame | None = None, workspace: str | None = None) -> DataFrame:
+    """Notes of chunk hits (note_id, score), index notes and deleted notes left out, with tag boost, best score each.
+
+    ``said``: what the index itself says of notes (columns of ``notes``); it stands in for notes that aren't there any
+    more.  ``workspace``: all must be of it; one that isn't fails the job, as the index was asked for the wrong one.
+    """
+    known = notes
+    if said is not None:
+        more = said.dropDuplicates(["note_id"]).join(notes.select("note_id"), "note_id", "left_anti")
+        known = notes.unionByName(more, allowMissingColumns=True).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    kept = best_per_note(hits).join(known.where("note_type <> 'index'"), "note_id")
+    if workspace is not None:
+        kept = kept.where(F.assert_true(F.col("workspace") == workspace, F.concat(F.lit(f"outside of workspace {workspace}: "), "note_id")).isNull())
     return kept.withColumn("score", tag_boost(F.col("score"), F.col("tags"), query_tokens))
 
 

@@ -14,16 +14,20 @@ from . import graph, retrieval
 ROWS = ["note_id", "role", "score", "depth", "linked_from", "via", "pos"]
 
 
-def seeds_of(notes: DataFrame, hits: DataFrame | None, query: str, k: int = 8) -> DataFrame:
+#: The best notes (note_id, score) of a query by its words, so many of them.
+Keywords = Callable[[str, int], DataFrame]
+
+
+def seeds_of(notes: DataFrame, hits: DataFrame | None, query: str, k: int = 8, keywords: Keywords | None = None) -> DataFrame:
     """``note_id``, ``score``, ``pos`` of the seeds: the notes of the vector ``hits`` (note_id, score; a top-k) with their
-    tags' boost, or the best by keywords where there are no hits."""
+    tags' boost, or the best by keywords where there are no hits (``keywords``: a stored index's, else by reading the notes)."""
     seeds = None
     if hits is not None:
         seeds = graph.cut(retrieval.boosted_seeds(hits, notes, T.tokens(F.lit(query))).select("note_id", "score"), notes.sparkSession)
         if not seeds.limit(1).count():
             seeds = None
     if seeds is None:
-        seeds = graph.cut(retrieval.keyword_topk(notes, query, k), notes.sparkSession)
+        seeds = graph.cut(keywords(query, k) if keywords else retrieval.keyword_topk(notes, query, k), notes.sparkSession)
     order = Window.orderBy(F.desc(F.round("score", 9)), "note_id")  # of k rows
     return seeds.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
 
@@ -37,6 +41,7 @@ def targeted(
     depth: int = 0,
     similarity: Callable[[Column], Column] | None = None,
     most: int = 50,
+    keywords: Keywords | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """An answer's rows (``ROWS``) and the steps of the paths between its first three seeds.
 
@@ -45,7 +50,7 @@ def targeted(
     neither of the others; the ``most`` best by score).  ``notes``: note_id, title, tags, path, body, note_type, and tier and name_tokens for
     ``depth``.  A row of each note; ``pos`` counts within the role.
     """
-    seeds = graph.cut(seeds_of(notes, hits, query, k), notes.sparkSession)
+    seeds = graph.cut(seeds_of(notes, hits, query, k, keywords), notes.sparkSession)
     pairs = graph.seed_pairs(seeds)
     steps = graph.cut(graph.shortest_paths(edges, pairs), notes.sparkSession)
     none = F.lit(None).cast("string")

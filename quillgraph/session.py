@@ -12,8 +12,10 @@ from quillgraph.functions.routing import query_mode
 from quillgraph.functions.vectors import cosine
 from quillgraph.operators import embedding, graph, incremental, links, render, retrieval
 from quillgraph.operators.graph import cut
+from quillgraph.operators.keyword_index import KeywordIndex
 from quillgraph.operators.notes import parse_notes
 from quillgraph.operators.targeted import targeted
+from quillgraph.operators.vector_index import VectorIndex
 from quillgraph.sources import files
 
 #: What a stored session holds, and the version of its columns' meaning.
@@ -34,6 +36,8 @@ class KnowledgeSession:
         self.ratings: list[dict] = []
         #: Why stored tables weren't used, the newest last.
         self.notices: list[str] = []
+        self.vectors: VectorIndex | None = None
+        self.words: KeywordIndex | None = None
 
     def scan(self, paths: DataFrame | None = None) -> DataFrame:
         """Parsed notes of all files, or of some (rel_path)."""
@@ -47,6 +51,12 @@ class KnowledgeSession:
         self.edges = cut(self.derive_edges(), self.spark)
         return self
 
+    def index(self, path: str) -> None:
+        """Store a vector and a keyword index below ``path``, a fresh folder.  Questions read them from then on, and updates keep them."""
+        self.vectors = VectorIndex.build(self.chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), f"{path.rstrip('/')}/vectors")
+        self.words = KeywordIndex(self.spark, f"{path.rstrip('/')}/words")
+        self.words.add(self.notes)
+
     def save(self, path: str) -> str:
         """Store notes, chunk vectors, edges and manifest below ``path`` as a new version; its place.
 
@@ -136,8 +146,12 @@ class KnowledgeSession:
             same = self.notes.select("note_id", "hash").join(before.select("note_id", "hash"), ["note_id", "hash"], "left_semi").select("note_id")
             same = same.join(failed, "note_id", "left_anti")
             kept = self.chunks.join(same, "note_id", "left_semi").select(*self.chunks.columns)
-            more = embedding.chunk_table(self.notes.join(same, "note_id", "left_anti"), self.provider)
-            self.chunks = cut(kept.unionByName(more), self.spark)
+            moved = cut(self.notes.join(same, "note_id", "left_anti"), self.spark)
+            more = cut(embedding.chunk_table(moved, self.provider), self.spark)
+            old, self.chunks = self.chunks, cut(kept.unionByName(more), self.spark)
+            if self.words is not None:
+                self.words.add(moved, before.join(same, "note_id", "left_anti").select("note_id"))
+                self.vectors.add(more.select(F.col("chunk_id").alias("vec_id"), "embedding"), old.join(same, "note_id", "left_anti").select(F.col("chunk_id").alias("vec_id")))
             self.edges = cut(self.derive_edges(), self.spark)
         return counts
 
@@ -155,9 +169,13 @@ class KnowledgeSession:
         if failed:
             self.notices.append(f"query not embedded: {failed}")
         vector = F.array(*[F.lit(x) for x in asked]) if asked else F.lit(None).cast("array<double>")
-        hits = embedding.nearest_chunks(self.chunks, vector, k) if asked else None
+        hits = None
+        if asked and self.vectors is not None:
+            hits = self.vectors.topk(asked, k).select(F.regexp_replace("vec_id", r"#chunk\d+$", "").alias("note_id"), F.col("vec_id").alias("chunk_id"), "score")
+        elif asked:
+            hits = embedding.nearest_chunks(self.chunks, vector, k)
         notes = self.notes.withColumn("name_tokens", T.tokens(F.concat_ws(" ", T.strip(F.col("title")), T.stem(F.col("path")))))
-        rows, steps = targeted(notes, self.edges, hits, query, k, depth, lambda text: cosine(embedding.embed(text, self.provider), vector))
+        rows, steps = targeted(notes, self.edges, hits, query, k, depth, lambda text: cosine(embedding.embed(text, self.provider), vector), keywords=self.words.topk if self.words else None)
         rows = cut(rows, self.spark)
         shown = rows.join(self.notes.select("note_id", "path", "title", "note_type", "tier", F.col("body").alias("content")), "note_id")
         markdown = render.context(shown, steps).select(render.within_budget(F.col("markdown"), max_chars).alias("m")).first().m
@@ -171,7 +189,7 @@ class KnowledgeSession:
 
     def discover(self, query: str = "", k: int = 8) -> str:
         degree = graph.degrees(self.edges, self.notes)
-        rows = retrieval.discovery(self.notes, degree, k).join(self.notes.select("note_id", "path"), "note_id").join(degree, "note_id", "left")
+        rows = retrieval.discovery(self.notes, degree, k).join(self.notes.select("note_id", "path", F.col("body").alias("content")), "note_id").join(degree, "note_id", "left")
         return render.discovery(rows, query).first().markdown
 
     def find_path(self, start: str, end: str, labels: list[str] | None = None, max_depth: int | None = None) -> list[dict]:

@@ -163,3 +163,40 @@ def test_summaries_from_the_bottom_up(spark, tmp_path):
     (tmp_path / "m_module.md").write_text((tmp_path / "m_module.md").read_text().replace("about m", "edited m"))
     assert {t: c["summarized"] for t, c in run()["tiers"].items()} == {"1": 0, "2": 0, "3": 1}
     assert sum(c["summarized"] for c in run({"provider": "p", "model": "m2"})["tiers"].values()) == 4 and (tmp_path / "other.md").read_text() == "no tier\n"
+
+
+def test_a_session_with_indexes(spark, root, tmp_path):
+    plain, indexed = KnowledgeSession(spark, root, workspace="w").build(), KnowledgeSession(spark, root, workspace="w").build()
+    indexed.index(f"file://{tmp_path}/index")
+    seen = lambda s, q: [(n["note_id"], n["role"], round(n["score"], 6)) for n in s.retrieve(q, k=3)["notes"]]
+    assert seen(indexed, "plain beta") == seen(plain, "plain beta")
+    Path(root, "b.md").write_text("# Zeta\nother words\n")
+    Path(root, "c.md").unlink()
+    assert indexed.update() == plain.update() == {"updated": 1, "removed": 1}
+    assert seen(indexed, "zeta other") == seen(plain, "zeta other")
+    assert {r.note_id for r in indexed.words.topk("zeta beta gamma", 5).collect()} == {"b.md"} and indexed.vectors.stored.read().count() == plain.chunks.count()
+
+
+def test_hits_of_notes_that_are_gone(spark):
+    from quillgraph.operators import retrieval
+
+    columns = "note_id string, note_type string, tags array<string>, workspace string"
+    notes = spark.createDataFrame([("a", "concept", ["x"], "w"), ("i", "index", [], "w")], columns)
+    said = spark.createDataFrame([("a", "index", None, "v"), ("gone", "concept", None, "w"), ("old", "index", None, "w")], columns)
+    hits = spark.createDataFrame([("a", 0.5), ("i", 0.9), ("gone", 0.4), ("old", 0.9), ("unknown", 0.9)], "note_id string, score double")
+    query = F.array(F.lit("x"))
+    assert {r.note_id: round(r.score, 6) for r in retrieval.boosted_seeds(hits, notes, query).collect()} == {"a": 0.55}
+    assert {r.note_id: round(r.score, 6) for r in retrieval.boosted_seeds(hits, notes, query, said, "w").collect()} == {"a": 0.55, "gone": 0.4}
+    with pytest.raises(Exception, match="outside of workspace other"):
+        retrieval.boosted_seeds(hits, notes, query, said, "other").collect()
+
+
+def test_discovery_shows_excerpts(spark):
+    from quillgraph.operators import registry, render
+
+    rows = [(f"e{i}", "entrypoint", i, f"p/e{i}", 1, f"text of e{i}") for i in range(6)] + [("m", "module", 9, "p", 2, "x" * 3000), ("h", "hub", 10, "q", 7, "hub text")]
+    text = render.discovery(spark.createDataFrame(rows, "note_id string, kind string, pos int, path string, degree int, content string"), "where").first().markdown
+    assert text.index("## High-Connectivity Notes") < text.index("## Entrypoint Details") < text.index("## Module Details")
+    assert "### e3\ntext of e3" in text and "text of e4" not in text and "hub text" not in text and text.endswith("x\n...")
+    notes = spark.createDataFrame([("1",), ("1",), ("2",)], "workspace string")
+    assert registry.total_notes(notes, spark.createDataFrame([("1",), ("3",)], "workspace string")).first() == (2, 2)
