@@ -13,7 +13,7 @@ Candidates are verified by the exact similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -238,8 +238,10 @@ def bit_sketches(sets: DataFrame) -> DataFrame:
     return sets.select("node", "shingles", "counts").mapInArrow(make, "node long, sketch binary")
 
 
-def close_pairs(bits: np.ndarray, other: np.ndarray, label: np.ndarray, other_label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of different labels whose sketches say that they may be similar enough.
+def close_pairs(
+    bits: np.ndarray, other: np.ndarray, label: np.ndarray, other_label: np.ndarray, mine: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different labels whose sketches say that they may be similar enough, and that are ``mine`` to tell.
 
     Of those that surely are, one for each pair of labels: it ties them.
     """
@@ -250,6 +252,9 @@ def close_pairs(bits: np.ndarray, other: np.ndarray, label: np.ndarray, other_la
     for at in range(0, len(bits), rows):
         apart = np.bitwise_count(bits[at : at + rows, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int32)
         i, j = np.nonzero((apart <= most) & (label[at : at + rows, None] != other_label[None, :]))
+        if mine is not None:
+            own = mine(at + i, j)
+            i, j = i[own], j[own]
         close = apart[i, j] <= few
         found_i.append(at + i[~close])
         found_j.append(j[~close])
@@ -260,17 +265,22 @@ def close_pairs(bits: np.ndarray, other: np.ndarray, label: np.ndarray, other_la
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
+def short(key):
+    """A band's key in 31 bits."""
+    return F.pmod(key, F.lit((1 << 31) - 1)).cast("int")
+
+
 def bucket_pairs(live: DataFrame, known: DataFrame, block: int | None = None) -> DataFrame:
     """Pairs ``a`` > ``b`` of different labels that share a bucket and may be similar enough, by their longer sketches.
 
-    ``live``: node, bucket, n (the bucket's nodes).  ``known``: node, label, sketch.  A bucket of more than ``block`` nodes
-    is dealt out to blocks, and every pair of blocks is a group of its own.  Groups are read one after the other from
-    sorted rows: a task holds two blocks at most.
+    ``live``: node, bucket, n (the bucket's nodes).  ``known``: node, label, sketch, bands (in ``short``).  A bucket of more
+    than ``block`` nodes is dealt out to blocks, and every pair of blocks is a group of its own.  Groups are read one after
+    the other from sorted rows: a task holds two blocks at most.  Nodes that share several buckets are told in the first.
     """
     block = block or BLOCK
     rows = live.join(known, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "sketch")
+    sent = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "label", "sketch", "bands", short(F.col("bucket")).alias("key"))
 
     def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         some = pa.Table.from_batches(group).combine_chunks()
@@ -280,7 +290,14 @@ def bucket_pairs(live: DataFrame, known: DataFrame, block: int | None = None) ->
         bits = np.frombuffer(b"".join(some.column("sketch").to_pylist()), "<u8").reshape(len(node), -1)
         p, q = int(some.column("p")[0].as_py()), int(some.column("q")[0].as_py())
         left, right = (np.flatnonzero(own == p), np.flatnonzero(own == q)) if p != q else (np.arange(len(node)),) * 2
-        i, j = close_pairs(bits[left], bits[right], label[left], label[right])
+        bands, key = some.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1), some.column("key")[0].as_py()
+
+        def here(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            x = bands[left[i]]
+            first = (x == bands[right[j]]).argmax(axis=1)
+            return x[np.arange(len(x)), first] == key
+
+        i, j = close_pairs(bits[left], bits[right], label[left], label[right], here)
         a, b = node[left[i]], node[right[j]]
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -334,6 +351,7 @@ def links_between(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         left = live.select("node").distinct()
         sets = shingles.of(left.withColumnRenamed("node", "d")).join(left, "node", "left_semi").dropDuplicates(["node"])
         known = bit_sketches(sets).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = known.join(nodes.select("node", F.transform("bands", short).alias("bands")), "node")
         pairs = written(bucket_pairs(live, written(known, "bit-sketches", fewer=4)), "close-pairs", fewer=16)
         labels = merged(labels, shingles.judge(relabelled(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), labels)).where("same"))
     return labels

@@ -117,7 +117,8 @@ def test_close_pairs_in_blocks(spark):
     base = rng.integers(0, 256, (6, near_dedup.BITS // 8), dtype=np.uint8)
     sketch = lambda i: np.packbits(np.unpackbits(base[i % 6]) ^ (rng.random(near_dedup.BITS) < (0.1 if i < 30 else 0.01)))
     rows = [(i, i % 4 if i % 6 == 0 else i, bytearray(sketch(i).tobytes())) for i in range(60)]
-    known = spark.createDataFrame(rows, "node long, label long, sketch binary")
+    # the buckets of the first band are 0 to 2, those of the second 100 to 105
+    known = spark.createDataFrame([(*r, [r[0] % 3, 100 + r[0] % 6]) for r in rows], "node long, label long, sketch binary, bands array<int>")
     live = spark.createDataFrame([(i, i % 3, 20) for i in range(60)] + [(i, 100 + i % 6, 10) for i in range(60)], "node long, bucket long, n int")
     got = {}
     for block in (3, 1000):
