@@ -14,6 +14,7 @@ from quillgraph.functions import text as T
 from quillgraph.functions import vectors as V
 from quillgraph.functions.routing import BROAD_TERMS, DISCOVER_PHRASES, FILLER, query_mode
 from quillgraph.operators import clusters, embedding, events, graph, incremental, keyword_index, links, mirror, registry, render, retrieval, summaries, targeted, vector_index
+from quillgraph.sources import files
 
 from . import fixtures as X
 from .fixtures import LABEL_RANK_SQL, NOTES_SQL, PUSHES_SQL, STAR_EDGES_SQL, STAR_NOTES_SQL, table
@@ -972,3 +973,111 @@ def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = p.select(F.concat(F.lit("pkg/mod"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), F.concat(head, "html").alias("source"), F.length(head).alias("head"))
     found = mirror.symbols(files.select("path", "source"), "py").join(files.select("path", "head"), "path")
     return found.where("begin < head").select("path", "role", "name", "detail", "exported")
+
+
+@register(
+    """
+WITH p AS (SELECT page_id, 'f' || page_id AS f, 'K' || page_id AS k FROM pages)
+SELECT page_id, unnest(['import', 'def', 'call', 'class', 'method', 'call', 'reexport']) AS role, unnest(['helper', f, 'h', k, 'm', f, 'g' || page_id]) AS name,
+       unnest(['./util.js', f || '(a: string, b): Promise<void>', '', 'export class ' || k || '<T> extends Base', k || '.m(x: number): T', '', './util']) AS detail,
+       unnest([true, true, false, true, false, false, true]) AS exported, unnest([NULL, NULL, f, NULL, k, 'm', NULL]) AS owner, unnest([NULL, NULL, f, NULL, NULL, NULL, NULL]) AS caller
+FROM p"""
+)
+def typescript_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions and calls between a template and a comment that hold each page's whole html."""
+    html, number = F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
+    source = F.concat(
+        F.lit("import { helper as h } from './util.js';\nconst page = `"), F.translate(html, "\\`$", "   "),
+        F.lit("`;\nexport async function f"), number, F.lit("(a: string, b = '}'): Promise<void> {\n  return h(a);\n}\n/* "), F.replace(html, F.lit("*/"), F.lit("* /")),
+        F.lit(" */\nexport class K"), number, F.lit("<T> extends Base {\n  private m(x: number): T { return f"), number, F.lit("(x); }\n}\nexport { h as g"), number, F.lit(" } from './util';\n"),
+    )
+    files = table(spark, sf_dir, "pages").select(F.concat(number, F.lit(".ts")).alias("path"), source.alias("source"))
+    found = mirror.symbols(files, "ts").where("role <> 'const'")
+    return found.select(F.regexp_replace("path", r"\.ts$", "").cast("long").alias("page_id"), "role", "name", "detail", "exported", "owner", "caller")
+
+
+@register(
+    """
+SELECT page_id, unnest(['import', 'def', 'def']) AS role, unnest(['own.h', 'hid', 'f' || page_id]) AS name, unnest(['own.h', 'static int hid(char c)', 'const char *f' || page_id || '(int a, char **b)']) AS detail,
+       unnest([true, false, true]) AS exported
+FROM pages"""
+)
+def c_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions between a comment and a string that hold each page's whole html."""
+    html, number = F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
+    source = F.concat(
+        F.lit('#include "own.h"\n/* '), F.replace(html, F.lit("*/"), F.lit("* /")), F.lit(" */\nstatic int hid(char c) {\n  return c == '{';\n}\nconst char *f"), number,
+        F.lit('(int a,\n    char **b) {\n  const char *s = "'), F.translate(html, '\\"\n\r', "    "), F.lit('";\n  return hid(*s) ? s : 0;\n}\n'),
+    )
+    files = table(spark, sf_dir, "pages").select(F.concat(number, F.lit(".c")).alias("path"), source.alias("source"))
+    return mirror.symbols(files, "c").where("role <> 'call'").select(F.regexp_replace("path", r"\.c$", "").cast("long").alias("page_id"), "role", "name", "detail", "exported")
+
+
+@register(
+    """
+WITH w AS (
+  SELECT DISTINCT 'py' AS language, 'd' || page_id % 7 || '/m' || page_id % 500 AS base FROM pages WHERE page_id % 3 <> 0
+  UNION SELECT DISTINCT 'ts', 'd' || page_id % 7 || '/m' || page_id % 500 FROM pages WHERE page_id % 2 = 0
+), o AS (
+  SELECT base, CASE WHEN substr(base, 2, 1) = '1' THEN 'c' WHEN substr(base, 2, 1) = '5' AND list_contains(list(language), 'ts') THEN 'ts' ELSE min(language) END AS owner FROM w GROUP BY base
+)
+SELECT language, base || '.' || language AS path, base || CASE WHEN owner = language THEN '' ELSE '_' || language END AS note FROM w JOIN o USING (base)"""
+)
+def note_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of notes that Python and TypeScript files both want; some are there already, of C or TypeScript."""
+    base = F.concat(F.lit("d"), (F.col("page_id") % 7).cast("string"), F.lit("/m"), (F.col("page_id") % 500).cast("string"))
+    p = table(spark, sf_dir, "pages").withColumn("base", base)
+    wanted = {}
+    for language, rows in (("py", p.where("page_id % 3 <> 0")), ("ts", p.where("page_id % 2 = 0"))):
+        wanted[language] = mirror.note_names(rows.select(F.concat("base", F.lit(f".{language}")).alias("path")).distinct(), language)
+    digit = F.substring("base", 2, 1)
+    stored = p.select(F.col("base").alias("note"), F.when(digit == "1", "c").when(digit == "5", "ts").alias("language")).where("language IS NOT NULL").distinct()
+    out = None
+    for language, named in mirror.owned_names(wanted, stored).items():
+        rows = named.select(F.lit(language).alias("language"), "path", "note")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@register(
+    """
+WITH f AS (SELECT doc_id, 'p' || doc_id % 40 || '/f' || doc_id || '.py' AS path, 'p' || doc_id % 40 AS dir, 'T' || doc_id % 300 AS exported, 'T' || doc_id * 7 % 330 AS name, 'p' || (doc_id + 7) % 40 || '/f' || doc_id + 7 || '.py' AS near FROM documents),
+ranked AS (
+  SELECT w.path, w.name, o.path AS def_path,
+         row_number() OVER (PARTITION BY w.path, w.name ORDER BY CASE WHEN o.path = w.near THEN 0 WHEN o.dir = w.dir THEN 1 ELSE 2 END, o.path) AS n
+  FROM f w JOIN f o ON o.exported = w.name
+)
+SELECT f.path, f.name, r.def_path FROM f LEFT JOIN ranked r ON r.path = f.path AND r.name = f.name AND r.n = 1"""
+)
+def type_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that defines a type which another one names: an imported one first, then one of the same folder."""
+    place = lambda n: F.concat(F.lit("p"), (n % 40).cast("string"), F.lit("/f"), n.cast("string"), F.lit(".py"))
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    symbols = d.select(place(n).alias("path"), F.lit("class").alias("role"), F.concat(F.lit("T"), (n % 300).cast("string")).alias("name"), F.lit(True).alias("exported"))
+    wanted = d.select(place(n).alias("path"), F.concat(F.lit("T"), (n * 7 % 330).cast("string")).alias("name"))
+    return mirror.first_owner(wanted, symbols, d.select(place(n).alias("src"), place(n + 7).alias("dst")), ["class"])
+
+
+@register(
+    """
+SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'Tool' END AS kind, CASE WHEN doc_id % 5 <> 0 THEN (doc_id % 4)::VARCHAR END AS tier,
+       CASE WHEN doc_id % 5 <> 0 THEN 'a/b' || doc_id || '.md' END AS parent, CASE WHEN doc_id % 5 <> 0 THEN 'X ' || lang END AS first_tag, CASE WHEN doc_id % 5 <> 0 THEN 'two' END AS second_tag
+FROM documents"""
+)
+def frontmatter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys of the frontmatter as one VARIANT, and some of them taken out of it."""
+    front, _ = T.split_front(F.col("text"))
+    d = fronted(spark, sf_dir).select("doc_id", T.front_variant(front).alias("v"))
+    paths = {"kind": "$.type", "tier": "$.tier", "parent": "$.parentFile", "first_tag": "$.tags[0]", "second_tag": "$.tags[1]"}
+    return d.select("doc_id", *[F.variant_get("v", p, "string").alias(c) for c, p in paths.items()])
+
+
+@register(
+    """
+WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(source || '-' || doc_id)) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][CAST('0x' || h[17] AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS workspace FROM h"""
+)
+def workspace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids derived from names."""
+    return table(spark, sf_dir, "documents").select("doc_id", files.name_uuid(F.concat_ws("-", "source", F.col("doc_id").cast("string"))).alias("workspace"))
