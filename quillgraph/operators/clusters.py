@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import tag_list
 
+from .embedding import embed
 from .graph import components, cut
 from .retrieval import similar_pairs
 from .vector_index import VectorIndex
@@ -38,7 +39,28 @@ def near_duplicate_clusters(
     they aren't partners).
     """
     pairs = similar_pairs(vectors, threshold) if index is None else index.near_pairs(threshold)
-    pairs = cut(pairs if neighbours is None else strongest(pairs, neighbours), vectors.sparkSession)
+    return clusters_of(pairs if neighbours is None else strongest(pairs, neighbours), min_size)
+
+
+def query_pairs(notes: DataFrame, index: VectorIndex, provider: str = "hash", threshold: float = 0.85, neighbours: int = 10, most_chars: int = 1200) -> DataFrame:
+    """``a`` < ``b``, ``sim``: notes of which one is found when the other is asked for.
+
+    Each of ``notes`` (note_id, title, body; the candidates) is a question, its title and the first ``most_chars`` characters
+    of its body, whose ``neighbours`` nearest chunks are looked up in a stored index of chunks (vec_id: note_id, or
+    note_id#chunk and a number).  The best chunk counts for its note; notes that aren't candidates and those under
+    ``threshold`` are left out, as are questions that the provider fails on.
+    """
+    question = F.concat(F.col("title"), F.lit("\n\n"), F.substring("body", 1, most_chars))
+    asked = cut(notes.select(F.col("note_id").alias("query_id"), embed(question, provider).alias("vector")), notes.sparkSession)
+    hits = index.topk_batch(asked.where("vector IS NOT NULL"), neighbours).where(F.col("score") >= threshold)
+    found = hits.select(F.col("query_id").alias("asker"), F.regexp_replace("vec_id", r"#chunk\d+$", "").alias("note_id"), "score").where("asker <> note_id")
+    found = found.join(notes.select("note_id"), "note_id", "left_semi")
+    return found.groupBy(F.least("asker", "note_id").alias("a"), F.greatest("asker", "note_id").alias("b")).agg(F.max("score").alias("sim"))
+
+
+def clusters_of(pairs: DataFrame, min_size: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Clusters and members of pairs (a, b, sim), as ``near_duplicate_clusters`` has them."""
+    pairs = cut(pairs, pairs.sparkSession)
     member = components(pairs).withColumnRenamed("node", "vec_id").withColumnRenamed("component", "cluster_id")
     ends = pairs.select("a", "b", "sim").join(member.withColumnRenamed("vec_id", "a"), "a")
     stats = ends.groupBy("cluster_id").agg(F.max("sim").alias("max_sim"), F.min("sim").alias("min_sim"), F.avg("sim").alias("avg_sim"))

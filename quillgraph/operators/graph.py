@@ -189,6 +189,7 @@ def expand(
     depth: int = 1,
     down_threshold: float = 0.60,
     similarity: Callable[[Column], Column] | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Neighbours of seeds with scores that pass over the edges.
 
@@ -196,7 +197,7 @@ def expand(
     phrase (``triple_text``) to the query; it scales the score by 0.6 to 1.4, without it nothing does.  Each neighbour is claimed once, by the
     first seed, then the first edge label, that reaches it.  Containment is followed downwards only from seeds of score
     ``down_threshold`` or more; imports only to notes whose name shares a token with the query.  Beyond the first hop
-    only calls from symbols are followed.
+    only calls from symbols are followed.  ``ordered``: by hop, then the best first.
     """
     spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "expansion")
     near = StoredAdjacency(edges, f"{folder}/edges") if depth > 1 else None
@@ -234,7 +235,8 @@ def expand(
             seen.append((claimed, count))
             frontier = claimed.where("tier = '1'").select("note_id", "score", "pos", *([F.col("title").alias("from_title")] if similarity else []))
         out = claimed if out is None else out.unionByName(claimed)
-    return out.select("note_id", "score", "linked_from", "label", "direction", "depth")
+    out = out.select("note_id", "score", "linked_from", "label", "direction", "depth")
+    return out.orderBy("depth", F.desc(F.round("score", 9)), "note_id") if ordered else out
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -200,3 +200,17 @@ def test_discovery_shows_excerpts(spark):
     assert "### e3\ntext of e3" in text and "text of e4" not in text and "hub text" not in text and text.endswith("x\n...")
     notes = spark.createDataFrame([("1",), ("1",), ("2",)], "workspace string")
     assert registry.total_notes(notes, spark.createDataFrame([("1",), ("3",)], "workspace string")).first() == (2, 2)
+
+
+def test_clusters_by_questions(spark, tmp_path):
+    from quillgraph.operators import clusters
+    from quillgraph.operators.vector_index import VectorIndex
+
+    texts = {"a": "one two three four five", "b": "one two three four five", "c": "one two three four six", "d": "quite another thing altogether", "e": "one two three four five"}
+    notes = spark.createDataFrame([("w", n, n, "same title", t, [], "concept") for n, t in texts.items()], "workspace string, note_id string, path string, title string, body string, tags array<string>, note_type string")
+    chunks = embedding.chunk_table(notes, size=40, overlap=5)
+    index = VectorIndex.build(chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), f"file://{tmp_path}/i")
+    pairs = clusters.query_pairs(notes.where("note_id <> 'e'"), index, threshold=0.8)
+    assert {(r.a, r.b) for r in pairs.collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    found, members = clusters.clusters_of(pairs)
+    assert [(r.cluster_id, r["size"], r.representative) for r in found.collect()] == [("a", 3, "a")] and {r.vec_id for r in members.collect()} == {"a", "b", "c"}
