@@ -501,6 +501,41 @@ def test_blocks_select_and_the_radius_holds():
         assert np.mean(np.array(apart) <= decontamination.RADIUS) > 0.995, width
 
 
+def test_lookups_follow_the_items_near(spark):
+    """Pairs compared are a small share of windows x items at any number of items; all within SURE bits are found, and 99.9 % at 0.8."""
+    rng = np.random.default_rng(12)
+    hashes = [rng.integers(0, 1 << 63, 44).astype(np.uint64) for _ in range(10_000)]
+    windows = decontamination.fingerprints(rng.integers(0, 1 << 63, 300 * 41).astype(np.uint64), 40)[::41]
+    shares = []
+    for n in (1000, 10_000):
+        index = decontamination.SizeIndex(44, list(range(n)), hashes[:n])
+        window, item = index.looked_up(windows)
+        assert len(set(zip(window.tolist(), item.tolist(), strict=True))) == len(window)
+        shares.append(len(window) / (len(windows) * n))
+    assert max(shares) < 0.045 and shares[1] < 1.1 * shares[0]  # unrelated blocks: 3.3 %, and more as ties of even sizes are all 0
+
+    def found(prints):
+        """Whether window k finds item k, and at what distance it is."""
+        window, item, _ = index.candidates(prints)
+        hit = np.isin(np.arange(len(prints)), window[window == item])
+        return hit, np.bitwise_count(prints ^ index.prints[: len(prints)]).sum(axis=1, dtype=int)
+
+    flipped = index.prints[:1000].copy()
+    for row in flipped:  # as far as the guarantee goes, three bits in all blocks but one
+        last = int(rng.integers(16))
+        for b in range(16):
+            for bit in rng.choice(16, 3 - (b == last), replace=False).tolist():
+                row.view(np.uint16)[b] ^= np.uint16(1 << bit)
+    hit, apart = found(flipped)
+    assert hit.all() and set(apart) == {decontamination.SURE}
+    near = []
+    for k in range(5000):
+        other = index.shingles[k].copy()
+        other[rng.choice(40, 4, replace=False)] = rng.integers(0, 1 << 63, 4).astype(np.uint64)
+        near.append(decontamination.fingerprints(other, 40)[0])
+    assert found(np.array(near))[0].mean() > 0.999
+
+
 def test_decontamination_of_repeated_rows_and_clashing_names(spark, documents):
     item = " ".join(documents[1][1].split()[10:50])
     rows = [(1, documents[1][1], 1, {1: "a"}), (1, documents[1][1], 1, {1: "a"}), (None, documents[1][1], 2, None), (None, None, 3, None), (5, "x", 4, None)]
