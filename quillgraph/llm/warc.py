@@ -3,8 +3,9 @@
 Only headers (page id, url, payload digest and size) are shuffled to find the first page of every payload, and revisit
 records are made of them alone.  Responses are the pages left when the revisits' page ids and digests are taken out:
 these are broadcast up to a checked number; beyond it, that one join moves the payloads.  Archives are written by Spark's
-text writer, whose line separator is the blank line pair that ends a WARC record, compressed by file and bounded by
-bytes; they are read back as streams, following each record's Content-Length.
+text writer, whose line separator is the blank line pair that ends a WARC record, compressed by file.  A running sum of
+the records' sizes in each task tells when a file is full, so no file grows beyond its bytes, however sizes are spread;
+they are read back as streams, following each record's Content-Length.
 """
 
 from __future__ import annotations
@@ -83,9 +84,8 @@ def page_headers(pages: DataFrame) -> DataFrame:
     )
 
 
-def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> tuple[DataFrame, int]:
-    """WARC records (strings without their closing blank lines), one for each row of ``pages`` (page_id, url, html), and
-    the mean size of a payload.
+def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+    """WARC records (strings without their closing blank lines), one for each row of ``pages`` (page_id, url, html).
 
     The smallest page_id with a payload of at least ``least_bytes`` bytes is the response; rows with the same payload
     and another page_id (or none) are revisits of it.  Rows that repeat the smallest page_id are responses too, as are
@@ -96,7 +96,6 @@ def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-
     headers = written(full.drop("body"), "warc-headers")
     joined = headers.join(resolve_revisits(headers, least_bytes), "payload_digest")
     revisits = written(joined.where("NOT page_id <=> original"), "warc-revisits", fewer=4)
-    mean = headers.agg(F.avg("payload_bytes")).first()[0] or 0
     gone = revisits.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))
     if gone.count() <= SENT_ROWS:
         gone = F.broadcast(gone)
@@ -111,18 +110,40 @@ def warc_records(pages: DataFrame, least_bytes: int = 100, date: str = "2000-01-
         F.lit(f"\r\nWARC-Profile: {PROFILE}"),
     )
     records = responses.select(warc_record("response", date, F.lit(""), F.concat(F.lit(HTTP), "body")))
-    return records.union(revisits.select(warc_record("revisit", date, refers, F.lit(HTTP)))), int(mean)
+    return records.union(revisits.select(warc_record("revisit", date, refers, F.lit(HTTP))))
+
+
+def file_numbers(file_bytes: int, records_per_file: int):
+    """A column function from the records' sizes to the number of their file among those of their task.
+
+    A file is full before it holds more than ``file_bytes`` (a larger record has a file of its own) or ``records_per_file``.
+    Only sizes go to Python; the records wait beside.
+    """
+
+    @F.pandas_udf("int")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        file = held = count = 0
+        for sizes in batches:
+            out = []
+            for size in sizes.tolist():
+                if count and (held + size > file_bytes or count == records_per_file):
+                    file, held, count = file + 1, 0, 0
+                held, count = held + size, count + 1
+                out.append(file)
+            yield pd.Series(out, dtype="int32")
+
+    return number.asNondeterministic()
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = 128 << 20, records_per_file: int = 10_000, **options) -> None:
-    """Write ``pages`` as gzipped WARC files below ``path``, of ``records_per_file`` records at most, and fewer where
-    records of the mean size would fill more than ``file_bytes``.
+    """Write ``pages`` as gzipped WARC files below ``path``, of ``records_per_file`` records and ``file_bytes`` bytes
+    (before compression) at most; a record of more bytes has a file of its own.
 
     A file is one gzip member and has no warcinfo record: Spark's writer, which can lose an executor, knows no file ends.
     """
-    records, mean = warc_records(pages, **options)
-    most = max(1, min(records_per_file, file_bytes // (mean + 500)))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    number = file_numbers(file_bytes, records_per_file)
+    records = warc_records(pages, **options).withColumn("file", number(F.octet_length("value") + 4))
+    records.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def unzipped(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
@@ -203,23 +224,24 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def with_originals(records: DataFrame) -> DataFrame:
-    """Records with the payload size (and payload) of revisits filled in from the responses they refer to."""
+    """Records with the payload size (and payload) of revisits filled in from the responses they refer to.
+
+    Responses aren't moved, but for those referred to.  ``records`` are read several times: store them first.
+    """
+    revisits = records.where("record_type = 'revisit'")
     originals = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("payload_bytes").alias("_bytes"), F.col("payload").alias("_payload")
-    ).dropDuplicates(["refers_to_record"])
-    wanted = records.where("record_type = 'revisit'").select("refers_to_record").distinct()
-    originals = originals.join(wanted, "refers_to_record", "left_semi")
-    return (
-        records.join(originals, "refers_to_record", "left")
-        .withColumns({"payload_bytes": F.coalesce("payload_bytes", "_bytes"), "payload": F.coalesce("payload", "_payload")})
-        .drop("_bytes", "_payload")
     )
+    originals = originals.join(revisits.select("refers_to_record").distinct(), "refers_to_record", "left_semi").dropDuplicates(["refers_to_record"])
+    filled = revisits.drop("payload_bytes", "payload").join(originals, "refers_to_record", "left")
+    return records.where("record_type <> 'revisit'").unionByName(filled.withColumnsRenamed({"_bytes": "payload_bytes", "_payload": "payload"}))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return with_originals(read_archives(spark, path, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = written(read_archives(spark, path, payloads=False), "warc-read")
+    return with_originals(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = """

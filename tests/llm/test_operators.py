@@ -759,7 +759,7 @@ def test_archives_come_in_parts():
 
 def test_payloads_are_not_shuffled(spark):
     """Few revisits: what holds a payload goes from the scan to the writer."""
-    records, _ = warc.warc_records(spark.read.parquet(f"{SF}/pages.parquet"))
+    records = warc.warc_records(spark.read.parquet(f"{SF}/pages.parquet"))
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "body" in plan and "Exchange hashpartitioning" not in plan
 
@@ -767,7 +767,7 @@ def test_payloads_are_not_shuffled(spark):
 def test_warc_joins_many_revisits(spark, monkeypatch):
     pages = spark.createDataFrame([(i, "u", "p" * 100 + str(i % 3)) for i in range(20)] + [(None, "u", "p" * 100 + "0")] * 2, "page_id long, url string, html string")
     monkeypatch.setattr(warc, "SENT_ROWS", 0)
-    records, _ = warc.warc_records(pages)
+    records = warc.warc_records(pages)
     kinds = Counter(r.value.split("\r\n")[1] for r in records.collect())
     assert kinds == {"WARC-Type: response": 3, "WARC-Type: revisit": 19}
 
@@ -791,3 +791,33 @@ def test_warc(spark, tmp_path, monkeypatch):
     none = f"file://{tmp_path}/none"
     warc.write_archives(pages.limit(0), none)
     assert warc.read_archives(spark, none).count() == 0
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Small records in one partition, large ones in another, one larger than a file: the mean size says little."""
+    pages = spark.createDataFrame([(i, "u", f"{i:05d}" + "x" * 95) for i in range(2000)], "page_id long, url string, html string").coalesce(1)
+    large = spark.createDataFrame([(5000 + i, "u", f"{i}" + "y" * n) for i, n in enumerate([30_000] * 60 + [300_000] + [30_000] * 5)], pages.schema).coalesce(1)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages.union(large), path, file_bytes=200_000, records_per_file=300)
+    sizes, counts = [], []
+    for file in tmp_path.glob("warc/**/*.txt.gz"):
+        data = gzip.decompress(file.read_bytes())
+        counts.append(sum(1 for _ in warc.parse_archive([data])))
+        if counts[-1] > 1:
+            sizes.append(len(data))
+    assert sum(counts) == 2066 and max(counts) <= 300
+    assert max(sizes) <= 200_000 and sum(s > 100_000 for s in sizes) >= len(sizes) - 3
+    got = warc.read_archives(spark, path)
+    assert sorted(r.page_id for r in got.collect()) == [*range(2000), *range(5000, 5066)]
+
+
+def test_responses_stay_where_they_are(spark):
+    """Only revisits and what they refer to are joined, so responses, which refer to nothing, aren't gathered in one partition."""
+    rows = [("a", 1, "response", "u", None, None, "d", 3, "xyz"), ("a", 1, "response", "u", None, None, "d", 3, "xyz")]
+    rows += [("b", 2, "revisit", "u", "a", 1, "d", None, None), ("c", 3, "revisit", "u", "gone", 9, "e", None, None), ("f", 4, "response", "u", None, None, "g", 0, "")]
+    got = warc.with_originals(spark.createDataFrame(rows, warc.READ_SCHEMA))
+    assert got.columns == [c.split()[0] for c in warc.READ_SCHEMA.split(", ")]
+    assert Counter((r.record_id, r.payload_bytes, r.payload) for r in got.collect()) == Counter(
+        [("a", 3, "xyz")] * 2 + [("b", 3, "xyz"), ("c", None, None), ("f", 0, "")]
+    )
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
