@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -37,31 +38,38 @@ def give_back() -> None:
         pass
 
 
-_MADE: list[str] = []
+class _Made(threading.local):
+    """Paths made by the operators called in a thread: what one thread's pipeline clears, another's query doesn't read."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    _MADE.append(f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _MADE.paths.append(f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE.paths[-1]
 
 
 def mark_shared() -> int:
-    """A place in the list of paths made, for ``clean_shared``."""
-    return len(_MADE)
+    """A place in the list of paths made in this thread, for ``clean_shared``."""
+    return len(_MADE.paths)
 
 
 def clean_shared(spark: SparkSession, mark: int = 0, keep: str | None = None) -> None:
-    """Delete what the operators have written to the shared folder since ``mark``, but for ``keep``.
+    """Delete what the operators have written to the shared folder in this thread since ``mark``, but for ``keep``.
 
     Results of that time which aren't stored elsewhere yet are lost.
     """
-    made, _MADE[mark:] = _MADE[mark:], []
+    made, _MADE.paths[mark:] = _MADE.paths[mark:], []
     for path in made:
         if path != keep:
             delete_path(spark, path)
     if keep in made:
-        _MADE.append(keep)
+        _MADE.paths.append(keep)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

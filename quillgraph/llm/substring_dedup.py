@@ -2,8 +2,9 @@
 
 The index holds, in sorted immutable runs, the anchors of all windows of the history (see ``shared_windows``); runs are
 tables bucketed and sorted by anchor.  A new batch's anchors become a run, which is merge-joined with the runs before it,
-bucket by bucket and without a shuffle; when there are too many runs, they are merged into one in the same way.  Where an
-anchor is shared, the windows themselves are verified: by 128-bit hashes of whole units, and of single windows where units
+bucket by bucket and without a shuffle.  Small runs are merged with later ones in the same way until each is over twice as
+large as all after it, so a row is written anew only when its run grows by half or more: about log(batches) times, and as
+many runs are looked up.  Where an anchor is shared, the windows themselves are verified: by 128-bit hashes of whole units, and of single windows where units
 differ.  A manifest names the runs and the units' hashes, so that a later session can go on with the next batch.
 """
 
@@ -28,11 +29,21 @@ LAST = (1 << 63) - 1
 UNITS = "d long, t long, anchor long, u1 long, u2 long, l int, r int, first boolean"
 
 
+def first_to_merge(rows: list[int]) -> int:
+    """The first of the latest runs to merge into one, so that each run left is over twice as large as all after it."""
+    start, after = len(rows) - 1, sum(rows[-1:])
+    for i in range(len(rows) - 2, -1, -1):
+        if rows[i] <= 2 * after:
+            start = i
+        after += rows[i]
+    return max(start, 0)
+
+
 class FingerprintIndex:
     """Runs of ``anchor`` (and ``many``, whether several documents of a batch have it), written once and never changed.
 
     ``path``: a folder that all executors share; an index that is there already is opened.  ``max_runs``: with more of
-    them, they are compacted into one before the next batch is looked up.  ``buckets``: of the runs (by default as many
+    them, those that aren't over twice as large as all later ones are merged before the next batch is looked up.  ``buckets``: of the runs (by default as many
     as shuffle partitions), fixed when the index is made.
     """
 
@@ -42,12 +53,14 @@ class FingerprintIndex:
         found = sorted(path_glob(spark, f"{self.path}/manifest-*/_SUCCESS"))
         state = json.loads(spark.read.text(found[-1].rpartition("/")[0]).first()[0]) if found else {}
         self.version, self.runs, self.batches = state.get("version", 0), state.get("runs", []), state.get("batches", [])
+        self.rows: dict[str, int] = state.get("rows", {})
         self.buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def save(self) -> None:
         """Write the next manifest; a folder counts once it is complete."""
         self.version += 1
-        state = {"version": self.version, "buckets": self.buckets, "runs": self.runs, "batches": self.batches}
+        self.rows = {run: self.rows_of(run) for run in self.runs}
+        state = {"version": self.version, "buckets": self.buckets, "runs": self.runs, "batches": self.batches, "rows": self.rows}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.version:09d}")
 
     def write(self, anchors: DataFrame) -> str:
@@ -66,6 +79,10 @@ class FingerprintIndex:
             )
         return self.spark.table(self.names[run])
 
+    def rows_of(self, run: str) -> int:
+        """Rows of a run, by the files' footers where the manifest doesn't say."""
+        return self.rows[run] if run in self.rows else self.read(run).count()
+
     def lookup(self, run: str, other: str) -> DataFrame:
         """Anchors that both runs have."""
         return self.read(run).select("anchor").hint("merge").join(self.read(other).select("anchor"), "anchor", "left_semi")
@@ -88,12 +105,16 @@ class FingerprintIndex:
         return self.spark.read.schema(UNITS).parquet(*[f"{self.path}/{b}" for b in (batches or self.batches)])
 
     def compact(self) -> None:
-        """Merge all runs into one, bucket by bucket, and delete them."""
-        old, merged = self.runs, self.read(self.runs[0])
+        """Merge the latest runs into one, bucket by bucket, as far back as they aren't over twice as large as all after them."""
+        start = first_to_merge([self.rows_of(run) for run in self.runs])
+        old = self.runs[start:]
+        if len(old) < 2:
+            return
+        merged = self.read(old[0])
         for run in old[1:]:
             more = self.read(run).withColumnRenamed("many", "more").hint("merge")
             merged = merged.join(more, "anchor", "full").select("anchor", (F.coalesce("many", F.lit(False)) | F.coalesce("more", F.lit(False))).alias("many"))
-        self.runs = [self.write(merged)]
+        self.runs = [*self.runs[:start], self.write(merged)]
         self.save()
         for run in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(run)}")
@@ -188,11 +209,13 @@ def repeated_windows(docs: DataFrame, batches: int = 3, window: int = 50, gram:
     cuts = sorted(set(docs.where(F.col("d") < LAST).approxQuantile("d", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *map(int, cuts), None]
     shared = []
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = docs if low is None else docs.where(F.col("d") > low)
-        batch = batch if high is None else batch.where(F.col("d") <= high)
-        shared.append(index.add(window_units(batch, window, gram)))
-    index.close()
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = docs if low is None else docs.where(F.col("d") > low)
+            batch = batch if high is None else batch.where(F.col("d") <= high)
+            shared.append(index.add(window_units(batch, window, gram)))
+    finally:
+        index.close()
     return verified(index.units(), reduce(DataFrame.union, shared).distinct(), docs, window)
 
 

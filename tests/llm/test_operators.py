@@ -336,6 +336,42 @@ def test_index_is_kept_for_later_batches(spark, documents, tmp_path):
     again.close()
 
 
+def test_rows_are_merged_few_times():
+    """However sizes are spread, runs stay few and geometric, and a row is written about log(batches) times, not once a batch."""
+    rng = np.random.default_rng(5)
+    k = 2000
+    for sizes in ([100] * k, [100_000, *[100] * (k - 1)], [*[100] * (k - 1), 100_000], rng.integers(1, 1000, k).tolist(), (rng.pareto(1, k) * 10 + 1).astype(int).tolist(), [0] * k):
+        runs, rewritten = [], 0
+        for size in sizes:
+            start = substring_dedup.first_to_merge(runs)
+            if len(runs) - start > 1:
+                runs[start:] = [sum(runs[start:])]
+                rewritten += runs[-1]
+            assert all(r > 2 * sum(runs[i + 1 :]) for i, r in enumerate(runs[:-1]))
+            runs.append(size)
+            assert len(runs) <= 2 + np.log2(1 + sum(sizes))
+        assert rewritten <= sum(sizes) * (1 + np.log(1 + k * max(sizes) / max(1, min(sizes))) / np.log(1.5))
+    assert substring_dedup.first_to_merge([]) == 0 and substring_dedup.first_to_merge([7]) == 0
+    assert substring_dedup.first_to_merge([100, 10, 1]) == 2 and substring_dedup.first_to_merge([100, 1, 1]) == 1
+
+
+def test_large_runs_stay(spark, tmp_path):
+    """A run over twice as large as all later ones isn't written anew; sizes outlive the session."""
+    path = f"file://{tmp_path}/index"
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(3000 if i == 0 else 100))) for i in range(5)]
+    for i, text in docs:
+        index = substring_dedup.FingerprintIndex(spark, path, buckets=3)
+        frame = substring_dedup.keyed(spark.createDataFrame([(i, text)], "doc_id long, text string"))
+        index.add(substring_dedup.window_units(frame, 50, 8))
+        if i == 0:
+            large = index.runs[0]
+        index.close()
+    again = substring_dedup.FingerprintIndex(spark, path)
+    assert again.runs[0] == large and len(again.runs) in (3, 4) and len(again.batches) == 5
+    assert list(again.rows) == again.runs and list(again.rows.values()) == [again.read(r).count() for r in again.runs]
+    again.close()
+
+
 def test_runs_merge_without_a_shuffle(spark, docs):
     index = substring_dedup.FingerprintIndex(spark, max_runs=5, buckets=3)
     units = substring_dedup.keyed(docs)
