@@ -31,7 +31,8 @@ def resolve_links(links: DataFrame, notes: DataFrame, link_prefix: str = "") ->
     """``links`` (workspace, target, ...) with ``note_id`` and ``how`` (exact, md, suffix, stem); both null if nothing fits.
 
     A target is looked up as a note id, with .md, as a path suffix and last by its stem in any case.  All four are
-    lookups of one key each; targets are resolved once however often they occur.
+    lookups of one key each; targets are resolved once however often they occur.  Both joins are merged, never sent out:
+    exploded and grouped rows are many more than their estimated size says, and the driver would hold them all.
     """
     target = F.when(F.col("target").startswith(link_prefix), F.substring("target", len(link_prefix) + 1, 1 << 20)).otherwise(F.col("target")) if link_prefix else F.col("target")
     targets = links.select("workspace", "target").distinct()
@@ -48,6 +49,6 @@ def resolve_links(links: DataFrame, notes: DataFrame, link_prefix: str = "") ->
         ).alias("pos", "t"),
     ).select("workspace", "target", "pos", "t.how", "t.key")
     ids = notes.select("workspace", F.concat(F.lit("id:"), "note_id").alias("key"), "note_id")
-    found = tries.join(ids.union(suffix_index(notes).select("workspace", "key", "note_id")), ["workspace", "key"])
+    found = tries.join(ids.union(suffix_index(notes).select("workspace", "key", "note_id")).hint("merge"), ["workspace", "key"])
     best = found.groupBy("workspace", "target").agg(F.min_by(F.struct("note_id", "how"), "pos").alias("b"))
-    return links.join(best, ["workspace", "target"], "left").select(*links.columns, "b.note_id", "b.how")
+    return links.join(best.hint("merge"), ["workspace", "target"], "left").select(*links.columns, "b.note_id", "b.how")
