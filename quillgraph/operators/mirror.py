@@ -302,10 +302,17 @@ def first_owner(wanted: DataFrame, table: DataFrame, edges: DataFrame, roles: li
     a null.
     """
     owner = exported_symbols(table.where(F.col("role").isin(roles))).select(F.col("path").alias("def_path"), "name").distinct()
-    near = edges.select("src", "dst").distinct().select(F.col("src").alias("path"), F.col("dst").alias("def_path"), F.lit(0).alias("near"))
-    found = wanted.select("path", "name").distinct().join(owner, "name").join(near, ["path", "def_path"], "left")
-    rank = F.struct(F.coalesce("near", F.when(dir_name(F.col("path")) == dir_name(F.col("def_path")), 1).otherwise(2)), "def_path")
-    return wanted.join(found.groupBy("path", "name").agg(F.min_by("def_path", rank).alias("def_path")), ["path", "name"], "left")
+    asked = wanted.select("path", "name").distinct()
+    near = asked.join(edges.select(F.col("src").alias("path"), F.col("dst").alias("def_path")).distinct(), "path").join(owner, ["name", "def_path"])
+    near = near.groupBy("path", "name").agg(F.min("def_path").alias("_near"))
+    # the first of a folder, and of all, is settled for each name before any file asks for it
+    beside = owner.groupBy(dir_name(F.col("def_path")).alias("_dir"), "name").agg(F.min("def_path").alias("_beside"))
+    first = beside.groupBy("name").agg(F.min("_beside").alias("_first"))
+    named = wanted.withColumn("_dir", dir_name(F.col("path")))
+    for found, on in ((near, ["path", "name"]), (beside, ["_dir", "name"]), (first, ["name"])):
+        named = named.join(found, on, "left")
+    rest = [c for c in wanted.columns if c not in ("path", "name")]
+    return named.select("path", "name", *rest, F.coalesce("_near", "_beside", "_first").alias("def_path"))
 
 
 def base_classes(table: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.operators import links
+from pyspark.sql import functions as F
+
+from quillgraph.operators import links, mirror
 
 
 def test_links_are_never_sent_out(spark):
@@ -12,3 +14,34 @@ def test_links_are_never_sent_out(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.target, r.note_id, r.how) for r in found.collect()} == {("n3", "a/n3.md", "suffix"), ("a/n4", "a/n4.md", "md"), ("none", None, None)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()  # nor where a stage turns out small
+
+
+def rows_made(df) -> int:
+    """The most rows that an operator of the plan that ran gave out."""
+    seen, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return max(seen)
+
+
+def test_owners_of_a_name_that_many_files_export_and_many_speak_of(spark):
+    """400 files export T and 400 speak of it: no row for each pair of them."""
+    n, place = F.col("id"), lambda c: F.concat(F.lit("p"), (c % 4).cast("string"), F.lit("/f"), c.cast("string"))
+    ids = spark.range(400)
+    table = ids.select(place(n).alias("path"), F.lit("class").alias("role"), F.lit("T").alias("name"), F.lit(True).alias("exported"))
+    wanted = ids.select(place(n + 402).alias("path"), F.lit("T").alias("name"), n.alias("o")).union(spark.createDataFrame([("q/x", "T", 1), ("p1/y", "none", 2)], "path string, name string, o long"))
+    edges = ids.where("id % 2 = 0").select(place(n + 402).alias("src"), place(n).alias("dst"))
+    df = mirror.first_owner(wanted, table, edges, ["class"])
+    assert df.columns == ["path", "name", "o", "def_path"]
+    got = {(r.path, r.o): r.def_path for r in df.collect()}
+    assert rows_made(df) <= 1000
+    first = {m: min(f"p{m}/f{i}" for i in range(m, 400, 4)) for m in range(4)}
+    want = {(f"p{(i + 402) % 4}/f{i + 402}", i): f"p{i % 4}/f{i}" if i % 2 == 0 else first[(i + 402) % 4] for i in range(400)}
+    assert got == want | {("q/x", 1): "p0/f0", ("p1/y", 2): None}
