@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from quillgraph.functions.vectors import cosine, doubles, tag_boost
 
 #: Bytes of query vectors that may be sent to every executor.
 MAX_QUERY_BYTES = 64 << 20
+#: Scores that a task holds at a time, and rows that it multiplies at a time.
+TILE, TILE_ROWS = 1 << 20, 512
 
 
 def vector_topk(chunks: DataFrame, query: list[float], k: int = 8, workspace: Column | None = None) -> DataFrame:
@@ -37,24 +40,25 @@ def query_slices(queries: DataFrame, max_bytes: int = MAX_QUERY_BYTES) -> Iterat
 def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """``query_id``, ``vec_id``, ``score``, ``rank``: the ``k`` nearest rows for each query vector.
 
-    A slice of the queries goes to every task, which multiplies it with its rows batch by batch and keeps the k best of
-    each query; only those are shuffled.
+    A slice of the queries goes to every task, which multiplies it with its rows in tiles of bounded size and keeps the k
+    best of each query over all its rows; only those are shuffled.
     """
     out = None
     for some in query_slices(queries):
         if not len(some):
             continue
         ids, q = some["query_id"].to_numpy(), unit(np.array(some["vector"].tolist(), float))
+        sent = chunks.sparkSession.sparkContext.broadcast((ids, q))
 
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            found = NearestRows(q, k)
             for batch in batches:
-                if len(batch):
-                    score = q @ unit(np.array(batch["embedding"].tolist(), float)).T
-                    vec = batch["vec_id"].to_numpy()
-                    order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                found.take_in(batch.column("vec_id").to_numpy(zero_copy_only=False), lambda i, j, x=batch.column("embedding"): x[i:j].to_pylist())
+            for columns in found.rows(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
-        part = chunks.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
+        part = chunks.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(best, "query_id long, vec_id long, score double")
         out = part if out is None else out.union(part)
     if out is None:
         return chunks.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
@@ -62,6 +66,38 @@ def vector_topk_batch(chunks: DataFrame, queries: DataFrame, k: int = 8) -> Data
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
+class NearestRows:
+    """The ``k`` nearest of the rows seen so far for each of ``q``, by score to 9 places, then by id."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k, self.asked = q, k, max(1, TILE // TILE_ROWS)
+        self.vec, self.score = None, np.zeros((len(q), 0))
+
+    def take_in(self, vec: np.ndarray, vectors: Callable[[int, int], list]) -> None:
+        """Rows of the ids ``vec``; ``vectors`` gives those from one place up to another."""
+        for i in range(0, len(vec), TILE_ROWS):
+            some = vec[i : i + TILE_ROWS]
+            self._add(some, unit(np.array(vectors(i, i + len(some)), float)))
+
+    def _add(self, vec: np.ndarray, rows: np.ndarray) -> None:
+        before = np.zeros((len(self.q), 0), vec.dtype) if self.vec is None else self.vec
+        width = min(self.k, before.shape[1] + len(vec))
+        kept_vec, kept_score = np.empty((len(self.q), width), vec.dtype), np.empty((len(self.q), width))
+        for i in range(0, len(self.q), self.asked):
+            mine = slice(i, i + self.asked)
+            score = np.concatenate([self.score[mine], self.q[mine] @ rows.T], axis=1)
+            both = np.concatenate([before[mine], np.broadcast_to(vec, (len(score), len(vec)))], axis=1)
+            order = np.lexsort((both, -score.round(9)), axis=1)[:, :width]
+            kept_vec[mine], kept_score[mine] = np.take_along_axis(both, order, 1), np.take_along_axis(score, order, 1)
+        self.vec, self.score = kept_vec, kept_score
+
+    def rows(self, ids: np.ndarray, size: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query ids, row ids and scores of what was kept, ``size`` queries at a time."""
+        for i in range(0, len(ids) if self.vec is not None else 0, size):
+            mine = slice(i, i + size)
+            yield np.repeat(ids[mine], self.vec.shape[1]), self.vec[mine].ravel(), self.score[mine].ravel()
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one; rows of (nearly) no length become zero."""
     n = np.linalg.norm(x, axis=1, keepdims=True)

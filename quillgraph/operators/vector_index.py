@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import cosine, doubles
 from quillgraph.operators.graph import cut
-from quillgraph.operators.retrieval import query_slices, unit
+from quillgraph.operators.retrieval import NearestRows, query_slices, unit
 from quillgraph.operators.stored_index import StoredIndex
 
 #: Rows that centroids are fitted on at most: those with the smallest hashes of their ids.
@@ -124,10 +124,10 @@ class VectorIndex:
                 for batch in batches:
                     for number, rows in batch.groupby("list"):
                         mine = of[int(number)]
-                        score = q[mine] @ unit(np.array(rows["embedding"].tolist(), float)).T
-                        vec = rows["vec_id"].to_numpy()
-                        order = np.lexsort((np.broadcast_to(vec, score.shape), -score.round(9)), axis=1)[:, :k]
-                        yield pd.DataFrame({"query_id": np.repeat(ids[mine], order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                        found, x = NearestRows(q[mine], k), rows["embedding"]
+                        found.take_in(rows["vec_id"].to_numpy(), lambda i, j, x=x: x.iloc[i:j].tolist())
+                        for columns in found.rows(ids[mine]):
+                            yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
             rows = self.stored.read(F.col("list").isin(list(of))).select("vec_id", "embedding", "list")
             part = rows.mapInPandas(best, f"query_id {kind}, vec_id {dict(rows.dtypes)['vec_id']}, score double")

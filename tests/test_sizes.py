@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillgraph.operators import links, mirror
+from quillgraph.operators import links, mirror, retrieval
 
 
 def test_links_are_never_sent_out(spark):
@@ -45,3 +48,21 @@ def test_owners_of_a_name_that_many_files_export_and_many_speak_of(spark):
     first = {m: min(f"p{m}/f{i}" for i in range(m, 400, 4)) for m in range(4)}
     want = {(f"p{(i + 402) % 4}/f{i + 402}", i): f"p{i % 4}/f{i}" if i % 2 == 0 else first[(i + 402) % 4] for i in range(400)}
     assert got == want | {("q/x", 1): "p0/f0", ("p1/y", 2): None}
+
+
+def test_nearest_rows_hold_a_tile_of_scores_at_a_time():
+    """3000 queries and 6000 rows make 144 MB of scores; ties go to the smaller id, over tiles too."""
+    rng = np.random.default_rng(1)
+    q, rows = retrieval.unit(rng.standard_normal((3000, 4))), rng.standard_normal((6000, 4))
+    rows[4000:4100] = rows[:100]
+    found, vec = retrieval.NearestRows(q, 3), np.arange(6000)[::-1].copy()
+    tracemalloc.start()
+    found.take_in(vec, lambda i, j: rows[i:j].tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    ids, got, score = map(np.concatenate, zip(*found.rows(np.arange(3000)), strict=True))
+    assert np.array_equal(ids, np.repeat(np.arange(3000), 3)) and len(score) == 9000
+    for i in (*range(0, 3000, 97), 2047, 2048, 2999):
+        own = q[i] @ retrieval.unit(rows).T
+        assert got[3 * i : 3 * i + 3].tolist() == vec[np.lexsort((vec, -own.round(9)))[:3]].tolist()
