@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from quillgraph.operators.syntax import CALLS, EXTRACTORS, MOST_BODY, NOT_CALLS,
 from quillgraph.sources.files import LANGUAGES, delete_files, file_list, read_files, read_sources, write_files
 
 SYMBOLS = "path string, role string, name string, detail string, exported boolean, begin int, end int, owner string, caller string, traits map<string,string>"
+SYMBOL_TYPES = [*[pa.string()] * 4, pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
+#: Bytes of sources that are taken apart at a time, and rows that are given out at a time.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 10_000
 
 # File names, folders and source patterns by which entry points are known.
 MAIN_FILES = {
@@ -92,21 +97,32 @@ def symbols(files: DataFrame, language: str) -> DataFrame:
     """
     extract, calls, skip = EXTRACTORS[language], CALLS.get(language, plain_calls), frozenset(NOT_CALLS[language])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, source in zip(batch["path"], batch["source"], strict=True):
-                try:
-                    found = [(*r, None, {})[: 8] if len(r) < 8 else r for r in extract(source)]
-                    sites = list(attributed(found, calls(source, skip), language == "py"))
-                except Exception as error:  # noqa: BLE001  one file's trouble
-                    rows.append((path, "error", "", f"{type(error).__name__}: {error}", False, 0, 0, None, None, {}))
-                    continue
-                rows += [(path, *r[:7], None, r[7]) for r in found]
-                rows += [(path, "call", name, "", False, begin, end, owner, caller, {}) for name, begin, end, owner, caller in sites]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SYMBOLS.split(", ")])
-
-    return files.where("source IS NOT NULL").select("path", "source").mapInPandas(run, SYMBOLS)
+            for some in source_slices(batch):
+                rows = []
+                for path, source in zip(some.column("path").to_pylist(), some.column("source").to_pylist(), strict=True):
+                    try:
+                        found = [(*r, None, {})[: 8] if len(r) < 8 else r for r in extract(source)]
+                        sites = list(attributed(found, calls(source, skip), language == "py"))
+                    except Exception as error:  # noqa: BLE001  one file's trouble
+                        rows.append((path, "error", "", f"{type(error).__name__}: {error}", False, 0, 0, None, None, {}))
+                        continue
+                    rows += [(path, *r[:7], None, r[7]) for r in found]
+                    rows += [(path, "call", name, "", False, begin, end, owner, caller, {}) for name, begin, end, owner, caller in sites]
+                for i in range(0, len(rows), SLICE_ROWS):
+                    *columns, traits = zip(*rows[i : i + SLICE_ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, [list(x.items()) for x in traits]], SYMBOL_TYPES, strict=True)], [c.split()[0] for c in SYMBOLS.split(", ")])
+
+    return files.where("source IS NOT NULL").select("path", "source").mapInArrow(run, SYMBOLS)
+
+
+def source_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE_BYTES of sources, one file at least."""
+    size = pc.binary_length(batch.column("source")).to_numpy(zero_copy_only=False).astype(np.int64)
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // SLICE_BYTES)) + 1
+    for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(size)], strict=True):
+        yield batch.slice(i, j - i)
 
 
 def enclosing(spans: Column, position: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillgraph.operators import links, mirror, retrieval
@@ -66,3 +67,15 @@ def test_nearest_rows_hold_a_tile_of_scores_at_a_time():
     for i in (*range(0, 3000, 97), 2047, 2048, 2999):
         own = q[i] @ retrieval.unit(rows).T
         assert got[3 * i : 3 * i + 3].tolist() == vec[np.lexsort((vec, -own.round(9)))[:3]].tolist()
+
+
+def test_sources_are_taken_apart_a_few_megabytes_at_a_time(spark):
+    sizes = [1, 3 << 20, 2 << 20, 0, 9 << 20, 5, 5]
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(7)], "source": ["x" * n for n in sizes]})
+    slices = [s.column("path").to_pylist() for s in mirror.source_slices(batch)]
+    assert sum(slices, []) == [str(i) for i in range(7)] and max(len(s) for s in slices) < 7
+    assert all(sum(sizes[int(p)] for p in s[:-1]) <= mirror.SLICE_BYTES for s in slices)
+    assert [s.num_rows for s in mirror.source_slices(batch.slice(0, 0))] == [0]
+    files = spark.createDataFrame([(f"m{i}.py", f"def f{i}(a):\n    return g(a)\n" + "# é\n" * 200_000) for i in range(12)] + [("none.py", None)], "path string, source string").coalesce(1)
+    got = {(r.path, r.role, r.name, r.traits.get("signature")) for r in mirror.symbols(files, "py").collect()}
+    assert got == {x for i in range(12) for x in ((f"m{i}.py", "def", f"f{i}", f"f{i}(a)"), (f"m{i}.py", "call", "g", None), (f"m{i}.py", "call", f"f{i}", None))}
