@@ -120,40 +120,52 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, labels: list[str] | None
     Columns pair_id, pos, node_id, edge_label, edge_direction, from_node_id; pos 0 is the start.  Pairs without a path
     have no rows.  Of several parents the smallest (node, label order, direction) is taken.  All pairs advance together,
     a level a hop: the stored edges are joined with the frontier.  Edges go both ways, so that a level's neighbours lie
-    in it, in the one before or in the next: only these two are taken out.
+    in it, in the one before or in the next: only these two are taken out.  Levels hold nodes only, which are made distinct
+    by hash; parents are looked up on the way back, for a node a pair.
     """
     spark, folder = edges.sparkSession, scratch_path(edges.sparkSession, "paths")
     near = StoredAdjacency(edges, f"{folder}/edges", labels)
-    none = F.lit(None).cast("string")
-    start = pairs.select("pair_id", F.col("start").alias("node_id"), none.alias("from_node_id"), none.alias("edge_label"), F.lit("").alias("edge_direction"), F.lit(0).alias("pos"), (F.col("start") == F.col("end")).alias("is_end"))
+    start = pairs.select("pair_id", F.col("start").alias("node_id"), F.lit(0).alias("pos"), (F.col("start") == F.col("end")).alias("is_end"))
     levels = [stored(start, f"{folder}/level-0")]
     ends = sized(pairs.select("pair_id", "end"), levels[0][1])
     for hop in range(1, max_depth + 1):
         frontier, count = levels[-1]
         closed = reduce(DataFrame.union, [df.where("is_end").select("pair_id") for df, _ in levels])
         live = frontier.join(sized(closed, levels[0][1]), "pair_id", "left_anti").select("pair_id", "node_id")
-        via = F.struct(F.col("node_id").alias("node"), label_rank(F.col("label")).alias("r"), F.col("direction").alias("d"), "label").alias("via")
-        step = near.hop(live, count).select("pair_id", F.col("neighbour").alias("node_id"), via)
-        step = anti(step, levels[-2:], ["pair_id", "node_id"]).groupBy("pair_id", "node_id").agg(F.min("via").alias("via")).join(ends, "pair_id")
-        step = step.select("pair_id", "node_id", F.col("via.node").alias("from_node_id"), F.col("via.label").alias("edge_label"), F.col("via.d").alias("edge_direction"), F.lit(hop).alias("pos"), (F.col("node_id") == F.col("end")).alias("is_end"))
+        step = near.hop(live, count).select("pair_id", F.col("neighbour").alias("node_id"))
+        step = anti(step, levels[-2:], ["pair_id", "node_id"]).distinct().join(ends, "pair_id")
+        step = step.select("pair_id", "node_id", F.lit(hop).alias("pos"), (F.col("node_id") == F.col("end")).alias("is_end"))
         level = stored(step, f"{folder}/level-{hop}")
         if not level[1]:
             break
         levels.append(level)
+    found = walk_back(near, levels, folder)
     near.close()
-    return walk_back(levels)
+    return found
 
 
-def walk_back(levels: list[tuple[DataFrame, int]]) -> DataFrame:
-    """From each pair's end to its start along the parents, a level at a time from the last one that was reached."""
-    out, want = [], None
-    for level, _ in reversed(levels):
-        here = level.where("is_end")
+def walk_back(near: StoredAdjacency, levels: list[tuple[DataFrame, int]], folder: str) -> DataFrame:
+    """From each pair's end to its start along the smallest parents, a level at a time from the last one that was reached."""
+    out, want, pairs = [], None, levels[0][1]
+    none = F.lit(None).cast("string")
+    for pos in reversed(range(len(levels))):
+        here = levels[pos][0].where("is_end").select("pair_id", "node_id")
         if want is not None:  # a row a pair at most
-            here = here.union(level.join(sized(want, levels[0][1]), ["pair_id", "node_id"]).select(*level.columns))
+            here = here.union(want)
+        if pos:
+            # an edge seen from its other end
+            direction = F.when(F.col("direction") == "outgoing", "incoming").otherwise("outgoing")
+            via = F.struct(F.col("neighbour").alias("node"), label_rank(F.col("label")).alias("r"), direction.alias("d"), "label")
+            above = levels[pos - 1][0].select("pair_id", F.col("node_id").alias("neighbour"))
+            parents = near.hop(here, pairs).select("pair_id", "node_id", "neighbour", via.alias("via"))
+            best = parents.join(above.hint("merge"), ["pair_id", "neighbour"], "left_semi").groupBy("pair_id", "node_id").agg(F.min("via").alias("v"))
+            here = best.select("pair_id", F.lit(pos).alias("pos"), "node_id", F.col("v.label").alias("edge_label"), F.col("v.d").alias("edge_direction"), F.col("v.node").alias("from_node_id"))
+        else:
+            here = here.select("pair_id", F.lit(0).alias("pos"), "node_id", none.alias("edge_label"), F.lit("").alias("edge_direction"), none.alias("from_node_id"))
+        here, _ = stored(here, f"{folder}/steps-{pos}")
         out.append(here)
-        want = here.select("pair_id", F.col("from_node_id").alias("node_id"))
-    return reduce(DataFrame.union, out).select("pair_id", "pos", "node_id", "edge_label", "edge_direction", "from_node_id")
+        want = here.select("pair_id", F.col("from_node_id").alias("node_id")) if pos else None
+    return reduce(DataFrame.union, out)
 
 
 def triple_text(label: Column, direction: Column, title: Column, neighbour: Column) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgraph.operators import links, mirror, retrieval
+from quillgraph.operators import graph, links, mirror, retrieval
 
 
 def test_links_are_never_sent_out(spark):
@@ -79,3 +79,17 @@ def test_sources_are_taken_apart_a_few_megabytes_at_a_time(spark):
     files = spark.createDataFrame([(f"m{i}.py", f"def f{i}(a):\n    return g(a)\n" + "# é\n" * 200_000) for i in range(12)] + [("none.py", None)], "path string, source string").coalesce(1)
     got = {(r.path, r.role, r.name, r.traits.get("signature")) for r in mirror.symbols(files, "py").collect()}
     assert got == {x for i in range(12) for x in ((f"m{i}.py", "def", f"f{i}", f"f{i}(a)"), (f"m{i}.py", "call", "g", None), (f"m{i}.py", "call", f"f{i}", None))}
+
+
+def test_levels_of_a_walk_hold_nodes_only(spark, monkeypatch):
+    """No parents are sorted for every edge of a hop: they are looked up for the nodes of the path."""
+    kept, whole = {}, graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, path: kept.setdefault(path.rpartition("/")[2], whole(df, path)))
+    edges = spark.createDataFrame([("a", "CALLS", "b"), ("b", "CALLS", "c"), ("a", "IMPORTS", "b"), ("d", "LINKS_TO", "c")], "src string, label string, dst string")
+    steps = graph.shortest_paths(edges, spark.createDataFrame([(1, "a", "d"), (2, "d", "a"), (3, "a", "x")], "pair_id int, start string, end string"))
+    got = {(r.pair_id, r.pos): (r.node_id, r.edge_label, r.edge_direction, r.from_node_id) for r in steps.collect()}
+    assert got == {
+        (1, 0): ("a", None, "", None), (1, 1): ("b", "CALLS", "outgoing", "a"), (1, 2): ("c", "CALLS", "outgoing", "b"), (1, 3): ("d", "LINKS_TO", "incoming", "c"),
+        (2, 0): ("d", None, "", None), (2, 1): ("c", "LINKS_TO", "outgoing", "d"), (2, 2): ("b", "CALLS", "incoming", "c"), (2, 3): ("a", "CALLS", "incoming", "b"),
+    }
+    assert all(df.columns == ["pair_id", "node_id", "pos", "is_end"] for name, (df, _) in kept.items() if name.startswith("level"))
