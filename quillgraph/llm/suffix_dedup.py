@@ -40,8 +40,10 @@ SORT_BYTES = 2 << 20
 BLOCK_COPIES = 1000
 #: Blocks whose windows of common phrases are sorted together in the first step.
 PART_BLOCKS = 256
+#: A phrase that many blocks hold is common if it is sent in more units than one for so many bytes of ``hot_blocks`` blocks.
+UNIT_BYTES = 1 << 14
 SENT = "range int, part int, block int, anchor array<int>, doc array<int>, l array<int>, n array<int>, d array<long>, data binary"
-LISTED = "range int, block int, one array<int>, many array<int>"
+LISTED = "range int, block int, one array<int>, many array<int>, units array<int>"
 #: What the steps need of a document.
 CORE = ["d", "t", "text", "copied", "block"]
 
@@ -146,15 +148,17 @@ def frame(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(exact(x, kind), kinds[kind]) for (name, kind), x in zip(named, columns, strict=True)})
 
 
-def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50, hot_blocks: int = 256) -> DataFrame:
+def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50, hot_blocks: int = 256, hot_units: int = 0) -> DataFrame:
     """``block``, ``doc`` (documents by their place in the block), ``l``, ``r``: windows l to r that a smaller document holds.
 
-    ``rows``: the columns of ``CORE`` and any others.  An anchor that more than ``hot_blocks`` blocks hold is looked up window by window.
+    ``rows``: the columns of ``CORE`` and any others.  An anchor that more than ``hot_blocks`` blocks hold, in more than
+    ``hot_units`` units that differ within their block, is looked up window by window.  This takes some ten times the
+    bytes, so it is left to anchors that would fill their range: with many blocks, any few common words are in hundreds.
     """
 
     def list_anchors(rows: pa.Table) -> pa.Table:
         block = Block(rows, window)
-        _, _, anchor, doc, _ = block.units()
+        l, r, anchor, doc, _ = block.units()  # noqa: E741
         out = []
         if len(anchor):
             order = np.lexsort((block.d[doc], anchor))
@@ -165,7 +169,15 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
             ends = np.append(starts[1:], len(a)) - 1
             part, rest = split_anchor(a[starts], ranges)
             many = d[starts] != d[ends]
-            out = [(i, block.number, rest[at][~many[at]], rest[at][many[at]]) for i, at in by_range(part)]
+            count = ends - starts + 1
+            again = np.flatnonzero(np.repeat(count > 1, count))
+            group, at = (np.cumsum(first) - 1)[again], order[again]
+            content = word_hashes(*snippets(block.data, l[at], r[at] - l[at] + window))
+            by = np.lexsort((content, group))
+            same = (group[by][1:] == group[by][:-1]) & (content[by][1:] == content[by][:-1])
+            count -= np.bincount(group[by][1:][same], minlength=len(count))  # equal ones are sent once
+            split = ((i, at[~many[at]], at[many[at]]) for i, at in by_range(part))
+            out = [(i, block.number, rest[one], rest[several], np.append(count[one], count[several])) for i, one, several in split]
         give_back()
         return frame(out, LISTED)
 
@@ -173,7 +185,9 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
         lists = [np.unique(np.concatenate([a, b])) for a, b in zip(rows["one"], rows["many"], strict=True)]
         every, holders = np.unique(np.concatenate(lists), return_counts=True)
         inside = np.isin(every, np.unique(np.concatenate(list(rows["many"]))))
-        shared, hot = every[(holders > 1) | inside], every[holders > hot_blocks]
+        places = np.searchsorted(every, np.concatenate([x for both in zip(rows["one"], rows["many"], strict=True) for x in both]))
+        units = np.bincount(places, np.concatenate(list(rows["units"])))
+        shared, hot = every[(holders > 1) | inside], every[(holders > hot_blocks) & (units > hot_units)]
         mine = [x[np.isin(x, shared, assume_unique=True)] for x in lists]
         return pd.DataFrame(
             {"range": rows["range"], "block": rows["block"], "shared": mine, "hot": [x[np.isin(x, hot, assume_unique=True)] for x in mine]}
@@ -259,8 +273,8 @@ def repeated_strings(rows: DataFrame, blocks: int, ranges: int, window: int = 50
     sent = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, SENT)
     found = sent.groupBy("range", "part").applyInPandas(find_repeats, SENT)
     if blocks > hot_blocks:  # else no phrase is that common
-        found = written(found, "repeats")
-        found = found.where("range < 0").union(found.where("range >= 0").groupBy("range").applyInPandas(find_repeats, SENT))
+        # what is found already passes through: a table of it would end the query, and the documents be sent once more
+        found = found.groupBy("range", F.when(F.col("range") < 0, F.col("block"))).applyInPandas(find_repeats, SENT)
     return found.select("block", "doc", "l", F.zip_with("l", "n", lambda x, y: x + y - 1).alias("r"))
 
 
@@ -381,7 +395,7 @@ def remove_repeated_strings(
         F.coalesce(F.col("d") > F.col("lo"), F.lit(False)).alias("copied"),
         F.pmod(F.xxhash64("t", salt), F.lit(blocks)).cast("int").alias("block"),
     )
-    found = repeated_strings(rows, blocks, ranges, window, hot_blocks)
+    found = repeated_strings(rows, blocks, ranges, window, hot_blocks, hot_blocks * (block_bytes // UNIT_BYTES))
     names = {f"in{i}": c for i, c in enumerate(others)} | {"text": "text"}
 
     def cut(rows: pa.Table, found: pa.Table) -> pa.Table:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import (
     bpe_codec,
+    common,
     decontamination,
     near_dedup,
     quality_crf,
@@ -427,6 +428,35 @@ def test_common_phrases_meet_part_by_part(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()} == brute.repeated_bytes(rows)
 
 
+def test_repeated_bytes_of_many_blocks_go_out_once(spark):
+    """With more blocks than a common phrase has, no table is made in between, texts are dealt out once, and common words aren't looked up window by window."""
+    rng = np.random.default_rng(10)
+    phrases = ["".join(chr(97 + x) for x in rng.integers(0, 26, 26)) for _ in range(1000)]
+    line = "a line that every other one of these documents has, " * 2
+    rows = [(i, " ".join(f"{phrases[rng.integers(0, 1000)]} w{x} w{x * 7 % 99991}" for x in rng.integers(0, 1_000_000, 300)) + line * (i % 2)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    docs.count()
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def run(hot_blocks: int) -> tuple[dict, int, int]:
+        bus.waitUntilEmpty()
+        known, mark = set(stages()), common.mark_shared()
+        out = suffix_dedup.remove_repeated_strings(docs, block_bytes=1 << 17, range_bytes=1 << 18, hot_blocks=hot_blocks)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()}
+        bus.waitUntilEmpty()
+        return got, common.mark_shared() - mark, sum(n for k, n in stages().items() if k not in known)
+
+    def stages() -> dict[int, int]:
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    rare, tables, least = run(1000)
+    got, made, shuffled = run(8)
+    assert got == rare and made == tables and shuffled < 1.5 * least, (made, tables, shuffled, least)
+    docs.unpersist()
+
+
 def test_suffix_stage_carries_any_column(spark, documents):
     schema = "doc_id long, text string, n_chars int, kept timestamp, t map<int,string>, block decimal(30,3), d struct<x:array<double>>, range binary, copied date, many long"
     rows = [(i, t, 0, datetime(2020, 1, 2, 3, 4, 5, 678901 + i), {i: "v"}, Decimal("1.500"), ([1.5, None],), b"x", date(2020, 1, 1), None if i % 2 else 2**60 + i) for i, t in documents]
