@@ -428,7 +428,8 @@ def test_common_phrases_meet_part_by_part(spark, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()} == brute.repeated_bytes(rows)
 
 
-def test_repeated_bytes_of_many_blocks_go_out_once(spark):
+@pytest.mark.parametrize("characters", [False, True])
+def test_repeated_bytes_of_many_blocks_go_out_once(spark, characters):
     """With more blocks than a common phrase has, no table is made in between, texts are dealt out once, and common words aren't looked up window by window."""
     rng = np.random.default_rng(10)
     phrases = ["".join(chr(97 + x) for x in rng.integers(0, 26, 26)) for _ in range(1000)]
@@ -442,7 +443,7 @@ def test_repeated_bytes_of_many_blocks_go_out_once(spark):
     def run(hot_blocks: int) -> tuple[dict, int, int]:
         bus.waitUntilEmpty()
         known, mark = set(stages()), common.mark_shared()
-        out = suffix_dedup.remove_repeated_strings(docs, block_bytes=1 << 17, range_bytes=1 << 18, hot_blocks=hot_blocks)
+        out = suffix_dedup.remove_repeated_strings(docs, block_bytes=1 << 17, range_bytes=1 << 18, hot_blocks=hot_blocks, characters=characters)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()}
         bus.waitUntilEmpty()
         return got, common.mark_shared() - mark, sum(n for k, n in stages().items() if k not in known)
